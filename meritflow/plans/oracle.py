@@ -1,0 +1,159 @@
+"""DuckDB SQL for each registered query: an independent statement of the same result.
+
+Written with plain windows and aggregates (no block decomposition), so it checks the
+distributed forms in ``queries.py``.  Float outputs are rounded like the Spark side.
+"""
+
+from __future__ import annotations
+
+from ..functions.text import LINE_BREAK_RE2, PY_SPACE_RE2
+
+MINERS = """miners AS (
+  SELECT c_custkey AS uid, c_name AS hotkey, c_nationkey AS netuid, c_acctbal AS stake,
+         c_mktsegment = 'BUILDING' AS validator_permit, c_custkey % 7 <> 0 AS is_serving,
+         greatest(c_acctbal, 0.0) / 10000.0 AS validator_trust
+  FROM customer)"""
+
+ELIGIBLE = """eligible AS (
+  SELECT * FROM miners
+  WHERE coalesce(is_serving, false) AND NOT (coalesce(validator_permit, false) AND coalesce(stake, 0.0) > 4096.0))"""
+
+RESPONSES = """responses AS (
+  SELECT event_id, ts, event_type, epoch_us(ts) // 3600000000 AS round, epoch_us(ts) // 86400000000 AS day,
+         user_id AS uid, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) / 100.0::DOUBLE AS score,
+         value * 20.0::DOUBLE AS process_time,
+         CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN '' ELSE event_type END AS patch
+  FROM events)"""
+
+VALID_REWARDS = """latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY round, uid ORDER BY ts DESC, event_id DESC) AS _rn
+                 FROM responses) WHERE _rn = 1),
+valid AS (
+  SELECT l.*, e.hotkey, e.netuid,
+         9.0 * l.score + CASE WHEN l.process_time >= 1800.0 THEN 0.0
+                              ELSE exp(-l.process_time / (1800.0 - l.process_time)) END AS reward
+  FROM latest l JOIN eligible e ON l.uid = e.uid
+  WHERE l.patch IS NOT NULL AND l.patch <> '')"""
+
+EMA = """ema AS (
+  SELECT netuid, uid, sum(0.1 * reward * pow(0.9, n - rn)) AS score, count(*) AS n_updates
+  FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY round) AS rn,
+               count(*) OVER (PARTITION BY uid) AS n FROM valid)
+  GROUP BY netuid, uid)"""
+
+
+def _with(*ctes: str) -> str:
+    return "WITH " + ",\n".join(ctes) + "\n"
+
+
+ACCT_WEIGHTS = """acct AS (SELECT netuid, uid, greatest(stake - 8000.0, 0.0) AS raw FROM miners)"""
+
+
+def _cap_sql(src: str, x: str, limit: float = 0.1, eps: float = 1e-7) -> str:
+    """SQL of the max-weight cap over table ``src`` with value column ``x`` per netuid."""
+    return f"""(SELECT netuid, uid,
+    CASE WHEN S = 0 OR n * {limit} <= 1 THEN 1.0 / n
+         WHEN emax <= {limit} THEN x / S
+         ELSE clip / sum(clip) OVER (PARTITION BY netuid) END AS weight
+  FROM (SELECT *, least(x, (({limit} * csk - {eps}) / (1 - {limit} * (n - k))) * S) AS clip
+        FROM (SELECT *, max(CASE WHEN rn = (CASE WHEN k = 0 THEN n ELSE k END) THEN cs END)
+                          OVER (PARTITION BY netuid) AS csk
+              FROM (SELECT *, sum(CASE WHEN est / ((n - rn) * est + cs + {eps}) < {limit} THEN 1 ELSE 0 END)
+                                OVER (PARTITION BY netuid) AS k
+                    FROM (SELECT *, x / S AS est, max(x / S) OVER (PARTITION BY netuid) AS emax,
+                                 row_number() OVER (PARTITION BY netuid ORDER BY x) AS rn,
+                                 sum(x / S) OVER (PARTITION BY netuid ORDER BY x
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cs
+                          FROM (SELECT netuid, uid, {x} AS x, sum({x}) OVER (PARTITION BY netuid) AS S,
+                                       count(*) OVER (PARTITION BY netuid) AS n FROM {src}))))))"""
+
+
+PROCESS_WEIGHTS = """pw_in AS (
+  SELECT netuid, uid, CAST(CAST(raw AS FLOAT) AS DOUBLE) AS w,
+         count(*) OVER (PARTITION BY netuid) AS n,
+         sum(CASE WHEN CAST(CAST(raw AS FLOAT) AS DOUBLE) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY netuid) AS m
+  FROM acct),
+pw_case AS (SELECT *, CASE WHEN m = 0 OR n < 10 THEN 'a' WHEN m < 10 THEN 'b' ELSE 'c' END AS c FROM pw_in),
+pw_c AS (
+  SELECT *, least(0.0, greatest(m - 10, 0) / m) AS frac,
+         row_number() OVER (PARTITION BY netuid ORDER BY w) - 1 AS qr, count(*) OVER (PARTITION BY netuid) AS qm
+  FROM pw_case WHERE c = 'c' AND w > 0),
+pw_q AS (SELECT *, (qm - 1) * frac AS qh, floor((qm - 1) * frac) AS ql FROM pw_c),
+pw_q2 AS (
+  SELECT *, max(CASE WHEN qr = ql THEN w END) OVER (PARTITION BY netuid) AS qlo,
+         max(CASE WHEN qr = least(ql + 1, qm - 1) THEN w END) OVER (PARTITION BY netuid) AS qhi FROM pw_q),
+pw_cq AS (SELECT netuid, uid, w FROM pw_q2 WHERE qlo + (qh - ql) * (qhi - qlo) <= w),
+pw_x AS (
+  SELECT netuid, uid, CASE WHEN c = 'a' THEN 1.0 ELSE 1e-5 + CASE WHEN w > 0 THEN w ELSE 0.0 END END AS x
+  FROM pw_case WHERE c <> 'c'
+  UNION ALL SELECT netuid, uid, w AS x FROM pw_cq),
+pw AS """ + _cap_sql("pw_x", "x")
+
+
+def oracle_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    base = [MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS]
+    q["reward_to_weights"] = _with(*base, EMA, """w AS (
+  SELECT *, score / greatest(sum(abs(score)) OVER (PARTITION BY netuid), 1e-12) AS weight FROM ema),
+u AS (SELECT *, CAST(round_even(weight / max(weight) OVER (PARTITION BY netuid) * 65535.0, 0) AS INTEGER) AS weight_u16,
+             max(weight) OVER (PARTITION BY netuid) AS wmax FROM w)""") + """
+SELECT netuid, uid, round(score, 9) AS score, round(weight, 9) AS weight, weight_u16
+FROM u WHERE wmax > 0 AND weight_u16 <> 0"""
+    q["ema_final"] = _with(*base, EMA) + "SELECT uid, round(score, 9) AS score, n_updates FROM ema"
+    q["reward_blend"] = _with(*base) + "SELECT event_id, uid, round(reward, 9) AS reward FROM valid"
+    q["ema_reset"] = _with("""snap AS (
+  SELECT o_custkey % 64 AS uid, o_orderdate AS snap_ts, o_orderkey AS snap_seq, o_orderpriority AS hotkey,
+         o_totalprice / 1e5 AS reward FROM orders)""", """flagged AS (
+  SELECT *, coalesce(lag(hotkey) OVER (PARTITION BY uid ORDER BY snap_ts, snap_seq) <> hotkey, false) AS reset,
+         row_number() OVER (PARTITION BY uid ORDER BY snap_ts, snap_seq) AS pos FROM snap)""", """epochs AS (
+  SELECT *, sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY pos) AS epoch,
+         sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER (PARTITION BY uid) AS n_resets FROM flagged)""", """cur AS (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY pos) AS rn, count(*) OVER (PARTITION BY uid) AS n
+  FROM epochs WHERE epoch = n_resets)""") + """
+SELECT uid, arg_max(hotkey, pos) AS hotkey, CAST(max(n_resets) AS BIGINT) AS n_resets,
+       round(sum(0.1 * reward * pow(0.9, n - rn)), 9) AS score
+FROM cur GROUP BY uid"""
+
+    q["l1_normalise"] = _with(MINERS) + """
+SELECT netuid, uid, round(stake / greatest(sum(abs(stake)) OVER (PARTITION BY netuid), 1e-12), 9) AS weight FROM miners"""
+    q["cap_weights"] = _with(MINERS, ACCT_WEIGHTS) + "SELECT netuid, uid, round(weight, 9) AS weight FROM " + _cap_sql("acct", "raw")
+    q["process_weights"] = _with(MINERS, ACCT_WEIGHTS, PROCESS_WEIGHTS) + "SELECT netuid, uid, round(weight, 9) AS weight FROM pw"
+    q["emit_u16"] = _with(MINERS, ACCT_WEIGHTS, PROCESS_WEIGHTS) + """
+SELECT netuid, uid, weight_u16 FROM (
+  SELECT netuid, uid, CAST(round_even(weight / max(weight) OVER (PARTITION BY netuid) * 65535.0, 0) AS INTEGER) AS weight_u16,
+         max(weight) OVER (PARTITION BY netuid) AS wmax FROM pw)
+WHERE wmax > 0 AND weight_u16 <> 0"""
+
+    q["eligible_miners"] = _with(MINERS, ELIGIBLE) + "SELECT netuid, uid, hotkey FROM eligible"
+    gate = _with(MINERS, """reg AS (SELECT hotkey, min(uid) AS uid FROM miners WHERE uid % 11 <> 0 GROUP BY hotkey)""",
+                 """reqs AS (
+  SELECT event_id, epoch_us(ts) // 3600000000 AS round,
+         CASE WHEN event_type = 'signup' THEN NULL ELSE 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') END AS caller_hotkey
+  FROM events)""", """gated AS (
+  SELECT r.event_id, r.round, m.stake AS caller_stake,
+         CASE WHEN r.caller_hotkey IS NULL THEN true WHEN g.uid IS NULL THEN true ELSE false END AS blocked,
+         CASE WHEN r.caller_hotkey IS NULL THEN 'Missing dendrite or hotkey'
+              WHEN g.uid IS NULL THEN 'Unrecognized hotkey' ELSE 'Hotkey recognized!' END AS reason
+  FROM reqs r LEFT JOIN reg g ON r.caller_hotkey = g.hotkey LEFT JOIN miners m ON g.uid = m.uid)""")
+    q["gate_requests"] = gate + "SELECT event_id, blocked, reason FROM gated"
+    q["priority_order"] = gate + """
+SELECT event_id, round, round(coalesce(caller_stake, 0.0), 9) AS priority,
+       row_number() OVER (PARTITION BY round ORDER BY coalesce(caller_stake, 0.0) DESC, event_id) AS serve_rank
+FROM gated WHERE NOT blocked"""
+    q["top_stake_sample"] = _with(MINERS) + """
+SELECT netuid, uid FROM (
+  SELECT *, row_number() OVER (PARTITION BY netuid ORDER BY md5('api:' || CAST(uid AS VARCHAR))) AS r
+  FROM (SELECT *, quantile_cont(stake, 0.9) OVER (PARTITION BY netuid) AS q FROM miners)
+  WHERE stake > q AND validator_trust > 0 AND is_serving)
+WHERE r <= 3"""
+    q["sample_with_topup"] = _with(MINERS, ELIGIBLE, RESPONSES) + """
+SELECT netuid, uid, is_excluded FROM (
+  SELECT e.netuid, e.uid, x.uid IS NOT NULL AS is_excluded,
+         row_number() OVER (PARTITION BY e.netuid ORDER BY x.uid IS NOT NULL, md5('round-0:' || CAST(e.uid AS VARCHAR))) AS r
+  FROM eligible e LEFT JOIN (SELECT DISTINCT uid FROM responses WHERE event_type = 'error') x ON e.uid = x.uid)
+WHERE r <= 5"""
+    q["status_split"] = _with(RESPONSES) + """
+SELECT round, count(*) FILTER (WHERE event_type <> 'error') AS n_ok,
+       count(*) FILTER (WHERE event_type = 'error') AS n_failed FROM responses GROUP BY round"""
+    return q
