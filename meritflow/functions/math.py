@@ -51,26 +51,32 @@ def epoch_us(ts) -> Column:
                             _c(ts).cast("timestamp_ntz"))
 
 
+def floor_div(c, d: int) -> Column:
+    """Exact integer floor division of a BIGINT column by a positive constant."""
+    c = _c(c)
+    return ((c - F.pmod(c, F.lit(d))) / F.lit(d)).cast("bigint")
+
+
 def hour_index(ts) -> Column:
-    return F.floor(epoch_us(ts) / F.lit(3_600_000_000)).cast("bigint")
+    return floor_div(epoch_us(ts), 3_600_000_000)
 
 
 def day_index(ts) -> Column:
-    return F.floor(epoch_us(ts) / F.lit(86_400_000_000)).cast("bigint")
+    return floor_div(epoch_us(ts), 86_400_000_000)
 
 
 def ttl_bucket(ts, ttl_seconds: float, start=None) -> Column:
     """Index of the TTL bucket holding ``ts``; a non-positive TTL means 65536 s."""
     ttl = ttl_seconds if ttl_seconds > 0 else 65536
-    secs = epoch_us(ts) / 1e6
+    us = epoch_us(ts)
     if start is not None:
-        secs = secs - epoch_us(start) / 1e6
-    return F.floor(secs / F.lit(float(ttl))).cast("bigint")
+        us = us - epoch_us(start)
+    return floor_div(us, int(ttl * 1_000_000))
 
 
 def block_number(ts, block_seconds: int = 12) -> Column:
     """Chain block index of a timestamp (one block every ``block_seconds``)."""
-    return F.floor(epoch_us(ts) / F.lit(block_seconds * 1_000_000)).cast("bigint")
+    return floor_div(epoch_us(ts), block_seconds * 1_000_000)
 
 
 def minutes_to_seconds(m) -> Column:

@@ -23,11 +23,13 @@ def duckdb_connection(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is getattr(__import__("pandas"), "NA", None):
         return (0, "")
     if isinstance(v, float):
         if math.isnan(v):
-            return (1, "nan")
+            return (0, "")
+        if v.is_integer() and abs(v) < 2**53:
+            return (4, repr(int(v)))
         return (2, repr(round(v, 9)))
     if isinstance(v, (list, tuple)):
         return (3, repr([_norm(x) for x in v]))
@@ -62,8 +64,9 @@ def compare(spark, name: str, sf_dir: str, con=None, verbose: bool = True) -> bo
     dk = con.execute(sql).df()
     c1, r1 = rows_of(sp)
     c2, r2 = rows_of(dk)
-    t1 = {c: _kind(sp[c].dtype) for c in sp.columns}
-    t2 = {c: _kind(dk[c].dtype) for c in dk.columns}
+    has_null = {c for c in sp.columns if sp[c].isna().any()} | {c for c in dk.columns if dk[c].isna().any()}
+    t1 = {c: _kind(sp[c].dtype) for c in sp.columns if c not in has_null}
+    t2 = {c: _kind(dk[c].dtype) for c in dk.columns if c not in has_null}
     ok = c1 == c2 and r1 == r2 and t1 == t2
     if t1 != t2 and verbose:
         print("  dtypes differ:", {c: (t1.get(c), t2.get(c)) for c in set(t1) | set(t2) if t1.get(c) != t2.get(c)})

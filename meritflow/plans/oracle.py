@@ -156,4 +156,167 @@ WHERE r <= 5"""
     q["status_split"] = _with(RESPONSES) + """
 SELECT round, count(*) FILTER (WHERE event_type <> 'error') AS n_ok,
        count(*) FILTER (WHERE event_type = 'error') AS n_failed FROM responses GROUP BY round"""
+    q.update(oracle_sql_more())
+    return q
+
+
+K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+HOTKEY = "'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0')"
+
+
+def _names_list() -> str:
+    from ..operators.cost import model_names
+    return "[" + ", ".join(f"'{n}'" for n in model_names()) + "]"
+
+
+def _flat_prices_values() -> str:
+    from ..operators.cost import NESTED_MODELS, PRICES
+    rows = [f"('{m}', {i!r}::DOUBLE, {o!r}::DOUBLE)" for m, _, i, o in PRICES if m not in NESTED_MODELS]
+    return "prices(model, p_in, p_out) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def oracle_sql_more() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["rubric_score"] = f"""
+WITH f AS (
+  SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN '' ELSE event_type END AS patch,
+         {K} / 100.0::DOUBLE AS a, CAST({K} % 50 AS DOUBLE) / 50.0 AS l, CAST({K} % 10 AS DOUBLE) / 10.0 AS b,
+         CAST({K} % 7 AS DOUBLE) / 7.0 AS bugs,
+         CASE WHEN {K} % 5 = 0 THEN []::DOUBLE[] ELSE [CAST({K} % 3 AS DOUBLE) / 3.0, CAST({K} % 4 AS DOUBLE) / 4.0] END AS cl
+  FROM events),
+s AS (SELECT *, 0.3 * a + 0.25 * l + 0.05 * b + 0.2 * (1.0 - bugs) AS static FROM f)
+SELECT event_id, round(CASE WHEN coalesce(patch, '') = '' THEN 0.25 WHEN len(cl) = 0 THEN static / 0.8
+                            ELSE static + 0.2 * (list_sum(cl) / len(cl)) END, 9) AS score FROM s"""
+    q["test_buckets"] = f"""
+WITH t AS (
+  SELECT user_id AS submission_id, CAST(user_id AS VARCHAR) || ':' || CAST({K} % 10 AS VARCHAR) AS test_id,
+         CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 'before' ELSE 'after' END AS run,
+         CASE WHEN event_type IN ('click', 'purchase') THEN 'passed' WHEN event_type = 'error' THEN 'failed' ELSE 'other' END AS status,
+         ts, event_id FROM events),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY submission_id, run, test_id ORDER BY ts DESC, event_id DESC) AS rn
+                     FROM t WHERE status IN ('passed', 'failed')) WHERE rn = 1),
+c AS (
+  SELECT a.submission_id,
+         CASE WHEN b.status IS NULL THEN CASE WHEN a.status = 'passed' THEN 'NEW_PASS' ELSE 'NEW_FAIL' END
+              ELSE (CASE WHEN b.status = 'passed' THEN 'PASS' ELSE 'FAIL' END) || '_TO_' ||
+                   (CASE WHEN a.status = 'passed' THEN 'PASS' ELSE 'FAIL' END) END AS bucket
+  FROM o a LEFT JOIN o b ON b.run = 'before' AND a.submission_id = b.submission_id AND a.test_id = b.test_id
+  WHERE a.run = 'after')
+SELECT submission_id, bucket, count(*) AS n_tests FROM c GROUP BY submission_id, bucket"""
+    n = len(eval(_names_list()))
+    q["token_cost"] = f"""
+WITH {_flat_prices_values()},
+comp AS (
+  SELECT CASE m WHEN 'gpt4omini' THEN 'gpt-4o-mini' WHEN 'gpt4o' THEN 'gpt-4o' ELSE m END AS model,
+         input_tokens, output_tokens
+  FROM (SELECT {_names_list()}[l_partkey % {n} + 1] AS m, CAST(l_quantity * 100 AS BIGINT) AS input_tokens,
+               CAST(l_quantity * 10 AS BIGINT) AS output_tokens FROM lineitem)),
+priced AS (SELECT c.*, (input_tokens * p.p_in + output_tokens * p.p_out) / 1e6 AS cost
+           FROM comp c LEFT JOIN prices p ON c.model = p.model)
+SELECT model, count(*) AS n_completions, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
+       CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 6) AS total_cost,
+       count(*) FILTER (WHERE cost IS NULL) AS n_unpriced
+FROM priced GROUP BY model"""
+    q["strip_patch_comments"] = f"""
+WITH p AS (
+  SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)),
+                 lambda x, i: CASE WHEN (i - 1) % 2 = 0 THEN '+' ELSE ' ' END || x), chr(10)) AS patch
+  FROM documents),
+l AS (SELECT doc_id, patch, regexp_split_to_array(patch, '{LINE_BREAK_RE2}') AS parts FROM p),
+s AS (SELECT doc_id, CASE WHEN patch = '' THEN []::VARCHAR[]
+                          WHEN regexp_matches(patch, '({LINE_BREAK_RE2})\\z') THEN parts[1:len(parts) - 1]
+                          ELSE parts END AS lines FROM l)
+SELECT doc_id, array_to_string(list_transform(
+         list_filter(lines, lambda x: NOT regexp_matches(x, '^\\+{PY_SPACE_RE2}*#')),
+         lambda x: CASE WHEN starts_with(x, '+')
+                        THEN regexp_replace(regexp_replace(x, '(?s)#.*', ''), '{PY_SPACE_RE2}+\\z', '')
+                        ELSE x END), chr(10)) AS cleaned
+FROM s"""
+    q["corpus_filter"] = """
+SELECT dir, path, CAST(length(text) AS BIGINT) AS n_chars FROM (
+  SELECT source AS dir, doc_id AS path, text, count(*) OVER (PARTITION BY source) AS n FROM documents)
+WHERE n >= 3 AND length(text) > 50"""
+    pairs = """
+WITH e AS (SELECT CAST(label AS VARCHAR) AS dir, vec_id AS path, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.dir, a.path AS path_a, b.path AS path_b,
+             list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS cosine
+      FROM e a JOIN e b ON a.dir = b.dir AND a.path < b.path),
+best AS (
+  SELECT dir, path_a, path_b, cosine FROM (
+    SELECT *, row_number() OVER (PARTITION BY dir ORDER BY round(cosine, 12) DESC, path_a, path_b) AS rn
+    FROM p WHERE cosine > -1 AND NOT isnan(cosine)) WHERE rn = 1)
+"""
+    q["file_pair_top1"] = pairs + "SELECT dir, path_a, path_b, round(cosine, 9) AS cosine FROM best"
+    q["best_file_pair"] = pairs + """SELECT dir, path_a, path_b, round(cosine, 9) AS cosine FROM best
+ORDER BY round(cosine, 12) DESC, dir LIMIT 1"""
+    q["deadline_join"] = """
+WITH req AS (SELECT event_id AS req_id, user_id, ts FROM events WHERE event_type = 'view'),
+resp AS (SELECT event_id AS resp_id, user_id, ts FROM events WHERE event_type = 'purchase')
+SELECT req_id, resp_id, CASE WHEN resp_id IS NULL THEN 408 ELSE 200 END AS status_code FROM (
+  SELECT r.req_id, p.resp_id, row_number() OVER (PARTITION BY r.req_id ORDER BY p.ts, p.resp_id) AS rn
+  FROM req r LEFT JOIN resp p ON p.user_id = r.user_id AND p.ts >= r.ts AND p.ts < r.ts + INTERVAL 30 MINUTE)
+WHERE rn = 1"""
+    q["ttl_hold"] = """
+SELECT event_id, epoch_us(ts) // 12000000 AS bucket,
+       first_value(value) OVER (PARTITION BY event_type, epoch_us(ts) // 12000000 ORDER BY ts, event_id) AS held_value
+FROM events"""
+    q["epoch_due"] = """
+WITH RECURSIVE ev AS (
+  SELECT user_id, event_id, epoch_us(ts) // 12000000 AS block,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+walk(user_id, rn, event_id, block, mark, due) AS (
+  SELECT user_id, rn, event_id, block, block, false FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id, e.block,
+         CASE WHEN e.block - w.mark > 100 THEN e.block ELSE w.mark END, e.block - w.mark > 100
+  FROM walk w JOIN ev e ON e.user_id = w.user_id AND e.rn = w.rn + 1)
+SELECT user_id, event_id, block, due FROM walk"""
+    q["stream_join_chunks"] = """
+SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS completion, count(*) AS n_chunks FROM (
+  SELECT conv_id, turn, array_to_string(list_filter(string_split(text, chr(10)), lambda t: t <> ''), '') AS piece
+  FROM conversations) GROUP BY conv_id"""
+    from ..functions.nested import TOKEN_PATTERN
+    q["batch_tokens"] = f"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '{TOKEN_PATTERN}') AS toks FROM conversations),
+b AS (SELECT conv_id, turn, toks, CAST(ceil(len(toks) / 3.0) AS BIGINT) AS nb FROM t),
+u AS (SELECT conv_id, turn, toks, nb, unnest(range(nb)) AS i FROM b)
+SELECT conv_id, turn, CAST(i AS BIGINT) AS idx, array_to_string(toks[3 * i + 1:3 * i + 3], '') AS batch,
+       i = nb - 1 AS is_last FROM u"""
+    q["header_extract"] = f"""
+SELECT event_id, event_type AS name, CAST({K} AS DOUBLE) AS timeout, event_id AS total_size,
+       CAST(0 AS BIGINT) AS header_size, {HOTKEY} AS dendrite_hotkey, CAST(user_id AS VARCHAR) AS dendrite_uuid,
+       CAST({K} AS VARCHAR) AS axon_code, CAST(1 AS BIGINT) AS n_axon
+FROM events"""
+    q["log_lines"] = f"""
+WITH d AS (SELECT *, {K} AS k, event_type || ' by user ' || CAST(user_id AS VARCHAR) AS msg, upper(event_type) AS lvl
+           FROM events)
+SELECT event_id,
+       CASE WHEN event_type = 'purchase' THEN 'purchase-' || CAST(event_id AS VARCHAR) ELSE msg END AS event,
+       CASE WHEN event_type = 'signup' THEN 'anonymous' ELSE {HOTKEY} END AS distinct_id,
+       CASE WHEN event_type = 'error' THEN 'error code ' || CAST(k AS VARCHAR)
+            ELSE strftime(timezone('America/New_York', timezone('UTC', ts)), '%Y-%m-%d %H:%M:%S') || ' - events.py:'
+                 || CAST(k AS VARCHAR) || ' [' || CASE WHEN length(lvl) < 5 THEN rpad(lvl, 5, ' ') ELSE lvl END
+                 || '] ' || msg END AS description,
+       CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 2 END AS BIGINT) AS n_properties
+FROM d"""
+    q["prompt_table"] = """
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations)
+SELECT conv_id,
+       chr(10) || 'Problem Statement: ' || max(CASE WHEN rn = 1 THEN text END) || chr(10)
+       || 'Checklist of items to consider: ['
+       || coalesce(string_agg('''' || role || '''', ', ' ORDER BY turn) FILTER (WHERE rn > 1), '') || ']' || chr(10)
+       || coalesce(string_agg('# File ' || CAST(rn - 2 AS VARCHAR) || ' used to solve the problem: ' || text, ''
+                              ORDER BY turn) FILTER (WHERE rn > 1), '') || chr(10) AS prompt
+FROM c GROUP BY conv_id"""
+    q["scored_rows_json"] = _with(MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS) + """
+SELECT round, to_json(list({'problem_statement': 'task ' || CAST(round AS VARCHAR), 'solution_patch': patch,
+                            'score_micros': CAST(round(reward * 1e6) AS BIGINT), 'miner_hotkey': hotkey}
+                           ORDER BY hotkey)) AS payload
+FROM valid GROUP BY round"""
+    q["task_labels"] = """
+SELECT doc_id, 'org-' || lang AS author, source AS name,
+       'org-' || lang || '/' || source || '-' || substring(text, 1, 10) || '-'
+         || substring(md5('org-' || lang || '/' || source || chr(1) || text), 1, 12) AS task_id,
+       substring(text, 1, 100) || '...' AS preview
+FROM documents"""
     return q

@@ -6,7 +6,7 @@ agree despite different summation orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PopulationConfig, ScoringConfig, WeightConfig
@@ -135,3 +135,230 @@ QUERIES = {
     "sample_with_topup": sample_with_topup,
     "status_split": status_split,
 }
+
+
+# --------------------------------------------------------------------------- grading
+from ..functions import nested as nst  # noqa: E402
+from ..functions import text as txt  # noqa: E402
+from ..operators import corpus, cost, grading, ratings, timing  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+
+def rubric_score(spark: SparkSession, d: str) -> DataFrame:
+    r = views.responses(spark, d).select("event_id", "patch", *views.rubric_columns("k"))
+    s = grading.rubric_score("addresses", "logical", "brevity", "bugs", "checklist", "patch")
+    return r.select("event_id", _r(s, "score"))
+
+
+def test_buckets(spark: SparkSession, d: str) -> DataFrame:
+    t = views.test_results(spark, d)
+    o = grading.test_outcomes(t, ["submission_id"], ["ts", "event_id"])
+    c = grading.classify_tests(o, ["submission_id"])
+    return grading.bucket_counts(c, ["submission_id"])
+
+
+def _completions(spark, d):
+    li = read_table(spark, d, "lineitem")
+    names = cost.model_names()
+    arr = F.array(*[F.lit(n) for n in names])
+    return li.select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"),
+        F.element_at(arr, (F.pmod(F.col("l_partkey"), F.lit(len(names))) + 1).cast("int")).alias("model"),
+        (F.col("l_quantity") * 100).cast("bigint").alias("input_tokens"),
+        (F.col("l_quantity") * 10).cast("bigint").alias("output_tokens"))
+
+
+def token_cost(spark: SparkSession, d: str) -> DataFrame:
+    priced = cost.price_completions(_completions(spark, d), cost.flat_prices(spark))
+    t = cost.cost_by_model(priced)
+    return t.select("model", "n_completions", "input_tokens", "output_tokens",
+                    F.round("total_cost", 6).alias("total_cost"), "n_unpriced")
+
+
+def _doc_patch(text_col="text"):
+    """A document as a diff body: even lines added ('+'), odd lines context (' ')."""
+    lines = F.split(F.col(text_col), "\n", -1)
+    return F.array_join(F.transform(lines, lambda l, i: F.concat(F.when(i % 2 == 0, F.lit("+")).otherwise(F.lit(" ")), l)), "\n")
+
+
+def strip_patch_comments(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    return docs.select("doc_id", txt.strip_patch_comments(_doc_patch()).alias("cleaned"))
+
+
+# --------------------------------------------------------------------------- corpus
+def corpus_filter(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents").select(F.col("source").alias("dir"), F.col("doc_id").alias("path"), "text")
+    f = corpus.corpus_filter(docs, "dir", "text")
+    return f.select("dir", "path", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+def _file_pairs(spark, d):
+    e = read_table(spark, d, "embeddings")
+    return corpus.most_similar_pairs(e, "label", "vec_id", "embedding", block_size=64, lsh_bits=3)
+
+
+def file_pair_top1(spark: SparkSession, d: str) -> DataFrame:
+    p = _file_pairs(spark, d)
+    return p.select("dir", "path_a", "path_b", _r("cosine", "cosine"))
+
+
+def best_file_pair(spark: SparkSession, d: str) -> DataFrame:
+    p = corpus.best_overall(_file_pairs(spark, d), F.round("cosine", corpus.TIE_DECIMALS))
+    return p.select("dir", "path_a", "path_b", _r("cosine", "cosine"))
+
+
+# --------------------------------------------------------------------------- ratings
+def _round_submissions(spark, d):
+    rw = valid_rewards(spark, d)
+    w = Window.partitionBy("round").orderBy("ts", "event_id")
+    return rw.withColumn("idx", F.row_number().over(w) - 1)
+
+
+def elo_rank(spark: SparkSession, d: str) -> DataFrame:
+    s = _round_submissions(spark, d)
+    e = ratings.elo_ratings(s, "round", "idx", "uid", "k")
+    return e.select("round", "uid", "idx", F.round("rating", 6).alias("rating"), "rank")
+
+
+def trueskill_rank(spark: SparkSession, d: str) -> DataFrame:
+    s = _round_submissions(spark, d).select("netuid", "round", "idx", "uid", "patch", *views.rubric_columns("k"))
+    s = s.withColumn("grade", grading.rubric_score("addresses", "logical", "brevity", "bugs", "checklist", "patch"))
+    t = ratings.trueskill_scores(s, "netuid", "round", "idx", "uid", "grade")
+    return t.select("netuid", "round", "uid", _r("mu", "mu"), _r("sigma", "sigma"), _r("ts_score", "ts_score"))
+
+
+# --------------------------------------------------------------------------- timing
+def deadline_join(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events")
+    req = e.filter(F.col("event_type") == "view").select(F.col("event_id").alias("req_id"), "user_id", "ts")
+    resp = e.filter(F.col("event_type") == "purchase").select(F.col("event_id").alias("resp_id"), "user_id", "ts")
+    return timing.deadline_join(req, resp, "user_id", 1800.0)
+
+
+def ttl_hold(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events")
+    h = timing.ttl_hold(e, "event_type", "ts", "value", 12.0, order=["ts", "event_id"])
+    return h.select("event_id", "bucket", "held_value")
+
+
+def epoch_due(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events")
+    t = timing.epoch_triggers(e, "user_id", "ts", ["ts", "event_id"], 100, 12)
+    return t.select("user_id", "event_id", "block", "due")
+
+
+# --------------------------------------------------------------------------- text & nested
+def stream_join_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "conversations")
+    pieces = c.select("conv_id", "turn", nst.chunk_text("text").alias("piece"))
+    g = pieces.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "piece"))).alias("_p"),
+                                      F.count(F.lit(1)).alias("n_chunks"))
+    return g.select("conv_id", F.array_join(F.transform("_p", lambda x: x["piece"]), "").alias("completion"), "n_chunks")
+
+
+def batch_tokens(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "conversations")
+    b = c.select("conv_id", "turn", F.inline(nst.token_batches(nst.tokens("text"), 3)))
+    return b.select("conv_id", "turn", F.col("idx").cast("bigint").alias("idx"), "batch", "is_last")
+
+
+def _headers(e):
+    k = views.prop_k().cast("string")
+    return F.create_map(
+        F.lit("name"), F.col("event_type"),
+        F.lit("timeout"), k,
+        F.lit("total_size"), F.col("event_id").cast("string"),
+        F.lit("bt_header_dendrite_uuid"), F.col("user_id").cast("string"),
+        F.lit("bt_header_dendrite_hotkey"), F.format_string("Customer#%09d", F.col("user_id")),
+        F.lit("bt_header_axon_status_code"), F.when(F.col("event_type") == "error", "408").otherwise("200"),
+        F.lit("bt_header_axon_process_code"), k,
+    )
+
+
+def header_extract(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events")
+    h = e.select("event_id", _headers(e).alias("h"))
+    den = nst.headers_with_prefix(F.col("h"), "bt_header_dendrite")
+    axon = nst.headers_with_prefix(F.col("h"), "bt_header_axon")
+    return h.select(
+        "event_id",
+        nst.header_scalar("h", "name", "string", "").alias("name"),
+        nst.header_scalar("h", "timeout", "double", 0.0).alias("timeout"),
+        nst.header_scalar("h", "total_size", "bigint", 0).alias("total_size"),
+        nst.header_scalar("h", "header_size", "bigint", 0).alias("header_size"),
+        F.element_at(den, F.lit("hotkey")).alias("dendrite_hotkey"),
+        F.element_at(den, F.lit("uuid")).alias("dendrite_uuid"),
+        F.element_at(axon, F.lit("code")).alias("axon_code"),
+        F.size(axon).cast("bigint").alias("n_axon"))
+
+
+def log_lines(spark: SparkSession, d: str) -> DataFrame:
+    e = read_table(spark, d, "events")
+    k = views.prop_k()
+    msg = F.concat(F.col("event_type"), F.lit(" by user "), F.col("user_id").cast("string"))
+    desc = nst.log_description("ts", F.upper("event_type"), F.lit("events.py"), k, msg)
+    extra = F.when(F.col("event_type") == "error",
+                   F.create_map(F.lit("description"), F.concat(F.lit("error code "), k.cast("string"))))\
+             .otherwise(F.create_map(F.lit("k"), k.cast("string")))
+    props = nst.override(F.create_map(F.lit("description"), desc), extra)
+    explicit_id = F.when(F.col("event_type") == "purchase", F.concat(F.lit("purchase-"), F.col("event_id").cast("string")))
+    return e.select(
+        "event_id",
+        F.coalesce(explicit_id, msg).alias("event"),
+        F.when(F.col("event_type") == "signup", F.lit("anonymous"))
+         .otherwise(F.format_string("Customer#%09d", F.col("user_id"))).alias("distinct_id"),
+        F.element_at(props, F.lit("description")).alias("description"),
+        F.size(props).cast("bigint").alias("n_properties"))
+
+
+def prompt_table(spark: SparkSession, d: str) -> DataFrame:
+    c = read_table(spark, d, "conversations")
+    g = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    rest = F.slice(F.col("t"), 2, F.greatest(F.size("t") - 1, F.lit(0)))
+    p = nst.detailed_problem(F.col("t")[0]["text"], F.transform(rest, lambda x: x["role"]),
+                             F.transform(rest, lambda x: x["text"]))
+    return g.select("conv_id", p.alias("prompt"))
+
+
+def scored_rows_json(spark: SparkSession, d: str) -> DataFrame:
+    rw = valid_rewards(spark, d)
+    row = F.struct(F.concat(F.lit("task "), F.col("round").cast("string")).alias("problem_statement"),
+                   F.col("patch").alias("solution_patch"),
+                   F.round(F.col("reward") * 1e6).cast("bigint").alias("score_micros"),
+                   F.col("hotkey").alias("miner_hotkey"))
+    g = rw.groupBy("round").agg(F.collect_list(row).alias("rows"))
+    srt = F.array_sort(F.col("rows"), lambda a, b: F.when(a["miner_hotkey"] < b["miner_hotkey"], -1)
+                       .when(a["miner_hotkey"] > b["miner_hotkey"], 1).otherwise(0))
+    return g.select("round", F.to_json(srt).alias("payload"))
+
+
+def task_labels(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents")
+    repo = F.concat(F.lit("org-"), F.col("lang"), F.lit("/"), F.col("source"))
+    parts = txt.split_repo(repo)
+    return docs.select("doc_id", parts["author"].alias("author"), parts["name"].alias("name"),
+                       txt.task_id(repo, F.col("text")).alias("task_id"), txt.preview(F.col("text"), 100).alias("preview"))
+
+
+QUERIES.update({
+    "rubric_score": rubric_score,
+    "test_buckets": test_buckets,
+    "token_cost": token_cost,
+    "strip_patch_comments": strip_patch_comments,
+    "corpus_filter": corpus_filter,
+    "file_pair_top1": file_pair_top1,
+    "best_file_pair": best_file_pair,
+    "elo_rank": elo_rank,
+    "trueskill_rank": trueskill_rank,
+    "deadline_join": deadline_join,
+    "ttl_hold": ttl_hold,
+    "epoch_due": epoch_due,
+    "stream_join_chunks": stream_join_chunks,
+    "batch_tokens": batch_tokens,
+    "header_extract": header_extract,
+    "log_lines": log_lines,
+    "prompt_table": prompt_table,
+    "scored_rows_json": scored_rows_json,
+    "task_labels": task_labels,
+})

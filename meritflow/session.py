@@ -16,6 +16,7 @@ _DEFAULTS = {
     # map_concat / transform_keys keep the later key, as dict updates do.
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
