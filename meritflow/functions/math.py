@@ -42,13 +42,16 @@ _EPOCH_NTZ = "1970-01-01 00:00:00"
 
 
 def epoch_us(ts) -> Column:
-    """Microseconds since 1970-01-01 of a wall-clock timestamp.
+    """Microseconds since 1970-01-01 00:00 of a wall-clock TIMESTAMP_NTZ (read as UTC).
 
-    Computed as a difference of TIMESTAMP_NTZ values, so the session time zone never
-    enters (``unix_micros`` would first convert through it).
+    Built from the calendar fields of the wall-clock value, so the session time zone
+    never enters: ``unix_micros`` or a cast to TIMESTAMP would go through it.
     """
-    return F.timestamp_diff("MICROSECOND", F.lit(_EPOCH_NTZ).cast("timestamp_ntz"),
-                            _c(ts).cast("timestamp_ntz"))
+    t = _c(ts)
+    days = F.datediff(F.to_date(t), F.lit(_EPOCH_NTZ[:10]).cast("date")).cast("bigint")
+    return (days * F.lit(86_400_000_000) + F.hour(t).cast("bigint") * F.lit(3_600_000_000)
+            + F.minute(t).cast("bigint") * F.lit(60_000_000)
+            + (F.date_part(F.lit("SECOND"), t) * F.lit(1_000_000)).cast("bigint"))
 
 
 def floor_div(c, d: int) -> Column:

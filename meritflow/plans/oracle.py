@@ -157,6 +157,16 @@ WHERE r <= 5"""
 SELECT round, count(*) FILTER (WHERE event_type <> 'error') AS n_ok,
        count(*) FILTER (WHERE event_type = 'error') AS n_failed FROM responses GROUP BY round"""
     q.update(oracle_sql_more())
+    # streamed twins: same result as the batch query
+    q["stream_epoch_due"] = q["epoch_due"]
+    q["stream_ema"] = q["ema_final"]
+    q["stream_chunks"] = q["stream_join_chunks"]
+    q["stream_log_lines"] = q["log_lines"]
+    q["stream_gate_requests"] = q["gate_requests"]
+    q["stream_ttl_hold"] = """
+SELECT event_type, epoch_us(ts) // 12000000 AS bucket, arg_min(value, (ts, event_id)) AS held_value,
+       count(*) AS n_calls
+FROM events GROUP BY event_type, epoch_us(ts) // 12000000"""
     return q
 
 

@@ -14,6 +14,7 @@ from ..functions.math import day_index
 from ..operators import population as pop
 from ..operators import scoring, weights
 from ..sources import views
+from ..sources.tables import read_table
 
 R = 9  # decimals kept in float outputs
 
@@ -24,10 +25,14 @@ def _r(c, name=None):
 
 
 # --------------------------------------------------------------------------- scoring
+def eligible_population(spark: SparkSession, d: str) -> DataFrame:
+    return pop.eligible(views.miners(spark, d)).select("uid", "hotkey", "netuid")
+
+
 def valid_rewards(spark: SparkSession, d: str, cfg: ScoringConfig = ScoringConfig()) -> DataFrame:
     """Latest response per (round, uid) from an eligible miner with a non-empty patch,
     scored: reward = 9 * eval + decay(timeout, process_time)."""
-    m = pop.eligible(views.miners(spark, d)).select("uid", "hotkey", "netuid")
+    m = eligible_population(spark, d)
     r = scoring.latest_per_key(views.responses(spark, d), ["round", "uid"], ["ts", "event_id"])
     r = r.filter(F.col("patch").isNotNull() & (F.col("patch") != ""))
     r = r.join(m, "uid", "inner")
@@ -92,11 +97,15 @@ def eligible_miners(spark: SparkSession, d: str) -> DataFrame:
     return pop.eligible(views.miners(spark, d)).select("netuid", "uid", "hotkey")
 
 
-def gate_requests(spark: SparkSession, d: str) -> DataFrame:
-    g = pop.gate_requests(views.requests(spark, d), views.registered_miners(spark, d), PopulationConfig())
+def gate_of(events: DataFrame, registered: DataFrame) -> DataFrame:
+    g = pop.gate_requests(views.requests_of(events), registered, PopulationConfig())
     return g.select("event_id", "blocked", "reason")
 
 
+def gate_requests(spark: SparkSession, d: str) -> DataFrame:
+    return gate_of(read_table(spark, d, "events"), views.registered_miners(spark, d))
+
+
 def priority_order(spark: SparkSession, d: str) -> DataFrame:
     g = pop.gate_requests(views.requests(spark, d), views.registered_miners(spark, d), PopulationConfig())
     p = pop.priority(g.filter(~F.col("blocked")), partition="round", tiebreak="event_id")
@@ -294,7 +303,11 @@ def header_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
-    e = read_table(spark, d, "events")
+    return log_lines_of(read_table(spark, d, "events"))
+
+
+def log_lines_of(e: DataFrame) -> DataFrame:
+    """Log events enriched for the event sink (STR9, MAP1, SRC9/STM9)."""
     k = views.prop_k()
     msg = F.concat(F.col("event_type"), F.lit(" by user "), F.col("user_id").cast("string"))
     desc = nst.log_description("ts", F.upper("event_type"), F.lit("events.py"), k, msg)
@@ -362,3 +375,11 @@ QUERIES.update({
     "scored_rows_json": scored_rows_json,
     "task_labels": task_labels,
 })
+
+
+def _register_streams():
+    from .stream_queries import STREAM_QUERIES
+    QUERIES.update(STREAM_QUERIES)
+
+
+_register_streams()

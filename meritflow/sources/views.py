@@ -35,7 +35,10 @@ def prop_k(props="props"):
 
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """Every event is a miner's response to the task of its hour."""
-    e = read_table(spark, d, "events")
+    return responses_of(read_table(spark, d, "events"))
+
+
+def responses_of(e: DataFrame) -> DataFrame:
     k = prop_k()
     return e.select(
         "event_id", "ts", "event_type",
@@ -93,7 +96,10 @@ def hotkey_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """Incoming requests: caller hotkey from the user; sign-ups carry no caller."""
-    e = read_table(spark, d, "events")
+    return requests_of(read_table(spark, d, "events"))
+
+
+def requests_of(e: DataFrame) -> DataFrame:
     return e.select(
         "event_id", "ts", hour_index("ts").alias("round"),
         F.when(F.col("event_type") == "signup", F.lit(None).cast("string"))
