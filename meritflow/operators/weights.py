@@ -52,7 +52,7 @@ def cap_weights(df: DataFrame, group: str, value: str, out: str = "weight",
     d = (df.withColumn("_x", x)
            .withColumn("_S", F.sum("_x").over(g))
            .withColumn("_n", F.count(F.lit(1)).over(g))
-           .withColumn("_est", F.col("_x") / F.col("_S"))
+           .withColumn("_est", F.when(F.col("_S") != 0, F.col("_x") / F.col("_S")))
            .withColumn("_emax", F.max("_est").over(g))
            .withColumn("_rn", F.row_number().over(srt))
            .withColumn("_cs", F.sum("_est").over(run)))
@@ -61,14 +61,14 @@ def cap_weights(df: DataFrame, group: str, value: str, out: str = "weight",
     # cumulative share at the k-th smallest value (k = 0 would index the last one)
     d = d.withColumn("_csk", F.max(F.when(F.col("_rn") == F.when(F.col("_k") == 0, F.col("_n")).otherwise(F.col("_k")),
                                           F.col("_cs"))).over(g))
-    cutoff = ((F.lit(limit) * F.col("_csk") - F.lit(eps))
-              / (F.lit(1.0) - F.lit(limit) * (F.col("_n") - F.col("_k")))) * F.col("_S")
+    den = F.lit(1.0) - F.lit(limit) * (F.col("_n") - F.col("_k"))
+    cutoff = F.when(den != 0, (F.lit(limit) * F.col("_csk") - F.lit(eps)) / den) * F.col("_S")
     d = d.withColumn("_clip", F.least(F.col("_x"), cutoff))
     d = d.withColumn("_clip_sum", F.sum("_clip").over(g))
     uniform = (F.col("_S") == 0) | (F.col("_n") * F.lit(limit) <= 1)
     res = (F.when(uniform, F.lit(1.0) / F.col("_n"))
             .when(F.col("_emax") <= F.lit(limit), F.col("_x") / F.col("_S"))
-            .otherwise(F.col("_clip") / F.col("_clip_sum")))
+            .when(F.col("_clip_sum") != 0, F.col("_clip") / F.col("_clip_sum")))
     return d.withColumn(out, res).drop("_x", "_S", "_n", "_est", "_emax", "_rn", "_cs", "_k", "_csk",
                                        "_clip", "_clip_sum")
 
@@ -143,6 +143,7 @@ def emit_u16(df: DataFrame, group: str, uid: str, weight: str, out: str = "weigh
     d = (df.withColumn("_w", checked)
            .withColumn("_wmax", F.max("_w").over(g))
            .filter(F.col("_wmax") > 0)
-           .withColumn(out, F.rint(F.col("_w") / F.col("_wmax") * F.lit(float(u16_max))).cast("int"))
+           .withColumn(out, F.rint(F.col("_w") / F.when(F.col("_wmax") > 0, F.col("_wmax"))
+                                   * F.lit(float(u16_max))).cast("int"))
            .filter(F.col(out) != 0))
     return d.drop("_w", "_wmax")
