@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import IngestConfig
+from ..session import spread_groups
 
 TIE_DECIMALS = 12   # cosine values equal to 12 decimals count as a tie
 
@@ -153,7 +154,7 @@ def most_similar_pairs(vectors: DataFrame, dir_col: str, path_col: str, vec_col:
     # written once, read by two stages below
     v = v.persist()
 
-    summ = v.groupBy("dir", "blk").applyInPandas(_block_summary, _BEST_SCHEMA).persist()
+    summ = spread_groups(v, "dir", "blk").groupBy("dir", "blk").applyInPandas(_block_summary, _BEST_SCHEMA).persist()
     lower = (summ.filter(F.col("cos").isNotNull()).groupBy("dir")
                  .agg(F.max(F.round("cos", TIE_DECIMALS)).alias("_lb")))
     a = summ.select("dir", F.col("blk").alias("blk_a"), F.col("centroid").alias("c_a"), F.col("radius").alias("r_a"))
@@ -168,7 +169,7 @@ def most_similar_pairs(vectors: DataFrame, dir_col: str, path_col: str, vec_col:
     side_a = pairs.join(v.withColumnRenamed("blk", "blk_a"), ["dir", "blk_a"]).withColumn("side", F.lit(0))
     side_b = pairs.join(v.withColumnRenamed("blk", "blk_b"), ["dir", "blk_b"]).withColumn("side", F.lit(1))
     cols = ["dir", "blk_a", "blk_b", "side", "path", "u"]
-    cross = (side_a.select(*cols).unionByName(side_b.select(*cols))
+    cross = (spread_groups(side_a.select(*cols).unionByName(side_b.select(*cols)), "dir", "blk_a", "blk_b")
              .groupBy("dir", "blk_a", "blk_b").applyInPandas(_cross_best, _CROSS_SCHEMA))
     cands = summ.filter(F.col("cos").isNotNull()).select("dir", "cos", "a", "b").unionByName(cross)
     best = (cands.groupBy("dir")

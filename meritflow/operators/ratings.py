@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import RatingConfig
+from ..session import spread_groups
 
 _N = NormalDist()
 
@@ -54,49 +55,49 @@ def elo_fold(scores: list[float], cfg: RatingConfig = RatingConfig(), seed: int
     'standard' applies only the 0.5 update.
     """
     r = [cfg.elo_default] * len(scores)
-
-    def upd(a, b, sa):
-        ea = 1.0 / (1.0 + 10.0 ** ((r[b] - r[a]) / 400.0))
-        ch = cfg.elo_k * (sa - ea)
+    k_factor = cfg.elo_k
+    reference = cfg.draw_mode == "reference"
+    for _, a, b in match_schedule(len(scores), cfg.elo_rounds, seed):
+        sa, sb = scores[a], scores[b]
+        if sa == sb:
+            ch = k_factor * (0.5 - 1.0 / (1.0 + 10.0 ** ((r[b] - r[a]) / 400.0)))
+            r[a] += ch
+            r[b] -= ch
+            if not reference:
+                continue
+            a, b = b, a                       # then the second player is credited with a win
+        elif sa < sb:
+            a, b = b, a
+        ch = k_factor * (1.0 - 1.0 / (1.0 + 10.0 ** ((r[b] - r[a]) / 400.0)))
         r[a] += ch
         r[b] -= ch
-
-    for _, a, b in match_schedule(len(scores), cfg.elo_rounds, seed):
-        a_wins, draw = scores[a] > scores[b], scores[a] == scores[b]
-        if draw:
-            upd(a, b, 0.5)
-            if cfg.draw_mode == "reference":
-                upd(b, a, 1.0)
-        elif a_wins:
-            upd(a, b, 1.0)
-        else:
-            upd(b, a, 1.0)
     return r
 
 
-def elo_ratings(subs: DataFrame, problem: str, idx: str, player: str, score: str,
+def elo_ratings(subs: DataFrame, problem: str, order: list[str], player: str, score: str,
                 cfg: RatingConfig = RatingConfig(), seed: int = 0) -> DataFrame:
     """Per problem: Elo rating and rank of each submission (WIN5, WIN6).
 
-    ``idx`` orders submissions inside a problem.  Returns (problem, player, idx, rating, rank).
+    ``order`` columns give the submission order inside a problem (idx = position).
+    Returns (problem, player, idx, rating, rank).  The grouped fold sorts its rows
+    itself, so the only shuffle is the spread by problem.
     """
-    schema = f"{problem} bigint, {player} bigint, {idx} bigint, rating double, rank bigint"
+    schema = f"{problem} bigint, {player} bigint, idx bigint, rating double, rank bigint"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx, kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         prob = int(pdf[problem].iat[0])
         rat = elo_fold(pdf[score].astype(float).tolist(), cfg, seed=(seed * 1_000_033 + prob) & 0x7FFFFFFF)
-        out = pd.DataFrame({problem: prob, player: pdf[player].astype("int64"), idx: pdf[idx].astype("int64"),
-                            "rating": rat})
-        order = out.sort_values(["rating", idx], ascending=[False, True], kind="stable").index
+        out = pd.DataFrame({problem: prob, player: pdf[player].astype("int64"),
+                            "idx": np.arange(len(pdf), dtype=np.int64), "rating": rat})
+        ranked = out.sort_values(["rating", "idx"], ascending=[False, True], kind="stable").index
         rank = np.empty(len(out), dtype=np.int64)
-        rank[order] = np.arange(1, len(out) + 1)
+        rank[ranked] = np.arange(1, len(out) + 1)
         out["rank"] = rank
         return out
 
-    return (subs.select(F.col(problem).cast("bigint"), F.col(player).cast("bigint"), F.col(idx).cast("bigint"),
-                        F.col(score).cast("double"))
-                .groupBy(problem).applyInPandas(fold, schema))
+    d = subs.select(F.col(problem).cast("bigint"), F.col(player).cast("bigint"), *order, F.col(score).cast("double"))
+    return spread_groups(d, problem).groupBy(problem).applyInPandas(fold, schema)
 
 
 # ----------------------------------------------------------------------------- TrueSkill
@@ -123,49 +124,46 @@ def rate_ffa(ratings: list[tuple[float, float]], cfg: RatingConfig = RatingConfi
     Expectation propagation on the chain of performance differences: each difference
     of neighbours in the order is observed to exceed the draw margin.  Works in natural
     parameters (precision, precision * mean); returns new (mu, sigma) in input order.
+    Plain floats: the chains are short and numpy scalars would only add overhead.
     """
     n = len(ratings)
     if n < 2:
         return list(ratings)
     b2, t2 = cfg.ts_beta ** 2, cfg.ts_tau ** 2
     eps = draw_margin(cfg.ts_draw_probability, cfg.ts_beta)
+    sqrt, cdf, pdf = math.sqrt, _N.cdf, _N.pdf
     # prior message on each performance: N(mu, sigma^2 + tau^2 + beta^2)
-    p_pi = np.array([1.0 / (s * s + t2 + b2) for _, s in ratings])
-    p_tau = np.array([m for m, _ in ratings]) * p_pi
-    # messages from difference factor k to its left (k) and right (k+1) variables
-    l_pi, l_tau = np.zeros(n - 1), np.zeros(n - 1)
-    r_pi, r_tau = np.zeros(n - 1), np.zeros(n - 1)
-    tr_pi, tr_tau = np.zeros(n - 1), np.zeros(n - 1)   # truncation messages on d_k
-
-    def marg(i):
-        pi, tau = p_pi[i], p_tau[i]
-        if i > 0:
-            pi, tau = pi + r_pi[i - 1], tau + r_tau[i - 1]
-        if i < n - 1:
-            pi, tau = pi + l_pi[i], tau + l_tau[i]
-        return pi, tau
+    p_pi = [1.0 / (sg * sg + t2 + b2) for _, sg in ratings]
+    p_tau = [m * pp for (m, _), pp in zip(ratings, p_pi)]
+    m1 = n - 1
+    l_pi, l_tau = [0.0] * m1, [0.0] * m1       # factor k -> t_k
+    r_pi, r_tau = [0.0] * m1, [0.0] * m1       # factor k -> t_{k+1}
+    tr_pi, tr_tau = [0.0] * m1, [0.0] * m1     # truncation messages on d_k
 
     def update(k):
-        # cavities of t_k and t_{k+1}
-        api, atau = marg(k)
-        api, atau = api - l_pi[k], atau - l_tau[k]
-        bpi, btau = marg(k + 1)
-        bpi, btau = bpi - r_pi[k], btau - r_tau[k]
+        # cavities of t_k and t_{k+1}: prior times the message of the other neighbour
+        api, atau = p_pi[k], p_tau[k]
+        if k > 0:
+            api += r_pi[k - 1]
+            atau += r_tau[k - 1]
+        bpi, btau = p_pi[k + 1], p_tau[k + 1]
+        if k + 1 < m1:
+            bpi += l_pi[k + 1]
+            btau += l_tau[k + 1]
         am, av = atau / api, 1.0 / api
         bm, bv = btau / bpi, 1.0 / bpi
-        # message down to d_k = t_k - t_{k+1}
-        dm, dv = am - bm, av + bv
-        # moment-match the truncated d_k
-        sd = math.sqrt(dv)
-        v = _v_win(dm / sd, eps / sd)
-        w = _w_win(dm / sd, eps / sd)
-        nm, nv = dm + sd * v, dv * (1.0 - w)
+        dm, dv = am - bm, av + bv            # message down to d_k = t_k - t_{k+1}
+        sd = sqrt(dv)
+        x = (dm - eps) / sd
+        den = cdf(x)
+        v = pdf(x) / den if den > 1e-300 else -x
+        w = v * (v + x)
+        nm, nv = dm + sd * v, dv * (1.0 - w)  # moment-matched truncated d_k
         new_pi = 1.0 / nv - 1.0 / dv
         new_tau = nm / nv - dm / dv
         delta = max(abs(new_pi - tr_pi[k]), abs(new_tau - tr_tau[k]))
         tr_pi[k], tr_tau[k] = new_pi, new_tau
-        # messages up: t_k = d_k + t_{k+1};  t_{k+1} = t_k - d_k
-        if new_pi > 0:
+        if new_pi > 0:                        # t_k = d_k + t_{k+1};  t_{k+1} = t_k - d_k
             tm, tv = new_tau / new_pi, 1.0 / new_pi
             l_pi[k] = 1.0 / (tv + bv)
             l_tau[k] = (tm + bm) * l_pi[k]
@@ -175,25 +173,27 @@ def rate_ffa(ratings: list[tuple[float, float]], cfg: RatingConfig = RatingConfi
 
     for _ in range(max_iter):
         delta = 0.0
-        for k in range(n - 1):
+        for k in range(m1):
             delta = max(delta, update(k))
-        for k in range(n - 2, -1, -1):
+        if m1 == 1:
+            break                             # a single factor is exact after one update
+        for k in range(m1 - 2, -1, -1):
             delta = max(delta, update(k))
         if delta < tol:
             break
     out = []
     for i, (mu, sigma) in enumerate(ratings):
-        pi, tau = marg(i)
-        mpi, mtau = pi - p_pi[i], tau - p_tau[i]          # what the game says about the performance
+        mpi = (r_pi[i - 1] if i > 0 else 0.0) + (l_pi[i] if i < m1 else 0.0)
+        mtau = (r_tau[i - 1] if i > 0 else 0.0) + (l_tau[i] if i < m1 else 0.0)
         prior_pi = 1.0 / (sigma * sigma + t2)
         prior_tau = mu * prior_pi
         if mpi > 0:
-            msg_v = 1.0 / mpi + b2                          # through the performance noise
+            msg_v = 1.0 / mpi + b2            # what the game says, through the performance noise
             msg_pi, msg_tau = 1.0 / msg_v, (mtau / mpi) / msg_v
         else:
             msg_pi = msg_tau = 0.0
         post_pi, post_tau = prior_pi + msg_pi, prior_tau + msg_tau
-        out.append((float(post_tau / post_pi), float(math.sqrt(1.0 / post_pi))))
+        out.append((post_tau / post_pi, sqrt(1.0 / post_pi)))
     return out
 
 
@@ -225,14 +225,15 @@ def trueskill_fold(rounds: list[list[tuple[int, float]]], cfg: RatingConfig = Ra
             yield rno, p, m, s, 1.0 / (1.0 + math.exp(-slope * ((m - 3 * s) - mean_cr)))
 
 
-def trueskill_scores(subs: DataFrame, league: str, rnd: str, order: str, player: str, score: str,
+def trueskill_scores(subs: DataFrame, league: str, rnd: str, order: list[str], player: str, score: str,
                      cfg: RatingConfig = RatingConfig()) -> DataFrame:
     """Per league, replay rounds in order; one row per submission with the rating after
-    its round and the normalised score.  Returns (league, round, player, mu, sigma, ts_score)."""
+    its round and the normalised score.  ``order`` gives the submission order inside a
+    round.  Returns (league, round, player, mu, sigma, ts_score)."""
     schema = f"{league} bigint, {rnd} bigint, {player} bigint, mu double, sigma double, ts_score double"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([rnd, order], kind="stable")
+        pdf = pdf.sort_values([rnd, *order], kind="stable")
         lg = int(pdf[league].iat[0])
         keys, rounds = [], []
         for r, g in pdf.groupby(rnd, sort=True):
@@ -241,6 +242,6 @@ def trueskill_scores(subs: DataFrame, league: str, rnd: str, order: str, player:
         rows = [(lg, keys[rno], p, m, s, sc) for rno, p, m, s, sc in trueskill_fold(rounds, cfg)]
         return pd.DataFrame(rows, columns=[league, rnd, player, "mu", "sigma", "ts_score"])
 
-    return (subs.select(F.col(league).cast("bigint"), F.col(rnd).cast("bigint"), F.col(order).cast("bigint"),
-                        F.col(player).cast("bigint"), F.col(score).cast("double"))
-                .groupBy(league).applyInPandas(fold, schema))
+    d = subs.select(F.col(league).cast("bigint"), F.col(rnd).cast("bigint"), *order,
+                    F.col(player).cast("bigint"), F.col(score).cast("double"))
+    return spread_groups(d, league).groupBy(league).applyInPandas(fold, schema)

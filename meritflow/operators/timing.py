@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from ..session import spread_groups
 from ..functions.math import block_number, epoch_us, floor_div, ttl_bucket
 
 
@@ -86,4 +87,4 @@ def epoch_triggers(df: DataFrame, key: str, ts: str, order: list[str], epoch_blo
         pdf["due"] = due
         return pdf
 
-    return d.groupBy(key).applyInPandas(fold, schema)
+    return spread_groups(d, key).groupBy(key).applyInPandas(fold, schema)

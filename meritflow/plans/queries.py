@@ -192,7 +192,8 @@ def _doc_patch(text_col="text"):
 
 def strip_patch_comments(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents")
-    return docs.select("doc_id", txt.strip_patch_comments(_doc_patch()).alias("cleaned"))
+    p = docs.select("doc_id", _doc_patch().alias("patch"))
+    return p.select("doc_id", txt.strip_patch_comments(F.col("patch")).alias("cleaned"))
 
 
 # --------------------------------------------------------------------------- corpus
@@ -218,22 +219,16 @@ def best_file_pair(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- ratings
-def _round_submissions(spark, d):
-    rw = valid_rewards(spark, d)
-    w = Window.partitionBy("round").orderBy("ts", "event_id")
-    return rw.withColumn("idx", F.row_number().over(w) - 1)
-
-
 def elo_rank(spark: SparkSession, d: str) -> DataFrame:
-    s = _round_submissions(spark, d)
-    e = ratings.elo_ratings(s, "round", "idx", "uid", "k")
+    s = valid_rewards(spark, d)
+    e = ratings.elo_ratings(s, "round", ["ts", "event_id"], "uid", "k")
     return e.select("round", "uid", "idx", F.round("rating", 6).alias("rating"), "rank")
 
 
 def trueskill_rank(spark: SparkSession, d: str) -> DataFrame:
-    s = _round_submissions(spark, d).select("netuid", "round", "idx", "uid", "patch", *views.rubric_columns("k"))
+    s = valid_rewards(spark, d).select("netuid", "round", "ts", "event_id", "uid", "patch", *views.rubric_columns("k"))
     s = s.withColumn("grade", grading.rubric_score("addresses", "logical", "brevity", "bugs", "checklist", "patch"))
-    t = ratings.trueskill_scores(s, "netuid", "round", "idx", "uid", "grade")
+    t = ratings.trueskill_scores(s, "netuid", "round", ["ts", "event_id"], "uid", "grade")
     return t.select("netuid", "round", "uid", _r("mu", "mu"), _r("sigma", "sigma"), _r("ts_score", "ts_score"))
 
 
@@ -268,7 +263,9 @@ def stream_join_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def batch_tokens(spark: SparkSession, d: str) -> DataFrame:
     c = read_table(spark, d, "conversations")
-    b = c.select("conv_id", "turn", F.inline(nst.token_batches(nst.tokens("text"), 3)))
+    # tokens are materialised once; the batching lambda then only indexes into them
+    t = c.select("conv_id", "turn", nst.tokens("text").alias("toks"))
+    b = t.select("conv_id", "turn", F.inline(nst.token_batches(F.col("toks"), 3)))
     return b.select("conv_id", "turn", F.col("idx").cast("bigint").alias("idx"), "batch", "is_last")
 
 

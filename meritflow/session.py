@@ -60,3 +60,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written intermediate table."""
     return os.path.join(checkpoint_dir(spark), "meritflow", name)
+
+
+def spread_groups(df, *keys):
+    """Hash-partition by ``keys`` into spark.sql.shuffle.partitions partitions.
+
+    For CPU-heavy grouped-map stages (folds, matrix products): their input is small in
+    bytes, so AQE would coalesce it into a handful of tasks and run the groups one after
+    another; an explicit partition count is never coalesced.  The grouped stage that
+    follows reuses this partitioning, so no extra shuffle is added.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

@@ -53,7 +53,7 @@ def test_match_schedule_is_all_pairs_twice():
 def test_elo_ratings_dataframe(spark):
     rows = [(1, 10, 0, 3.0), (1, 11, 1, 1.0), (1, 12, 2, 2.0), (2, 10, 0, 1.0)]
     df = spark.createDataFrame(rows, "p long, u long, i long, s double")
-    out = {(r.p, r.u): r for r in ratings.elo_ratings(df, "p", "i", "u", "s").collect()}
+    out = {(r.p, r.u): r for r in ratings.elo_ratings(df, "p", ["i"], "u", "s").collect()}
     assert out[(1, 10)].rank == 1 and out[(1, 11)].rank == 3
     assert out[(2, 10)].rating == 1200.0
     exp = ratings.elo_fold([3.0, 1.0, 2.0], seed=(0 * 1_000_033 + 1) & 0x7FFFFFFF)
