@@ -157,6 +157,18 @@ WHERE r <= 5"""
 SELECT round, count(*) FILTER (WHERE event_type <> 'error') AS n_ok,
        count(*) FILTER (WHERE event_type = 'error') AS n_failed FROM responses GROUP BY round"""
     q.update(oracle_sql_more())
+    q["patch_applies"] = """
+WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+pt AS (SELECT doc_id AS patch_id, CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE doc_id + 1 END AS VARCHAR) AS path,
+              ls[2] AS l2, ls[3] AS l3, ls[4] AS l4 FROM docs WHERE len(ls) >= 4),
+hl AS (SELECT patch_id, path, 0 AS k, l2 AS text FROM pt UNION ALL SELECT patch_id, path, 1, l3 FROM pt
+       UNION ALL SELECT patch_id, path, 2, l4 FROM pt),
+fl AS (SELECT CAST(doc_id AS VARCHAR) AS path, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS text FROM docs),
+m AS (SELECT h.patch_id, f.line_no - (1 + h.k) AS delta, count(*) AS c
+      FROM hl h JOIN fl f ON h.path = f.path AND h.text = f.text GROUP BY 1, 2),
+best AS (SELECT patch_id, arg_min(delta, (abs(delta), delta)) AS line_offset FROM m WHERE c = 3 GROUP BY patch_id)
+SELECT pt.patch_id, best.patch_id IS NOT NULL AS applies, CAST(best.line_offset AS BIGINT) AS line_offset
+FROM pt LEFT JOIN best ON pt.patch_id = best.patch_id"""
     # streamed twins: same result as the batch query
     q["stream_epoch_due"] = q["epoch_due"]
     q["stream_ema"] = q["ema_final"]

@@ -149,7 +149,7 @@ QUERIES = {
 # --------------------------------------------------------------------------- grading
 from ..functions import nested as nst  # noqa: E402
 from ..functions import text as txt  # noqa: E402
-from ..operators import corpus, cost, grading, ratings, timing  # noqa: E402
+from ..operators import corpus, cost, grading, patches, ratings, timing  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
 
 
@@ -374,6 +374,27 @@ QUERIES.update({
 })
 
 
+def _doc_patches(spark, d):
+    """A one-hunk patch per document (with at least 4 lines): lines 2-4 as context with a
+    line added after the first, claimed at old line 1, targeting the document itself
+    (doc_id % 3 = 0) or the next one."""
+    docs = read_table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("ls"))
+    docs = docs.filter(F.size("ls") >= 4)
+    target = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 1).cast("string")
+    body = F.concat(F.lit("--- a/"), target, F.lit("\n+++ b/"), target, F.lit("\n@@ -1,3 +1,4 @@\n "),
+                    F.col("ls")[1], F.lit("\n+added line\n "), F.col("ls")[2], F.lit("\n "), F.col("ls")[3], F.lit("\n"))
+    return docs.select(F.col("doc_id").alias("patch_id"), body.alias("patch"))
+
+
+def patch_applies(spark: SparkSession, d: str) -> DataFrame:
+    h = patches.hunk_lines(_doc_patches(spark, d))
+    lines = patches.file_lines(read_table(spark, d, "documents"), "doc_id", "text")
+    return patches.patch_applies(h, lines).select("patch_id", "applies", F.col("offset").alias("line_offset"))
+
+
+QUERIES["patch_applies"] = patch_applies
+
+
 def _register_streams():
     from .stream_queries import STREAM_QUERIES
     QUERIES.update(STREAM_QUERIES)

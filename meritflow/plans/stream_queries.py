@@ -19,13 +19,13 @@ from . import queries as bq
 
 
 def stream_epoch_due(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", folder=folder)
+    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
     out = run_to_table(spark, st.epoch_trigger_stream(ev, "user_id", "ts", "event_id", 100, 12), "epoch_due")
     return out.select("user_id", "event_id", "block", "due")
 
 
 def stream_ema(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", folder=folder)
+    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
     r = views.responses_of(ev).join(bq.eligible_population(spark, d), "uid", "inner")   # stream-static join
     r = (r.withColumn("reward", scoring.reward(F.col("score"), F.col("process_time")))
           .withColumn("valid", F.col("patch").isNotNull() & (F.col("patch") != "")))
@@ -35,26 +35,26 @@ def stream_ema(spark: SparkSession, d: str, folder: str | None = None) -> DataFr
 
 
 def stream_chunks(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    c = table_stream(spark, d, "conversations", folder=folder)
+    c = table_stream(spark, d, "conversations", max_files=1 if folder else None, folder=folder)
     out = latest_by_batch(run_to_table(spark, st.chunk_accumulator(c, "conv_id", "turn", "text"), "chunks", "update"),
                           ["conv_id"])
     return out.select("conv_id", "completion", "n_chunks")
 
 
 def stream_ttl_hold(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", folder=folder)
+    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
     s = st.ttl_hold_stream(ev, "event_type", "ts", "event_id", "value", 12, "1 minute")
     out = latest_by_batch(run_to_table(spark, s, "ttl_hold", "update"), ["event_type", "bucket"])
     return out.select("event_type", "bucket", "held_value", "n_calls")
 
 
 def stream_log_lines(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", folder=folder)
+    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
     return run_to_table(spark, bq.log_lines_of(ev), "log_lines").drop("_batch")
 
 
 def stream_gate_requests(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", folder=folder)
+    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
     return run_to_table(spark, bq.gate_of(ev, views.registered_miners(spark, d)), "gate").drop("_batch")
 
 
