@@ -89,3 +89,21 @@ def log_description(ts, level, filename, lineno, message, tz: str = "America/New
     local = F.convert_timezone(F.lit("UTC"), F.lit(tz), _c(ts).cast("timestamp_ntz"))
     return F.format_string("%s - %s:%d [%s] %s", F.date_format(local, "yyyy-MM-dd HH:mm:ss"),
                            _c(filename), _c(lineno), pad_level(level), _c(message))
+
+
+def fill_template(template: str, **fields) -> Column:
+    """A prompt from a template with ``{name}`` slots filled by columns (STR4, UDF4).
+
+    The template is a parameter (its wording is the caller's); literal text between the
+    slots is kept as is.
+    """
+    import re
+    parts = re.split(r"(\{[a-z_]+\})", template)
+    cols = []
+    for p in parts:
+        if p.startswith("{") and p.endswith("}") and p[1:-1] in fields:
+            v = fields[p[1:-1]]
+            cols.append(F.coalesce(_c(v).cast("string"), F.lit("")))
+        elif p:
+            cols.append(F.lit(p))
+    return F.concat(*cols) if cols else F.lit("")

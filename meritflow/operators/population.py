@@ -28,11 +28,13 @@ def uid_by_hotkey(miners: DataFrame) -> DataFrame:
 
 
 def gate_requests(requests: DataFrame, registered: DataFrame,
-                  cfg: PopulationConfig = PopulationConfig()) -> DataFrame:
+                  cfg: PopulationConfig = PopulationConfig(),
+                  extra_rules: list[tuple[Column, str]] | None = None) -> DataFrame:
     """Blacklist decision per request, rules in order (FLT3).
 
     missing caller -> blocked; caller not registered (unless allowed) -> blocked;
-    permit required and absent -> blocked; else accepted.  ``requests`` needs
+    permit required and absent -> blocked; then any ``extra_rules`` (condition, reason)
+    supplied by the user (UDF3 hook); else accepted.  ``requests`` needs
     ``caller_hotkey``; ``registered`` needs (hotkey, uid, validator_permit).
     """
     reg = (uid_by_hotkey(registered).join(registered.select("uid", "validator_permit", "stake"), "uid")
@@ -45,8 +47,10 @@ def gate_requests(requests: DataFrame, registered: DataFrame,
                 .when(unknown & F.lit(not cfg.allow_non_registered),
                       F.struct(F.lit(True).alias("blocked"), F.lit("Unrecognized hotkey").alias("reason")))
                 .when(F.lit(cfg.force_validator_permit) & ~F.coalesce(F.col("validator_permit"), F.lit(False)),
-                      F.struct(F.lit(True).alias("blocked"), F.lit("Non-validator hotkey").alias("reason")))
-                .otherwise(F.struct(F.lit(False).alias("blocked"), F.lit("Hotkey recognized!").alias("reason"))))
+                      F.struct(F.lit(True).alias("blocked"), F.lit("Non-validator hotkey").alias("reason"))))
+    for cond, reason in extra_rules or []:
+        verdict = verdict.when(cond, F.struct(F.lit(True).alias("blocked"), F.lit(reason).alias("reason")))
+    verdict = verdict.otherwise(F.struct(F.lit(False).alias("blocked"), F.lit("Hotkey recognized!").alias("reason")))
     return d.withColumn("_v", verdict).select(*requests.columns, "caller_uid", "caller_stake",
                                               F.col("_v.blocked").alias("blocked"), F.col("_v.reason").alias("reason"))
 
@@ -114,3 +118,36 @@ def epoch_due(block: Column, last_update: Column, step: Column,
     if is_miner is not None:
         c = c & ~is_miner
     return c
+
+
+def pick_per_step(steps: DataFrame, options: DataFrame, step: str, option_idx: str, n_options: int,
+                  seed: str = "0") -> DataFrame:
+    """One option per step, chosen by a seeded hash of the step (TOP4).
+
+    ``options`` is a small dimension numbered 0..n_options-1 in ``option_idx``; the choice
+    is reproducible under task retry, unlike ``rand()``.
+    """
+    pick = F.pmod(F.xxhash64(F.lit(seed), F.col(step)), F.lit(n_options))
+    return steps.withColumn(option_idx, pick).join(F.broadcast(options), option_idx, "left")
+
+
+def zip_parallel(df: DataFrame, *arrays: str) -> DataFrame:
+    """Parallel lists (uids, patches, times, ...) as one row per position (JOIN7)."""
+    keep = [c for c in df.columns if c not in arrays]
+    return (df.select(*keep, F.posexplode(F.arrays_zip(*[F.col(a) for a in arrays])).alias("pos", "_z"))
+              .select(*keep, "pos", *[F.col("_z")[a].alias(a) for a in arrays]))
+
+
+def within_tolerance(a, b, tol: float) -> Column:
+    """|a - b| <= tol, symmetric (FLT13)."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    return F.abs(a - b) <= F.lit(tol)
+
+
+def require_nonempty(df: DataFrame, message: str) -> DataFrame:
+    """Fail the job when ``df`` has no rows (FLT7); a cheap ``isEmpty`` probe, then the
+    DataFrame itself is returned for further composition."""
+    if df.isEmpty():
+        raise ValueError(message)
+    return df

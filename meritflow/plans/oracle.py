@@ -175,6 +175,16 @@ FROM pt LEFT JOIN best ON pt.patch_id = best.patch_id"""
     q["stream_chunks"] = q["stream_join_chunks"]
     q["stream_log_lines"] = q["log_lines"]
     q["stream_gate_requests"] = q["gate_requests"]
+    q["stream_batch_tokens"] = q["batch_tokens"]
+    q["stream_population_resync"] = """
+WITH f AS (
+  SELECT o_custkey % 64 AS uid, o_orderpriority AS hotkey,
+         row_number() OVER (PARTITION BY o_custkey % 64 ORDER BY o_orderdate, o_orderkey) AS pos,
+         coalesce(lag(o_orderpriority) OVER (PARTITION BY o_custkey % 64 ORDER BY o_orderdate, o_orderkey)
+                  <> o_orderpriority, false) AS reset
+  FROM orders)
+SELECT uid, arg_max(hotkey, pos) AS hotkey, CAST(sum(CASE WHEN reset THEN 1 ELSE 0 END) AS BIGINT) AS n_resets
+FROM f GROUP BY uid"""
     q["stream_ttl_hold"] = """
 SELECT event_type, epoch_us(ts) // 12000000 AS bucket, arg_min(value, (ts, event_id)) AS held_value,
        count(*) AS n_calls

@@ -58,7 +58,33 @@ def stream_gate_requests(spark: SparkSession, d: str, folder: str | None = None)
     return run_to_table(spark, bq.gate_of(ev, views.registered_miners(spark, d)), "gate").drop("_batch")
 
 
+def stream_population_resync(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
+    import uuid
+    from ..session import scratch_path
+    o = table_stream(spark, d, "orders", max_files=1 if folder else None, folder=folder)
+    snaps = o.select(F.pmod(F.col("o_custkey"), F.lit(64)).alias("uid"), F.col("o_orderpriority").alias("hotkey"),
+                     F.col("o_orderdate").alias("snap_ts"), F.col("o_orderkey").alias("snap_seq"))
+    run = uuid.uuid4().hex
+    base = scratch_path(spark, f"streams/population/{run}/table")
+    q = (st.population_resync(spark, snaps, base, "uid", "hotkey", ["snap_ts", "snap_seq"])
+           .option("checkpointLocation", scratch_path(spark, f"streams/population/{run}/checkpoint"))
+           .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return st.current_population(spark, base).select("uid", "hotkey", "n_resets")
+
+
+def stream_batch_tokens(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
+    from ..functions import nested as nst
+    c = table_stream(spark, d, "conversations", max_files=1 if folder else None, folder=folder)
+    t = c.select("conv_id", "turn", nst.tokens("text").alias("toks"))
+    b = t.select("conv_id", "turn", F.inline(nst.token_batches(F.col("toks"), 3)))
+    b = b.select("conv_id", "turn", F.col("idx").cast("bigint").alias("idx"), "batch", "is_last")
+    return run_to_table(spark, b, "batch_tokens").drop("_batch")
+
+
 STREAM_QUERIES = {
+    "stream_population_resync": stream_population_resync,
+    "stream_batch_tokens": stream_batch_tokens,
     "stream_epoch_due": stream_epoch_due,
     "stream_ema": stream_ema,
     "stream_chunks": stream_chunks,

@@ -153,3 +153,51 @@ def reject_recent_duplicates(requests: DataFrame, keys: list[str], ts: str, wind
     """Drop a request whose keys were already seen within ``window`` (STM10, off by default)."""
     return (requests.withColumn("_et", event_time(ts)).withWatermark("_et", window)
                     .dropDuplicatesWithinWatermark(keys).drop("_et"))
+
+
+# ----------------------------------------------------------------------------- STM8
+def population_resync(spark, snapshots: DataFrame, base: str, uid: str, hotkey: str, order: list[str]):
+    """Fold a stream of (uid, hotkey, order...) snapshot rows into a versioned population
+    table: one row per uid with its current hotkey and how often it changed hands (STM8).
+
+    Each micro-batch reads the previous version, appends the batch behind each uid's
+    last known row, counts hotkey changes in order, and writes a new version under
+    ``base/v=<batch>`` (idempotent on retry).  Returns the streaming writer, not started.
+    """
+    from pyspark.sql import Window
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        prev = None
+        try:
+            prev = batch.sparkSession.read.parquet(base).filter(F.col("v") < batch_id)
+            last_v = prev.agg(F.max("v")).first()[0]
+            prev = prev.filter(F.col("v") == last_v).drop("v") if last_v is not None else None
+        except Exception:
+            prev = None
+        rows = batch.select(uid, hotkey, *order).withColumn("_carried", F.lit(False))
+        if prev is not None:
+            carried = prev.select(uid, hotkey, *[F.col(f"last_{o}").alias(o) for o in order]).withColumn("_carried", F.lit(True))
+            rows = carried.unionByName(rows)
+        w = Window.partitionBy(uid).orderBy(F.col("_carried").desc(), *[F.col(o) for o in order])
+        rows = rows.withColumn("_prev", F.lag(hotkey).over(w))
+        changes = rows.filter(~F.col("_carried")).groupBy(uid).agg(
+            F.sum((F.col("_prev").isNotNull() & (F.col("_prev") != F.col(hotkey))).cast("bigint")).alias("_new"),
+            F.max(F.struct(*[F.col(o) for o in order], F.col(hotkey).alias("_h"))).alias("_last"))
+        upd = changes.select(uid, F.col("_last._h").alias(hotkey), "_new",
+                             *[F.col("_last")[o].alias(f"last_{o}") for o in order])
+        if prev is not None:
+            upd = (upd.join(prev.select(uid, "n_resets"), uid, "left")
+                      .withColumn("n_resets", F.coalesce("n_resets", F.lit(0)) + F.col("_new")).drop("_new"))
+            keep = prev.join(upd.select(uid), uid, "left_anti")
+            new = keep.unionByName(upd.select(*prev.columns))
+        else:
+            new = upd.withColumn("n_resets", F.col("_new")).drop("_new")
+        new.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
+
+    return snapshots.writeStream.foreachBatch(upsert)
+
+
+def current_population(spark, base: str) -> DataFrame:
+    df = spark.read.parquet(base)
+    last = df.agg(F.max("v")).first()[0]
+    return df.filter(F.col("v") == last).drop("v")

@@ -54,3 +54,63 @@ def test_chunks_stream(spark, split_tables):
 def test_gate_stream(spark, split_tables):
     s = S.stream_gate_requests(spark, SF_SMALL, folder=os.path.join(split_tables, "events"))
     assert same(s, Q.gate_requests(spark, SF_SMALL))
+
+
+def test_population_resync_multi_batch(spark):
+    import time
+    from pyspark.sql import functions as F
+    base = tempfile.mkdtemp(prefix="meritflow-orders-")
+    o = spark.read.parquet(os.path.join(SF_SMALL, "orders.parquet"))
+    for y in (1995, 1997, 1999, 2001):
+        o.filter((F.year("o_orderdate") >= y) & (F.year("o_orderdate") < y + 2)).coalesce(1).write.mode("append").parquet(base)
+        time.sleep(1.1)
+    s = S.stream_population_resync(spark, SF_SMALL, folder=base)
+    b = Q.ema_reset(spark, SF_SMALL).select("uid", "hotkey", "n_resets")
+    assert same(s, b)
+
+
+def test_deadline_stream_and_recent_duplicates(spark):
+    import datetime as dt
+    from pyspark.sql import functions as F
+    from meritflow.operators import timing
+    from meritflow.streaming import stateful as st
+    from meritflow.streaming.runner import run_to_table
+    base = tempfile.mkdtemp(prefix="meritflow-dl-")
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, "view", 7, t0), (2, "purchase", 7, t0 + dt.timedelta(minutes=10)),
+            (3, "view", 8, t0 + dt.timedelta(minutes=1)), (4, "purchase", 8, t0 + dt.timedelta(minutes=31)),
+            (5, "view", 7, t0 + dt.timedelta(minutes=2)),
+            (6, "view", 9, t0 + dt.timedelta(hours=5))]          # closes the watermark for the others
+    df = spark.createDataFrame(rows, "event_id long, event_type string, user_id long, ts timestamp_ntz")
+    import time
+    # three files -> three micro-batches: data, the closing event, one more to apply the watermark
+    df.filter("event_id < 6").coalesce(1).write.mode("append").parquet(base + "/ev")
+    time.sleep(1.1)
+    df.filter("event_id = 6").coalesce(1).write.mode("append").parquet(base + "/ev")
+    time.sleep(1.1)
+    # the global watermark is the minimum over both inputs: close the response side too
+    df.filter("event_id = 6").withColumn("event_id", F.lit(7).cast("long")).withColumn(
+        "event_type", F.lit("purchase")).withColumn("ts", F.lit(t0 + dt.timedelta(hours=6))).coalesce(1).write.mode(
+        "append").parquet(base + "/ev")
+    time.sleep(1.1)
+    df.filter("event_id = 6").withColumn("event_id", F.lit(8).cast("long")).withColumn(
+        "ts", F.lit(t0 + dt.timedelta(hours=7))).coalesce(1).write.mode("append").parquet(base + "/ev")
+    sdf = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(base + "/ev")
+    req = sdf.filter("event_type = 'view'").select(F.col("event_id").alias("req_id"), "user_id", "ts")
+    resp = sdf.filter("event_type = 'purchase'").select(F.col("event_id").alias("resp_id"), "user_id", "ts")
+    out = run_to_table(spark, st.deadline_join_stream(req, resp, "user_id", "30 minutes", "10 minutes"), "dl_test")
+    pairs = {(r.req_id, r.resp_id) for r in out.collect()}
+    assert (1, 2) in pairs and (5, 2) in pairs and (3, None) in pairs
+    batch = {r.req_id: r.status_code for r in timing.deadline_join(
+        df.filter("event_type = 'view'").select(F.col("event_id").alias("req_id"), "user_id", "ts"),
+        df.filter("event_type = 'purchase'").select(F.col("event_id").alias("resp_id"), "user_id", "ts"),
+        "user_id").collect()}
+    assert batch == {1: 200, 3: 408, 5: 200, 6: 408}
+    # recent duplicates: the same caller + prompt within the window is dropped
+    d2 = spark.createDataFrame([(1, "a", "p", t0), (2, "a", "p", t0 + dt.timedelta(minutes=3)),
+                                (3, "b", "p", t0 + dt.timedelta(minutes=4))],
+                               "id long, caller string, prompt string, ts timestamp_ntz")
+    d2.write.parquet(base + "/rq")
+    kept = run_to_table(spark, st.reject_recent_duplicates(
+        spark.readStream.schema(d2.schema).parquet(base + "/rq"), ["caller", "prompt"], "ts", "10 minutes"), "dd_test")
+    assert sorted(r.caller for r in kept.collect()) == ["a", "b"]

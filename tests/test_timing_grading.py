@@ -67,3 +67,23 @@ def test_test_buckets(spark):
 def test_judgement_valid(spark):
     df = spark.createDataFrame([(True, False, False), (True, True, False), (False, False, False)], "a boolean, b boolean, d boolean")
     assert [r[0] for r in df.select(grading.judgement_valid("a", "b", "d")).collect()] == [True, False, False]
+
+
+def test_pick_zip_tolerance_template(spark):
+    from meritflow.functions.nested import fill_template
+    from meritflow.operators import population as pop
+    steps = spark.range(50).withColumnRenamed("id", "step")
+    opts = spark.createDataFrame([(0, "r0"), (1, "r1"), (2, "r2")], "opt int, repo string")
+    p1 = {r.step: r.repo for r in pop.pick_per_step(steps, opts, "step", "opt", 3, seed="s").collect()}
+    p2 = {r.step: r.repo for r in pop.pick_per_step(steps, opts, "step", "opt", 3, seed="s").collect()}
+    assert p1 == p2 and set(p1.values()) == {"r0", "r1", "r2"}
+    z = spark.createDataFrame([(1, [10, 11], ["x", "y"])], "k int, uids array<int>, patches array<string>")
+    assert [(r.pos, r.uids, r.patches) for r in pop.zip_parallel(z, "uids", "patches").collect()] == [(0, 10, "x"), (1, 11, "y")]
+    t = spark.createDataFrame([(1.0, 1.0000001)], "a double, b double")
+    assert t.select(pop.within_tolerance("a", "b", 1e-6)).first()[0]
+    f = spark.createDataFrame([("fix it", None)], "s string, c string")
+    assert f.select(fill_template("Problem: {statement}\nChecks: {checks}.", statement="s", checks="c")).first()[0] == \
+        "Problem: fix it\nChecks: ."
+    import pytest
+    with pytest.raises(ValueError):
+        pop.require_nonempty(steps.limit(0), "no valid file pairs")
