@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import IngestConfig
-from ..session import spread_groups
+from ..session import checkpoint_dir, spread_groups
 
 TIE_DECIMALS = 12   # cosine values equal to 12 decimals count as a tie
 
@@ -70,13 +70,26 @@ def _hyperplanes(dim: int, bits: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((bits, dim))
 
 
-def _sign_code(u: Column, planes: np.ndarray) -> Column:
-    code = F.lit(0)
-    for i, p in enumerate(planes):
-        arr = F.array(*[F.lit(float(x)) for x in p])
-        dot = F.aggregate(F.zip_with(u, arr, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        code = code + F.when(dot >= 0, F.lit(1 << i)).otherwise(F.lit(0))
-    return code
+def _unit_and_code(bits: int):
+    """mapInPandas body: normalise each vector (dropping zero vectors) and give it the
+    sign bits of its projections on fixed hyperplanes, one numpy pass per Arrow batch."""
+    def run(batches):
+        planes = None
+        weights = (1 << np.arange(bits)).astype(np.int64)
+        for pdf in batches:
+            if pdf.empty:
+                yield pd.DataFrame({"dir": [], "path": [], "u": [], "code": []})
+                continue
+            m = np.vstack(pdf["v"].to_numpy()).astype(np.float64)
+            norm = np.linalg.norm(m, axis=1)
+            ok = norm > 0
+            m = m[ok] / norm[ok, None]
+            if planes is None or planes.shape[1] != m.shape[1]:
+                planes = _hyperplanes(m.shape[1], bits)
+            code = ((m @ planes.T) >= 0).astype(np.int64) @ weights
+            yield pd.DataFrame({"dir": pdf["dir"].to_numpy()[ok], "path": pdf["path"].to_numpy()[ok],
+                                "u": list(m), "code": code})
+    return run
 
 
 _BEST_SCHEMA = "dir string, blk bigint, n bigint, centroid array<double>, radius double, cos double, a bigint, b bigint"
@@ -130,30 +143,27 @@ def _cross_best(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def most_similar_pairs(vectors: DataFrame, dir_col: str, path_col: str, vec_col: str,
-                       block_size: int = 256, lsh_bits: int = 4, dim: int | None = None) -> DataFrame:
+                       block_size: int = 256, lsh_bits: int = 4) -> DataFrame:
     """Best file pair per directory by cosine similarity (JOIN4 + AGG10, exact).
 
+    Runs eagerly: the small result is checkpointed and the cached intermediates freed.
+
     ``path_col`` must be an integer ordinal giving the file order inside a directory.
     Returns (dir, path_a, path_b, cosine) with path_a < path_b; directories without a
     valid pair (fewer than two usable vectors, or every similarity <= -1) give no row.
     """
     v = (vectors.select(F.col(dir_col).cast("string").alias("dir"), F.col(path_col).cast("bigint").alias("path"),
-                        unit_vector(vec_col).alias("u"))
-         .filter(F.col("u").isNotNull()))
-    if dim is None:
-        first = v.select(F.size("u")).limit(1).collect()
-        dim = int(first[0][0]) if first else 1
-    planes = _hyperplanes(dim, lsh_bits)
-    v = v.withColumn("_code", _sign_code(F.col("u"), planes))
-    sizes = v.groupBy("dir", "_code").agg(F.count(F.lit(1)).alias("_cnt"))
-    v = (v.join(sizes, ["dir", "_code"])
+                        F.col(vec_col).alias("v"))
+                .filter(F.col("v").isNotNull())
+                .mapInPandas(_unit_and_code(lsh_bits), "dir string, path bigint, u array<double>, code bigint"))
+    vb = v = v.persist()
+    sizes = v.groupBy("dir", "code").agg(F.count(F.lit(1)).alias("_cnt"))
+    v = (v.join(sizes, ["dir", "code"])
           .withColumn("_nchunk", F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(block_size))))
-          .withColumn("blk", (F.col("_code") * F.lit(1 << 20)
+          .withColumn("blk", (F.col("code") * F.lit(1 << 20)
                               + F.pmod(F.xxhash64(F.col("path")), F.col("_nchunk"))).cast("bigint"))
-          .select("dir", "blk", "path", "u"))
-    # written once, read by two stages below
-    v = v.persist()
-
+          .select("dir", "blk", "path", "u")).persist()
+    # vectors and block summaries each feed several branches: computed once per run
     summ = spread_groups(v, "dir", "blk").groupBy("dir", "blk").applyInPandas(_block_summary, _BEST_SCHEMA).persist()
     lower = (summ.filter(F.col("cos").isNotNull()).groupBy("dir")
                  .agg(F.max(F.round("cos", TIE_DECIMALS)).alias("_lb")))
@@ -176,8 +186,16 @@ def most_similar_pairs(vectors: DataFrame, dir_col: str, path_col: str, vec_col:
                  .agg(F.max(F.struct(F.round("cos", TIE_DECIMALS).alias("k"), (-F.col("a")).alias("na"),
                                      (-F.col("b")).alias("nb"), F.col("cos").alias("cos"),
                                      F.col("a").alias("a"), F.col("b").alias("b"))).alias("m")))
-    return best.select(F.col("dir"), F.col("m.a").alias("path_a"), F.col("m.b").alias("path_b"),
-                       F.col("m.cos").alias("cosine"))
+    res = best.select(F.col("dir"), F.col("m.a").alias("path_a"), F.col("m.b").alias("path_b"),
+                      F.col("m.cos").alias("cosine"))
+    # one row per directory: written to the shared checkpoint folder, then the cached
+    # intermediates are released (a lost executor only costs a recomputation)
+    checkpoint_dir(res.sparkSession)
+    res = res.checkpoint(eager=True)
+    summ.unpersist()
+    v.unpersist()
+    vb.unpersist()
+    return res
 
 
 def best_overall(pairs: DataFrame, key: Column | None = None) -> DataFrame:

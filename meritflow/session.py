@@ -43,17 +43,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_LOCAL_CKPT: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured by the operator of
-    the cluster.  Only when it is unset (local tests) do we create one.
+    On a cluster this is ``spark.checkpoint.dir`` as configured for the cluster.  Only
+    when it is unset (local tests) is a temporary folder used; the setting itself is a
+    core setting and is never changed at run time.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d:
+        try:
+            d = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:
+            d = None
     if not d:
-        d = tempfile.mkdtemp(prefix="meritflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        d = _LOCAL_CKPT.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="meritflow-ckpt-"))
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
