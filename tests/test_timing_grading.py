@@ -30,6 +30,21 @@ def test_epoch_triggers(spark):
     got = [r.due for r in timing.epoch_triggers(df, "u", "ts", ["ts", "id"], 100, 12).orderBy("id").collect()]
     # blocks 0, 50, 101, 108, 208, 209: fire at 101 (>100 after 0), then at 208 (>100 after 101)
     assert got == [False, False, True, False, True, False]
+    chain = [r.due for r in timing.epoch_triggers_chain(df, "u", "ts", "id", 100, 12).orderBy("id").collect()]
+    assert chain == got
+
+
+def test_epoch_chain_equals_fold_on_hot_key(spark):
+    import random
+    random.seed(5)
+    rows, s = [], 0.0
+    for i in range(1500):
+        s += random.expovariate(1 / 80.0)
+        rows.append((1 if i % 7 else 2, i, ts(s)))
+    df = spark.createDataFrame(rows, "u long, id long, ts timestamp_ntz")
+    a = {r.id: r.due for r in timing.epoch_triggers_chain(df, "u", "ts", "id").collect()}
+    b = {r.id: r.due for r in timing.epoch_triggers(df, "u", "ts", ["ts", "id"]).collect()}
+    assert a == b and sum(a.values()) > 50
 
 
 def test_ttl_hold(spark):
