@@ -197,32 +197,42 @@ def rate_ffa(ratings: list[tuple[float, float]], cfg: RatingConfig = RatingConfi
     return out
 
 
-def trueskill_fold(rounds: list[list[tuple[int, float]]], cfg: RatingConfig = RatingConfig()):
-    """Replay rounds of (player, score) in submission order; yields per round and player
-    (round_no, player, mu, sigma, normalised score) (WIN3, WIN7, WIN8, AGG14).
+def trueskill_round(ratings: dict[int, tuple[float, float]], subs: list[tuple[int, float]],
+                    cfg: RatingConfig = RatingConfig()) -> list[tuple[int, float, float, float]]:
+    """One round: update ``ratings`` in place from (player, score) in submission order and
+    return (player, mu, sigma, normalised score) per submission (WIN3, WIN7, WIN8, AGG14).
 
     Players are ranked by score, ties by submission order (never shared).  A round with
     a single participant updates nothing but still reports a score.
     """
-    ratings: dict[int, tuple[float, float]] = {}
     slope = math.log(4.0) / cfg.ts_beta
+    latest: dict[int, float] = {}
+    for p, s in subs:
+        if p not in ratings:
+            ratings[p] = (cfg.ts_mu, cfg.ts_sigma)
+        latest[p] = s
+    order = sorted(latest.items(), key=lambda kv: kv[1], reverse=True)
+    players = [p for p, _ in order]
+    if len(players) >= 2:
+        for _ in range(cfg.ts_passes):
+            new = rate_ffa([ratings[p] for p in players], cfg)
+            for p, r in zip(players, new):
+                ratings[p] = r
+    mean_cr = float(np.mean([m - 3 * s for m, s in ratings.values()]))
+    out = []
+    for p, _ in subs:
+        m, s = ratings[p]
+        out.append((p, m, s, 1.0 / (1.0 + math.exp(-slope * ((m - 3 * s) - mean_cr)))))
+    return out
+
+
+def trueskill_fold(rounds: list[list[tuple[int, float]]], cfg: RatingConfig = RatingConfig()):
+    """Replay rounds of (player, score) in submission order; yields per round and player
+    (round_no, player, mu, sigma, normalised score)."""
+    ratings: dict[int, tuple[float, float]] = {}
     for rno, subs in enumerate(rounds):
-        latest: dict[int, float] = {}
-        for p, s in subs:
-            if p not in ratings:
-                ratings[p] = (cfg.ts_mu, cfg.ts_sigma)
-            latest[p] = s
-        order = sorted(latest.items(), key=lambda kv: kv[1], reverse=True)
-        players = [p for p, _ in order]
-        if len(players) >= 2:
-            for _ in range(cfg.ts_passes):
-                new = rate_ffa([ratings[p] for p in players], cfg)
-                for p, r in zip(players, new):
-                    ratings[p] = r
-        mean_cr = float(np.mean([m - 3 * s for m, s in ratings.values()]))
-        for p, _ in subs:
-            m, s = ratings[p]
-            yield rno, p, m, s, 1.0 / (1.0 + math.exp(-slope * ((m - 3 * s) - mean_cr)))
+        for p, m, s, sc in trueskill_round(ratings, subs, cfg):
+            yield rno, p, m, s, sc
 
 
 def trueskill_scores(subs: DataFrame, league: str, rnd: str, order: list[str], player: str, score: str,

@@ -82,7 +82,21 @@ def stream_batch_tokens(spark: SparkSession, d: str, folder: str | None = None)
     return run_to_table(spark, b, "batch_tokens").drop("_batch")
 
 
+def stream_trueskill(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
+    from ..operators import grading
+    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
+    r = views.responses_of(ev).join(bq.eligible_population(spark, d), "uid", "inner")   # stream-static join
+    r = (r.select("netuid", "round", "ts", "event_id", "uid", "patch", *views.rubric_columns("k"))
+          .withColumn("grade", grading.rubric_score("addresses", "logical", "brevity", "bugs", "checklist", "patch"))
+          .withColumn("valid", F.col("patch").isNotNull() & (F.col("patch") != "")))
+    s = st.trueskill_stream(r, "netuid", "round", "ts", "event_id", "uid", "grade", "valid")
+    out = latest_by_batch(run_to_table(spark, s, "trueskill", "update"), ["netuid", "round", "uid"])
+    return out.select("netuid", "round", "uid", F.round("mu", 9).alias("mu"), F.round("sigma", 9).alias("sigma"),
+                      F.round("ts_score", 9).alias("ts_score"))
+
+
 STREAM_QUERIES = {
+    "stream_trueskill": stream_trueskill,
     "stream_population_resync": stream_population_resync,
     "stream_batch_tokens": stream_batch_tokens,
     "stream_epoch_due": stream_epoch_due,

@@ -201,3 +201,70 @@ def current_population(spark, base: str) -> DataFrame:
     df = spark.read.parquet(base)
     last = df.agg(F.max("v")).first()[0]
     return df.filter(F.col("v") == last).drop("v")
+
+
+# ----------------------------------------------------------------------------- STM3 (ratings)
+def trueskill_stream(subs: DataFrame, league: str, rnd: str, ts: str, id_col: str, player: str, score: str,
+                     valid: str, cfg=None) -> DataFrame:
+    """TrueSkill league state across micro-batches (STM3).
+
+    State per league: the ratings (player, mu, sigma) and the newest round's responses,
+    which stay open until a later round arrives (the last response per player counts,
+    and only if valid).  Each batch commits the closed rounds and reports the open one
+    provisionally (update mode; the last report per (league, round, player) stands).
+    """
+    from ..config import RatingConfig
+    from ..operators.ratings import trueskill_round
+    cfg = cfg or RatingConfig()
+    d = subs.select(F.col(league).cast("bigint").alias("lg"), F.col(rnd).cast("bigint").alias("rnd"),
+                    epoch_us(ts).alias("t_us"), F.col(id_col).cast("bigint").alias("eid"),
+                    F.col(player).cast("bigint").alias("pl"), F.col(score).cast("double").alias("sc"),
+                    F.col(valid).alias("ok"))
+    out_schema = f"{league} bigint, {rnd} bigint, {player} bigint, mu double, sigma double, ts_score double"
+    state_schema = ("players array<bigint>, mus array<double>, sigmas array<double>, p_round bigint, "
+                    "p_t array<bigint>, p_id array<bigint>, p_pl array<bigint>, p_sc array<double>, p_ok array<boolean>")
+
+    def close(rows: pd.DataFrame) -> list[tuple[int, float]]:
+        rows = rows.sort_values(["t_us", "eid"], kind="stable")
+        last = rows.groupby("pl", sort=False).tail(1)
+        last = last[last["ok"]].sort_values(["t_us", "eid"], kind="stable")
+        return list(zip(last["pl"].astype("int64").tolist(), last["sc"].astype(float).tolist()))
+
+    def fn(k, pdfs, state):
+        lg = int(k[0])
+        pdf = pd.concat(list(pdfs), ignore_index=True)
+        if state.exists:
+            pls, mus, sgs, p_round, p_t, p_id, p_pl, p_sc, p_ok = state.get
+            ratings = {int(p): (float(m), float(s)) for p, m, s in zip(pls, mus, sgs)}
+            pending = pd.DataFrame({"rnd": p_round, "t_us": list(p_t), "eid": list(p_id), "pl": list(p_pl),
+                                    "sc": list(p_sc), "ok": list(p_ok)}) if p_round is not None else None
+        else:
+            ratings, p_round, pending = {}, None, None
+        out = []
+        for r, g in pdf.sort_values(["rnd", "t_us", "eid"], kind="stable").groupby("rnd", sort=True):
+            r = int(r)
+            if p_round is not None and r < p_round:
+                continue                                   # late round: already closed
+            if p_round is not None and r > p_round:
+                for p, m, s, sc in trueskill_round(ratings, close(pending), cfg):
+                    out.append((lg, p_round, p, m, s, sc))
+                pending, p_round = None, None
+            g = g[["rnd", "t_us", "eid", "pl", "sc", "ok"]]
+            pending = g if pending is None else pd.concat([pending, g], ignore_index=True)
+            p_round = r
+        if pending is not None:                            # provisional report of the open round
+            trial = dict(ratings)
+            for p, m, s, sc in trueskill_round(trial, close(pending), cfg):
+                out.append((lg, p_round, p, m, s, sc))
+        players = list(ratings)
+        state.update((players, [ratings[p][0] for p in players], [ratings[p][1] for p in players], p_round,
+                      pending["t_us"].astype("int64").tolist() if pending is not None else [],
+                      pending["eid"].astype("int64").tolist() if pending is not None else [],
+                      pending["pl"].astype("int64").tolist() if pending is not None else [],
+                      pending["sc"].astype(float).tolist() if pending is not None else [],
+                      pending["ok"].astype(bool).tolist() if pending is not None else []))
+        if out:
+            yield pd.DataFrame(out, columns=[league, rnd, player, "mu", "sigma", "ts_score"])
+
+    return d.groupBy("lg").applyInPandasWithState(fn, out_schema, state_schema, "update",
+                                                  GroupStateTimeout.NoTimeout)

@@ -114,3 +114,8 @@ def test_deadline_stream_and_recent_duplicates(spark):
     kept = run_to_table(spark, st.reject_recent_duplicates(
         spark.readStream.schema(d2.schema).parquet(base + "/rq"), ["caller", "prompt"], "ts", "10 minutes"), "dd_test")
     assert sorted(r.caller for r in kept.collect()) == ["a", "b"]
+
+
+def test_trueskill_stream_equals_batch(spark, split_tables):
+    s = S.stream_trueskill(spark, SF_SMALL, folder=os.path.join(split_tables, "events"))
+    assert same(s, Q.trueskill_rank(spark, SF_SMALL))
