@@ -51,25 +51,49 @@ def load_state(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("pr_score", F.coalesce(F.col("pr_score"), F.lit(0.0)))
 
 
-def as_of(snapshots: DataFrame, events: DataFrame, key: str, snap_ts: str, ev_ts: str) -> DataFrame:
+def as_of(snapshots: DataFrame, events: DataFrame, key: str, snap_ts: str, ev_ts: str,
+          bucket_width: int = 86_400_000_000) -> DataFrame:
     """Each event with the latest snapshot row of its key taken at or before it (SRC6).
 
-    Events and snapshots are merged into one sorted stream per key and every event
-    carries the last snapshot seen so far: one sort, no event x snapshot pairs.
+    Times are bucketed (``bucket_width`` in microseconds for timestamps, in the column's
+    own units for numbers).  The answer is the last snapshot at or before the event in
+    its own bucket (a window bounded to one bucket), else the last snapshot of the
+    latest earlier non-empty bucket (a lag over one row per bucket).  No key's whole
+    history is ever sorted in one task, and no event x snapshot pairs are formed.
     """
-    snap_cols = [c for c in snapshots.columns if c not in (key,)]
+    from pyspark.sql.types import TimestampNTZType, TimestampType
+
+    from ..functions.math import epoch_us, floor_div
+
+    def num(df, c):
+        t = df.schema[c].dataType
+        return epoch_us(c) if isinstance(t, (TimestampNTZType, TimestampType)) else F.col(c).cast("bigint")
+
+    snap_cols = [c for c in snapshots.columns if c != key]
     ev_cols = [c for c in events.columns if c != key]
     packed = F.struct(*[F.col(c) for c in snap_cols])
-    ev = events.select(F.col(key), F.col(ev_ts).alias("_t"), F.lit(1).alias("_side"),
-                       F.struct(*[F.col(c) for c in ev_cols]).alias("_e"), F.lit(None).cast(snapshots.select(packed.alias("x")).schema["x"].dataType).alias("_s"))
-    sn = snapshots.select(F.col(key), F.col(snap_ts).alias("_t"), F.lit(0).alias("_side"),
-                          F.lit(None).cast(events.select(F.struct(*[F.col(c) for c in ev_cols]).alias("x"))
-                                           .schema["x"].dataType).alias("_e"), packed.alias("_s"))
-    w = (Window.partitionBy(key).orderBy("_t", "_side")
+    snap_type = snapshots.select(packed.alias("x")).schema["x"].dataType
+    ev_type = events.select(F.struct(*[F.col(c) for c in ev_cols]).alias("x")).schema["x"].dataType
+    ev = events.select(F.col(key), num(events, ev_ts).alias("_t"), F.lit(1).alias("_side"),
+                       F.struct(*[F.col(c) for c in ev_cols]).alias("_e"), F.lit(None).cast(snap_type).alias("_s"))
+    sn = snapshots.select(F.col(key), num(snapshots, snap_ts).alias("_t"), F.lit(0).alias("_side"),
+                          F.lit(None).cast(ev_type).alias("_e"), packed.alias("_s"))
+    both = ev.unionByName(sn).withColumn("_b", floor_div("_t", bucket_width))
+    # same bucket: last snapshot at or before the event (snapshots sort first on ties)
+    w = (Window.partitionBy(key, "_b").orderBy("_t", "_side")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    m = ev.unionByName(sn).withColumn("_last", F.last("_s", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
+    same = both.withColumn("_c1", F.last("_s", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
+    # earlier buckets: one row per (key, bucket) holding that bucket's last snapshot
+    snap_b = (sn.withColumn("_b", floor_div("_t", bucket_width)).groupBy(key, "_b")
+                .agg(F.max_by("_s", "_t").alias("_last"), F.lit(1).alias("_kind")))
+    ev_b = same.select(key, "_b").distinct().withColumn("_last", F.lit(None).cast(snap_type)).withColumn("_kind", F.lit(0))
+    wb = (Window.partitionBy(key).orderBy("_b", "_kind")
+                .rowsBetween(Window.unboundedPreceding, -1))
+    prev = (ev_b.unionByName(snap_b).withColumn("_c2", F.last("_last", ignorenulls=True).over(wb))
+                .filter(F.col("_kind") == 0).select(key, "_b", "_c2"))
+    m = same.join(prev, [key, "_b"], "left").withColumn("_snap", F.coalesce("_c1", "_c2"))
     return m.select(F.col(key), *[F.col("_e")[c].alias(c) for c in ev_cols],
-                    *[F.col("_last")[c].alias(c) for c in snap_cols if c not in ev_cols])
+                    *[F.col("_snap")[c].alias(c) for c in snap_cols if c not in ev_cols])
 
 
 REPORT_SCHEMA = "tests array<struct<nodeid: string, outcome: string>>"

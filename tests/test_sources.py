@@ -70,8 +70,25 @@ def test_state_snapshots(spark):
 def test_as_of(spark):
     snaps = spark.createDataFrame([(1, 10, "a"), (1, 20, "b"), (2, 5, "x")], "uid int, sts int, hotkey string")
     ev = spark.createDataFrame([(1, 9, 100), (1, 10, 101), (1, 25, 102), (2, 1, 103)], "uid int, ts int, id int")
-    got = {r.id: r.hotkey for r in sinks.as_of(snaps, ev, "uid", "sts", "ts").collect()}
-    assert got == {100: None, 101: "a", 102: "b", 103: None}
+    for width in (1, 4, 100):
+        got = {r.id: r.hotkey for r in sinks.as_of(snaps, ev, "uid", "sts", "ts", bucket_width=width).collect()}
+        assert got == {100: None, 101: "a", 102: "b", 103: None}, width
+
+
+def test_as_of_matches_brute_force(spark):
+    import random
+    random.seed(9)
+    snaps = [(random.randrange(3), random.randrange(1000), f"h{i}") for i in range(200)]
+    evs = [(random.randrange(3), random.randrange(1000), i) for i in range(300)]
+    s = spark.createDataFrame(snaps, "uid int, sts int, hotkey string").dropDuplicates(["uid", "sts"])
+    e = spark.createDataFrame(evs, "uid int, ts int, id int")
+    sl = [(r.uid, r.sts, r.hotkey) for r in s.collect()]
+    exp = {}
+    for u, t, i in evs:
+        best = max((x for x in sl if x[0] == u and x[1] <= t), key=lambda x: x[1], default=None)
+        exp[i] = best[2] if best else None
+    got = {r.id: r.hotkey for r in sinks.as_of(s, e, "uid", "sts", "ts", bucket_width=37).collect()}
+    assert got == exp
 
 
 def test_report_outcomes(spark):
