@@ -205,6 +205,8 @@ def trueskill_round(ratings: dict[int, tuple[float, float]], subs: list[tuple[in
     Players are ranked by score, ties by submission order (never shared).  A round with
     a single participant updates nothing but still reports a score.
     """
+    if not subs:
+        return []
     slope = math.log(4.0) / cfg.ts_beta
     latest: dict[int, float] = {}
     for p, s in subs:
@@ -245,11 +247,16 @@ def trueskill_scores(subs: DataFrame, league: str, rnd: str, order: list[str], p
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([rnd, *order], kind="stable")
         lg = int(pdf[league].iat[0])
-        keys, rounds = [], []
-        for r, g in pdf.groupby(rnd, sort=True):
-            keys.append(int(r))
-            rounds.append(list(zip(g[player].astype("int64").tolist(), g[score].astype(float).tolist())))
-        rows = [(lg, keys[rno], p, m, s, sc) for rno, p, m, s, sc in trueskill_fold(rounds, cfg)]
+        ratings: dict[int, tuple[float, float]] = {}
+        rows, cur, subs = [], None, []
+        for r, p, s in zip(pdf[rnd].tolist(), pdf[player].tolist(), pdf[score].tolist()):
+            if cur is not None and r != cur:
+                rows.extend((lg, cur, *x) for x in trueskill_round(ratings, subs, cfg))
+                subs = []
+            cur = r
+            subs.append((int(p), float(s)))
+        if subs:
+            rows.extend((lg, cur, *x) for x in trueskill_round(ratings, subs, cfg))
         return pd.DataFrame(rows, columns=[league, rnd, player, "mu", "sigma", "ts_score"])
 
     d = subs.select(F.col(league).cast("bigint"), F.col(rnd).cast("bigint"), *order,

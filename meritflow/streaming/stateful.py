@@ -224,45 +224,41 @@ def trueskill_stream(subs: DataFrame, league: str, rnd: str, ts: str, id_col: st
     state_schema = ("players array<bigint>, mus array<double>, sigmas array<double>, p_round bigint, "
                     "p_t array<bigint>, p_id array<bigint>, p_pl array<bigint>, p_sc array<double>, p_ok array<boolean>")
 
-    def close(rows: pd.DataFrame) -> list[tuple[int, float]]:
-        rows = rows.sort_values(["t_us", "eid"], kind="stable")
-        last = rows.groupby("pl", sort=False).tail(1)
-        last = last[last["ok"]].sort_values(["t_us", "eid"], kind="stable")
-        return list(zip(last["pl"].astype("int64").tolist(), last["sc"].astype(float).tolist()))
+    def close(pend: dict) -> list[tuple[int, float]]:
+        # latest response per player (already kept), valid ones, in submission order
+        rows = sorted((t, e, p, sc) for p, (t, e, sc, ok) in pend.items() if ok)
+        return [(p, sc) for _, _, p, sc in rows]
 
     def fn(k, pdfs, state):
         lg = int(k[0])
-        pdf = pd.concat(list(pdfs), ignore_index=True)
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["rnd", "t_us", "eid"], kind="stable")
         if state.exists:
             pls, mus, sgs, p_round, p_t, p_id, p_pl, p_sc, p_ok = state.get
             ratings = {int(p): (float(m), float(s)) for p, m, s in zip(pls, mus, sgs)}
-            pending = pd.DataFrame({"rnd": p_round, "t_us": list(p_t), "eid": list(p_id), "pl": list(p_pl),
-                                    "sc": list(p_sc), "ok": list(p_ok)}) if p_round is not None else None
+            pend = {int(p): (int(t), int(e), float(c), bool(o)) for t, e, p, c, o in zip(p_t, p_id, p_pl, p_sc, p_ok)}
         else:
-            ratings, p_round, pending = {}, None, None
+            ratings, p_round, pend = {}, None, {}
         out = []
-        for r, g in pdf.sort_values(["rnd", "t_us", "eid"], kind="stable").groupby("rnd", sort=True):
-            r = int(r)
+        cols = zip(pdf["rnd"].tolist(), pdf["t_us"].tolist(), pdf["eid"].tolist(), pdf["pl"].tolist(),
+                   pdf["sc"].tolist(), pdf["ok"].tolist())
+        for r, t, e, p, c, o in cols:
             if p_round is not None and r < p_round:
                 continue                                   # late round: already closed
             if p_round is not None and r > p_round:
-                for p, m, s, sc in trueskill_round(ratings, close(pending), cfg):
-                    out.append((lg, p_round, p, m, s, sc))
-                pending, p_round = None, None
-            g = g[["rnd", "t_us", "eid", "pl", "sc", "ok"]]
-            pending = g if pending is None else pd.concat([pending, g], ignore_index=True)
+                for pl, m, sg, sc in trueskill_round(ratings, close(pend), cfg):
+                    out.append((lg, p_round, pl, m, sg, sc))
+                pend = {}
             p_round = r
-        if pending is not None:                            # provisional report of the open round
+            pend[p] = (t, e, c, bool(o))                   # rows arrive sorted: the last one wins
+        if pend:                                           # provisional report of the open round
             trial = dict(ratings)
-            for p, m, s, sc in trueskill_round(trial, close(pending), cfg):
-                out.append((lg, p_round, p, m, s, sc))
+            for pl, m, sg, sc in trueskill_round(trial, close(pend), cfg):
+                out.append((lg, p_round, pl, m, sg, sc))
         players = list(ratings)
+        items = list(pend.items())
         state.update((players, [ratings[p][0] for p in players], [ratings[p][1] for p in players], p_round,
-                      pending["t_us"].astype("int64").tolist() if pending is not None else [],
-                      pending["eid"].astype("int64").tolist() if pending is not None else [],
-                      pending["pl"].astype("int64").tolist() if pending is not None else [],
-                      pending["sc"].astype(float).tolist() if pending is not None else [],
-                      pending["ok"].astype(bool).tolist() if pending is not None else []))
+                      [v[0] for _, v in items], [v[1] for _, v in items], [p for p, _ in items],
+                      [v[2] for _, v in items], [v[3] for _, v in items]))
         if out:
             yield pd.DataFrame(out, columns=[league, rnd, player, "mu", "sigma", "ts_score"])
 
