@@ -22,23 +22,23 @@ PY_SPACE_JAVA = (r"[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a"
                  r"\u2028\u2029\u202f\u205f\u3000]")
 PY_SPACE_RE2 = (r"[\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
                 r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# the same whitespace set as a string of characters, for trim functions
+PY_SPACE_CHARS = "".join(chr(c) for c in (
+    [0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680]
+    + list(range(0x2000, 0x200B)) + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # ------------------------------------------------------------------------------------
 
 
 def split_lines(s) -> Column:
-    """``str.splitlines()``: no element for a final line break, none for ''."""
+    """``str.splitlines()``: no element for a final line break, none for ''.
+
+    Splitting leaves an empty last element exactly when the text ends with a break (or
+    is empty); dropping it gives Python's result without any end-of-text scan.
+    """
     s = F.col(s) if isinstance(s, str) else s
     parts = F.split(s, LINE_BREAK_JAVA, -1)
-    ends_with_break = s.rlike("(" + LINE_BREAK_JAVA + r")\z")
-    return (F.when(s == "", F.array().cast("array<string>"))
-            .when(ends_with_break, F.slice(parts, 1, F.size(parts) - 1))
-            .otherwise(parts))
-
-
-def _clean_added_line(line: Column) -> Column:
-    # cut at the first '#', then right-strip Python whitespace
-    cut = F.regexp_replace(line, r"(?s)#.*", "")
-    return F.regexp_replace(cut, PY_SPACE_JAVA + r"+\z", "")
+    n = F.size(parts) - F.when(F.element_at(parts, -1) == "", F.lit(1)).otherwise(F.lit(0))
+    return F.slice(parts, F.lit(1), n)
 
 
 def strip_patch_comments(patch) -> Column:
@@ -47,10 +47,14 @@ def strip_patch_comments(patch) -> Column:
     Whole-line comments (``+`` then optional whitespace then ``#``) are dropped, other
     added lines lose everything from the first ``#`` plus trailing whitespace, all other
     lines stay.  Lines are re-joined with LF; a final line break is not restored.
+    Per line only prefix tests, a cut at the first '#' and trims run (no regex).
     """
+    ws = F.lit(PY_SPACE_CHARS)
     lines = split_lines(patch)
-    kept = F.filter(lines, lambda l: ~l.rlike(r"^\+" + PY_SPACE_JAVA + "*#"))
-    cleaned = F.transform(kept, lambda l: F.when(l.startswith("+"), _clean_added_line(l)).otherwise(l))
+    whole_comment = lambda l: l.startswith("+") & F.ltrim(l.substr(F.lit(2), F.length(l)), ws).startswith("#")
+    kept = F.filter(lines, lambda l: ~whole_comment(l))
+    cleaned = F.transform(kept, lambda l: F.when(l.startswith("+"), F.rtrim(F.substring_index(l, "#", 1), ws))
+                                          .otherwise(l))
     return F.array_join(cleaned, "\n")
 
 
