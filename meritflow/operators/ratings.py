@@ -23,32 +23,19 @@ _N = NormalDist()
 
 
 # ----------------------------------------------------------------------------- Elo
-def _mix64(x: np.ndarray) -> np.ndarray:
-    """SplitMix64 finaliser: a fixed, portable hash for seeded match order."""
-    x = x.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(31))
-    return x
-
-
-def match_schedule(n: int, rounds: int, seed: int) -> list[tuple[int, int, int]]:
-    """All pairs i<j of n submissions, ``rounds`` times, each round in a seeded order (JOIN5, TOP6)."""
-    if n < 2:
-        return []
-    i, j = np.triu_indices(n, 1)
+def match_schedule(n: int, rounds: int, seed: str) -> list[tuple[int, int, int]]:
+    """All pairs i<j of n submissions, ``rounds`` times; inside a round the pairs are
+    ordered by md5('<seed>:<round>:<i>:<j>') -- a seeded, portable shuffle (JOIN5, TOP6)."""
+    import hashlib
     out = []
     for r in range(rounds):
-        with np.errstate(over="ignore"):
-            key = _mix64(np.uint64(seed) * np.uint64(1_000_003) + np.uint64(r) * np.uint64(7_919)
-                         + i.astype(np.uint64) * np.uint64(65_537) + j.astype(np.uint64))
-        order = np.argsort(key, kind="stable")
-        out.extend((r, int(i[k]), int(j[k])) for k in order)
+        keyed = sorted((hashlib.md5(f"{seed}:{r}:{i}:{j}".encode()).hexdigest(), i, j)
+                       for i in range(n) for j in range(i + 1, n))
+        out.extend((r, i, j) for _, i, j in keyed)
     return out
 
 
-def elo_fold(scores: list[float], cfg: RatingConfig = RatingConfig(), seed: int = 0) -> list[float]:
+def elo_fold(scores: list[float], cfg: RatingConfig = RatingConfig(), seed: str = "0") -> list[float]:
     """Ratings after the tournament; a judge prefers the higher score, equal is a draw.
 
     draw_mode 'reference' applies the 0.5 update and then a win for the second player;
@@ -75,7 +62,7 @@ def elo_fold(scores: list[float], cfg: RatingConfig = RatingConfig(), seed: int
 
 
 def elo_ratings(subs: DataFrame, problem: str, order: list[str], player: str, score: str,
-                cfg: RatingConfig = RatingConfig(), seed: int = 0) -> DataFrame:
+                cfg: RatingConfig = RatingConfig(), seed: str = "elo") -> DataFrame:
     """Per problem: Elo rating and rank of each submission (WIN5, WIN6).
 
     ``order`` columns give the submission order inside a problem (idx = position).
@@ -87,7 +74,7 @@ def elo_ratings(subs: DataFrame, problem: str, order: list[str], player: str, sc
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
         prob = int(pdf[problem].iat[0])
-        rat = elo_fold(pdf[score].astype(float).tolist(), cfg, seed=(seed * 1_000_033 + prob) & 0x7FFFFFFF)
+        rat = elo_fold(pdf[score].astype(float).tolist(), cfg, seed=f"{seed}:{prob}")
         out = pd.DataFrame({problem: prob, player: pdf[player].astype("int64"),
                             "idx": np.arange(len(pdf), dtype=np.int64), "rating": rat})
         ranked = out.sort_values(["rating", "idx"], ascending=[False, True], kind="stable").index

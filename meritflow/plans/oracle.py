@@ -169,6 +169,41 @@ m AS (SELECT h.patch_id, f.line_no - (1 + h.k) AS delta, count(*) AS c
 best AS (SELECT patch_id, arg_min(delta, (abs(delta), delta)) AS line_offset FROM m WHERE c = 3 GROUP BY patch_id)
 SELECT pt.patch_id, best.patch_id IS NOT NULL AS applies, CAST(best.line_offset AS BIGINT) AS line_offset
 FROM pt LEFT JOIN best ON pt.patch_id = best.patch_id"""
+    elo_body = _with(MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS, "x AS (SELECT 1)")
+    q["elo_rank"] = elo_body.replace("WITH ", "WITH RECURSIVE ", 1).replace("x AS (SELECT 1)\n", """subs AS (
+  SELECT round, uid, CAST(k AS DOUBLE) AS s, row_number() OVER (PARTITION BY round ORDER BY ts, event_id) - 1 AS idx
+  FROM valid),
+pairs AS (
+  SELECT a.round, 0 AS rr, a.idx AS i, b.idx AS j, a.s AS sa, b.s AS sb FROM subs a JOIN subs b
+    ON a.round = b.round AND a.idx < b.idx
+  UNION ALL
+  SELECT a.round, 1 AS rr, a.idx AS i, b.idx AS j, a.s AS sa, b.s AS sb FROM subs a JOIN subs b
+    ON a.round = b.round AND a.idx < b.idx),
+steps AS (
+  SELECT *, row_number() OVER (PARTITION BY round ORDER BY rr,
+           md5('elo:' || CAST(round AS VARCHAR) || ':' || CAST(rr AS VARCHAR) || ':' || CAST(i AS VARCHAR)
+               || ':' || CAST(j AS VARCHAR))) AS step
+  FROM pairs),
+walk(round, step, rt) AS (
+  SELECT round, 0, list(1200.0::DOUBLE ORDER BY idx) FROM subs GROUP BY round
+  UNION ALL
+  SELECT round, step, list_concat(rt[1:i], [na], rt[i + 2:j], [nb], rt[j + 2:len(rt)]) FROM (
+    SELECT *, CASE WHEN sa > sb THEN ra + cw WHEN sa < sb THEN ra - cl ELSE ra1 - c2 END AS na,
+              CASE WHEN sa > sb THEN rb - cw WHEN sa < sb THEN rb + cl ELSE rb1 + c2 END AS nb FROM (
+      SELECT *, 32.0 * (1.0 - 1.0 / (1.0 + pow(10.0, (ra1 - rb1) / 400.0))) AS c2 FROM (
+        SELECT *, ra + c1 AS ra1, rb - c1 AS rb1 FROM (
+          SELECT w.round, w.step + 1 AS step, w.rt, o.i, o.j, o.sa, o.sb,
+                 w.rt[o.i + 1] AS ra, w.rt[o.j + 1] AS rb,
+                 32.0 * (1.0 - 1.0 / (1.0 + pow(10.0, (w.rt[o.j + 1] - w.rt[o.i + 1]) / 400.0))) AS cw,
+                 32.0 * (1.0 - 1.0 / (1.0 + pow(10.0, (w.rt[o.i + 1] - w.rt[o.j + 1]) / 400.0))) AS cl,
+                 32.0 * (0.5 - 1.0 / (1.0 + pow(10.0, (w.rt[o.j + 1] - w.rt[o.i + 1]) / 400.0))) AS c1
+          FROM walk w JOIN steps o ON o.round = w.round AND o.step = w.step + 1))))),
+final AS (SELECT round, rt FROM walk QUALIFY step = max(step) OVER (PARTITION BY round)),
+flat AS (SELECT round, unnest(rt) AS rating, unnest(range(len(rt))) AS idx FROM final)
+""") + """
+SELECT f.round, s.uid, CAST(f.idx AS BIGINT) AS idx, round(f.rating, 6) AS rating,
+       row_number() OVER (PARTITION BY f.round ORDER BY f.rating DESC, f.idx) AS rank
+FROM flat f JOIN subs s ON s.round = f.round AND s.idx = f.idx"""
     # streamed twins: same result as the batch query
     q["stream_epoch_due"] = q["epoch_due"]
     q["stream_ema"] = q["ema_final"]
