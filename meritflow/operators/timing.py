@@ -142,15 +142,23 @@ def epoch_triggers_chain(df: DataFrame, key: str, ts: str, id_col: str, epoch_bl
     jump = cut(jump)
     chain = cut(first)
     # Nodes reached in round k sit 2^k..2^(k+1)-1 steps down the chain: never seen before,
-    # because the chain moves strictly forward in time.  The chain stays a union of
-    # checkpointed pieces; the jump table is re-checkpointed every round.
+    # because the chain moves strictly forward in time.  A round's new nodes come from one
+    # join of checkpointed inputs, so they are only cached (a lost executor recomputes
+    # that one join); the jump table, whose plan would double every round, is
+    # checkpointed to the shared folder.
+    held: list[DataFrame] = []
     while True:
-        reached = cut(chain.join(jump, "id").select(F.col("nxt").alias("id")))
+        reached = chain.join(jump, "id").select(F.col("nxt").alias("id")).persist()
+        held.append(reached)
         if reached.isEmpty():
             break
         chain = chain.unionByName(reached)
         jump = cut(jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.id"))
                        .select(F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt")))
+    if checkpoint:
+        chain = chain.checkpoint()          # pin the result before releasing the caches
+    for h in held:
+        h.unpersist()
     fired = chain.join(first, "id", "left_anti").withColumn("due", F.lit(True))
     return (ev.join(fired, "id", "left").select(F.col(key), F.col("id").alias(id_col), "block",
                                                  F.coalesce(F.col("due"), F.lit(False)).alias("due")))

@@ -43,7 +43,9 @@ def reward_to_weights(spark: SparkSession, d: str) -> DataFrame:
     """Flagship: responses -> rewards -> EMA per uid -> L1 weights per league -> u16."""
     rw = valid_rewards(spark, d)
     ema = scoring.ema_final(rw, ["netuid", "uid"], ["round"], "reward", block=F.col("day"), alpha=0.1)
-    w = weights.l1_normalise(ema, "netuid", "score", "weight")
+    # closed-task scores weigh 1.0, open-task scores (none tracked here) 0.0
+    ema = ema.withColumn("pr_score", F.lit(0.0))
+    w = weights.blend_scores(ema, "netuid", "score", "pr_score", "weight", closed_pct=1.0, open_pct=0.0)
     u = weights.emit_u16(w, "netuid", "uid", "weight")
     return u.select("netuid", "uid", _r("score", "score"), _r("weight", "weight"), "weight_u16")
 
