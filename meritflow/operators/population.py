@@ -55,11 +55,33 @@ def gate_requests(requests: DataFrame, registered: DataFrame,
                                               F.col("_v.blocked").alias("blocked"), F.col("_v.reason").alias("reason"))
 
 
-def priority(gated: DataFrame, partition: str = "round", tiebreak: str = "event_id") -> DataFrame:
-    """Caller stake as priority (0.0 when there is no known caller), served high first (TOP5)."""
-    w = Window.partitionBy(partition).orderBy(F.col("priority").desc(), F.col(tiebreak).asc())
-    return (gated.withColumn("priority", F.coalesce(F.col("caller_stake"), F.lit(0.0)))
-                 .withColumn("serve_rank", F.row_number().over(w)))
+def priority(gated: DataFrame, partition: str = "round", tiebreak: str = "event_id",
+             block: int = 1 << 16) -> DataFrame:
+    """Caller stake as priority (0.0 when there is no known caller), served high first (TOP5).
+
+    ``serve_rank`` is the exact position in (priority desc, tiebreak asc) order within the
+    partition, computed without sorting a whole partition in one task:
+      rank = #rows with higher priority                 (window over distinct priorities,
+                                                           at most one per caller)
+           + #rows with equal priority in earlier blocks (window over tiebreak blocks)
+           + position inside the block                   (at most ``block`` rows)
+    ``tiebreak`` must be a unique integer id.
+    """
+    d = (gated.withColumn("priority", F.coalesce(F.col("caller_stake"), F.lit(0.0)))
+              .withColumn("_blk", F.floor(F.col(tiebreak) / F.lit(block)).cast("bigint")))
+    per_p = d.groupBy(partition, "priority").agg(F.count(F.lit(1)).alias("_np"))
+    per_p = per_p.withColumn("_above", F.coalesce(F.sum("_np").over(
+        Window.partitionBy(partition).orderBy(F.col("priority").desc())
+              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_np")
+    per_b = d.groupBy(partition, "priority", "_blk").agg(F.count(F.lit(1)).alias("_nb"))
+    per_b = per_b.withColumn("_before", F.coalesce(F.sum("_nb").over(
+        Window.partitionBy(partition, "priority").orderBy("_blk")
+              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_nb")
+    local = F.row_number().over(Window.partitionBy(partition, "priority", "_blk").orderBy(F.col(tiebreak)))
+    return (d.withColumn("_local", local)
+             .join(per_p, [partition, "priority"]).join(per_b, [partition, "priority", "_blk"])
+             .withColumn("serve_rank", (F.col("_above") + F.col("_before") + F.col("_local")).cast("bigint"))
+             .drop("_blk", "_above", "_before", "_local"))
 
 
 def top_stake_sample(miners: DataFrame, group: str = "netuid", ok: Column | None = None,

@@ -102,3 +102,21 @@ def test_pick_zip_tolerance_template(spark):
     import pytest
     with pytest.raises(ValueError):
         pop.require_nonempty(steps.limit(0), "no valid file pairs")
+
+
+def test_priority_rank_exact_with_hot_groups(spark):
+    import random
+    from pyspark.sql import Window
+    from meritflow.operators import population as pop
+    random.seed(2)
+    rows = []
+    for i in range(3000):
+        rnd = 0 if i % 3 else random.randrange(1, 4)               # round 0 is hot
+        stake = None if i % 5 == 0 else random.choice([0.0, 5.0, 7.5, 100.0])
+        rows.append((i * 7, rnd, stake))
+    df = spark.createDataFrame(rows, "event_id long, round long, caller_stake double")
+    got = {r.event_id: r.serve_rank for r in pop.priority(df, block=64).collect()}
+    w = Window.partitionBy("round").orderBy(F.col("p").desc(), "event_id")
+    exp = {r.event_id: r.rk for r in df.withColumn("p", F.coalesce("caller_stake", F.lit(0.0)))
+           .withColumn("rk", F.row_number().over(w)).collect()}
+    assert got == exp
