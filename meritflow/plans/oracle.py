@@ -204,6 +204,11 @@ flat AS (SELECT round, unnest(rt) AS rating, unnest(range(len(rt))) AS idx FROM
 SELECT f.round, s.uid, CAST(f.idx AS BIGINT) AS idx, round(f.rating, 6) AS rating,
        row_number() OVER (PARTITION BY f.round ORDER BY f.rating DESC, f.idx) AS rank
 FROM flat f JOIN subs s ON s.round = f.round AND s.idx = f.idx"""
+    q["state_roundtrip"] = _with(*base, EMA) + "SELECT uid, round(score, 9) AS score, 0.0::DOUBLE AS pr_score FROM ema"
+    q["cached_file_pairs"] = q["file_pair_top1"]
+    q["published_rows"] = _with(*base) + """
+SELECT 'league-' || CAST(netuid AS VARCHAR) AS repo, 'task ' || CAST(round AS VARCHAR) AS problem_statement,
+       patch AS solution_patch, round(reward, 6) AS score, hotkey AS miner_hotkey FROM valid"""
     # streamed twins: same result as the batch query
     q["stream_epoch_due"] = q["epoch_due"]
     q["stream_ema"] = q["ema_final"]

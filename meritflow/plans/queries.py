@@ -397,6 +397,50 @@ def patch_applies(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["patch_applies"] = patch_applies
 
 
+# --------------------------------------------------------------------------- sinks
+def _run_path(spark, name):
+    import uuid
+    from ..session import scratch_path
+    return scratch_path(spark, f"tables/{name}/{uuid.uuid4().hex}")
+
+
+def state_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """EMA scores saved as a versioned state snapshot and restored (SRC5): the snapshot
+    holds no pr_score column, so the restored state reads it as 0."""
+    from ..sources import sinks
+    path = _run_path(spark, "state")
+    ema = scoring.ema_final(valid_rewards(spark, d), "uid", ["round"], "reward", block=F.col("day"), alpha=0.1)
+    sinks.save_state(ema.select("uid", "score"), path, step=1)
+    st = sinks.load_state(spark, path)
+    return st.select("uid", _r("score", "score"), F.col("pr_score"))
+
+
+def cached_file_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Best file pairs through the result cache keyed by the search parameters (SRC3)."""
+    from ..sources import sinks
+    key = sinks.heuristics_key(table="embeddings", block_size=64, lsh_bits=3)
+    path = _run_path(spark, f"file_pairs/{key}")
+    sinks.read_or_compute(spark, path, lambda: _file_pairs(spark, d))              # computed and written
+    again = sinks.read_or_compute(spark, path, lambda: _file_pairs(spark, d))   # served from the cache
+    return again.select("dir", "path_a", "path_b", _r("cosine", "cosine"))
+
+
+def published_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Scored responses published to a table partitioned by repository (SRC4)."""
+    from ..sources import sinks
+    path = _run_path(spark, "published")
+    rw = valid_rewards(spark, d).select(
+        F.concat(F.lit("league-"), F.col("netuid").cast("string")).alias("repo"),
+        F.concat(F.lit("task "), F.col("round").cast("string")).alias("problem_statement"),
+        "patch", F.round("reward", 6).alias("score"), "hotkey")
+    sinks.publish_scored_rows(rw, path)
+    return spark.read.parquet(path).select("repo", "problem_statement", "solution_patch", "score", "miner_hotkey")
+
+
+QUERIES.update({"state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
+                "published_rows": published_rows})
+
+
 def _register_streams():
     from .stream_queries import STREAM_QUERIES
     QUERIES.update(STREAM_QUERIES)
