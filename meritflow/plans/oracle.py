@@ -204,6 +204,14 @@ flat AS (SELECT round, unnest(rt) AS rating, unnest(range(len(rt))) AS idx FROM
 SELECT f.round, s.uid, CAST(f.idx AS BIGINT) AS idx, round(f.rating, 6) AS rating,
        row_number() OVER (PARTITION BY f.round ORDER BY f.rating DESC, f.idx) AS rank
 FROM flat f JOIN subs s ON s.round = f.round AND s.idx = f.idx"""
+    q["hotkey_as_of"] = """
+WITH snaps AS (
+  SELECT uid, snap_ts, arg_max(hotkey, snap_seq) AS hotkey FROM (
+    SELECT o_custkey % 64 AS uid, o_orderdate AS snap_ts, o_orderkey AS snap_seq, o_orderpriority AS hotkey FROM orders)
+  GROUP BY uid, snap_ts),
+li AS (SELECT l_suppkey % 64 AS uid, l_orderkey, l_linenumber, l_shipdate AS ts FROM lineitem)
+SELECT li.l_orderkey, li.l_linenumber, li.uid, s.hotkey
+FROM li ASOF LEFT JOIN snaps s ON li.uid = s.uid AND li.ts >= s.snap_ts"""
     q["state_roundtrip"] = _with(*base, EMA) + "SELECT uid, round(score, 9) AS score, 0.0::DOUBLE AS pr_score FROM ema"
     q["cached_file_pairs"] = q["file_pair_top1"]
     q["published_rows"] = _with(*base) + """

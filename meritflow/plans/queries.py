@@ -437,7 +437,19 @@ def published_rows(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("repo", "problem_statement", "solution_patch", "score", "miner_hotkey")
 
 
-QUERIES.update({"state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
+def hotkey_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Each shipped line item with the hotkey its uid (supplier % 64) held on the ship date
+    (SRC6): the last snapshot of the day counts when a uid changed hands several times."""
+    from ..sources import sinks
+    snaps = scoring.latest_per_key(views.hotkey_snapshots(spark, d).select("uid", "snap_ts", "snap_seq", "hotkey"),
+                                   ["uid", "snap_ts"], ["snap_seq"]).select("uid", "snap_ts", "hotkey")
+    li = read_table(spark, d, "lineitem").select(
+        F.pmod(F.col("l_suppkey"), F.lit(64)).alias("uid"), "l_orderkey", "l_linenumber", F.col("l_shipdate").alias("ts"))
+    j = sinks.as_of(snaps, li, "uid", "snap_ts", "ts", bucket_width=30 * 86_400_000_000)
+    return j.select("l_orderkey", "l_linenumber", "uid", "hotkey")
+
+
+QUERIES.update({"hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
                 "published_rows": published_rows})
 
 
