@@ -59,11 +59,15 @@ def price_completions(completions: DataFrame, price_dim: DataFrame) -> DataFrame
 
     The price table has a fixed, small number of rows, so it is broadcast.  Unknown
     models and nested entries get a NULL cost (the caller routes them to a reject table).
+    ``cost_nano`` is the same cost as an exact integer count of 1e-9 dollars (prices have
+    at most three decimals), so totals are exact whatever the summation order.
     """
     c = completions.withColumn("model", model_alias(F.col("model")))
     j = c.join(F.broadcast(price_dim), "model", "left")
-    cost = (F.col("input_tokens") * F.col("input") + F.col("output_tokens") * F.col("output")) / F.lit(1e6)
-    return j.withColumn("cost", cost).drop("input", "output")
+    p_in = F.round(F.col("input") * 1000).cast("bigint")
+    p_out = F.round(F.col("output") * 1000).cast("bigint")
+    nano = F.col("input_tokens") * p_in + F.col("output_tokens") * p_out
+    return j.withColumn("cost_nano", nano).withColumn("cost", F.col("cost_nano") / F.lit(1e9)).drop("input", "output")
 
 
 def cost_by_model(priced: DataFrame) -> DataFrame:
@@ -72,6 +76,6 @@ def cost_by_model(priced: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_completions"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("output_tokens").alias("output_tokens"),
-        F.sum("cost").alias("total_cost"),
+        (F.sum("cost_nano") / F.lit(1e9)).alias("total_cost"),
         F.count_if(F.col("cost").isNull()).alias("n_unpriced"),
     )

@@ -146,10 +146,12 @@ def pick_per_step(steps: DataFrame, options: DataFrame, step: str, option_idx: s
                   seed: str = "0") -> DataFrame:
     """One option per step, chosen by a seeded hash of the step (TOP4).
 
-    ``options`` is a small dimension numbered 0..n_options-1 in ``option_idx``; the choice
-    is reproducible under task retry, unlike ``rand()``.
+    ``options`` is a small dimension numbered 0..n_options-1 in ``option_idx``.  The hash
+    is the first 32 bits of md5('<seed>:<step>'), so the choice is reproducible under task
+    retry (unlike ``rand()``) and in other engines.
     """
-    pick = F.pmod(F.xxhash64(F.lit(seed), F.col(step)), F.lit(n_options))
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(step).cast("string"))), 1, 8), 16, 10)
+    pick = F.pmod(h.cast("bigint"), F.lit(n_options)).cast("int")
     return steps.withColumn(option_idx, pick).join(F.broadcast(options), option_idx, "left")
 
 

@@ -204,6 +204,15 @@ flat AS (SELECT round, unnest(rt) AS rating, unnest(range(len(rt))) AS idx FROM
 SELECT f.round, s.uid, CAST(f.idx AS BIGINT) AS idx, round(f.rating, 6) AS rating,
        row_number() OVER (PARTITION BY f.round ORDER BY f.rating DESC, f.idx) AS rank
 FROM flat f JOIN subs s ON s.round = f.round AND s.idx = f.idx"""
+    q["league_per_round"] = _with(RESPONSES) + """
+SELECT r.round, n.n_name AS league FROM (SELECT DISTINCT round FROM responses) r
+LEFT JOIN nation n ON n.n_nationkey =
+  (('0x' || substring(md5('task:' || CAST(r.round AS VARCHAR)), 1, 8))::BIGINT % (SELECT count(*) FROM nation))"""
+    q["stake_maps"] = """
+SELECT uid, count(*) AS n_coldkeys, CAST(sum(stake) AS BIGINT) / 100.0 AS total_stake FROM (
+  SELECT o_custkey AS uid, o_orderpriority AS coldkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS stake
+  FROM orders GROUP BY 1, 2)
+GROUP BY uid"""
     q["hotkey_as_of"] = """
 WITH snaps AS (
   SELECT uid, snap_ts, arg_max(hotkey, snap_seq) AS hotkey FROM (
@@ -251,7 +260,8 @@ def _names_list() -> str:
 
 def _flat_prices_values() -> str:
     from ..operators.cost import NESTED_MODELS, PRICES
-    rows = [f"('{m}', {i!r}::DOUBLE, {o!r}::DOUBLE)" for m, _, i, o in PRICES if m not in NESTED_MODELS]
+    rows = [f"('{m}', {round(i * 1000)}::BIGINT, {round(o * 1000)}::BIGINT)" for m, _, i, o in PRICES
+            if m not in NESTED_MODELS]
     return "prices(model, p_in, p_out) AS (VALUES " + ", ".join(rows) + ")"
 
 
@@ -291,11 +301,11 @@ comp AS (
          input_tokens, output_tokens
   FROM (SELECT {_names_list()}[l_partkey % {n} + 1] AS m, CAST(l_quantity * 100 AS BIGINT) AS input_tokens,
                CAST(l_quantity * 10 AS BIGINT) AS output_tokens FROM lineitem)),
-priced AS (SELECT c.*, (input_tokens * p.p_in + output_tokens * p.p_out) / 1e6 AS cost
+priced AS (SELECT c.*, input_tokens * p.p_in + output_tokens * p.p_out AS cost_nano
            FROM comp c LEFT JOIN prices p ON c.model = p.model)
 SELECT model, count(*) AS n_completions, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
-       CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round(sum(cost), 6) AS total_cost,
-       count(*) FILTER (WHERE cost IS NULL) AS n_unpriced
+       CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cost_nano) AS BIGINT) / 1e9 AS total_cost,
+       count(*) FILTER (WHERE cost_nano IS NULL) AS n_unpriced
 FROM priced GROUP BY model"""
     q["strip_patch_comments"] = f"""
 WITH p AS (

@@ -182,8 +182,7 @@ def _completions(spark, d):
 def token_cost(spark: SparkSession, d: str) -> DataFrame:
     priced = cost.price_completions(_completions(spark, d), cost.flat_prices(spark))
     t = cost.cost_by_model(priced)
-    return t.select("model", "n_completions", "input_tokens", "output_tokens",
-                    F.round("total_cost", 6).alias("total_cost"), "n_unpriced")
+    return t.select("model", "n_completions", "input_tokens", "output_tokens", "total_cost", "n_unpriced")
 
 
 def _doc_patch(text_col="text"):
@@ -449,7 +448,27 @@ def hotkey_as_of(spark: SparkSession, d: str) -> DataFrame:
     return j.select("l_orderkey", "l_linenumber", "uid", "hotkey")
 
 
-QUERIES.update({"hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
+def league_per_round(spark: SparkSession, d: str) -> DataFrame:
+    """The league each hourly task goes to, picked by a seeded hash of the round (TOP4)."""
+    nations = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("opt"), F.col("n_name").alias("league"))
+    n = nations.count()                       # a dimension of fixed size: one number to the driver
+    rounds = views.responses(spark, d).select("round").distinct()
+    return pop.pick_per_step(rounds, nations, "round", "opt", n, seed="task").select("round", "league")
+
+
+def stake_maps(spark: SparkSession, d: str) -> DataFrame:
+    """Per uid a coldkey -> stake map (order priority -> total price) and its total (AGG16, MAP1)."""
+    o = read_table(spark, d, "orders")
+    # money in exact integer cents, so the total does not depend on summation order
+    per = o.groupBy(F.col("o_custkey").alias("uid"), F.col("o_orderpriority").alias("coldkey")) \
+           .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("stake"))
+    m = per.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("coldkey", "stake"))).alias("stake_map"))
+    total = F.aggregate(F.map_values("stake_map"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return m.select("uid", F.size("stake_map").cast("bigint").alias("n_coldkeys"),
+                    (total / F.lit(100.0)).alias("total_stake"))
+
+
+QUERIES.update({"league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
                 "published_rows": published_rows})
 
 
