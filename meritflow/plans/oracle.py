@@ -204,6 +204,26 @@ flat AS (SELECT round, unnest(rt) AS rating, unnest(range(len(rt))) AS idx FROM
 SELECT f.round, s.uid, CAST(f.idx AS BIGINT) AS idx, round(f.rating, 6) AS rating,
        row_number() OVER (PARTITION BY f.round ORDER BY f.rating DESC, f.idx) AS rank
 FROM flat f JOIN subs s ON s.round = f.round AND s.idx = f.idx"""
+    from ..operators.cost import model_names
+    n_models = len(model_names())
+    q["run_labels"] = f"""
+SELECT l_orderkey, l_linenumber,
+       replace(printf('%s__%s__%s__t-%.2f__p-%.2f__c-%.2f__install-%d', {_names_list()}[l_partkey % {n_models} + 1],
+                      'lineitem', l_returnflag, l_discount, l_tax, l_quantity, l_linenumber)
+               || CASE WHEN l_linestatus IS NULL OR l_linestatus = '' THEN '' ELSE '__' || l_linestatus END,
+               ':', '-') AS run,
+       CAST(1000 * year(l_shipdate) + 10 * month(l_shipdate) + day(l_shipdate) AS INTEGER) AS release
+FROM lineitem"""
+    q["file_prompts"] = """
+WITH f AS (
+  SELECT source AS dir, doc_id AS path, text FROM (
+    SELECT *, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE n >= 3 AND length(text) > 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY path) AS rn FROM f)
+SELECT dir, 'Write a problem that needs both files.' || chr(10)
+            || string_agg('Filename: ' || CAST(path AS VARCHAR) || chr(10) || '```python3' || chr(10) || text
+                          || chr(10) || '```' || chr(10), '' ORDER BY CAST(path AS VARCHAR))
+            || chr(10) || 'Directory: ' || dir AS prompt
+FROM r WHERE rn <= 2 GROUP BY dir"""
     q["league_per_round"] = _with(RESPONSES) + """
 SELECT r.round, n.n_name AS league FROM (SELECT DISTINCT round FROM responses) r
 LEFT JOIN nation n ON n.n_nationkey =

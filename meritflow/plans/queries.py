@@ -468,7 +468,39 @@ def stake_maps(spark: SparkSession, d: str) -> DataFrame:
                     (total / F.lit(100.0)).alias("total_stake"))
 
 
-QUERIES.update({"league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
+def run_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Run names and release codes for model completions (STR8, STR11)."""
+    li = read_table(spark, d, "lineitem")
+    names = cost.model_names()
+    model = F.element_at(F.array(*[F.lit(n) for n in names]), (F.pmod(F.col("l_partkey"), F.lit(len(names))) + 1).cast("int"))
+    version = F.date_format(F.col("l_shipdate"), "yyyy.M.d")
+    return li.select(
+        "l_orderkey", "l_linenumber",
+        txt.run_name(model, F.lit("lineitem"), F.col("l_returnflag"), F.col("l_discount"), F.col("l_tax"),
+                     F.col("l_quantity"), F.col("l_linenumber"), F.col("l_linestatus")).alias("run"),
+        txt.release_code(version).alias("release"))
+
+
+PROBLEM_TEMPLATE = "Write a problem that needs both files.\n{files}\nDirectory: {dir}"
+
+
+def file_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Problem-generation prompt per directory from its first two eligible files (STR3, STR4)."""
+    docs = read_table(spark, d, "documents").select(F.col("source").alias("dir"), F.col("doc_id").alias("path"), "text")
+    f = corpus.corpus_filter(docs, "dir", "text")
+    first = f.groupBy("dir").agg(F.min("path").alias("p1"))
+    second = (f.join(first, "dir").filter(F.col("path") > F.col("p1"))
+               .groupBy("dir").agg(F.min("path").alias("p2")))
+    pick = first.join(second, "dir", "left")
+    chosen = (f.join(pick, "dir").filter((F.col("path") == F.col("p1")) | (F.col("path") == F.col("p2")))
+               .select("dir", "path", "text"))
+    files = chosen.groupBy("dir").agg(F.array_sort(F.collect_list(
+        F.struct(F.col("path").cast("string").alias("path"), F.col("text").alias("contents")))).alias("files"))
+    prompt = nst.fill_template(PROBLEM_TEMPLATE, files=nst.render_files(F.col("files")), dir=F.col("dir"))
+    return files.select("dir", prompt.alias("prompt"))
+
+
+QUERIES.update({"run_labels": run_labels, "file_prompts": file_prompts, "league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
                 "published_rows": published_rows})
 
 
