@@ -120,3 +120,18 @@ def test_priority_rank_exact_with_hot_groups(spark):
     exp = {r.event_id: r.rk for r in df.withColumn("p", F.coalesce("caller_stake", F.lit(0.0)))
            .withColumn("rk", F.row_number().over(w)).collect()}
     assert got == exp
+
+
+def test_grader_registry(spark):
+    subs = spark.createDataFrame([(1, "x"), (2, "")], "sid int, patch string")
+    rub = spark.createDataFrame([(1, 1.0, 1.0, 1.0, 0.0, []), (2, 1.0, 1.0, 1.0, 0.0, [1.0])],
+                                "sid int, addresses double, logical double, brevity double, bugs double, checklist array<double>")
+    assert "float" in grading.GRADERS
+
+    @grading.register_grader("constant")
+    def constant(submissions, _rubric, key):
+        return submissions.select(*key, F.lit(0.5).alias("score"))
+
+    got = {r.sid: r.score for r in grading.GRADERS["float"](subs, rub, ["sid"]).collect()}
+    assert abs(got[1] - 1.0) < 1e-12 and got[2] == 0.25
+    assert {r.score for r in grading.GRADERS["constant"](subs, rub, ["sid"]).collect()} == {0.5}
