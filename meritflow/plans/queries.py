@@ -6,13 +6,14 @@ agree despite different summation orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import PopulationConfig, ScoringConfig, WeightConfig
-from ..functions.math import day_index
+from ..functions import nested as nst
+from ..functions import text as txt
+from ..operators import corpus, cost, grading, patches, ratings, scoring, timing, weights
 from ..operators import population as pop
-from ..operators import scoring, weights
 from ..sources import views
 from ..sources.tables import read_table
 
@@ -149,10 +150,6 @@ QUERIES = {
 
 
 # --------------------------------------------------------------------------- grading
-from ..functions import nested as nst  # noqa: E402
-from ..functions import text as txt  # noqa: E402
-from ..operators import corpus, cost, grading, patches, ratings, timing  # noqa: E402
-from ..sources.tables import read_table  # noqa: E402
 
 
 def rubric_score(spark: SparkSession, d: str) -> DataFrame:
