@@ -45,6 +45,9 @@ def test_epoch_chain_equals_fold_on_hot_key(spark):
     a = {r.id: r.due for r in timing.epoch_triggers_chain(df, "u", "ts", "id").collect()}
     b = {r.id: r.due for r in timing.epoch_triggers(df, "u", "ts", ["ts", "id"]).collect()}
     assert a == b and sum(a.values()) > 50
+    # key 1 (about 1285 events) is hot for a 500-row bound, key 2 is folded
+    c = {r.id: r.due for r in timing.epoch_triggers_split(df, "u", "ts", "id", max_fold_rows=500).collect()}
+    assert c == b
 
 
 def test_ttl_hold(spark):
