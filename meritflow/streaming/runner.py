@@ -26,12 +26,16 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     ``folder`` points at a directory of parquet parts of the table (tests split a table
     into several files to drive several micro-batches).
     """
-    schema = spark.read.parquet(table_path(sf_dir, name)).schema
+    path = table_path(sf_dir, name)
+    schema = spark.read.parquet(path).schema
     r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     if folder:
         return r.parquet(folder)
+    if os.path.isdir(path):                 # a table written as a folder of part files
+        return r.parquet(path)
+    # a single file: stream its folder, restricted to that file name
     return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
