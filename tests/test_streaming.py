@@ -119,3 +119,14 @@ def test_deadline_stream_and_recent_duplicates(spark):
 def test_trueskill_stream_equals_batch(spark, split_tables):
     s = S.stream_trueskill(spark, SF_SMALL, folder=os.path.join(split_tables, "events"))
     assert same(s, Q.trueskill_rank(spark, SF_SMALL))
+
+
+def test_ttl_hold_stream_multi_batch(spark, split_tables):
+    from pyspark.sql import functions as F
+    from meritflow.functions.math import epoch_us, floor_div
+    s = S.stream_ttl_hold(spark, SF_SMALL, folder=os.path.join(split_tables, "events"))
+    ev = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))
+    b = (ev.withColumn("bucket", floor_div(epoch_us("ts"), 12_000_000))
+           .groupBy("event_type", "bucket")
+           .agg(F.min_by("value", F.struct("ts", "event_id")).alias("held_value"), F.count(F.lit(1)).alias("n_calls")))
+    assert same(s, b)
