@@ -138,3 +138,22 @@ def test_grader_registry(spark):
     got = {r.sid: r.score for r in grading.GRADERS["float"](subs, rub, ["sid"]).collect()}
     assert abs(got[1] - 1.0) < 1e-12 and got[2] == 0.25
     assert {r.score for r in grading.GRADERS["constant"](subs, rub, ["sid"]).collect()} == {0.5}
+
+
+def test_gate_rules_order_and_hook(spark):
+    from meritflow.config import PopulationConfig
+    from meritflow.operators import population as pop
+    reg = spark.createDataFrame([(1, "hk1", True, 10.0), (2, "hk2", False, 5.0), (3, "hk2", True, 1.0)],
+                                "uid long, hotkey string, validator_permit boolean, stake double")
+    req = spark.createDataFrame([(10, None), (11, "nobody"), (12, "hk1"), (13, "hk2")], "event_id long, caller_hotkey string")
+    got = {r.event_id: (r.blocked, r.reason, r.caller_uid) for r in pop.gate_requests(req, reg).collect()}
+    assert got[10] == (True, "Missing dendrite or hotkey", None)
+    assert got[11] == (True, "Unrecognized hotkey", None)
+    assert got[12] == (False, "Hotkey recognized!", 1)
+    assert got[13] == (False, "Hotkey recognized!", 2)          # duplicate hotkey -> smallest uid
+    strict = {r.event_id: r.reason for r in
+              pop.gate_requests(req, reg, PopulationConfig(force_validator_permit=True)).collect()}
+    assert strict[13] == "Non-validator hotkey" and strict[12] == "Hotkey recognized!"
+    hooked = {r.event_id: r.reason for r in pop.gate_requests(
+        req, reg, extra_rules=[(F.col("caller_stake") < 8.0, "Stake too low")]).collect()}
+    assert hooked[13] == "Stake too low" and hooked[12] == "Hotkey recognized!"
