@@ -52,18 +52,21 @@ def unit_vector(v) -> Column:
     """v / |v| in double; a zero vector gives NULL and never takes part in a pair (MTH2)."""
     v = F.col(v) if isinstance(v, str) else v
     d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(d, lambda x: x / norm))
+    # the squared norm is accumulated once; the finish step divides by its root, so the
+    # norm is not recomputed for every element
+    return F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x,
+                       lambda ss: F.when(ss > 0, F.transform(d, lambda x: x / F.sqrt(ss))))
 
 
 def cosine(a, b) -> Column:
-    """Cosine of two double arrays (MTH2)."""
+    """Cosine of two double arrays; NULL when either is a zero vector (MTH2)."""
     a = F.col(a) if isinstance(a, str) else a
     b = F.col(b) if isinstance(b, str) else b
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     na = F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
     nb = F.sqrt(F.aggregate(b, F.lit(0.0), lambda s, x: s + x * x))
-    return dot / (na * nb)
+    # a zero vector has no direction: NULL (never wins), not a division error under ANSI
+    return F.when(na * nb > 0, dot / (na * nb))
 
 
 def _hyperplanes(dim: int, bits: int, seed: int = 7) -> np.ndarray:

@@ -85,3 +85,12 @@ def test_corpus_filter_counts_names_before_length(spark):
 def test_latest_version_numeric_order(spark):
     df = spark.createDataFrame([("r", "3.9", "a"), ("r", "3.10", "b")], "repo string, python string, inst string")
     assert corpus.latest_version(df, ["repo"], "python").first().python == "3.9"
+
+
+def test_unit_vector_and_cosine_helpers(spark):
+    df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [-1.0, 0.0])],
+                               "a array<double>, b array<double>")
+    rows = df.select(corpus.unit_vector("a").alias("u"), corpus.cosine("a", "b").alias("c")).collect()
+    assert rows[0].u == [0.6, 0.8] and abs(rows[0].c - 0.96) < 1e-12
+    assert rows[1].u is None and rows[1].c is None
+    assert rows[2].c == -1.0
