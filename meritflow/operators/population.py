@@ -111,8 +111,15 @@ def sample_with_topup(available: DataFrame, excluded: DataFrame, k: int, group:
     return d.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
-def status_split(df: DataFrame, group: str, ok: Column) -> DataFrame:
-    """Count of successful and failed calls per group (FLT4)."""
+def status_split(df: DataFrame, group: str, ok: Column, call_failed: Column | None = None) -> DataFrame:
+    """Count of successful and failed calls per group (FLT4).
+
+    ``call_failed`` marks rows whose whole call raised (no per-uid status): they all
+    count as failed, whatever their own status says.
+    """
+    if call_failed is not None:
+        ok = ok & ~F.coalesce(call_failed, F.lit(False))
+    ok = F.coalesce(ok, F.lit(False))
     return df.groupBy(group).agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed"))
 
 

@@ -157,3 +157,11 @@ def test_gate_rules_order_and_hook(spark):
     hooked = {r.event_id: r.reason for r in pop.gate_requests(
         req, reg, extra_rules=[(F.col("caller_stake") < 8.0, "Stake too low")]).collect()}
     assert hooked[13] == "Stake too low" and hooked[12] == "Hotkey recognized!"
+
+
+def test_status_split_failed_call(spark):
+    from meritflow.operators import population as pop
+    df = spark.createDataFrame([(1, 200, False), (1, 408, False), (2, 200, True), (2, 200, True)],
+                               "r int, code int, raised boolean")
+    got = {r.r: (r.n_ok, r.n_failed) for r in pop.status_split(df, "r", F.col("code") == 200, F.col("raised")).collect()}
+    assert got == {1: (1, 1), 2: (0, 2)}
