@@ -34,7 +34,11 @@ def valid_rewards(spark: SparkSession, d: str, cfg: ScoringConfig = ScoringConfi
     """Latest response per (round, uid) from an eligible miner with a non-empty patch,
     scored: reward = 9 * eval + decay(timeout, process_time)."""
     m = eligible_population(spark, d)
-    r = scoring.latest_per_key(views.responses(spark, d), ["round", "uid"], ["ts", "event_id"])
+    # one shuffle on (uid, day) serves both the dedupe (day follows from round, so the
+    # groups are the same) and the per-(uid, day) EMA window downstream; a busy uid is
+    # still split by day
+    resp = views.responses(spark, d).repartition("uid", "day")
+    r = scoring.latest_per_key(resp, ["uid", "day", "round"], ["ts", "event_id"])
     r = r.filter(F.col("patch").isNotNull() & (F.col("patch") != ""))
     r = r.join(m, "uid", "inner")
     return r.withColumn("reward", scoring.reward(F.col("score"), F.col("process_time"), cfg))
