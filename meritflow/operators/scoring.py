@@ -101,11 +101,20 @@ def ema_with_reset(df: DataFrame, uid: str, order: list[str], hotkey: str, value
     changed hands, and the EMA over the current holder's rows.
     """
     m = hotkey_epochs(df, uid, order, hotkey, block)
+    # m feeds three branches: written once to the shared checkpoint folder (its
+    # (uid, block) partitioning is kept) instead of re-scanning and re-shuffling the rows
+    from ..session import checkpoint_dir
+    checkpoint_dir(m.sparkSession)
+    m = m.checkpoint()
     summary = (m.groupBy(uid)
                  .agg(F.max(F.when(F.col("_reset"), F.col("_pos"))).alias("_last_reset"),
                       F.sum(F.col("_reset").cast("int")).cast("bigint").alias("n_resets"),
                       F.max(F.struct(F.col("_pos"), F.col(hotkey).alias("_h")))["_h"].alias("current_hotkey")))
-    cur = (m.join(summary, uid, "inner")
+    # the per-uid summary is attached to the small (uid, block) table first, so the rows
+    # themselves are joined on (uid, block) and keep that partitioning: a busy uid's rows
+    # are never gathered by uid alone
+    blk_info = m.select(uid, "_blk").distinct().join(summary.select(uid, "_last_reset"), uid, "inner")
+    cur = (m.join(blk_info, [uid, "_blk"], "inner")
             .filter(F.col("_last_reset").isNull() | (F.col("_pos") >= F.col("_last_reset"))))
     ema = ema_final(cur, uid, order, value, block=F.col("_blk"), alpha=alpha, out=out)
     return (summary.join(ema, uid, "inner")
