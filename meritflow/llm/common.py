@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from meritflow.session import scratch_path
 
@@ -38,11 +39,8 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def word_count(text: Column) -> Column:
-    """Number of words; null counts as empty."""
-    kept = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    spaces = F.length(kept) - F.length(F.replace(kept, F.lit(" "), F.lit("")))
-    return F.when(kept == "", F.lit(0)).otherwise(spaces + 1).cast("long")
+BLANK = np.zeros(256, bool)
+BLANK[[*SPACE.encode()]] = True
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -103,3 +101,24 @@ def stream_values(seed: int, n: int) -> np.ndarray:
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from meritflow.sources.tables import read_table
     return read_table(spark, sf_dir, name)
+
+
+def word_starts(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Where words start in the bytes of texts that begin at ``rows``."""
+    letter = ~BLANK[data]
+    start = letter.copy()
+    start[1:] &= ~letter[:-1]
+    first = rows[rows < len(data)]
+    start[first] = letter[first]
+    return np.flatnonzero(start)
+
+
+@F.arrow_udf(LongType())
+def words(text: pa.Array) -> pa.Array:
+    """Number of words of each text; null counts as empty."""
+    data, at = utf8(text)
+    out = np.zeros(len(at) - 1, np.int64)
+    for i, j in pieces(at, 1 << 22):
+        starts = word_starts(data[at[i]:at[j]], at[i:j] - at[i])
+        out[i:j] = np.diff(np.searchsorted(starts, at[i:j + 1] - at[i]))
+    return pa.array(out)

@@ -5,8 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritflow.llm import toxicity
-from meritflow.llm.common import read, remainder
+from meritflow.llm import exact_dedup, mixing, toxicity
+from meritflow.llm.common import read, remainder, words, written
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix of sources takes from it."""
+    docs = read(spark, sf_dir, "documents")
+    sized = written(docs.select("doc_id", "source", words(F.col("text")).alias("size")), "sizes")
+    mixed = mixing.mix(sized.withColumnRenamed("size", "n_words"), F.col("n_words"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"),
+                        "source", "copies")
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of equal texts and the row that stays."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact_dedup.mark(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +34,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {}
