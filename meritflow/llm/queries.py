@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritflow.llm import exact_dedup, mixing, toxicity
+from meritflow.llm import exact_dedup, minhash, mixing, toxicity
 from meritflow.llm.common import read, remainder, words, written
 
 
@@ -33,7 +33,15 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its near-duplicate component."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.link(docs).select("doc_id", "n_shingles", "component_id",
+                                     F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 QUERIES = {
+    "op10_minhash": op10_minhash,
     "op1_mixing": op1_mixing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
