@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritflow.llm import exact_dedup, minhash, mixing, toxicity
+from meritflow.llm import exact_dedup, minhash, mixing, packing, toxicity
 from meritflow.llm.common import read, remainder, words, written
 
 
@@ -18,6 +18,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "source", "copies")
 
 
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    """Path of a public vocabulary file, installed with the tokenizers on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its packed sequence."""
+    return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal texts and the row that stays."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,6 +54,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op10_minhash": op10_minhash,
     "op1_mixing": op1_mixing,
+    "op2_packing": op2_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
 }
