@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritflow.llm import exact_dedup, minhash, mixing, packing, toxicity
+from meritflow.llm import exact_dedup, language, minhash, mixing, packing, sharding, toxicity
 from meritflow.llm.common import read, remainder, words, written
 
 
@@ -29,6 +29,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the held-out quarter."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    model = language.fit(docs.where(~held_out))
+    return language.predict(docs.drop("lang"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of equal texts and the row that stays."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -44,6 +52,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards, each with the sources in proportion."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = written(read(spark, sf_dir, "documents").select(
+        "doc_id", "source", (F.length(raw) + 16).cast("long").alias("size"), F.crc32(raw).alias("text_crc32")), "sizes")
+    return sharding.assign(docs, 40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "source")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate component."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,10 +68,12 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op10_minhash": op10_minhash,
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
+    "op3_language": op3_language,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op9_sharding": op9_sharding,
+    "op10_minhash": op10_minhash,
 }
 ORACLE_SQL: dict[str, str] = {}
