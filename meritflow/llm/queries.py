@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritflow.llm import exact_dedup, language, minhash, mixing, packing, sharding, toxicity
+from meritflow.llm import (exact_dedup, language, line_rules, minhash, mixing, packing, sharding, substring_dedup,
+                           toxicity)
 from meritflow.llm.common import read, remainder, words, written
 
 
@@ -52,6 +53,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the line-frequency verdict of every document."""
+    return line_rules.judge(read(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of every document."""
+    return substring_dedup.find(read(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 40 shards, each with the sources in proportion."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -73,6 +84,8 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
+    "op6_line_rules": op6_line_rules,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
 }
