@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritflow.llm import (exact_dedup, language, line_rules, minhash, mixing, packing, sharding, substring_dedup,
-                           toxicity)
+from meritflow.llm import (exact_dedup, html_text, language, line_rules, minhash, mixing, packing, sharding,
+                           substring_dedup, toxicity)
 from meritflow.llm.common import read, remainder, words, written
 
 
@@ -58,6 +58,11 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of every document."""
     return substring_dedup.find(read(spark, sf_dir, "documents"))
@@ -85,8 +90,60 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_line_rules": op6_line_rules,
+    "op7_html_text": op7_html_text,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n,
+                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+            FROM documents)
+        SELECT doc_id,
+               first_value(doc_id) OVER same AS keep_id,
+               count(*) OVER (PARTITION BY text_sha256) AS group_size,
+               row_number() OVER same = 1 AS kept,
+               text_sha256
+        FROM t
+        WINDOW same AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LAST)""",
+    "op6_line_rules": r"""
+        WITH t AS (
+            SELECT doc_id, source, coalesce(text, '') AS text, coalesce('=' || source, '') AS host,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)),
+                               lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+            FROM documents),
+        threes AS (
+            SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM t)),
+        again AS (
+            SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS j
+            FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS n FROM threes) WHERE n > 1),
+        repeats AS (SELECT doc_id, sum(least(3, coalesce(j - i, 3))) AS n FROM again GROUP BY doc_id),
+        held AS (
+            SELECT doc_id, host, md5(text) AS key, len(string_split(line, ' ')) AS w, line
+            FROM (SELECT doc_id, host, text, trim(regexp_replace(regexp_replace(lower(unnest(string_split(text, chr(10)))),
+                         '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS line FROM t)
+            WHERE line <> ''),
+        hosts AS (SELECT host, count(DISTINCT md5(text)) AS texts FROM t GROUP BY host),
+        common AS (
+            SELECT host, line FROM (SELECT host, line, count(DISTINCT key) AS n FROM held GROUP BY host, line)
+            JOIN hosts USING (host) WHERE n > greatest(20.0, texts * 0.02)),
+        lost AS (SELECT doc_id, sum(w) AS n FROM held JOIN common USING (host, line) GROUP BY doc_id),
+        counted AS (
+            SELECT t.doc_id, source, len(words) AS n_words,
+                   length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+                   coalesce(repeats.n, 0)::BIGINT AS n_repeat_words,
+                   coalesce(lost.n, 0)::BIGINT AS removed_words
+            FROM t LEFT JOIN repeats USING (doc_id) LEFT JOIN lost USING (doc_id))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+               n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+                   AND n_words - removed_words >= 0.5 * n_words AS kept,
+               removed_words, source
+        FROM counted""",
+}
