@@ -106,8 +106,8 @@ def find(docs: DataFrame, min_words: int = 16, mean: int = MEAN_CHUNK, max_bits:
 
     ``spans`` lists (start, length, removed, doc_ids) in bytes of the UTF-8 text, in order;
     ``removed`` is false where the passage first occurs.  ``doc_ids`` holds, for a removed
-    span, the first documents of its chunks, and for a first occurrence the last documents
-    that repeat them.  The first document is the one with the smallest doc_id (null last),
+    span, the first documents of most of its chunks, and for a first occurrence the last
+    documents that repeat them.  The first document is the one with the smallest doc_id (null last),
     and within a document the first place counts.  Rows with the same doc_id and text count
     as one document.  Null and empty texts have no spans.
 
@@ -129,9 +129,14 @@ def find(docs: DataFrame, min_words: int = 16, mean: int = MEAN_CHUNK, max_bits:
                                           | (F.lag("removed").over(here) != F.col("removed")), F.lit(True)))
             .withColumn("span", F.sum(F.col("new").cast("long")).over(here)))
     other = F.when(F.col("removed"), F.col("first")).otherwise(F.col("last"))
-    spans = (told.groupBy("key", "span", "removed").agg(
-        F.min("start").alias("start"), F.sum("size").alias("length"), F.sum("words").alias("words"),
-        F.collect_set(other).alias("doc_ids")).where(F.col("words") >= min_words))
+    # a stray chunk next to a passage may come from elsewhere: name the documents of its bulk
+    parts = told.groupBy("key", "span", "removed", other.alias("other")).agg(
+        F.min("start").alias("start"), F.sum("size").alias("length"), F.sum("words").alias("words"))
+    most = F.least(F.lit(min_words // 2), F.array_max(F.transform("others", lambda x: x["words"])))
+    spans = (parts.groupBy("key", "span", "removed").agg(
+        F.min("start").alias("start"), F.sum("length").alias("length"), F.sum("words").alias("words"),
+        F.collect_list(F.struct("words", "other")).alias("others")).where(F.col("words") >= min_words)
+        .withColumn("doc_ids", F.transform(F.filter("others", lambda x: x["words"] >= most), lambda x: x["other"])))
     per = spans.groupBy("key").agg(
         F.sum("length").alias("repeated_bytes"),
         F.sum(F.when(F.col("removed"), F.col("length")).otherwise(0)).alias("removed_bytes"),

@@ -121,7 +121,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, max_terms: int = 5_000,
-        min_docs: int = 8, min_log_odds: float = 2.5, exceptions: tuple[str, ...] = EXCEPTIONS,
+        min_docs: int = 5, min_log_odds: float = 2.5, exceptions: tuple[str, ...] = EXCEPTIONS,
         holdout: int = 5) -> ToxicityModel:
     """Learn lexicon and calibration from the labelled rows outside the held-out fold.
 
