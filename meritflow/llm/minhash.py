@@ -6,12 +6,14 @@ each shingle on a ring, the second orders the ring's places, and coordinate k is
 after shifting the second by k.  Classes that agree on all rows of a band fall into one
 bucket; buckets that touch form candidate groups.
 
-Within a group pairs are not listed.  In each round up to 63 pivots of a group are compared
-on full sets with every class of the group that may still join another component, in
-streams that are salted for large groups.  A class then has a bit mask of its linked
-pivots, and the masks of a component, OR-ed together, tell which components merge.  A pivot
-has met everyone, so it is done; a group is done when all classes that are not belong to one
-component.  So every link between candidates is found, whatever the group's size.
+Within a group pairs are not listed.  First, a few pivots of each group are compared on full
+sets with all its classes, in streams that are salted for large groups.  In a group with
+more classes than pivots, most attach to one pivot; every class that does not becomes a
+pivot itself, in blocks that stream the group's classes past them.  So a link is left
+uncompared only between two classes that are known to hang together through the first
+pivot, and no component is missed, whatever the group's size.  What leaves a task is one
+link for each class and block, and the links that join pivots, which is enough for the
+components.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from meritflow.llm.common import BLANK, fresh, mix64, pieces, small, stream_values, utf8, word_starts, written
 
 RING = 1 << 20
-PIVOTS = 63             # a mask of links fits a non-negative long
+PIVOTS = 256
 SALT_ROWS = 512
 
 _LETTERS = stream_values(11, 256)
@@ -164,115 +166,94 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.mapInArrow(run, "set_id binary, set binary")
 
 
-def _compare(rows: DataFrame, percent: int) -> DataFrame:
-    """set_id and the mask of linked pivots for the members among ``rows``.
+def _compare(who: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (grp, a, b, no) found between members and pivots of the same (grp, block, salt).
 
-    Rows come by (group, salt), pivots (with their number) first, members (number -1) after.
+    ``who`` has the pivots, numbered by ``no`` from 0, and the members, with no = -1.  A
+    member's link goes to its first pivot; links between pivots have no = -1.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, numbers, pivots = None, [], []
+        at, pivots, names, parent = None, [], [], []
         table: tuple[np.ndarray, ...] | None = None
-        for b in batches:
-            groups, salts, no = (b.column(x).to_pylist() for x in ("grp", "salt", "no"))
-            data, off = utf8(b.column("set"))
-            ids, who, masks = b.column("set_id"), [], []
-            for i in range(b.num_rows):
-                if (groups[i], salts[i]) != at:
-                    at, numbers, pivots, table = (groups[i], salts[i]), [], [], None
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for batch in batches:
+            places = list(zip(*(batch.column(x).to_pylist() for x in ("grp", "block", "salt")), strict=True))
+            pivot, ids = batch.column("no").to_numpy() >= 0, batch.column("set_id").to_pylist()
+            data, off = utf8(batch.column("set"))
+            out: list[tuple] = []
+            for i, place in enumerate(places):
+                if place != at:
+                    at, pivots, names, table = place, [], [], None
                 x = data[off[i]:off[i + 1]].view(np.uint64)
-                if no[i] >= 0:
-                    numbers.append(no[i])
+                if pivot[i]:
                     pivots.append(x.copy())
+                    names.append(ids[i])
                     continue
                 if table is None:
-                    every = np.concatenate(pivots)
-                    owner = np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])
+                    every, owner = np.concatenate(pivots), np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])
                     order = np.argsort(every, kind="stable")
                     table = every[order], owner[order], np.array([len(p) for p in pivots])
+                    parent[:] = range(len(pivots))
                 every, owner, sizes = table
                 lo, hi = np.searchsorted(every, x), np.searchsorted(every, x, side="right")
                 n = hi - lo
                 hit = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
                 both = np.bincount(owner[hit], minlength=len(sizes))
-                linked = 100 * both >= percent * (sizes + len(x) - both)
-                mask = 0
-                for k in np.flatnonzero(linked):
-                    mask |= 1 << numbers[k]
-                who.append(i)
-                masks.append(mask)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(who, pa.int64())), pa.array(masks, pa.int64())],
-                                             ["set_id", "mask"])
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartition(parts, "grp", "salt").sortWithinPartitions("grp", "salt", F.col("no") < 0)
-            .mapInArrow(run, "set_id binary, mask long"))
-
-
-def _merge(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Components of pivots: (grp, bits array of (lowest bit, OR of masks)) -> root bit of each pivot."""
-    for b in pairs:
-        grp, root, bit = [], [], []
-        for g, rows in zip(b.column("grp").to_pylist(), b.column("masks").to_pylist(), strict=True):
-            parent = list(range(PIVOTS))
-
-            def find(x: int, parent: list[int] = parent) -> int:
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            seen = 0
-            for m in rows:
-                seen |= m
-                low = (m & -m).bit_length() - 1
-                for k in range(PIVOTS):
-                    if m >> k & 1:
-                        x, y = find(low), find(k)
-                        parent[max(x, y)] = min(x, y)
-            for k in range(PIVOTS):
-                if seen >> k & 1:
-                    grp.append(g)
-                    bit.append(k)
-                    root.append(find(k))
-        yield pa.RecordBatch.from_arrays([pa.array(grp, pa.binary()), pa.array(bit, pa.int32()), pa.array(root, pa.int32())],
-                                         ["grp", "bit", "root"])
+                linked = np.flatnonzero(100 * both >= percent * (sizes + len(x) - both)).tolist()
+                if linked:
+                    out.append((at[0], ids[i], names[linked[0]], linked[0]))
+                    for k in linked[1:]:
+                        a, b = root(linked[0]), root(k)
+                        if a != b:
+                            parent[max(a, b)] = min(a, b)
+                            out.append((at[0], names[linked[0]], names[k], -1))
+            g, a, b, no = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(g, pa.binary()), pa.array(a, pa.binary()), pa.array(b, pa.binary()),
+                                              pa.array(no, pa.int32())], ["grp", "a", "b", "no"])
+
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (sets.join(small(written(who, "compared")), "set_id").select("grp", "block", "salt", "no", "set_id", "set")
+            .repartition(parts, "grp", "block", "salt").sortWithinPartitions("grp", "block", "salt", F.col("no") < 0, "no")
+            .mapInArrow(run, "grp binary, a binary, b binary, no int"))
+
+
+def _streams(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Members (grp, n, blocks, set_id) dealt to every block and one salt, pivots (grp, n, block,
+    no, set_id) to every salt of their block."""
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("long")
+    upto = lambda x: F.explode(F.sequence(F.lit(0).cast("long"), x - 1))
+    return (members.select("grp", upto(F.col("blocks")).alias("block"), F.pmod(F.xxhash64(F.lit(3), "set_id"), salts)
+                           .alias("salt"), F.lit(-1).cast("long").alias("no"), "set_id")
+            .unionByName(pivots.select("grp", "block", upto(salts).alias("salt"), "no", "set_id")))
 
 
 def _resolve(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(set_id, label) from candidate groups (set_id, grp): exact components within each."""
-    state = nodes.select("set_id", "grp", F.col("set_id").alias("label"), F.lit(True).alias("active"))
-    while True:
-        # a label is live while it has classes that were not pivots; groups with one are done
-        live = state.where("active").groupBy("grp", "label").agg(F.count("*").alias("n"))
-        groups = live.groupBy("grp").agg(F.count("*").alias("labels"), F.sum("n").alias("members"),
-                                         F.max(F.struct("n", "label"))["label"].alias("main"))
-        todo = written(groups.where("labels > 1").select("grp", "members", "main"), "todo")
-        if todo.isEmpty():
-            return state.select("set_id", "label")
-        members = state.where("active").join(todo, "grp")
-        first = Window.partitionBy("grp").orderBy(F.xxhash64("set_id"), "set_id")
-        pivots = written(members.where("label != main").withColumn("no", F.row_number().over(first) - 1)
-                         .where(F.col("no") < PIVOTS).select("grp", "members", "no", "set_id"), "pivots")
-        salts = F.ceil(F.col("members") / SALT_ROWS).cast("long")
-        left = members.select("grp", F.pmod(F.xxhash64(F.lit(3), "set_id"), salts).alias("salt"),
-                              F.lit(-1).alias("no"), "set_id")
-        copies = pivots.select("grp", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "no", "set_id")
-        who = written(left.unionByName(copies), "compared")
-        masks = _compare(sets.join(small(who), "set_id").select("grp", "salt", "no", "set_id", "set"), percent)
-        marked = written(state.join(masks, "set_id", "left").withColumn("mask", F.coalesce("mask", F.lit(0).cast("long")))
-                         .join(pivots.select("set_id", F.lit(True).alias("was")), "set_id", "left")
-                         .withColumn("active", F.col("active") & F.col("was").isNull()).drop("was"), "marked")
-        # a component's mask, then one mask for each lowest bit: at most 63 rows a group
-        by_label = marked.where("mask != 0").groupBy("grp", "label").agg(F.bit_or("mask").alias("m"))
-        low = F.col("m").bitwiseAND(-F.col("m"))
-        by_bit = by_label.groupBy("grp", low.alias("low")).agg(F.bit_or("m").alias("m"))
-        roots = (by_bit.groupBy("grp").agg(F.collect_list("m").alias("masks"))
-                 .mapInArrow(_merge, "grp binary, bit int, root int"))
-        bit = F.round(F.log2(low.cast("double"))).cast("int")
-        merged = by_label.withColumn("bit", bit).join(roots, ["grp", "bit"])
-        least = merged.groupBy("grp", "root").agg(F.min("label").alias("to"))
-        new = merged.join(least, ["grp", "root"]).select("grp", "label", "to")
-        state = written(marked.join(new, ["grp", "label"], "left").select(
-            "set_id", "grp", F.coalesce("to", "label").alias("label"), "active"), "state")
+    """(set_id, label) of the linked classes, from candidate groups (set_id, grp)."""
+    one = F.lit(1).cast("long")
+    sized = nodes.join(nodes.groupBy("grp").agg(F.count("*").alias("n")), "grp").withColumn("blocks", one)
+    first = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("set_id"), "set_id")) - 1
+    pivots = written(sized.withColumn("no", first.cast("long")).where(F.col("no") < PIVOTS)
+                     .select("grp", "n", F.lit(0).cast("long").alias("block"), "no", "set_id"), "pivots")
+    links = written(_compare(_streams(sized, pivots), sets, percent), "links")
+    # larger groups: whoever is not attached to the group's most common pivot is compared too
+    large = sized.where(F.col("n") > PIVOTS).join(pivots.select("set_id"), "set_id", "left_anti")
+    best = (links.where("no >= 0").groupBy("grp", "no").agg(F.count("*").alias("held")).groupBy("grp")
+            .agg(F.max_by("no", F.struct("held", -F.col("no"))).alias("no")))
+    attached = links.join(best, ["grp", "no"]).select(F.col("a").alias("set_id")).distinct()
+    rest = written(large.join(attached, "set_id", "left_anti"), "rest")
+    if not rest.isEmpty():
+        per = rest.groupBy("grp").agg(F.ceil(F.count("*") / PIVOTS).cast("long").alias("blocks"))
+        more = rest.drop("blocks").join(per, "grp").withColumn("block", F.pmod(F.xxhash64(F.lit(9), "set_id"), "blocks"))
+        late = Window.partitionBy("grp", "block").orderBy("set_id")
+        more = more.withColumn("no", (F.row_number().over(late) - 1).cast("long")).select("grp", "n", "block", "no", "set_id")
+        again = _compare(_streams(large.drop("blocks").join(per, "grp"), more), sets, percent)
+        links = written(links.unionByName(again).select("a", "b"), "links")
+    return components(links.select("a", "b")).select(F.col("node").alias("set_id"), F.col("root").alias("label"))
 
 
 def link(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 20, rows: int = 4) -> DataFrame:
