@@ -21,29 +21,40 @@ _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 def hunk_lines(patches: DataFrame, patch_id: str = "patch_id", patch: str = "patch") -> DataFrame:
     """One row per line of every hunk (TBL1).
 
-    Returns (patch_id, path, hunk_no, old_start, kind, k, text): ``kind`` is ' ', '-' or
-    '+'; ``k`` numbers the old-side lines (' ' and '-') of a hunk from 0 (NULL for '+').
+    Returns (patch_id, path, creates, hunk_no, old_start, kind, k, text): ``kind`` is ' ',
+    '-' or '+'; ``k`` numbers the old-side lines (' ' and '-') of a hunk from 0 (NULL for
+    '+').  The lengths in a hunk's header say where it ends, so a removed line that looks
+    like a file header is still a removed line, and the next file's header is none.  A
+    deletion is looked up under its old name; ``creates`` marks a file that must be new.
     A patch is one submission, so the ordered scan runs per patch.
     """
     ex = patches.select(F.col(patch_id).alias("patch_id"), F.posexplode(F.split(F.col(patch), "\n", -1)).alias("pos", "line"))
-    is_file = F.col("line").startswith("+++ ")
-    is_hunk = F.col("line").rlike(_HUNK)
-    w = Window.partitionBy("patch_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = (ex.withColumn("_path", F.when(is_file, F.regexp_extract("line", r"^\+\+\+ (?:b/)?(.*)$", 1)))
-           .withColumn("_start", F.when(is_hunk, F.regexp_extract("line", _HUNK, 1).cast("bigint")))
-           .withColumn("_hunk_pos", F.when(is_hunk, F.col("pos")))
-           .withColumn("path", F.last("_path", ignorenulls=True).over(w))
-           .withColumn("old_start", F.last("_start", ignorenulls=True).over(w))
-           .withColumn("hunk_pos", F.last("_hunk_pos", ignorenulls=True).over(w))
-           .withColumn("_file_pos", F.last(F.when(is_file, F.col("pos")), ignorenulls=True).over(w)))
-    body = d.filter(F.col("hunk_pos").isNotNull() & (F.col("hunk_pos") > F.coalesce(F.col("_file_pos"), F.lit(-1)))
-                    & ~is_hunk & F.substring("line", 1, 1).isin(" ", "-", "+"))
-    hunk_no = F.dense_rank().over(Window.partitionBy("patch_id").orderBy("hunk_pos"))
-    body = body.withColumn("hunk_no", hunk_no).withColumn("kind", F.substring("line", 1, 1))
+    line = F.col("line")
+    is_hunk = line.rlike(_HUNK)
+    scan = Window.partitionBy("patch_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest = lambda cond, value: F.last(F.when(cond, value), ignorenulls=True).over(scan)
+    length = lambda i: F.when(F.regexp_extract(line, _HUNK, i) == "", 1).otherwise(
+        F.regexp_extract(line, _HUNK, i).try_cast("bigint"))
+    kind = F.when(line == "", " ").otherwise(F.substring(line, 1, 1))
+    before = (Window.partitionBy("patch_id", "hunk_pos").orderBy("pos")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    seen = lambda kinds: F.coalesce(F.sum((F.col("kind").isin(*kinds) & ~F.col("head")).cast("int")).over(before), F.lit(0))
+    d = (ex.withColumn("head", is_hunk).withColumn("kind", kind)
+           .withColumn("hunk_pos", latest(is_hunk, F.col("pos")))
+           .withColumn("old_start", latest(is_hunk, F.regexp_extract(line, _HUNK, 1).try_cast("bigint")))
+           .withColumn("old_len", latest(is_hunk, length(2))).withColumn("new_len", latest(is_hunk, length(4)))
+           .withColumn("body", F.coalesce(~F.col("head") & F.col("kind").isin(" ", "-", "+") & (
+               (seen(" -") < F.col("old_len")) | (seen(" +") < F.col("new_len"))), F.lit(False))))
+    name = F.regexp_extract(line, r"^(?:---|\+\+\+) (?:[ab]/)?([^\t]*)", 1)
+    d = (d.withColumn("old_path", latest(~F.col("body") & line.startswith("--- "), name))
+          .withColumn("new_path", latest(~F.col("body") & line.startswith("+++ "), name))
+          .withColumn("path", F.when(F.col("new_path") == "/dev/null", F.col("old_path")).otherwise(F.col("new_path")))
+          .withColumn("creates", F.coalesce(F.col("old_path") == "/dev/null", F.lit(False))))
+    body = d.filter("body").withColumn("hunk_no", F.dense_rank().over(Window.partitionBy("patch_id").orderBy("hunk_pos")))
     old = F.col("kind").isin(" ", "-")
     k = F.sum(old.cast("int")).over(Window.partitionBy("patch_id", "hunk_no").orderBy("pos")
                                     .rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
-    return body.select("patch_id", "path", "hunk_no", "old_start", "kind",
+    return body.select("patch_id", "path", "creates", "hunk_no", "old_start", "kind",
                        F.when(old, k).cast("bigint").alias("k"), F.expr("substring(line, 2)").alias("text"))
 
 
@@ -56,26 +67,29 @@ def file_lines(files: DataFrame, path: str, contents: str) -> DataFrame:
 
 def patch_applies(hunks: DataFrame, lines: DataFrame) -> DataFrame:
     """(patch_id, applies, offset, n_hunks) (JOIN11); offset is the chosen shift of the
-    first hunk.  A hunk without old-side lines applies anywhere."""
-    old = hunks.filter(F.col("k").isNotNull()).select("patch_id", "path", "hunk_no", "old_start", "k", "text")
-    sizes = old.groupBy("patch_id", "hunk_no").agg(F.count(F.lit(1)).alias("hunk_len"))
-    all_hunks = hunks.select("patch_id", "hunk_no").distinct()
-    anchor = (old.groupBy("patch_id", "hunk_no", "path", "old_start")
+    first hunk.  A hunk without old-side lines applies anywhere in an existing file; a file
+    that a patch creates must not exist, any other must."""
+    one = ["patch_id", "hunk_no"]
+    old = hunks.filter(F.col("k").isNotNull()).select(*one, "path", "old_start", "k", "text")
+    per = hunks.groupBy(*one).agg(F.first("path").alias("path"), F.first("creates").alias("creates"),
+                                  F.count("k").alias("hunk_len"))
+    there = lines.join(hunks.select("path").distinct(), "path", "left_semi")
+    anchor = (old.groupBy(*one, "path", "old_start")
                  .agg(F.max_by(F.struct("k", "text"), F.struct(F.length("text"), -F.col("k"))).alias("a"))
-                 .select("patch_id", "hunk_no", "path", "old_start", F.col("a.k").alias("ak"), F.col("a.text").alias("atext")))
-    cand = (anchor.join(lines.withColumnRenamed("text", "atext"), ["path", "atext"])
-                  .select("patch_id", "hunk_no", "path", (F.col("line_no") - F.col("old_start") - F.col("ak")).alias("delta")))
-    probe = (cand.join(old.select("patch_id", "hunk_no", "old_start", "k", "text"), ["patch_id", "hunk_no"])
+                 .select(*one, "path", "old_start", F.col("a.k").alias("ak"), F.col("a.text").alias("atext")))
+    cand = (anchor.join(there.withColumnRenamed("text", "atext"), ["path", "atext"])
+                  .select(*one, "path", (F.col("line_no") - F.col("old_start") - F.col("ak")).alias("delta")))
+    probe = (cand.join(old.select(*one, "old_start", "k", "text"), one)
                  .withColumn("line_no", F.col("old_start") + F.col("k") + F.col("delta")))
-    hits = probe.join(lines, ["path", "line_no", "text"], "inner")
-    matched = (hits.groupBy("patch_id", "hunk_no", "delta").agg(F.count(F.lit(1)).alias("c"))
-                   .join(sizes, ["patch_id", "hunk_no"]).filter(F.col("c") == F.col("hunk_len")))
-    best = (matched.groupBy("patch_id", "hunk_no")
-                   .agg(F.min(F.struct(F.abs("delta").alias("ad"), F.col("delta"))).alias("b"))
-                   .select("patch_id", "hunk_no", F.col("b.delta").alias("delta")))
-    per_hunk = (all_hunks.join(sizes, ["patch_id", "hunk_no"], "left").join(best, ["patch_id", "hunk_no"], "left")
-                         .withColumn("ok", F.col("hunk_len").isNull() | F.col("delta").isNotNull()))
-    return (per_hunk.groupBy("patch_id")
-                    .agg(F.min(F.col("ok").cast("int")).cast("boolean").alias("applies"),
-                         F.min_by("delta", "hunk_no").alias("offset"),
-                         F.count(F.lit(1)).alias("n_hunks")))
+    hits = probe.join(there, ["path", "line_no", "text"], "inner")
+    best = (hits.groupBy(*one, "delta").agg(F.count(F.lit(1)).alias("c"))
+                .join(per.select(*one, "hunk_len"), one).filter(F.col("c") == F.col("hunk_len"))
+                .groupBy(*one).agg(F.min(F.struct(F.abs("delta").alias("ad"), F.col("delta")))["delta"].alias("delta")))
+    exists = there.filter(F.col("line_no") == 1).select("path", F.lit(True).alias("exists"))
+    known = F.coalesce(F.col("exists"), F.lit(False))
+    ok = F.when(F.col("creates"), ~known).otherwise(known & ((F.col("hunk_len") == 0) | F.col("delta").isNotNull()))
+    return (per.join(exists, "path", "left").join(best, one, "left").withColumn("ok", ok)
+               .groupBy("patch_id")
+               .agg(F.min(F.col("ok").cast("int")).cast("boolean").alias("applies"),
+                    F.min_by("delta", "hunk_no").alias("offset"),
+                    F.count(F.lit(1)).alias("n_hunks")))

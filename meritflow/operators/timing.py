@@ -11,9 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
-from ..session import spread_groups
 from ..functions.math import block_number, epoch_us, floor_div, ttl_bucket
 
 
@@ -62,124 +60,85 @@ def ttl_hold(df: DataFrame, key: str, ts: str, value: str, ttl_seconds: float =
               .withColumn("held_value", F.first(F.col(value)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
 
 
-def epoch_triggers(df: DataFrame, key: str, ts: str, order: list[str], epoch_blocks: int = 100,
-                   block_seconds: int = 12) -> DataFrame:
+def epoch_triggers(df: DataFrame, key: str, ts: str, id_col: str, epoch_blocks: int = 100,
+                   block_seconds: int = 12, slice_blocks: int = 8192) -> DataFrame:
     """Greedy trigger per key: the first row sets the mark; a later row fires when more than
     ``epoch_blocks`` blocks passed since the mark, and moves the mark (STM5 batch twin).
 
-    Returns (key, *order, block, due).  A sequential fold per key (grouped map).
+    One algorithm for every key, null included, in tasks of bounded size.  Only the first
+    row of a (key, block) can fire, so rows are first reduced to those.  Time is cut into
+    slices of ``slice_blocks`` blocks.  What a slice does depends only on the least block
+    that may fire in it, which before the key's first slice is one of ``epoch_blocks + 1``
+    values: each slice is summed up as a table of the marks it leaves behind, a key's few
+    tables are folded in order, and each slice then marks its rows from the mark it gets.
+    Returns (key, id_col, block, due).
     """
-    blk = block_number(ts, block_seconds)
-    cols = [key] + [o for o in order if o != key]
-    d = df.select(*cols, blk.alias("block"))
-    schema = StructType(list(d.schema.fields) + [StructField("due", BooleanType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        blocks = pdf["block"].to_numpy()
-        due = np.zeros(len(blocks), dtype=bool)
-        if len(blocks):
-            last = blocks[0]
-            for i in range(1, len(blocks)):
-                if blocks[i] - last > epoch_blocks:
-                    due[i] = True
-                    last = blocks[i]
-        pdf["due"] = due
-        return pdf
-
-    return spread_groups(d, key).groupBy(key).applyInPandas(fold, schema)
-
-
-def _successors(ev: DataFrame, key: str, gap: int) -> DataFrame:
-    """For each event, the first later event of its key whose block exceeds its own by more
-    than ``gap`` -> (id, nxt).  Buckets are ``gap + 1`` blocks wide, so the answer lies in
-    the next bucket (a window bounded to that bucket) or is the first event of the first
-    non-empty bucket after it (a lead over one row per non-empty bucket)."""
-    w_b = gap + 1
-    e = ev.withColumn("bk", floor_div("block", w_b))
-    node = F.struct(F.col("block"), F.col("t"), F.col("id"))
-    # candidate 1: inside bucket bk + 1, the first event with block >= block + gap + 1
-    targets = e.select(key, (F.col("bk") + 1).alias("bk"), (F.col("block") + w_b).alias("block"),
-                       F.lit(0).alias("side"), F.col("id").alias("src"), F.lit(None).cast("struct<block:bigint,t:bigint,id:bigint>").alias("node"))
-    events = e.select(key, "bk", "block", F.lit(1).alias("side"), F.lit(None).cast("bigint").alias("src"), node.alias("node"))
-    w = (Window.partitionBy(key, "bk").orderBy("block", "side", F.col("node.t"), F.col("node.id"))
-               .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    c1 = (targets.unionByName(events).withColumn("c1", F.min("node").over(w))
-                 .filter(F.col("side") == 0).select("src", key, "bk", "c1"))
-    # candidate 2: first event of the next non-empty bucket
-    firsts = e.groupBy(key, "bk").agg(F.min(node).alias("first"))
-    nxt_first = firsts.withColumn("after", F.lead("first").over(Window.partitionBy(key).orderBy("bk")))
-    own = e.select(F.col("id").alias("src"), key, F.col("bk").alias("own_bk"))
-    j = (c1.join(nxt_first.select(key, "bk", F.col("after").alias("after_next"), F.lit(True).alias("next_exists")),
-                 [key, "bk"], "left")
-           .join(own, ["src", key], "inner")
-           .join(nxt_first.select(key, F.col("bk").alias("own_bk"), F.col("after").alias("after_own")),
-                 [key, "own_bk"], "left"))
-    # bucket bk+1 non-empty -> its own lead; empty -> the lead of the event's own bucket
-    nonempty = F.coalesce(F.col("next_exists"), F.lit(False))
-    cand = F.coalesce(F.col("c1"), F.when(nonempty, F.col("after_next")).otherwise(F.col("after_own")))
-    return j.select(F.col("src").alias("id"), cand["id"].alias("nxt"))
-
-
-def epoch_triggers_chain(df: DataFrame, key: str, ts: str, id_col: str, epoch_blocks: int = 100,
-                         block_seconds: int = 12, checkpoint: bool = True) -> DataFrame:
-    """Same result as ``epoch_triggers`` without a per-key sequential scan (STM5 batch twin).
-
-    The firing events are the chain first -> nxt(first) -> nxt(nxt(first)) ...  The chain
-    is found by pointer doubling: after round k the set holds its first 2^k nodes and the
-    jump table maps every event 2^k steps ahead, so O(log chain length) rounds of
-    equi-joins on the (unique) event id suffice; each round is checkpointed to the shared
-    folder to cut lineage.  ``id_col`` must be unique.  Returns (key, id_col, block, due).
-    """
-    from ..session import checkpoint_dir
-    ev = df.select(F.col(key), F.col(id_col).cast("bigint").alias("id"), epoch_us(ts).alias("t"),
-                   block_number(ts, block_seconds).alias("block"))
-    jump = _successors(ev, key, epoch_blocks).filter(F.col("nxt").isNotNull())
-    first = ev.groupBy(key).agg(F.min(F.struct("block", "t", "id")).alias("f")).select(F.col("f.id").alias("id"))
-    if checkpoint:
-        checkpoint_dir(df.sparkSession)
-    cut = (lambda d: d.checkpoint()) if checkpoint else (lambda d: d)
-    jump = cut(jump)
-    chain = cut(first)
-    # Nodes reached in round k sit 2^k..2^(k+1)-1 steps down the chain: never seen before,
-    # because the chain moves strictly forward in time.  A round's new nodes come from one
-    # join of checkpointed inputs, so they are only cached (a lost executor recomputes
-    # that one join); the jump table, whose plan would double every round, is
-    # checkpointed to the shared folder.
-    held: list[DataFrame] = []
-    while True:
-        reached = chain.join(jump, "id").select(F.col("nxt").alias("id")).persist()
-        held.append(reached)
-        if reached.isEmpty():
-            break
-        chain = chain.unionByName(reached)
-        jump = cut(jump.alias("a").join(jump.alias("b"), F.col("a.nxt") == F.col("b.id"))
-                       .select(F.col("a.id").alias("id"), F.col("b.nxt").alias("nxt")))
-    if checkpoint:
-        chain = chain.checkpoint()          # pin the result before releasing the caches
-    for h in held:
-        h.unpersist()
-    fired = chain.join(first, "id", "left_anti").withColumn("due", F.lit(True))
-    return (ev.join(fired, "id", "left").select(F.col(key), F.col("id").alias(id_col), "block",
-                                                 F.coalesce(F.col("due"), F.lit(False)).alias("due")))
-
-
-def epoch_triggers_split(df: DataFrame, key: str, ts: str, id_col: str, epoch_blocks: int = 100,
-                         block_seconds: int = 12, max_fold_rows: int = 1_000_000) -> DataFrame:
-    """Epoch trigger with hot keys split off (STM5 batch twin).
-
-    Keys with at most ``max_fold_rows`` events take the sequential grouped fold (a bounded
-    task each); hotter keys take the pointer-doubling chain, which never puts one key's
-    events in one task.  The per-key counts are a partial aggregate; the chain is skipped
-    when no key is hot.  Returns (key, id_col, block, due).
-    """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    small_keys = counts.filter(F.col("_n") <= max_fold_rows).select(key)
-    hot_keys = counts.filter(F.col("_n") > max_fold_rows).select(key)
-    small = df.join(small_keys, key, "left_semi")
-    out = (epoch_triggers(small, key, ts, [ts, id_col], epoch_blocks, block_seconds)
-           .select(key, F.col(id_col).cast("bigint").alias(id_col), "block", "due"))
-    if not hot_keys.isEmpty():
-        hot = df.join(hot_keys, key, "left_semi")
-        out = out.unionByName(epoch_triggers_chain(hot, key, ts, id_col, epoch_blocks, block_seconds))
-    return out
+    gap = epoch_blocks + 1
+    ev = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"), epoch_us(ts).alias("t"),
+                   block_number(ts, block_seconds).cast("bigint").alias("block"))
+    first = (ev.groupBy("k", "block").agg(F.min(F.struct("t", "id"))["id"].alias("id"))
+               .withColumn("slice", floor_div("block", slice_blocks)))
+    # at most slice_blocks rows a group
+    slices = first.groupBy("k", "slice").agg(F.sort_array(F.collect_list(F.struct("block", "id"))).alias("rows"))
+    tables = slices.select("k", "slice", _slice_exits(gap, slice_blocks)("slice", "rows.block").alias("x"))
+    # one small row a slice; a key has one for every slice of time that it was seen in
+    folded = (tables.groupBy("k").agg(F.sort_array(F.collect_list(F.struct(
+        "slice", F.col("x.own").alias("own"), F.col("x.exits").alias("exits")))).alias("xs")))
+    start = F.struct(F.lit(None).cast("bigint").alias("mark"), F.array().cast("array<bigint>").alias("marks"))
+    need = lambda mark, x: F.greatest(mark + gap - x["slice"] * slice_blocks, F.lit(0).cast("bigint"))
+
+    def step(acc, x):
+        mark = acc["mark"]
+        left = F.coalesce(F.get(x["exits"], need(mark, x).cast("int")), mark)
+        now = F.when(mark.isNull(), x["own"]).otherwise(left)
+        return F.struct(now.alias("mark"), F.concat(acc["marks"], F.array(mark)).alias("marks"))
+
+    marks = folded.select("k", F.inline(F.arrays_zip(
+        F.transform("xs", lambda x: x["slice"]).alias("slice"), F.aggregate("xs", start, step)["marks"].alias("mark"))))
+    here = slices.join(marks, slices["k"].eqNullSafe(marks["k"]) & (slices["slice"] == marks["slice"])).select(
+        F.explode(_fired(gap)("rows", "mark")).alias("id"))
+    return (ev.join(here.withColumn("due", F.lit(True)), "id", "left")
+              .select(F.col("k").alias(key), F.col("id").alias(id_col), "block", F.coalesce("due", F.lit(False)).alias("due")))
+
+
+def _next(blocks: np.ndarray, gap: int) -> np.ndarray:
+    """Position of the first block at least ``gap`` after each, or the length."""
+    return np.searchsorted(blocks, blocks + gap)
+
+
+def _slice_exits(gap: int, width: int):
+    """(slice, sorted blocks) -> own: the mark left if the slice is its key's first;
+    exits: the mark left when the least block that may fire is 0, 1, ... gap - 1 blocks into
+    the slice, null if none fires."""
+    def one(no: int, blocks: np.ndarray) -> dict:
+        nxt, last = _next(blocks, gap), np.arange(len(blocks))
+        for i in range(len(blocks) - 1, -1, -1):
+            if nxt[i] < len(blocks):
+                last[i] = last[nxt[i]]
+        at = np.searchsorted(blocks, no * width + np.arange(gap))
+        return {"own": int(blocks[last[0]]), "exits": [int(blocks[last[i]]) if i < len(blocks) else None for i in at]}
+
+    @F.pandas_udf("struct<own: bigint, exits: array<bigint>>")
+    def exits(no: pd.Series, blocks: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(int(n), np.asarray(b, np.int64)) for n, b in zip(no, blocks, strict=True)],
+                            columns=["own", "exits"])
+
+    return exits
+
+
+def _fired(gap: int):
+    """(sorted rows of block and id, mark on entry) -> ids that fire."""
+    @F.pandas_udf("array<bigint>")
+    def fired(rows: pd.Series, mark: pd.Series) -> pd.Series:
+        out = []
+        for r, m in zip(rows, mark, strict=True):
+            blocks = np.array([x["block"] for x in r], np.int64)
+            nxt, ids = _next(blocks, gap), []
+            i = int(nxt[0]) if pd.isna(m) else int(np.searchsorted(blocks, int(m) + gap))
+            while i < len(blocks):
+                ids.append(r[i]["id"])
+                i = int(nxt[i])
+            out.append(ids)
+        return pd.Series(out)
+
+    return fired

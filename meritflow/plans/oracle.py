@@ -159,16 +159,21 @@ SELECT round, count(*) FILTER (WHERE event_type <> 'error') AS n_ok,
     q.update(oracle_sql_more())
     q["patch_applies"] = """
 WITH docs AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
-pt AS (SELECT doc_id AS patch_id, CAST(CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE doc_id + 1 END AS VARCHAR) AS path,
-              ls[2] AS l2, ls[3] AS l3, ls[4] AS l4 FROM docs WHERE len(ls) >= 4),
-hl AS (SELECT patch_id, path, 0 AS k, l2 AS text FROM pt UNION ALL SELECT patch_id, path, 1, l3 FROM pt
-       UNION ALL SELECT patch_id, path, 2, l4 FROM pt),
-fl AS (SELECT CAST(doc_id AS VARCHAR) AS path, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS text FROM docs),
-m AS (SELECT h.patch_id, f.line_no - (1 + h.k) AS delta, count(*) AS c
-      FROM hl h JOIN fl f ON h.path = f.path AND h.text = f.text GROUP BY 1, 2),
-best AS (SELECT patch_id, arg_min(delta, (abs(delta), delta)) AS line_offset FROM m WHERE c = 3 GROUP BY patch_id)
-SELECT pt.patch_id, best.patch_id IS NOT NULL AS applies, CAST(best.line_offset AS BIGINT) AS line_offset
-FROM pt LEFT JOIN best ON pt.patch_id = best.patch_id"""
+hunks AS (
+  SELECT doc_id AS patch_id, CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE doc_id + 1 END AS path, s AS start,
+         (s - 1) // 10 + 1 AS hunk_no, ls[s:s + 2] AS old
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1, 10)) AS s FROM docs)
+  UNION ALL
+  SELECT doc_id, doc_id, 1, (len(ls) - 1) // 10 + 2, ls FROM docs WHERE doc_id % 2 = 0),
+spots AS (SELECT doc_id AS path, ls, generate_subscripts(ls, 1) AS p, unnest(ls) AS line FROM docs),
+hits AS (
+  SELECT patch_id, hunk_no, arg_min(p - start, (abs(p - start), p - start)) AS delta
+  FROM hunks h JOIN spots f ON h.path = f.path AND h.old[1] = f.line AND f.ls[f.p:f.p + len(h.old) - 1] = h.old
+  GROUP BY 1, 2)
+SELECT h.patch_id, bool_and(hits.patch_id IS NOT NULL) AS applies,
+       CAST(arg_min(hits.delta, h.hunk_no) FILTER (WHERE hits.delta IS NOT NULL) AS BIGINT) AS line_offset,
+       count(*) AS n_hunks
+FROM hunks h LEFT JOIN hits ON h.patch_id = hits.patch_id AND h.hunk_no = hits.hunk_no GROUP BY 1"""
     elo_body = _with(MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS, "x AS (SELECT 1)")
     q["elo_rank"] = elo_body.replace("WITH ", "WITH RECURSIVE ", 1).replace("x AS (SELECT 1)\n", """subs AS (
   SELECT round, uid, CAST(k AS DOUBLE) AS s, row_number() OVER (PARTITION BY round ORDER BY ts, event_id) - 1 AS idx

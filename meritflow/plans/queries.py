@@ -251,7 +251,7 @@ def ttl_hold(spark: SparkSession, d: str) -> DataFrame:
 def epoch_due(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events")
     # users up to 1M events fold in one bounded task; hotter users take the chain form
-    return timing.epoch_triggers_split(e, "user_id", "ts", "event_id", 100, 12)
+    return timing.epoch_triggers(e, "user_id", "ts", "event_id", 100, 12)
 
 
 # --------------------------------------------------------------------------- text & nested
@@ -377,21 +377,33 @@ QUERIES.update({
 
 
 def _doc_patches(spark, d):
-    """A one-hunk patch per document (with at least 4 lines): lines 2-4 as context with a
-    line added after the first, claimed at old line 1, targeting the document itself
-    (doc_id % 3 = 0) or the next one."""
+    """A patch per document over its whole text.  Its first file is the document itself
+    (doc_id % 3 = 0) or the next one: a hunk for every tenth line, with up to three lines of
+    context and an added line that looks like a file header.  Every other patch also deletes
+    the document's own file."""
     docs = read_table(spark, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("ls"))
-    docs = docs.filter(F.size("ls") >= 4)
+    own = F.col("doc_id").cast("string")
     target = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 1).cast("string")
-    body = F.concat(F.lit("--- a/"), target, F.lit("\n+++ b/"), target, F.lit("\n@@ -1,3 +1,4 @@\n "),
-                    F.col("ls")[1], F.lit("\n+added line\n "), F.col("ls")[2], F.lit("\n "), F.col("ls")[3], F.lit("\n"))
-    return docs.select(F.col("doc_id").alias("patch_id"), body.alias("patch"))
+    n = F.size("ls")
+
+    def hunk(s):
+        c = F.least(F.lit(3), n - s + 1)
+        kept = F.transform(F.slice("ls", s, c), lambda x: F.concat(F.lit(" "), x))
+        head = F.format_string("@@ -%d,%d +%d,%d @@", s, c, s, c + 1)
+        return F.concat_ws("\n", head, F.get(kept, F.lit(0)), F.lit("+++ added"), F.slice(kept, F.lit(2), F.lit(2)))
+
+    edits = F.concat_ws("\n", F.concat(F.lit("--- a/"), target), F.concat(F.lit("+++ b/"), target),
+                        F.transform(F.sequence(F.lit(1), n, F.lit(10)), hunk))
+    drop = F.concat_ws("\n", F.concat(F.lit("--- a/"), own), F.lit("+++ /dev/null"), F.format_string("@@ -1,%d +0,0 @@", n),
+                       F.transform("ls", lambda x: F.concat(F.lit("-"), x)))
+    return docs.select(F.col("doc_id").alias("patch_id"), F.concat(
+        edits, F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("\n"), drop)).otherwise(""), F.lit("\n")).alias("patch"))
 
 
 def patch_applies(spark: SparkSession, d: str) -> DataFrame:
     h = patches.hunk_lines(_doc_patches(spark, d))
     lines = patches.file_lines(read_table(spark, d, "documents"), "doc_id", "text")
-    return patches.patch_applies(h, lines).select("patch_id", "applies", F.col("offset").alias("line_offset"))
+    return patches.patch_applies(h, lines).select("patch_id", "applies", F.col("offset").alias("line_offset"), "n_hunks")
 
 
 QUERIES["patch_applies"] = patch_applies

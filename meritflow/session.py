@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -44,32 +43,45 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 _LOCAL_CKPT: dict[str, str] = {}
+_SCRATCH: set[str] = set()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+    """Shared folder for checkpoints and intermediate tables: ``spark.checkpoint.dir``.
 
-    On a cluster this is ``spark.checkpoint.dir`` as configured for the cluster.  Only
-    when it is unset (local tests) is a temporary folder used; the setting itself is a
-    core setting and is never changed at run time.
+    Where it is unset, a session on one machine gets one temporary folder, removed when its
+    JVM ends; on a cluster this raises, since executors do not share the driver's folders.
     """
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        try:
-            d = spark.conf.get("spark.checkpoint.dir", None)
-        except Exception:
-            d = None
-    if not d:
-        d = _LOCAL_CKPT.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="meritflow-ckpt-"))
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if sc.applicationId not in _LOCAL_CKPT:
+            d = _LOCAL_CKPT[sc.applicationId] = tempfile.mkdtemp(prefix="meritflow-ckpt-")
+            remove_at_exit(spark, d)
+        d = _LOCAL_CKPT[sc.applicationId]
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove ``path``, on whatever file system, when the driver's JVM ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared checkpoint folder for a written intermediate table."""
-    return os.path.join(checkpoint_dir(spark), "meritflow", name)
+    """A path under the shared checkpoint folder for a written intermediate table.
+
+    It belongs to this application and goes with it.
+    """
+    base = f"{checkpoint_dir(spark)}/meritflow/{spark.sparkContext.applicationId}"
+    if base not in _SCRATCH:
+        _SCRATCH.add(base)
+        remove_at_exit(spark, base)
+    return f"{base}/{name}"
 
 
 def spread_groups(df, *keys):

@@ -22,10 +22,39 @@ def test_hunk_parse_and_apply(spark):
     out = {r.patch_id: r for r in patches.patch_applies(h, patches.file_lines(files, "path", "contents")).collect()}
     assert out[1].applies and out[1].offset == 1 and out[1].n_hunks == 2
     assert not out[2].applies
-    assert out[3].applies
+    assert not out[3].applies            # a created file must not exist yet
     assert not out[4].applies            # target file absent
 
 
+def applies(spark, patch, **files):
+    h = patches.hunk_lines(spark.createDataFrame([(1, patch)], "patch_id int, patch string"))
+    f = spark.createDataFrame([(k, v) for k, v in files.items()], "path string, contents string")
+    return patches.patch_applies(h, patches.file_lines(f, "path", "contents")).first()
+
+
+def test_patch_over_several_files(spark):
+    two = ("diff --git a/f1 b/f1\n--- a/f1\n+++ b/f1\n@@ -1,2 +1,2 @@\n a\n-b\n+B\n@@ -4 +4,2 @@\n d\n+dd\n"
+           "diff --git a/f2 b/f2\n--- a/f2\t2024-01-01\n+++ b/f2\t2024-01-02\n@@ -2,1 +2,1 @@\n-y\n+Y\n\\ No newline at end of file\n")
+    r = applies(spark, two, f1="a\nb\nc\nd\n", f2="x\ny")
+    assert r.applies and r.n_hunks == 3
+    assert not applies(spark, two, f1="a\nb\nc\nd\n", f2="x\nz").applies
+    assert not applies(spark, two, f1="a\nb\nc\nd\n").applies
+
+
+def test_patch_deletes_and_creates(spark):
+    gone = "--- a/f\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-a\n-b\n"
+    new = "--- /dev/null\n+++ b/n\n@@ -0,0 +1,2 @@\n+x\n+y\n"
+    assert applies(spark, gone, f="a\nb").applies and not applies(spark, gone, f="a\nc").applies
+    assert applies(spark, gone + new, f="a\nb").applies and not applies(spark, gone + new, f="a\nb", n="").applies
+
+
+def test_lines_that_look_like_headers(spark):
+    # removed '-- a', added '++ b/other': the hunk goes on behind them
+    p = "--- a/f\n+++ b/f\n@@ -1,3 +1,3 @@\n x\n--- a\n+++ b/other\n z\n"
+    assert applies(spark, p, f="x\n-- a\nz").applies
+    assert not applies(spark, p, f="x\n-- a\nq").applies
+
+
 def test_patch_nearest_offset(spark):
     base = "x\ny\nq\nx\ny\n"
     p = "--- a/f\n+++ b/f\n@@ -3,2 +3,2 @@\n x\n-y\n"

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from meritflow.operators import grading, timing
@@ -27,27 +28,28 @@ def test_deadline_boundaries(spark):
 def test_epoch_triggers(spark):
     rows = [(1, i, ts(s)) for i, s in enumerate([0, 600, 1212, 1300, 2500, 2513])]
     df = spark.createDataFrame(rows, "u long, id long, ts timestamp_ntz")
-    got = [r.due for r in timing.epoch_triggers(df, "u", "ts", ["ts", "id"], 100, 12).orderBy("id").collect()]
+    got = [r.due for r in timing.epoch_triggers(df, "u", "ts", "id", 100, 12).orderBy("id").collect()]
     # blocks 0, 50, 101, 108, 208, 209: fire at 101 (>100 after 0), then at 208 (>100 after 101)
     assert got == [False, False, True, False, True, False]
-    chain = [r.due for r in timing.epoch_triggers_chain(df, "u", "ts", "id", 100, 12).orderBy("id").collect()]
-    assert chain == got
 
 
-def test_epoch_chain_equals_fold_on_hot_key(spark):
+@pytest.mark.parametrize("width", [8192, 500, 40])
+def test_epoch_triggers_skewed_and_null_keys(spark, width):
     import random
     random.seed(5)
     rows, s = [], 0.0
     for i in range(1500):
-        s += random.expovariate(1 / 80.0)
-        rows.append((1 if i % 7 else 2, i, ts(s)))
-    df = spark.createDataFrame(rows, "u long, id long, ts timestamp_ntz")
-    a = {r.id: r.due for r in timing.epoch_triggers_chain(df, "u", "ts", "id").collect()}
-    b = {r.id: r.due for r in timing.epoch_triggers(df, "u", "ts", ["ts", "id"]).collect()}
-    assert a == b and sum(a.values()) > 50
-    # key 1 (about 1285 events) is hot for a 500-row bound, key 2 is folded
-    c = {r.id: r.due for r in timing.epoch_triggers_split(df, "u", "ts", "id", max_fold_rows=500).collect()}
-    assert c == b
+        s += random.expovariate(1 / 80.0) * (300 if i % 200 == 0 else 1)
+        rows.append((1 if i % 7 else (2 if i % 2 else None), i, ts(s)))
+    df = spark.createDataFrame(rows, "u long, id long, ts timestamp_ntz").repartition(5)
+    got = {r.id: r.due for r in timing.epoch_triggers(df, "u", "ts", "id", slice_blocks=width).collect()}
+    marks, want = {}, {}
+    for u, i, t in rows:
+        block = int((t - ts(0)).total_seconds() // 12)
+        want[i] = u in marks and block - marks[u] > 100
+        if u not in marks or want[i]:
+            marks[u] = block
+    assert got == want and sum(got.values()) > 50
 
 
 def test_ttl_hold(spark):

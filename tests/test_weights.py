@@ -1,4 +1,4 @@
-"""Weights: cap, process, u16 emission against a direct numpy statement of the rules."""
+"""Weights: cap, process and u16 emission on hand-worked cases and by their invariants."""
 
 import numpy as np
 import pytest
@@ -8,78 +8,68 @@ from meritflow.config import WeightConfig
 from meritflow.operators import weights
 
 
-def np_cap(x, limit=0.1, eps=1e-7):
-    x = np.asarray(x, dtype=float)
-    if x.sum() == 0 or len(x) * limit <= 1:
-        return np.ones_like(x) / len(x)
-    v = np.sort(x)
-    est = v / v.sum()
-    if est.max() <= limit:
-        return x / x.sum()
-    cs = np.cumsum(est)
-    n = len(v)
-    cond = est / (np.array([(n - i - 1) * est[i] for i in range(n)]) + cs + eps) < limit
-    k = int(cond.sum())
-    cutoff = (limit * cs[k - 1] - eps) / (1 - limit * (n - k)) * v.sum()
-    y = np.minimum(x, cutoff)
-    return y / y.sum()
-
-
 def run_cap(spark, xs, limit=0.1):
     df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(xs)], "g int, uid int, x double")
     out = weights.cap_weights(df, "g", "x", "w", limit=limit).orderBy("uid").toPandas()
     return out["w"].to_numpy()
 
 
-@pytest.mark.parametrize("xs", [
-    [1.0] * 5,                      # n*limit <= 1 -> uniform
-    [0.0] * 20,                     # sum 0 -> uniform
-    list(range(1, 21)),             # max already below the limit
-    [100.0] + [1.0] * 19,           # one dominant weight
-    [50.0, 40.0, 30.0] + [1.0] * 30,
-    list(np.random.default_rng(3).exponential(size=40)),
-])
-def test_cap_matches_numpy(spark, xs):
+# values -> weights, worked out by hand: with c the cut value, c / (capped * c + rest) = limit
+CAPPED = [
+    ([1.0] * 5, [0.2] * 5),                                              # 5 * 0.1 <= 1: uniform
+    ([0.0] * 20, [0.05] * 20),                                           # nothing to share: uniform
+    (list(range(1, 21)), [x / 210 for x in range(1, 21)]),               # 20 / 210 is below the limit
+    ([100.0] + [1.0] * 19, [0.1] + [0.9 / 19] * 19),
+    ([50.0, 40.0, 30.0] + [1.0] * 30, [0.1] * 3 + [0.7 / 30] * 30),
+]
+
+
+@pytest.mark.parametrize("xs,want", CAPPED)
+def test_cap_by_hand(spark, xs, want):
+    assert np.allclose(run_cap(spark, xs), want, atol=1e-6)
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_cap_invariants(spark, seed):
+    xs = np.random.default_rng(seed).exponential(size=40) ** 3
     got = run_cap(spark, xs)
-    exp = np_cap(xs)
-    assert np.allclose(got, exp, atol=1e-12)
-    assert abs(got.sum() - 1) < 1e-9
-    if len(xs) * 0.1 > 1:
-        assert got.max() <= 0.1 + 1e-6
-
-
-def np_process(w, min_allowed, limit=0.1, q=0):
-    w = np.asarray(w, dtype=np.float32).astype(float)
-    n = len(w)
-    nz = np.nonzero(w > 0)[0]
-    if nz.size == 0 or n < min_allowed:
-        return np.arange(n), np.ones(n) / n
-    if nz.size < min_allowed:
-        x = np.ones(n) * 1e-5
-        x[nz] += w[nz]
-        return np.arange(n), np_cap(x, limit)
-    vals = w[nz]
-    frac = min(q / 65535, max(0, len(vals) - min_allowed) / len(vals))
-    low = np.quantile(vals, frac)
-    keep = low <= vals
-    return nz[keep], np_cap(vals[keep], limit)
-
-
-@pytest.mark.parametrize("case", ["uniform", "topup", "quantile"])
-def test_process_weights_branches(spark, case):
-    rng = np.random.default_rng(11)
-    if case == "uniform":
-        w, mn = rng.random(6), 10
-    elif case == "topup":
-        w, mn = np.where(rng.random(30) < 0.2, rng.random(30), 0.0), 10
-    else:
-        w, mn = rng.random(40) * (rng.random(40) < 0.7), 10
-    cfg = WeightConfig(min_allowed_weights=mn, exclude_quantile=20000 if case == "quantile" else 0)
+    assert abs(got.sum() - 1) < 1e-9 and got.max() <= 0.1 + 1e-6
+    assert (np.diff(got[np.argsort(xs)]) >= -1e-12).all()                # order is kept
+    free = got < got.max() - 1e-9
+    assert np.allclose(got[free] / xs[free], (got[free] / xs[free])[0])  # what is not cut keeps its proportions
+    assert np.allclose(run_cap(spark, got), got, atol=1e-5)              # a fixed point
+
+
+def process(spark, w, **cfg):
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(w)], "g int, uid int, raw double")
-    got = weights.process_weights(df, "g", "uid", "raw", "w", cfg).orderBy("uid").toPandas()
-    uids, exp = np_process(w, mn, q=cfg.exclude_quantile)
-    assert got["uid"].tolist() == list(uids)
-    assert np.allclose(got["w"].to_numpy(), exp, atol=1e-9)
+    out = weights.process_weights(df, "g", "uid", "raw", "w", WeightConfig(min_allowed_weights=10, **cfg))
+    return {r.uid: r.w for r in out.collect()}
+
+
+def test_process_too_few_uids_is_uniform(spark):
+    assert process(spark, [0.3, 0.0, 5.0, 1.0, 0.0, 2.0]) == pytest.approx({i: 1 / 6 for i in range(6)})
+    assert process(spark, [0.0] * 12) == pytest.approx({i: 1 / 12 for i in range(12)})
+
+
+def test_process_too_few_positive_tops_up_everyone(spark):
+    got = process(spark, [1.0] * 6 + [0.0] * 24)          # 1.00001 six times, 0.00001 for the rest
+    big, low = {round(got[i], 9) for i in range(6)}, {round(got[i], 9) for i in range(6, 30)}
+    assert len(got) == 30 and len(big) == len(low) == 1 and sum(got.values()) == pytest.approx(1)
+    assert got[0] == pytest.approx(0.1, rel=0.03) and got[29] == pytest.approx(0.4 / 24, rel=0.03)
+
+
+def test_process_drops_below_the_quantile(spark):
+    # 20 positive values 1..20: fraction 20000 / 65535, position 19 * 0.30518 = 5.798, quantile 6.798;
+    # 7..20 stay; 19 and 20 are cut at 18.75, the other twelve share 0.8 by their values, 150 in all
+    got = process(spark, list(range(1, 21)) + [0.0] * 5, exclude_quantile=20000)
+    want = {i: (i + 1) * 0.8 / 150 for i in range(6, 18)} | {18: 0.1, 19: 0.1}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_process_quantile_never_goes_below_the_minimum(spark):
+    # 12 positive values, 10 must stay: the fraction is 2 / 12, position 11 / 6 = 1.833, quantile 2.833
+    got = process(spark, list(range(1, 13)), exclude_quantile=65535)
+    assert sorted(got) == list(range(2, 12))
 
 
 def test_u16_half_even_and_zero_drop(spark):
