@@ -85,12 +85,16 @@ def hotkey_epochs(df: DataFrame, uid: str, order: list[str], hotkey: str, block:
     ends = (d.groupBy(uid, "_blk")
               .agg(F.max(F.struct(*[F.col(o) for o in order], F.col(hotkey).alias("_h")))["_h"].alias("_last_h")))
     across = Window.partitionBy(uid).orderBy("_blk")
-    ends = ends.withColumn("_prev_block_h", F.lag("_last_h").over(across)).select(uid, "_blk", "_prev_block_h")
-    d = d.join(ends, [uid, "_blk"], "inner")
+    ends = (ends.withColumn("_prev_block_h", F.lag("_last_h").over(across))
+                .withColumn("_first_block", F.row_number().over(across) == 1)
+                .select(F.col(uid).alias("_u"), F.col("_blk").alias("_b"), "_prev_block_h", "_first_block"))
+    d = d.join(ends, F.col(uid).eqNullSafe(F.col("_u")) & F.col("_blk").eqNullSafe(F.col("_b"))).drop("_u", "_b")
     prev = F.when(F.col("_rn") == 1, F.col("_prev_block_h")).otherwise(F.col("_prev"))
-    return (d.withColumn("_reset", prev.isNotNull() & (prev != F.col(hotkey)))
+    # a first row has no predecessor; from or to NULL is a change like any other
+    start = (F.col("_rn") == 1) & F.col("_first_block")
+    return (d.withColumn("_reset", ~start & ~prev.eqNullSafe(F.col(hotkey)))
              .withColumn("_pos", F.struct(F.col("_blk"), F.col("_rn")))
-             .drop("_prev", "_prev_block_h"))
+             .drop("_prev", "_prev_block_h", "_first_block"))
 
 
 def ema_with_reset(df: DataFrame, uid: str, order: list[str], hotkey: str, value: str,

@@ -171,7 +171,7 @@ hits AS (
   FROM hunks h JOIN spots f ON h.path = f.path AND h.old[1] = f.line AND f.ls[f.p:f.p + len(h.old) - 1] = h.old
   GROUP BY 1, 2)
 SELECT h.patch_id, bool_and(hits.patch_id IS NOT NULL) AS applies,
-       CAST(arg_min(hits.delta, h.hunk_no) FILTER (WHERE hits.delta IS NOT NULL) AS BIGINT) AS line_offset,
+       CAST(max(hits.delta) FILTER (WHERE h.hunk_no = 1) AS BIGINT) AS line_offset,
        count(*) AS n_hunks
 FROM hunks h LEFT JOIN hits ON h.patch_id = hits.patch_id AND h.hunk_no = hits.hunk_no GROUP BY 1"""
     elo_body = _with(MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS, "x AS (SELECT 1)")

@@ -15,18 +15,24 @@ from ..operators import scoring
 from ..sources import views
 from ..streaming import stateful as st
 from ..streaming.runner import latest_by_batch, run_to_table, table_stream
-from . import queries as bq
+
+
+def _batch():
+    """The batch twins, whose module registers the queries of this one."""
+    from . import queries
+    return queries
 
 
 def stream_epoch_due(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
-    out = run_to_table(spark, st.epoch_trigger_stream(ev, "user_id", "ts", "event_id", 100, 12), "epoch_due")
+    ev = table_stream(spark, d, "events", folder=folder)
+    s = st.epoch_trigger_stream(ev, "user_id", "ts", "event_id", 100, 12, lateness="400 days")
+    out = latest_by_batch(run_to_table(spark, s, "epoch_due", "update"), ["event_id"])
     return out.select("user_id", "event_id", "block", "due")
 
 
 def stream_ema(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
-    r = views.responses_of(ev).join(bq.eligible_population(spark, d), "uid", "inner")   # stream-static join
+    ev = table_stream(spark, d, "events", folder=folder)
+    r = views.responses_of(ev).join(_batch().eligible_population(spark, d), "uid", "inner")   # stream-static join
     r = (r.withColumn("reward", scoring.reward(F.col("score"), F.col("process_time")))
           .withColumn("valid", F.col("patch").isNotNull() & (F.col("patch") != "")))
     s = st.ema_stream(r, "uid", "round", "ts", "event_id", "reward", "valid", alpha=0.1)
@@ -35,47 +41,49 @@ def stream_ema(spark: SparkSession, d: str, folder: str | None = None) -> DataFr
 
 
 def stream_chunks(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    c = table_stream(spark, d, "conversations", max_files=1 if folder else None, folder=folder)
+    c = table_stream(spark, d, "conversations", folder=folder)
     out = latest_by_batch(run_to_table(spark, st.chunk_accumulator(c, "conv_id", "turn", "text"), "chunks", "update"),
                           ["conv_id"])
     return out.select("conv_id", "completion", "n_chunks")
 
 
 def stream_ttl_hold(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
+    ev = table_stream(spark, d, "events", folder=folder)
     s = st.ttl_hold_stream(ev, "event_type", "ts", "event_id", "value", 12, "1 minute")
     out = latest_by_batch(run_to_table(spark, s, "ttl_hold", "update"), ["event_type", "bucket"])
     return out.select("event_type", "bucket", "held_value", "n_calls")
 
 
 def stream_log_lines(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
-    return run_to_table(spark, bq.log_lines_of(ev), "log_lines").drop("_batch")
+    ev = table_stream(spark, d, "events", folder=folder)
+    return run_to_table(spark, _batch().log_lines_of(ev), "log_lines").drop("_batch")
 
 
 def stream_gate_requests(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
-    return run_to_table(spark, bq.gate_of(ev, views.registered_miners(spark, d)), "gate").drop("_batch")
+    ev = table_stream(spark, d, "events", folder=folder)
+    return run_to_table(spark, _batch().gate_of(ev, views.registered_miners(spark, d)), "gate").drop("_batch")
 
 
 def stream_population_resync(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
     import uuid
     from ..session import scratch_path
-    o = table_stream(spark, d, "orders", max_files=1 if folder else None, folder=folder)
+    o = table_stream(spark, d, "orders", folder=folder)
     snaps = o.select(F.pmod(F.col("o_custkey"), F.lit(64)).alias("uid"), F.col("o_orderpriority").alias("hotkey"),
                      F.col("o_orderdate").alias("snap_ts"), F.col("o_orderkey").alias("snap_seq"))
-    run = uuid.uuid4().hex
+    run, order = uuid.uuid4().hex, ["snap_ts", "snap_seq"]
     base = scratch_path(spark, f"streams/population/{run}/table")
-    q = (st.population_resync(spark, snaps, base, "uid", "hotkey", ["snap_ts", "snap_seq"])
+    q = (st.population_resync(snaps, base, "uid", "hotkey", order)
            .option("checkpointLocation", scratch_path(spark, f"streams/population/{run}/checkpoint"))
            .trigger(availableNow=True).start())
     q.awaitTermination()
-    return st.current_population(spark, base).select("uid", "hotkey", "n_resets")
+    landed = spark.read.schema(snaps.schema).parquet(base)
+    return (st.current_population(landed, "uid", "hotkey", order, F.date_trunc("month", F.col("snap_ts")))
+              .select("uid", "hotkey", "n_resets"))
 
 
 def stream_batch_tokens(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
     from ..functions import nested as nst
-    c = table_stream(spark, d, "conversations", max_files=1 if folder else None, folder=folder)
+    c = table_stream(spark, d, "conversations", folder=folder)
     t = c.select("conv_id", "turn", nst.tokens("text").alias("toks"))
     b = t.select("conv_id", "turn", F.inline(nst.token_batches(F.col("toks"), 3)))
     b = b.select("conv_id", "turn", F.col("idx").cast("bigint").alias("idx"), "batch", "is_last")
@@ -84,8 +92,8 @@ def stream_batch_tokens(spark: SparkSession, d: str, folder: str | None = None)
 
 def stream_trueskill(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
     from ..operators import grading
-    ev = table_stream(spark, d, "events", max_files=1 if folder else None, folder=folder)
-    r = views.responses_of(ev).join(bq.eligible_population(spark, d), "uid", "inner")   # stream-static join
+    ev = table_stream(spark, d, "events", folder=folder)
+    r = views.responses_of(ev).join(_batch().eligible_population(spark, d), "uid", "inner")   # stream-static join
     r = (r.select("netuid", "round", "ts", "event_id", "uid", "patch", *views.rubric_columns("k"))
           .withColumn("grade", grading.rubric_score("addresses", "logical", "brevity", "bugs", "checklist", "patch"))
           .withColumn("valid", F.col("patch").isNotNull() & (F.col("patch") != "")))

@@ -8,7 +8,6 @@ output instead of duplicating it.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,24 +18,17 @@ from ..session import scratch_path
 from ..sources.tables import table_path
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None,
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1,
                  folder: str | None = None) -> DataFrame:
     """A table as a file stream (schema taken from the table, never inferred per batch).
 
-    ``folder`` points at a directory of parquet parts of the table (tests split a table
-    into several files to drive several micro-batches).
+    The table may be one file or a folder of part files on any file system Spark reads;
+    ``max_files`` of them make a micro-batch.  ``folder`` points at another folder of parts
+    of the same table.
     """
     path = table_path(sf_dir, name)
-    schema = spark.read.parquet(path).schema
-    r = spark.readStream.schema(schema)
-    if max_files:
-        r = r.option("maxFilesPerTrigger", max_files)
-    if folder:
-        return r.parquet(folder)
-    if os.path.isdir(path):                 # a table written as a folder of part files
-        return r.parquet(path)
-    # a single file: stream its folder, restricted to that file name
-    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files)
+                 .parquet(folder or path))
 
 
 def event_time(ts) -> F.Column:
@@ -46,9 +38,15 @@ def event_time(ts) -> F.Column:
 
 def run_to_table(spark: SparkSession, sdf: DataFrame, name: str, output_mode: str = "append",
                  run_id: str | None = None) -> DataFrame:
-    """Run ``sdf`` until the available input is consumed; return what it wrote, with ``_batch``."""
-    base = scratch_path(spark, os.path.join("streams", name, run_id or uuid.uuid4().hex))
+    """Run ``sdf`` until the available input is consumed; return what it wrote, with ``_batch``.
+
+    A failed stream raises; one without input gives no rows, since batch -1 is written empty
+    before the stream starts.
+    """
+    base = scratch_path(spark, f"streams/{name}/{run_id or uuid.uuid4().hex}")
     out, ck = base + "/out", base + "/checkpoint"
+    empty = spark.createDataFrame([], sdf.schema)
+    empty.write.mode("overwrite").parquet(f"{out}/_batch=-1")
 
     def sink(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
@@ -56,10 +54,7 @@ def run_to_table(spark: SparkSession, sdf: DataFrame, name: str, output_mode: st
     q = (sdf.writeStream.outputMode(output_mode).foreachBatch(sink)
             .option("checkpointLocation", ck).trigger(availableNow=True).start())
     q.awaitTermination()
-    try:
-        return spark.read.parquet(out)
-    except Exception:  # nothing was written: no input
-        return spark.createDataFrame([], sdf.schema.add("_batch", "int"))
+    return spark.read.parquet(out)
 
 
 def latest_by_batch(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,10 +4,9 @@ STM1 token-stream accumulation, STM3 moving-average score loop, STM4 TTL hold,
 STM5 epoch trigger, STM6 request/response deadline join, STM7 live gate,
 STM9 log-event enrichment, STM10 recent-duplicate rejection.
 
-Keyed state lives in the state store (one small record per key); every function
-sorts its rows inside the micro-batch, since arrival order within a batch is not
-defined.  Input is assumed in order per key across batches (each file stream part
-holds later events than the previous one).
+Keyed state lives in the state store.  Arrival order decides nothing: rows are compared by
+event time and id, and what may still change stays in the state, within the lateness that
+each operator states.
 """
 
 from __future__ import annotations
@@ -25,95 +24,145 @@ from .runner import event_time
 
 # ----------------------------------------------------------------------------- STM5
 def epoch_trigger_stream(events: DataFrame, key: str, ts: str, id_col: str, epoch_blocks: int = 100,
-                         block_seconds: int = 12) -> DataFrame:
+                         block_seconds: int = 12, lateness: str = "1 hour") -> DataFrame:
     """Per key, fire when more than ``epoch_blocks`` blocks passed since the last firing;
-    the first row of a key only sets the mark.  Emits every input row with ``due``."""
-    d = events.select(F.col(key), F.col(id_col), epoch_us(ts).alias("_t"), block_number(ts, block_seconds).alias("block"))
+    the first row of a key only sets the mark (update mode: the last report of a row stands).
+
+    Rows may arrive up to ``lateness`` out of order.  Only the earliest row of a block can
+    fire, so a key's state is the mark at the watermark and the earliest row of each block
+    after it; every batch replays those few from the mark and reports them again.  A row
+    from before the watermark can no longer move the mark and is reported with due NULL.
+    """
+    gap = epoch_blocks + 1
+    d = (events.withColumn("_et", event_time(ts)).withWatermark("_et", lateness)
+               .select(F.col(key), F.col(id_col), "_et", epoch_us(ts).alias("_t"),
+                       block_number(ts, block_seconds).cast("bigint").alias("block")))
     out_schema = f"{key} bigint, {id_col} bigint, block bigint, due boolean"
+    state_schema = "mark bigint, upto bigint, blocks array<bigint>, ts array<bigint>, ids array<bigint>"
 
     def fn(k, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_t", id_col], kind="stable")
-        mark = state.get[0] if state.exists else None
-        blocks = pdf["block"].to_numpy()
-        due = np.zeros(len(blocks), dtype=bool)
-        for i, b in enumerate(blocks):
-            if mark is None:
-                mark = int(b)
-            elif b - mark > epoch_blocks:
-                due[i] = True
-                mark = int(b)
-        state.update((mark,))
-        yield pd.DataFrame({key: pdf[key].astype("int64"), id_col: pdf[id_col].astype("int64"),
-                            "block": pdf["block"].astype("int64"), "due": due})
-
-    return d.groupBy(key).applyInPandasWithState(fn, out_schema, "mark bigint", "append",
-                                                 GroupStateTimeout.NoTimeout)
+        mark, upto, *held = state.get if state.exists else (None, None, [], [], [])
+        parts = [p[["block", "_t", id_col]].to_numpy(np.int64) for p in pdfs]
+        new = np.concatenate([np.stack([np.asarray(h, np.int64) for h in held], axis=1).reshape(-1, 3), *parts])
+        stale = np.zeros(len(new), bool) if upto is None else new[:, 0] <= upto
+        late, new = new[stale], new[~stale]
+        new = new[np.lexsort((new[:, 2], new[:, 1], new[:, 0]))]
+        first = np.r_[True, new[1:, 0] != new[:-1, 0]] if len(new) else np.zeros(0, bool)
+        blocks, rows = new[first, 0], np.flatnonzero(first)
+        due, at = np.zeros(len(new), bool), []
+        nxt = np.searchsorted(blocks, blocks + gap)
+        i = 0 if mark is None else int(np.searchsorted(blocks, mark + gap))
+        while i < len(blocks):
+            at.append(i)
+            due[rows[i]] = mark is not None or i > 0
+            i = int(nxt[i])
+        # blocks that end before the watermark are settled
+        edge = max(upto if upto is not None else -(1 << 62),
+                   state.getCurrentWatermarkMs() // (1000 * block_seconds) - 1)
+        settled = [int(blocks[i]) for i in at if blocks[i] <= edge]
+        keep = new[first][blocks > edge]
+        state.update((settled[-1] if settled else mark, edge if len(new) or upto is not None else upto,
+                      keep[:, 0].tolist(), keep[:, 1].tolist(), keep[:, 2].tolist()))
+        every = np.concatenate([new, late])
+        yield pd.DataFrame({key: np.full(len(every), k[0], dtype=object), id_col: every[:, 2], "block": every[:, 0],
+                            "due": pd.array([*due.tolist(), *[None] * len(late)], "boolean")})
+
+    return d.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "update", GroupStateTimeout.NoTimeout)
 
 
 # ----------------------------------------------------------------------------- STM3
 def ema_stream(responses: DataFrame, key: str, rnd: str, ts: str, id_col: str, reward: str, valid: str,
-               alpha: float = 0.1, extra: list[str] | None = None) -> DataFrame:
+               alpha: float = 0.1, extra: list[str] | None = None, open_rounds: int = 24 * 366) -> DataFrame:
     """Moving-average score per key over rounds, the last response of a round counting.
 
-    State per key: committed score and count, plus the pending (latest) response of the
-    newest round, which is committed when a later round shows up.  Every batch emits the
-    score as if the pending response were the last one (update mode).
+    State per key: the score and count of the closed rounds, and the latest response, by
+    (time, id), of each open one.  A round closes ``open_rounds`` rounds after it; until
+    then responses may arrive in any order.  Every batch emits the score with the open
+    rounds applied in order (update mode), and how many responses came too late to count.
     """
     extra = extra or []
-    d = responses.select(F.col(key), *[F.col(c) for c in extra], F.col(rnd), epoch_us(ts).alias("t_us"),
-                         F.col(id_col), F.col(reward).cast("double").alias("rw"), F.col(valid).alias("ok"))
+    d = responses.select(F.col(key), *[F.col(c) for c in extra], F.col(rnd).cast("bigint").alias("rnd"),
+                         epoch_us(ts).alias("t_us"), F.col(id_col).cast("bigint").alias("eid"),
+                         F.nanvl(F.coalesce(F.col(reward).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("rw"),
+                         F.coalesce(F.col(valid), F.lit(False)).alias("ok"))
     extra_schema = "".join(f", {c} bigint" for c in extra)
-    out_schema = f"{key} bigint{extra_schema}, score double, n_updates bigint"
-    state_schema = "score double, n bigint, p_round bigint, p_t bigint, p_id bigint, p_r double, p_v boolean"
+    out_schema = f"{key} bigint{extra_schema}, score double, n_updates bigint, n_late bigint"
+    state_schema = ("score double, n bigint, closed bigint, late bigint, p_rnd array<bigint>, p_t array<bigint>, "
+                    "p_id array<bigint>, p_r array<double>, p_v array<boolean>")
+    names = ["rnd", "t_us", "eid", "rw", "ok"]
+
+    def ahead(score, n, rewards):
+        m = len(rewards)
+        keep = (1 - alpha) ** np.arange(m - 1, -1, -1)
+        return float(alpha * (rewards * keep).sum() + (1 - alpha) ** m * score), n + m
 
     def fn(k, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values([rnd, "t_us", id_col], kind="stable")
-        if state.exists:
-            score, n, p_round, p_t, p_id, p_r, p_v = state.get
-        else:
-            score, n, p_round, p_t, p_id, p_r, p_v = 0.0, 0, None, None, None, None, None
-        for row in pdf.itertuples(index=False):
-            r_round = int(getattr(row, rnd))
-            if p_round is not None and r_round > p_round:
-                if p_v:
-                    score = alpha * (0.0 if np.isnan(p_r) else p_r) + (1 - alpha) * score
-                    n += 1
-                p_round = None
-            if p_round is None or r_round >= p_round:
-                p_round, p_t, p_id = r_round, int(row.t_us), int(getattr(row, id_col))
-                p_r = float(row.rw) if row.rw is not None and not pd.isna(row.rw) else float("nan")
-                p_v = bool(row.ok)
-        state.update((score, n, p_round, p_t, p_id, p_r, p_v))
-        out_score, out_n = score, n
-        if p_v:
-            out_score, out_n = alpha * (0.0 if np.isnan(p_r) else p_r) + (1 - alpha) * score, n + 1
-        first = pdf.iloc[0]
-        rec = {key: int(k[0])}
-        for c in extra:
-            rec[c] = int(first[c])
-        rec.update({"score": out_score, "n_updates": out_n})
+        score, n, closed, late, *held = state.get if state.exists else (0.0, 0, None, 0, [], [], [], [], [])
+        kept = pd.DataFrame(dict(zip(names, held, strict=True))).astype(
+            {"rnd": "int64", "t_us": "int64", "eid": "int64", "rw": "float64", "ok": "bool"})
+        first = None
+        for pdf in pdfs:                       # one Arrow batch at a time: only a row per open round is held
+            first = pdf.iloc[0] if first is None else first
+            rows = pdf[names]
+            if closed is not None:
+                late += int((rows["rnd"] <= closed).sum())
+                rows = rows[rows["rnd"] > closed]
+            kept = pd.concat([kept, rows]).sort_values(["rnd", "t_us", "eid"], kind="stable").drop_duplicates("rnd", keep="last")
+        if len(kept):
+            edge = int(kept["rnd"].iloc[-1]) - open_rounds
+            done = kept["rnd"] <= edge
+            if done.any():
+                part = kept[done]
+                score, n = ahead(score, n, part.loc[part["ok"], "rw"].to_numpy())
+                closed, kept = int(part["rnd"].iloc[-1]), kept[~done]
+        state.update((score, n, closed, late, *(kept[c].tolist() for c in names)))
+        out_score, out_n = ahead(score, n, kept.loc[kept["ok"], "rw"].to_numpy())
         if out_n > 0:
-            yield pd.DataFrame([rec])
+            yield pd.DataFrame([{key: k[0], **{c: first[c] for c in extra}, "score": out_score, "n_updates": out_n,
+                                 "n_late": late}])
 
     return d.groupBy(key).applyInPandasWithState(fn, out_schema, state_schema, "update",
                                                  GroupStateTimeout.NoTimeout)
 
 
 # ----------------------------------------------------------------------------- STM1
-def chunk_accumulator(chunks: DataFrame, key: str, seq: str, text: str) -> DataFrame:
-    """Concatenate a request's chunks (each split on LF, empties dropped) in sequence order."""
-    d = chunks.select(F.col(key), F.col(seq), chunk_text(text).alias("_piece"))
+def chunk_accumulator(chunks: DataFrame, key: str, seq: str, text: str, last: str | None = None,
+                      first_seq: int = 0, timeout_ms: int | None = None) -> DataFrame:
+    """A request's chunks (each split on LF, empties dropped) in sequence order, whatever
+    order they arrive in (update mode).
+
+    ``last`` names a boolean column that marks a request's final chunk.  A request is
+    complete, is reported once more and leaves the state when its final chunk and all
+    sequence numbers from ``first_seq`` on are there; with ``timeout_ms`` it also leaves, as it
+    is, after so long without a chunk.  The state of a request is its text so far, so
+    requests are taken to be messages, not streams without end.
+    """
+    end = F.coalesce(F.col(last), F.lit(False)) if last else F.lit(False)
+    d = chunks.select(F.col(key), F.col(seq).cast("bigint").alias("_seq"), chunk_text(text).alias("_piece"), end.alias("_end"))
+    wait = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
 
     def fn(k, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(seq, kind="stable")
-        acc, n = state.get if state.exists else ("", 0)
-        acc = acc + "".join(pdf["_piece"].tolist())
-        n = n + len(pdf)
-        state.update((acc, n))
-        yield pd.DataFrame([{key: int(k[0]), "completion": acc, "n_chunks": n}])
+        seqs, pieces, final = state.get if state.exists else ([], [], None)
+        have = dict(zip(seqs, pieces, strict=True))
+        if not state.hasTimedOut:
+            for pdf in pdfs:
+                have.update(zip(pdf["_seq"].tolist(), pdf["_piece"].tolist(), strict=True))
+                ends = pdf.loc[pdf["_end"], "_seq"]
+                final = int(ends.max()) if len(ends) else final
+        order = sorted(have)
+        complete = final is not None and order[-1] == final and len(order) == final - first_seq + 1
+        yield pd.DataFrame([{key: k[0], "completion": "".join(have[s] or "" for s in order), "n_chunks": len(order),
+                             "complete": complete}])
+        if complete or state.hasTimedOut:
+            state.remove()
+        else:
+            state.update((order, [have[s] for s in order], final))
+            if timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
 
-    return d.groupBy(key).applyInPandasWithState(fn, f"{key} bigint, completion string, n_chunks bigint",
-                                                 "acc string, n bigint", "update", GroupStateTimeout.NoTimeout)
+    return d.groupBy(key).applyInPandasWithState(
+        fn, f"{key} bigint, completion string, n_chunks bigint, complete boolean",
+        "seqs array<bigint>, pieces array<string>, final bigint", "update", wait)
 
 
 # ----------------------------------------------------------------------------- STM4
@@ -156,51 +205,27 @@ def reject_recent_duplicates(requests: DataFrame, keys: list[str], ts: str, wind
 
 
 # ----------------------------------------------------------------------------- STM8
-def population_resync(spark, snapshots: DataFrame, base: str, uid: str, hotkey: str, order: list[str]):
-    """Fold a stream of (uid, hotkey, order...) snapshot rows into a versioned population
-    table: one row per uid with its current hotkey and how often it changed hands (STM8).
+def population_resync(snapshots: DataFrame, base: str, uid: str, hotkey: str, order: list[str]):
+    """Land a stream of (uid, hotkey, order...) snapshot rows under ``base``, a folder per
+    micro-batch, overwritten on retry (STM8).  Returns the streaming writer, not started.
 
-    Each micro-batch reads the previous version, appends the batch behind each uid's
-    last known row, counts hotkey changes in order, and writes a new version under
-    ``base/v=<batch>`` (idempotent on retry).  Returns the streaming writer, not started.
+    Nothing is read back or merged while streaming, so rows may come in any order.
     """
-    from pyspark.sql import Window
-
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        prev = None
-        try:
-            prev = batch.sparkSession.read.parquet(base).filter(F.col("v") < batch_id)
-            last_v = prev.agg(F.max("v")).first()[0]
-            prev = prev.filter(F.col("v") == last_v).drop("v") if last_v is not None else None
-        except Exception:
-            prev = None
-        rows = batch.select(uid, hotkey, *order).withColumn("_carried", F.lit(False))
-        if prev is not None:
-            carried = prev.select(uid, hotkey, *[F.col(f"last_{o}").alias(o) for o in order]).withColumn("_carried", F.lit(True))
-            rows = carried.unionByName(rows)
-        w = Window.partitionBy(uid).orderBy(F.col("_carried").desc(), *[F.col(o) for o in order])
-        rows = rows.withColumn("_prev", F.lag(hotkey).over(w))
-        changes = rows.filter(~F.col("_carried")).groupBy(uid).agg(
-            F.sum((F.col("_prev").isNotNull() & (F.col("_prev") != F.col(hotkey))).cast("bigint")).alias("_new"),
-            F.max(F.struct(*[F.col(o) for o in order], F.col(hotkey).alias("_h"))).alias("_last"))
-        upd = changes.select(uid, F.col("_last._h").alias(hotkey), "_new",
-                             *[F.col("_last")[o].alias(f"last_{o}") for o in order])
-        if prev is not None:
-            upd = (upd.join(prev.select(uid, "n_resets"), uid, "left")
-                      .withColumn("n_resets", F.coalesce("n_resets", F.lit(0)) + F.col("_new")).drop("_new"))
-            keep = prev.join(upd.select(uid), uid, "left_anti")
-            new = keep.unionByName(upd.select(*prev.columns))
-        else:
-            new = upd.withColumn("n_resets", F.col("_new")).drop("_new")
-        new.write.mode("overwrite").parquet(f"{base}/v={batch_id}")
+    def land(batch: DataFrame, batch_id: int) -> None:
+        batch.select(uid, hotkey, *order).write.mode("overwrite").parquet(f"{base}/v={batch_id}")
 
-    return snapshots.writeStream.foreachBatch(upsert)
+    return snapshots.writeStream.foreachBatch(land)
 
 
-def current_population(spark, base: str) -> DataFrame:
-    df = spark.read.parquet(base)
-    last = df.agg(F.max("v")).first()[0]
-    return df.filter(F.col("v") == last).drop("v")
+def current_population(landed: DataFrame, uid: str, hotkey: str, order: list[str], block) -> DataFrame:
+    """uid, its current hotkey by ``order``, and how often it changed hands (WIN2 on read).
+
+    ``block`` is a time slice that grows with ``order``; see ``scoring.hotkey_epochs``.
+    """
+    from ..operators.scoring import hotkey_epochs
+    marked = hotkey_epochs(landed, uid, order, hotkey, block)
+    return marked.groupBy(uid).agg(F.max_by(hotkey, "_pos").alias(hotkey),
+                                   F.sum(F.col("_reset").cast("bigint")).alias("n_resets"))
 
 
 # ----------------------------------------------------------------------------- STM3 (ratings)
