@@ -26,9 +26,18 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
     ``max_files`` of them make a micro-batch.  ``folder`` points at another folder of parts
     of the same table.
     """
-    path = table_path(sf_dir, name)
-    return (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files)
-                 .parquet(folder or path))
+    path = folder or table_path(sf_dir, name)
+    stream = (spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files))
+    if is_folder(spark, path):
+        return stream.parquet(path)
+    # a single file: its folder, restricted to that file's name
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path``, on whatever file system, is a folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
 
 
 def event_time(ts) -> F.Column:
