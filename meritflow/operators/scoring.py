@@ -19,8 +19,8 @@ from ..functions.math import exp_decay
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Last write wins: one row per key, the one with the largest ``order`` (AGG13).
 
-    A hash aggregate with map-side partial aggregation: a hot key is pre-reduced in
-    every map task before the shuffle.
+    A sort aggregate (the kept row is a struct) with map-side partial aggregation: a hot
+    key is pre-reduced to one row in every map task before the shuffle.
     """
     others = [c for c in df.columns if c not in keys]
     packed = F.struct(*[F.col(c) for c in order], F.struct(*[F.col(c) for c in others]).alias("_row"))
@@ -42,11 +42,12 @@ def nan_to_zero(c) -> Column:
 
 def ema_final(df: DataFrame, key: str | list[str], order: str | list[str], value: str,
               block: Column | str, alpha: float = 0.1, out: str = "score",
-              initial: str | None = None) -> DataFrame:
+              initial: str | None = None, start: DataFrame | None = None) -> DataFrame:
     """Final EMA per key of ``value`` taken in ``order`` (WIN1), starting at ``initial`` (0).
 
-    ``block`` must be monotone in ``order`` (e.g. the day of a timestamp).  Returns
-    (key..., out, n_updates).
+    ``block`` must be monotone in ``order`` (e.g. the day of a timestamp).  ``initial`` names
+    a column of ``start``, a table with one row per key: the scores to resume from, of keys
+    without new rows too.  Returns (key..., out, n_updates).
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
@@ -65,9 +66,18 @@ def ema_final(df: DataFrame, key: str | list[str], order: str | list[str], value
     res = (per_block.groupBy(*keys)
              .agg(F.sum(F.col("_e") * F.pow(F.lit(one_minus), F.col("_after"))).alias(out),
                   F.sum("_c").alias("n_updates")))
-    if initial is not None:
-        raise NotImplementedError("join the initial state and add (1-alpha)^n * s0")
-    return res
+    if initial is None:
+        return res
+    before = start.select(*[F.col(k) for k in keys], nan_to_zero(initial).alias("_s0"))
+    n = F.coalesce(F.col("n_updates"), F.lit(0).cast("bigint"))
+    joined = before.join(res, keys, "full")
+    return joined.select(*keys, (F.coalesce(F.col(out), F.lit(0.0)) + F.pow(F.lit(one_minus), n)
+                                 * F.coalesce(F.col("_s0"), F.lit(0.0))).alias(out), n.alias("n_updates"))
+
+
+def labelled_only(df: DataFrame, task_type: str = "task_type", labelled: str = "labelled_issue") -> DataFrame:
+    """Rows that may move a score: those of labelled tasks (WIN1)."""
+    return df.filter(F.col(task_type) == labelled)
 
 
 def hotkey_epochs(df: DataFrame, uid: str, order: list[str], hotkey: str, block: Column | str) -> DataFrame:

@@ -93,7 +93,7 @@ def _linear_quantile(df: DataFrame, group: str, value: str, frac_col: str, out:
 
 
 def process_weights(df: DataFrame, group: str, uid: str, value: str, out: str = "weight",
-                    cfg: WeightConfig = WeightConfig()) -> DataFrame:
+                    cfg: WeightConfig = WeightConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Turn raw weights into the weights a validator may publish (AGG7).
 
     Per group with n uids and m positive weights (weights are first rounded to float32,
@@ -102,11 +102,11 @@ def process_weights(df: DataFrame, group: str, uid: str, value: str, out: str =
       * m < min_allowed: every uid gets 1e-5 + its positive weight, then capped;
       * otherwise positive weights below the exclusion quantile are dropped and the
         rest is capped.
-    Returns (group, uid, out) for the uids that keep a weight.
+    Returns (group, uid, out) for the uids that keep a weight, with the ``carry`` columns.
     """
     g = Window.partitionBy(group)
     w32 = F.col(value).cast("float").cast("double")
-    d = (df.select(F.col(group), F.col(uid), w32.alias("_w"))
+    d = (df.select(F.col(group), F.col(uid), *carry, w32.alias("_w"))
            .withColumn("_n", F.count(F.lit(1)).over(g))
            .withColumn("_m", F.sum((F.col("_w") > 0).cast("int")).over(g)))
     mn = cfg.min_allowed_weights
@@ -126,20 +126,21 @@ def process_weights(df: DataFrame, group: str, uid: str, value: str, out: str =
 
     both = ab.unionByName(c)
     capped = cap_weights(both, group, "_x", out, limit=cfg.max_weight_limit, eps=cfg.epsilon)
-    return capped.select(group, uid, out)
+    return capped.select(group, uid, *carry, out)
 
 
 def emit_u16(df: DataFrame, group: str, uid: str, weight: str, out: str = "weight_u16",
              u16_max: int = _U16) -> DataFrame:
     """Scale so the largest weight is ``u16_max``, round half to even, drop zeros (AGG8).
 
-    A group whose weights are all zero emits nothing.  Negative weights or uids are
-    invalid input (FLT15) and raise.
+    A group whose weights are all zero emits nothing.  Negative or missing weights and uids
+    are invalid input (FLT15) and raise.
     """
     g = Window.partitionBy(group)
     w = F.col(weight).cast("double")
-    checked = F.when((w < 0) | (F.col(uid) < 0),
-                     F.raise_error(F.lit("negative weight or uid cannot be emitted"))).otherwise(w)
+    checked = (F.when((w < 0) | (F.col(uid) < 0), F.raise_error(F.lit("negative weight or uid cannot be emitted")))
+                .when(w.isNull() | F.col(uid).isNull(), F.raise_error(F.lit("every uid needs a weight and every weight a uid")))
+                .otherwise(w))
     d = (df.withColumn("_w", checked)
            .withColumn("_wmax", F.max("_w").over(g))
            .filter(F.col("_wmax") > 0)

@@ -94,12 +94,16 @@ pw AS """ + _cap_sql("pw_x", "x")
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     base = [MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS]
-    q["reward_to_weights"] = _with(*base, EMA, """w AS (
-  SELECT *, score / greatest(sum(abs(score)) OVER (PARTITION BY netuid), 1e-12) AS weight FROM ema),
-u AS (SELECT *, CAST(round_even(weight / max(weight) OVER (PARTITION BY netuid) * 65535.0, 0) AS INTEGER) AS weight_u16,
-             max(weight) OVER (PARTITION BY netuid) AS wmax FROM w)""") + """
-SELECT netuid, uid, round(score, 9) AS score, round(weight, 9) AS weight, weight_u16
-FROM u WHERE wmax > 0 AND weight_u16 <> 0"""
+    q["reward_to_weights"] = _with(*base, EMA, """scored AS (
+  SELECT m.netuid, m.uid, coalesce(e.score, 0.0) AS score FROM miners m LEFT JOIN ema e ON m.uid = e.uid)""", """acct AS (
+  SELECT netuid, uid, score / greatest(sum(abs(score)) OVER (PARTITION BY netuid), 1e-12) AS raw FROM scored)""",
+                                   PROCESS_WEIGHTS) + """
+SELECT netuid, uid, round(score, 9) AS score, round(weight, 9) AS weight, weight_u16 FROM (
+  SELECT pw.netuid, pw.uid, score, weight, max(weight) OVER (PARTITION BY pw.netuid) AS wmax,
+         CAST(round_even(weight / max(weight) OVER (PARTITION BY pw.netuid) * 65535.0, 0) AS INTEGER) AS weight_u16
+  FROM pw JOIN scored s ON pw.netuid = s.netuid AND pw.uid = s.uid)
+WHERE wmax > 0 AND weight_u16 <> 0"""
+    q["ema_resumed"] = _with(*base, EMA) + "SELECT uid, round(score, 9) AS score FROM ema"
     q["ema_final"] = _with(*base, EMA) + "SELECT uid, round(score, 9) AS score, n_updates FROM ema"
     q["reward_blend"] = _with(*base) + "SELECT event_id, uid, round(reward, 9) AS reward FROM valid"
     q["ema_reset"] = _with("""snap AS (

@@ -34,27 +34,41 @@ def valid_rewards(spark: SparkSession, d: str, cfg: ScoringConfig = ScoringConfi
     """Latest response per (round, uid) from an eligible miner with a non-empty patch,
     scored: reward = 9 * eval + decay(timeout, process_time)."""
     m = eligible_population(spark, d)
-    # one shuffle on (uid, day) serves both the dedupe (day follows from round, so the
-    # groups are the same) and the per-(uid, day) EMA window downstream; a busy uid is
-    # still split by day
-    resp = views.responses(spark, d).repartition("uid", "day")
-    r = scoring.latest_per_key(resp, ["uid", "day", "round"], ["ts", "event_id"])
+    # the responses are reduced to one row per (uid, round) before any shuffle
+    r = scoring.latest_per_key(views.responses(spark, d), ["uid", "day", "round"], ["ts", "event_id"])
     r = r.filter(F.col("patch").isNotNull() & (F.col("patch") != ""))
     r = r.join(m, "uid", "inner")
     return r.withColumn("reward", scoring.reward(F.col("score"), F.col("process_time"), cfg))
 
 
 def reward_to_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Flagship: responses -> rewards -> EMA per uid -> L1 weights per league -> u16."""
+    """Flagship: responses -> rewards -> EMA per uid -> blended shares of the whole league ->
+    exclusion and cap -> u16.  Uids without a score take part with 0."""
     rw = valid_rewards(spark, d)
-    ema = scoring.ema_final(rw, ["netuid", "uid"], ["round"], "reward", block=F.col("day"), alpha=0.1)
+    ema = scoring.ema_final(rw, "uid", ["round"], "reward", block=F.col("day"), alpha=0.1).select("uid", "score")
+    league = views.miners(spark, d).select("netuid", "uid").join(ema, "uid", "left")
     # closed-task scores weigh 1.0, open-task scores (none tracked here) 0.0
-    ema = ema.withColumn("pr_score", F.lit(0.0))
-    w = weights.blend_scores(ema, "netuid", "score", "pr_score", "weight", closed_pct=1.0, open_pct=0.0)
-    u = weights.emit_u16(w, "netuid", "uid", "weight")
+    league = league.withColumns({"score": F.coalesce("score", F.lit(0.0)), "pr_score": F.lit(0.0)})
+    w = weights.blend_scores(league, "netuid", "score", "pr_score", "share", closed_pct=1.0, open_pct=0.0)
+    p = weights.process_weights(w, "netuid", "uid", "share", "weight", WeightConfig(), carry=("score",))
+    u = weights.emit_u16(p, "netuid", "uid", "weight")
     return u.select("netuid", "uid", _r("score", "score"), _r("weight", "weight"), "weight_u16")
 
 
+def ema_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """The EMA over all days, in two steps: the first days' scores are saved as state, loaded
+    again and carried on over the rest (SRC5, WIN1)."""
+    from ..sources import sinks
+    rw = valid_rewards(spark, d)
+    split = F.col("round") < F.lit(float(rw.agg(F.avg("round")).first()[0] or 0.0))
+    path = _run_path(spark, "resume")
+    early = scoring.ema_final(rw.filter(split), "uid", ["round"], "reward", block=F.col("day"), alpha=0.1)
+    sinks.save_state(early.select("uid", "score"), path, step=1)
+    late = scoring.ema_final(rw.filter(~split), "uid", ["round"], "reward", block=F.col("day"), alpha=0.1,
+                             initial="score", start=sinks.load_state(spark, path).select("uid", "score"))
+    return late.select("uid", _r("score", "score"))
+
+
 def ema_final(spark: SparkSession, d: str) -> DataFrame:
     rw = valid_rewards(spark, d)
     ema = scoring.ema_final(rw, "uid", ["round"], "reward", block=F.col("day"), alpha=0.1)
@@ -513,7 +527,7 @@ def file_prompts(spark: SparkSession, d: str) -> DataFrame:
     return files.select("dir", prompt.alias("prompt"))
 
 
-QUERIES.update({"run_labels": run_labels, "file_prompts": file_prompts, "league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
+QUERIES.update({"ema_resumed": ema_resumed, "run_labels": run_labels, "file_prompts": file_prompts, "league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
                 "published_rows": published_rows})
 
 
