@@ -205,11 +205,14 @@ def best_overall(pairs: DataFrame, key: Column | None = None) -> DataFrame:
     """Top-1 pair across directories (AGG11 / TOP1 / UDF2); ties go to the smallest dir.
 
     ``key`` is the selection expression (default: the cosine).  A global aggregate with
-    partial aggregation: each map task reduces its rows to one candidate first.
+    partial aggregation: each map task reduces its rows to one candidate first.  No pair at
+    all is an error (FLT7).
     """
     key = key if key is not None else F.col("cosine")
-    return (pairs.withColumn("_nk", -key)
-                 .groupBy().agg(F.min(F.struct(F.col("_nk"), *[F.col(c) for c in pairs.columns])).alias("m"))
+    best = F.min(F.struct(F.col("_nk"), *[F.col(c) for c in pairs.columns]))
+    none = F.raise_error(F.lit("no valid pair to select from"))
+    return (pairs.withColumn("_nk", -key).groupBy().agg(best.alias("m"))
+                 .withColumn("m", F.when(F.col("m").isNull(), none).otherwise(F.col("m")))
                  .select(*[F.col("m")[c].alias(c) for c in pairs.columns]))
 
 

@@ -223,16 +223,6 @@ SELECT l_orderkey, l_linenumber,
                ':', '-') AS run,
        CAST(1000 * year(l_shipdate) + 10 * month(l_shipdate) + day(l_shipdate) AS INTEGER) AS release
 FROM lineitem"""
-    q["file_prompts"] = """
-WITH f AS (
-  SELECT source AS dir, doc_id AS path, text FROM (
-    SELECT *, count(*) OVER (PARTITION BY source) AS n FROM documents) WHERE n >= 3 AND length(text) > 50),
-r AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY path) AS rn FROM f)
-SELECT dir, 'Write a problem that needs both files.' || chr(10)
-            || string_agg('Filename: ' || CAST(path AS VARCHAR) || chr(10) || '```python3' || chr(10) || text
-                          || chr(10) || '```' || chr(10), '' ORDER BY CAST(path AS VARCHAR))
-            || chr(10) || 'Directory: ' || dir AS prompt
-FROM r WHERE rn <= 2 GROUP BY dir"""
     q["league_per_round"] = _with(RESPONSES) + """
 SELECT r.round, n.n_name AS league FROM (SELECT DISTINCT round FROM responses) r
 LEFT JOIN nation n ON n.n_nationkey =
@@ -257,6 +247,8 @@ SELECT 'league-' || CAST(netuid AS VARCHAR) AS repo, 'task ' || CAST(round AS VA
        patch AS solution_patch, round(reward, 6) AS score, hotkey AS miner_hotkey FROM valid"""
     # streamed twins: same result as the batch query
     q["stream_epoch_due"] = q["epoch_due"]
+    q["stream_deadline"] = f"SELECT req_id, resp_id FROM ({q['deadline_join']}) WHERE resp_id IS NOT NULL"
+    q["stream_distinct_requests"] = "SELECT DISTINCT user_id, event_type FROM events"
     q["stream_ema"] = q["ema_final"]
     q["stream_chunks"] = q["stream_join_chunks"]
     q["stream_log_lines"] = q["log_lines"]
@@ -368,6 +360,8 @@ best AS (
     q["file_pair_top1"] = pairs + "SELECT dir, path_a, path_b, round(cosine, 9) AS cosine FROM best"
     q["best_file_pair"] = pairs + """SELECT dir, path_a, path_b, round(cosine, 9) AS cosine FROM best
 ORDER BY round(cosine, 12) DESC, dir LIMIT 1"""
+    from . import guard_queries
+    q.update(guard_queries.oracle_sql(pairs, q["rubric_score"]))
     q["deadline_join"] = """
 WITH req AS (SELECT event_id AS req_id, user_id, ts FROM events WHERE event_type = 'view'),
 resp AS (SELECT event_id AS resp_id, user_id, ts FROM events WHERE event_type = 'purchase')

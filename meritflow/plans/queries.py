@@ -264,7 +264,6 @@ def ttl_hold(spark: SparkSession, d: str) -> DataFrame:
 
 def epoch_due(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events")
-    # users up to 1M events fold in one bounded task; hotter users take the chain form
     return timing.epoch_triggers(e, "user_id", "ts", "event_id", 100, 12)
 
 
@@ -459,7 +458,8 @@ def published_rows(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("league-"), F.col("netuid").cast("string")).alias("repo"),
         F.concat(F.lit("task "), F.col("round").cast("string")).alias("problem_statement"),
         "patch", F.round("reward", 6).alias("score"), "hotkey")
-    sinks.publish_scored_rows(rw, path)
+    sinks.publish_scored_rows(rw, path, "first")
+    sinks.publish_scored_rows(rw, path, "first")          # a retried job publishes once
     return spark.read.parquet(path).select("repo", "problem_statement", "solution_patch", "score", "miner_hotkey")
 
 
@@ -508,32 +508,14 @@ def run_labels(spark: SparkSession, d: str) -> DataFrame:
         txt.release_code(version).alias("release"))
 
 
-PROBLEM_TEMPLATE = "Write a problem that needs both files.\n{files}\nDirectory: {dir}"
-
-
-def file_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Problem-generation prompt per directory from its first two eligible files (STR3, STR4)."""
-    docs = read_table(spark, d, "documents").select(F.col("source").alias("dir"), F.col("doc_id").alias("path"), "text")
-    f = corpus.corpus_filter(docs, "dir", "text")
-    first = f.groupBy("dir").agg(F.min("path").alias("p1"))
-    second = (f.join(first, "dir").filter(F.col("path") > F.col("p1"))
-               .groupBy("dir").agg(F.min("path").alias("p2")))
-    pick = first.join(second, "dir", "left")
-    chosen = (f.join(pick, "dir").filter((F.col("path") == F.col("p1")) | (F.col("path") == F.col("p2")))
-               .select("dir", "path", "text"))
-    files = chosen.groupBy("dir").agg(F.array_sort(F.collect_list(
-        F.struct(F.col("path").cast("string").alias("path"), F.col("text").alias("contents")))).alias("files"))
-    prompt = nst.fill_template(PROBLEM_TEMPLATE, files=nst.render_files(F.col("files")), dir=F.col("dir"))
-    return files.select("dir", prompt.alias("prompt"))
-
-
-QUERIES.update({"ema_resumed": ema_resumed, "run_labels": run_labels, "file_prompts": file_prompts, "league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
+QUERIES.update({"ema_resumed": ema_resumed, "run_labels": run_labels, "league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
                 "published_rows": published_rows})
 
 
-def _register_streams():
-    from .stream_queries import STREAM_QUERIES
-    QUERIES.update(STREAM_QUERIES)
+def _register_others():
+    from . import guard_queries, stream_queries
+    QUERIES.update(guard_queries.QUERIES)
+    QUERIES.update(stream_queries.STREAM_QUERIES)
 
 
-_register_streams()
+_register_others()

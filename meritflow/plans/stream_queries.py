@@ -103,7 +103,26 @@ def stream_trueskill(spark: SparkSession, d: str, folder: str | None = None) ->
                       F.round("ts_score", 9).alias("ts_score"))
 
 
+def stream_deadline(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
+    """Requests answered in time, and their first answer (STM6)."""
+    ev = table_stream(spark, d, "events", folder=folder)
+    req = ev.filter(F.col("event_type") == "view").select(F.col("event_id").alias("req_id"), "user_id", "ts")
+    resp = ev.filter(F.col("event_type") == "purchase").select(F.col("event_id").alias("resp_id"), "user_id", "ts")
+    out = run_to_table(spark, st.deadline_join_stream(req, resp, "user_id", "30 minutes", "400 days"), "deadline")
+    first = F.min(F.struct("resp_time", "resp_id"))["resp_id"]
+    return out.filter(F.col("resp_id").isNotNull()).groupBy("req_id").agg(first.alias("resp_id"))
+
+
+def stream_distinct_requests(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
+    """Requests without those repeated within the window, here the whole table (STM10)."""
+    ev = table_stream(spark, d, "events", folder=folder)
+    kept = st.reject_recent_duplicates(ev.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "400 days")
+    return run_to_table(spark, kept, "distinct_requests").select("user_id", "event_type")
+
+
 STREAM_QUERIES = {
+    "stream_deadline": stream_deadline,
+    "stream_distinct_requests": stream_distinct_requests,
     "stream_trueskill": stream_trueskill,
     "stream_population_resync": stream_population_resync,
     "stream_batch_tokens": stream_batch_tokens,

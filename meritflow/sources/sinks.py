@@ -18,22 +18,28 @@ def heuristics_key(**params) -> str:
 def read_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
     """Result cache (SRC3): read ``path`` if it holds rows and no refresh is asked, else
     compute, write, and read back.  Callers put the parameter key in ``path``."""
-    if not refresh:
-        try:
-            cached = spark.read.parquet(path)
-            if not cached.isEmpty():
-                return cached
-        except Exception:
-            pass
+    if not refresh and path_exists(spark, path):
+        cached = spark.read.parquet(path)
+        if not cached.isEmpty():
+            return cached
     compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def publish_scored_rows(rows: DataFrame, path: str) -> None:
-    """Append scored submissions, partitioned by repository (SRC4)."""
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, on whatever file system; other errors are raised."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def publish_scored_rows(rows: DataFrame, path: str, run: str) -> None:
+    """Scored submissions of one run, partitioned by repository (SRC4).
+
+    A repeated run replaces its own rows and no others.
+    """
     (rows.select("repo", "problem_statement", F.col("patch").alias("solution_patch"), "score",
                  F.col("hotkey").alias("miner_hotkey"))
-         .write.mode("append").partitionBy("repo").parquet(path))
+         .write.mode("overwrite").partitionBy("repo").parquet(f"{path}/run={run}"))
 
 
 def save_state(state: DataFrame, path: str, step: int) -> None:
