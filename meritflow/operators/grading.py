@@ -72,6 +72,18 @@ def classify_tests(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     return j.select(*keys, "test_id", bucket.alias("bucket"))
 
 
+def classify_results(results: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Before/after buckets straight from test results (SRC7, JOIN3, SET1): one scan and one
+    aggregate, which keeps the last passed/failed status of either run."""
+    status = F.lower("status")
+    last = lambda run: F.max_by(status, F.when((F.col("run") == run) & status.isin("passed", "failed"),
+                                               F.struct(*[F.col(o) for o in order])))
+    j = results.groupBy(*keys, "test_id").agg(last("before").alias("_b"), last("after").alias("_a"))
+    name = lambda c: F.when(F.col(c) == "passed", "PASS").otherwise("FAIL")
+    prefix = F.when(F.col("_b").isNull(), "NEW").otherwise(F.concat(name("_b"), F.lit("_TO")))
+    return j.filter(F.col("_a").isNotNull()).select(*keys, "test_id", F.concat(prefix, F.lit("_"), name("_a")).alias("bucket"))
+
+
 def bucket_counts(classified: DataFrame, keys: list[str]) -> DataFrame:
     return classified.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n_tests"))
 

@@ -178,8 +178,7 @@ def rubric_score(spark: SparkSession, d: str) -> DataFrame:
 
 def test_buckets(spark: SparkSession, d: str) -> DataFrame:
     t = views.test_results(spark, d)
-    o = grading.test_outcomes(t, ["submission_id"], ["ts", "event_id"])
-    c = grading.classify_tests(o, ["submission_id"])
+    c = grading.classify_results(t, ["submission_id"], ["ts", "event_id"])
     return grading.bucket_counts(c, ["submission_id"])
 
 
