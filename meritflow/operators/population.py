@@ -37,9 +37,10 @@ def gate_requests(requests: DataFrame, registered: DataFrame,
     supplied by the user (UDF3 hook); else accepted.  ``requests`` needs
     ``caller_hotkey``; ``registered`` needs (hotkey, uid, validator_permit).
     """
-    reg = (uid_by_hotkey(registered).join(registered.select("uid", "validator_permit", "stake"), "uid")
-           .select(F.col("hotkey").alias("_hk"), F.col("uid").alias("caller_uid"),
-                   "validator_permit", F.col("stake").alias("caller_stake")))
+    first = F.min(F.struct("uid", "validator_permit", "stake"))       # a hotkey listed twice: its smallest uid
+    reg = (registered.groupBy(F.col("hotkey").alias("_hk")).agg(first.alias("_m"))
+           .select("_hk", F.col("_m.uid").alias("caller_uid"), F.col("_m.validator_permit").alias("validator_permit"),
+                   F.col("_m.stake").alias("caller_stake")))
     d = requests.join(reg, requests["caller_hotkey"] == reg["_hk"], "left").drop("_hk")
     missing = F.col("caller_hotkey").isNull()
     unknown = F.col("caller_uid").isNull()
@@ -69,12 +70,12 @@ def priority(gated: DataFrame, partition: str = "round", tiebreak: str = "event_
     """
     d = (gated.withColumn("priority", F.coalesce(F.col("caller_stake"), F.lit(0.0)))
               .withColumn("_blk", F.floor(F.col(tiebreak) / F.lit(block)).cast("bigint")))
-    per_p = d.groupBy(partition, "priority").agg(F.count(F.lit(1)).alias("_np"))
+    counts = d.groupBy(partition, "priority", "_blk").agg(F.count(F.lit(1)).alias("_nb"))
+    per_p = counts.groupBy(partition, "priority").agg(F.sum("_nb").alias("_np"))
     per_p = per_p.withColumn("_above", F.coalesce(F.sum("_np").over(
         Window.partitionBy(partition).orderBy(F.col("priority").desc())
               .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_np")
-    per_b = d.groupBy(partition, "priority", "_blk").agg(F.count(F.lit(1)).alias("_nb"))
-    per_b = per_b.withColumn("_before", F.coalesce(F.sum("_nb").over(
+    per_b = counts.withColumn("_before", F.coalesce(F.sum("_nb").over(
         Window.partitionBy(partition, "priority").orderBy("_blk")
               .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_nb")
     local = F.row_number().over(Window.partitionBy(partition, "priority", "_blk").orderBy(F.col(tiebreak)))

@@ -7,16 +7,23 @@ with a single leading '_', which the modelled walk would keep (documented differ
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:(?://[^/]*)?"
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
     """(repo, dir, name, path) for every matching file; contents are not read."""
     root = root.rstrip("/")
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
                .option("pathGlobFilter", glob).load(root).select("path"))
-    rel = F.regexp_replace(F.regexp_replace(F.col("path"), r"^file:", ""), "^" + _re_escape(root) + "/?", "")
+    # the part behind the root, whatever scheme and authority either is written with
+    bare = re.sub(_SCHEME, "", root)
+    rel = F.regexp_replace(F.regexp_replace("path", _SCHEME, ""), "^" + re.escape(bare) + "/*", "")
     parts = F.split(rel, "/")
     name = F.element_at(parts, -1)
     directory = F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/")
@@ -25,30 +32,17 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.py") -> DataFrame:
               .filter(~hidden))
 
 
-def _re_escape(s: str) -> str:
-    import re
-    return re.escape(s)
-
-
-def read_texts(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """Contents of the listed files as text (SRC2).
+def read_texts(spark: SparkSession, files: DataFrame, root: str, glob: str = "*.py") -> DataFrame:
+    """Contents of the listed files under ``root`` as text (SRC2).
 
-    Undecodable files are dropped; CR LF and lone CR become LF, as text-mode reading
-    does.  Only the listed paths are read.
+    One scan of the files that match ``glob``, joined to the list by path.  Undecodable
+    files are dropped; CR LF and lone CR become LF, as text-mode reading does.
     """
-    root_paths = [r[0] for r in files.select("repo").distinct().collect()]
-    blobs = None
-    for root in root_paths:   # one scan per repository root (few)
-        b = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                  .option("pathGlobFilter", "*.py").load(root).select("path", "content"))
-        blobs = b if blobs is None else blobs.unionByName(b)
-    if blobs is None:
-        return files.withColumn("contents", F.lit(None).cast("string")).limit(0)
-    j = files.join(blobs, "path", "inner")
+    blobs = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", glob).load(root).select("path", "content"))
     text = F.col("content").cast("string")
-    return (j.filter(F.is_valid_utf8(text))
-             .withColumn("contents", F.regexp_replace(text, "\r\n?", "\n"))
-             .drop("content"))
+    return (files.join(blobs, "path").filter(F.is_valid_utf8(text))
+                 .withColumn("contents", F.regexp_replace(text, "\r\n?", "\n")).drop("content"))
 
 
 def candidate_files(spark: SparkSession, root: str, min_files: int, min_len: int) -> DataFrame:
@@ -56,4 +50,4 @@ def candidate_files(spark: SparkSession, root: str, min_files: int, min_len: int
     keep files longer than ``min_len`` characters (SRC1, FLT5, SRC2, FLT6)."""
     from ..operators.corpus import dir_threshold, length_filter
     listed = dir_threshold(list_files(spark, root), "dir", min_files)
-    return length_filter(read_texts(spark, listed), "contents", min_len)
+    return length_filter(read_texts(spark, listed, root), "contents", min_len)

@@ -35,6 +35,8 @@ def test_walk_and_read(spark):
     root = make_repo()
     listed = {(r.dir, r.name) for r in files.list_files(spark, root).collect()}
     assert listed == {("pkg", "a.py"), ("pkg", "b.py"), ("pkg", "c.py"), ("pkg", "bad.py"), ("", "top.py")}
+    by_uri = {(r.dir, r.name) for r in files.list_files(spark, f"file://{root}/").collect()}
+    assert by_uri == listed
     cand = files.candidate_files(spark, root, min_files=3, min_len=50)
     got = {r.name: r.contents for r in cand.collect()}
     assert set(got) == {"a.py", "b.py"}          # c.py too short, bad.py undecodable, top.py dir too small
