@@ -104,3 +104,23 @@ def float_grader(submissions: DataFrame, rubric: DataFrame, key: list[str]) -> D
     """Rubric scores joined to submissions by key -> (key..., score)."""
     j = submissions.join(rubric, key, "inner")
     return j.select(*key, rubric_score("addresses", "logical", "brevity", "bugs", "checklist", "patch").alias("score"))
+
+
+@register_grader("elo")
+def elo_grader(submissions: DataFrame, rubric: DataFrame, key: list[str], problem: str = "round", player: str = "uid",
+               order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """Elo rating of every submission among those of its problem, the rubric score deciding
+    each match -> (problem, player, score)."""
+    from .ratings import elo_ratings
+    scored = submissions.join(float_grader(submissions, rubric, key), key)
+    return elo_ratings(scored, problem, list(order), player, "score").select(problem, player, F.col("rating").alias("score"))
+
+
+@register_grader("trueskill")
+def trueskill_grader(submissions: DataFrame, rubric: DataFrame, key: list[str], league: str = "netuid", rnd: str = "round",
+                     player: str = "uid", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """League rating after each round, normalised -> (league, round, player, score)."""
+    from .ratings import trueskill_scores
+    scored = submissions.join(float_grader(submissions, rubric, key), key)
+    return trueskill_scores(scored, league, rnd, list(order), player, "score").select(
+        league, rnd, player, F.col("ts_score").alias("score"))

@@ -124,6 +124,18 @@ def status_split(df: DataFrame, group: str, ok: Column, call_failed: Column | No
     return df.groupBy(group).agg(F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed"))
 
 
+def status_lists(df: DataFrame, group: str, uid: str, ok: Column, call_failed: Column | None = None) -> DataFrame:
+    """Distinct uids with and without a successful call per group, sorted (FLT4).
+
+    A uid of a failed call is failed, whatever its own status.  The lists hold a group's
+    callers once each: a population, not its calls.
+    """
+    good = F.coalesce(ok, F.lit(False)) & ~F.coalesce(call_failed if call_failed is not None else F.lit(False), F.lit(False))
+    per = df.groupBy(group, uid).agg(F.max(good).alias("_ok"))
+    return per.groupBy(group).agg(F.sort_array(F.collect_list(F.when(F.col("_ok"), F.col(uid)))).alias("ok_uids"),
+                                  F.sort_array(F.collect_list(F.when(~F.col("_ok"), F.col(uid)))).alias("failed_uids"))
+
+
 def semi(df: DataFrame, allowed: DataFrame, on) -> DataFrame:
     """Keep rows with a match (FLT10, FLT11, SET2)."""
     return df.join(allowed, on, "left_semi")
@@ -134,9 +146,14 @@ def anti(df: DataFrame, blocked: DataFrame, on) -> DataFrame:
     return df.join(blocked, on, "left_anti")
 
 
-def total_stake(stake_map: Column) -> Column:
-    """Sum of a coldkey -> stake map (AGG16)."""
-    return F.aggregate(F.map_values(stake_map), F.lit(0.0), lambda acc, x: acc + x)
+def total_stake(stake_map: Column, zero: Column | None = None) -> Column:
+    """Sum of a coldkey -> stake map (AGG16); ``zero`` sets the type of the sum."""
+    return F.aggregate(F.map_values(stake_map), F.lit(0.0) if zero is None else zero, lambda acc, x: acc + x)
+
+
+def default_stake(stake_map: Column, coldkey: Column, amount: float = 0.0) -> Column:
+    """The map itself, or one entry for the coldkey where there is none (AGG16)."""
+    return F.coalesce(stake_map, F.create_map(coldkey, F.lit(amount)))
 
 
 def epoch_due(block: Column, last_update: Column, step: Column,

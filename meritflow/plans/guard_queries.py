@@ -156,6 +156,50 @@ SELECT event_id, anonymous OR unknown OR NOT permit OR stake < 0 AS blocked,
        CASE WHEN NOT anonymous AND NOT unknown AND permit AND stake < 0 THEN 'rule' END AS by FROM g"""
 
 
+def status_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Per hour the uids that were answered and those that were not; a sign-up's call fails as
+    a whole (FLT4)."""
+    r = views.responses(spark, d)
+    return pop.status_lists(r, "round", "uid", F.col("event_type") != "error", F.col("event_type") == "signup").select(
+        "round", F.array_join(F.transform("ok_uids", lambda x: x.cast("string")), ",").alias("ok_uids"),
+        F.array_join(F.transform("failed_uids", lambda x: x.cast("string")), ",").alias("failed_uids"))
+
+
+STATUS_LISTS = """
+WITH u AS (SELECT epoch_us(ts) // 3600000000 AS round, user_id AS uid, bool_or(event_type NOT IN ('error', 'signup')) AS ok
+           FROM events GROUP BY 1, 2)
+SELECT round, coalesce(string_agg(CAST(uid AS VARCHAR), ',' ORDER BY uid) FILTER (WHERE ok), '') AS ok_uids,
+       coalesce(string_agg(CAST(uid AS VARCHAR), ',' ORDER BY uid) FILTER (WHERE NOT ok), '') AS failed_uids
+FROM u GROUP BY round"""
+
+GRADE_TEMPLATE = "Task:\n{task}\n\nPatch under review:\n{patch}\n\nRate it on the rubric."
+DUEL_TEMPLATE = "Task:\n{task}\n\nFirst patch:\n{first}\n\nSecond patch:\n{second}\n\nWhich one is better?"
+
+
+def grading_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The rubric grader's prompt of every response, and the pair judge's against the caller's
+    next response of the hour (STR4, UDF4)."""
+    from pyspark.sql import Window
+    r = views.responses(spark, d).select("event_id", "round", "uid", "ts", "patch")
+    nxt = F.lead("patch").over(Window.partitionBy("round", "uid").orderBy("ts", "event_id"))
+    task = F.concat(F.lit("task "), F.col("round").cast("string"))
+    p = r.withColumn("next", nxt)
+    return p.select("event_id", nst.fill_template(GRADE_TEMPLATE, task=task, patch=F.col("patch")).alias("grade"),
+                    nst.fill_template(DUEL_TEMPLATE, task=task, first=F.col("patch"), second=F.col("next")).alias("duel"))
+
+
+GRADING_PROMPTS = """
+WITH r AS (
+  SELECT event_id, 'task ' || CAST(epoch_us(ts) // 3600000000 AS VARCHAR) AS task, patch,
+         lead(patch) OVER (PARTITION BY epoch_us(ts) // 3600000000, user_id ORDER BY ts, event_id) AS nxt
+  FROM (SELECT *, CASE event_type WHEN 'error' THEN NULL WHEN 'view' THEN '' ELSE event_type END AS patch FROM events))
+SELECT event_id,
+       concat('Task:', chr(10), task, chr(10), chr(10), 'Patch under review:', chr(10), coalesce(patch, ''), chr(10), chr(10),
+              'Rate it on the rubric.') AS grade,
+       concat('Task:', chr(10), task, chr(10), chr(10), 'First patch:', chr(10), coalesce(patch, ''), chr(10), chr(10),
+              'Second patch:', chr(10), coalesce(nxt, ''), chr(10), chr(10), 'Which one is better?') AS duel
+FROM r"""
+
 PROBLEM_TEMPLATE = "Write a problem that needs both files.\n{files}\nDirectory: {dir}"
 
 
@@ -182,7 +226,7 @@ QUERIES = {
     "report_outcomes": report_outcomes, "weights_due": weights_due, "allowed_models": allowed_models,
     "judgement_rejects": judgement_rejects, "close_values": close_values, "zipped_responses": zipped_responses,
     "latest_versions": latest_versions, "graded_submissions": graded_submissions, "gate_custom_rules": gate_custom_rules,
-    "file_prompts": file_prompts,
+    "file_prompts": file_prompts, "status_lists": status_lists, "grading_prompts": grading_prompts,
 }
 
 
@@ -192,5 +236,5 @@ def oracle_sql(pairs: str, rubric: str) -> dict[str, str]:
         "report_outcomes": REPORT_OUTCOMES, "weights_due": WEIGHTS_DUE, "allowed_models": _allowed_sql(),
         "judgement_rejects": JUDGEMENT_REJECTS, "close_values": CLOSE_VALUES, "zipped_responses": ZIPPED,
         "latest_versions": LATEST_VERSIONS, "graded_submissions": rubric, "gate_custom_rules": GATE_CUSTOM,
-        "file_prompts": pairs.rstrip() + FILE_PROMPTS,
+        "file_prompts": pairs.rstrip() + FILE_PROMPTS, "status_lists": STATUS_LISTS, "grading_prompts": GRADING_PROMPTS,
     }

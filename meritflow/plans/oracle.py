@@ -91,6 +91,11 @@ pw_x AS (
 pw AS """ + _cap_sql("pw_x", "x")
 
 
+def _token_pattern() -> str:
+    from ..functions.nested import TOKEN_PATTERN
+    return TOKEN_PATTERN
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     base = [MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS]
@@ -247,6 +252,14 @@ SELECT 'league-' || CAST(netuid AS VARCHAR) AS repo, 'task ' || CAST(round AS VA
        patch AS solution_patch, round(reward, 6) AS score, hotkey AS miner_hotkey FROM valid"""
     # streamed twins: same result as the batch query
     q["stream_epoch_due"] = q["epoch_due"]
+    q["stream_token_batches"] = f"""
+WITH t AS (
+  SELECT conv_id, turn, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i
+  FROM (SELECT conv_id, turn, regexp_extract_all(text, '{_token_pattern()}') AS toks FROM conversations)),
+n AS (SELECT conv_id, tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS pos,
+             count(*) OVER (PARTITION BY conv_id) AS total FROM t)
+SELECT conv_id, pos // 3 AS idx, string_agg(tok, '' ORDER BY pos) AS batch, max(pos) = max(total) - 1 AS is_last
+FROM n GROUP BY conv_id, pos // 3"""
     q["stream_deadline"] = f"SELECT req_id, resp_id FROM ({q['deadline_join']}) WHERE resp_id IS NOT NULL"
     q["stream_distinct_requests"] = "SELECT DISTINCT user_id, event_type FROM events"
     q["stream_ema"] = q["ema_final"]

@@ -489,7 +489,7 @@ def stake_maps(spark: SparkSession, d: str) -> DataFrame:
     per = o.groupBy(F.col("o_custkey").alias("uid"), F.col("o_orderpriority").alias("coldkey")) \
            .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("stake"))
     m = per.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("coldkey", "stake"))).alias("stake_map"))
-    total = F.aggregate(F.map_values("stake_map"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    total = pop.total_stake(F.col("stake_map"), F.lit(0).cast("bigint"))
     return m.select("uid", F.size("stake_map").cast("bigint").alias("n_coldkeys"),
                     (total / F.lit(100.0)).alias("total_stake"))
 

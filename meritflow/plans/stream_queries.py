@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators import population as pop
 from ..operators import scoring
 from ..sources import views
+from ..sources.tables import table_path
 from ..streaming import stateful as st
 from ..streaming.runner import latest_by_batch, run_to_table, table_stream
 
@@ -103,6 +104,13 @@ def stream_trueskill(spark: SparkSession, d: str, folder: str | None = None) ->
                       F.round("ts_score", 9).alias("ts_score"))
 
 
+def stream_token_batches(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
+    """Tokens of whole conversations in threes, carried from turn to turn (STM2)."""
+    ends = spark.read.parquet(table_path(d, "conversations")).groupBy("conv_id").agg(F.max("turn").alias("end"))
+    c = table_stream(spark, d, "conversations", folder=folder).join(ends, "conv_id").withColumn("last", F.col("turn") == F.col("end"))
+    return run_to_table(spark, st.token_batch_stream(c, "conv_id", "turn", "text", "last"), "token_batches").drop("_batch")
+
+
 def stream_deadline(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
     """Requests answered in time, and their first answer (STM6)."""
     ev = table_stream(spark, d, "events", folder=folder)
@@ -121,6 +129,7 @@ def stream_distinct_requests(spark: SparkSession, d: str, folder: str | None = N
 
 
 STREAM_QUERIES = {
+    "stream_token_batches": stream_token_batches,
     "stream_deadline": stream_deadline,
     "stream_distinct_requests": stream_distinct_requests,
     "stream_trueskill": stream_trueskill,

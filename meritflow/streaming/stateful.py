@@ -1,6 +1,6 @@
 """Stateful streaming operators.
 
-STM1 token-stream accumulation, STM3 moving-average score loop, STM4 TTL hold,
+STM1 token-stream accumulation, STM2 token batches, STM3 moving-average score loop, STM4 TTL hold,
 STM5 epoch trigger, STM6 request/response deadline join, STM7 live gate,
 STM9 log-event enrichment, STM10 recent-duplicate rejection.
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.math import block_number, epoch_us
-from ..functions.nested import chunk_text
+from ..functions.nested import chunk_text, tokens
 from .runner import event_time
 
 
@@ -165,6 +165,50 @@ def chunk_accumulator(chunks: DataFrame, key: str, seq: str, text: str, last: st
         "seqs array<bigint>, pieces array<string>, final bigint", "update", wait)
 
 
+# ----------------------------------------------------------------------------- STM2
+def token_batch_stream(chunks: DataFrame, key: str, seq: str, text: str, last: str, n: int = 3,
+                       first_seq: int = 0) -> DataFrame:
+    """A request's tokens in batches of ``n``, carried over from chunk to chunk (STM2).
+
+    ``last`` names a boolean column that marks a request's final chunk.  Chunks are taken in
+    sequence order; those that come early wait.  The state is the tokens of less than two
+    batches, so that the final batch is known as such, and the chunks that wait.  A request
+    without a single token gives no batch.
+    """
+    d = chunks.select(F.col(key), F.col(seq).cast("bigint").alias("_seq"), tokens(text).alias("_toks"),
+                      F.coalesce(F.col(last), F.lit(False)).alias("_end"))
+    state_schema = "nxt bigint, idx bigint, carry array<string>, seqs array<bigint>, toks array<array<string>>, final bigint"
+
+    def fn(k, pdfs, state):
+        nxt, idx, carry, seqs, toks, final = state.get if state.exists else (first_seq, 0, [], [], [], None)
+        wait = dict(zip(seqs, toks, strict=True))
+        for pdf in pdfs:
+            wait.update(zip(pdf["_seq"].tolist(), pdf["_toks"].tolist(), strict=True))
+            ends = pdf.loc[pdf["_end"], "_seq"]
+            final = int(ends.max()) if len(ends) else final
+        carry, out = list(carry), []
+        while nxt in wait:
+            got = wait.pop(nxt)
+            carry.extend([] if got is None else list(got))
+            nxt += 1
+            while len(carry) > n:                      # something follows, so this is not the last
+                out.append((idx, "".join(carry[:n]), False))
+                carry, idx = carry[n:], idx + 1
+        if final is not None and nxt > final:
+            if carry:
+                out.append((idx, "".join(carry), True))
+            state.remove()
+        else:
+            state.update((nxt, idx, carry, list(wait), [list(t) for t in wait.values()], final))
+        if out:
+            rows = pd.DataFrame(out, columns=["idx", "batch", "is_last"])
+            rows.insert(0, key, k[0])
+            yield rows
+
+    return d.groupBy(key).applyInPandasWithState(fn, f"{key} bigint, idx bigint, batch string, is_last boolean", state_schema,
+                                                 "append", GroupStateTimeout.NoTimeout)
+
+
 # ----------------------------------------------------------------------------- STM4
 def ttl_hold_stream(events: DataFrame, key: str, ts: str, id_col: str, value: str, ttl_seconds: int = 12,
                     lateness: str = "1 minute") -> DataFrame:
