@@ -13,7 +13,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RatingConfig
@@ -87,6 +87,66 @@ def elo_ratings(subs: DataFrame, problem: str, order: list[str], player: str, sc
     return spread_groups(d, problem).groupBy(problem).applyInPandas(fold, schema)
 
 
+def tournament(subs: DataFrame, problem: str, order: list[str], player: str, rounds: int = 2, seed: str = "elo",
+               max_players: int = 512) -> tuple[DataFrame, DataFrame]:
+    """The players (problem, idx, player) and the matches (problem, rr, i, j, at) of every
+    problem: all pairs i < j, ``rounds`` times, in the seeded order of ``at`` (JOIN5, TOP6).
+
+    A tournament meets every pair, so a problem has at most ``max_players`` submissions;
+    more raise an error instead of growing with the square.
+    """
+    first = Window.partitionBy(problem).orderBy(*order)
+    n = F.count(F.lit(1)).over(Window.partitionBy(problem))
+    fits = F.when(n > max_players, F.raise_error(F.lit(f"more than {max_players} submissions to one problem")))
+    players = subs.select(F.col(problem).cast("bigint").alias(problem), F.coalesce(
+        fits.cast("bigint"), F.row_number().over(first) - 1).cast("bigint").alias("idx"), F.col(player).cast("bigint").alias(player))
+    a, b = players.select(problem, F.col("idx").alias("i")), players.select(problem, F.col("idx").alias("j"))
+    pairs = a.join(b, problem).filter(F.col("i") < F.col("j"))
+    m = pairs.withColumn("rr", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    label = F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in (problem, "rr", "i", "j")])
+    return players, m.withColumn("at", F.md5(label))
+
+
+def elo_from_judgements(players: DataFrame, judgements: DataFrame, problem: str, player: str,
+                        cfg: RatingConfig = RatingConfig()) -> DataFrame:
+    """Per problem: Elo rating and rank of each submission (WIN5, WIN6) from judged matches.
+
+    ``judgements``: (problem, rr, i, j, at, a_wins, b_wins, draw).  Judgements without
+    exactly one flag are rejected (FLT12) and counted per problem in ``n_rejected``.  The
+    matches of a problem are folded in (rr, at) order, problems in parallel; draw_mode
+    'reference' applies the 0.5 update and then a win for the second player.
+    """
+    from .grading import judgement_valid
+    flat = judgements.select(F.col(problem).cast("bigint").alias(problem), F.col("rr").cast("bigint").alias("rr"), "at",
+                             "i", "j", judgement_valid("a_wins", "b_wins", "draw").alias("ok"),
+                             F.when(F.col("a_wins"), 1.0).when(F.col("b_wins"), 0.0).otherwise(0.5).alias("won"))
+    games = flat.groupBy(problem).agg(
+        F.sort_array(F.collect_list(F.when(F.col("ok"), F.struct("rr", "at", "i", "j", "won")))).alias("games"),
+        F.sum((~F.col("ok")).cast("bigint")).alias("n_rejected"))
+    sizes = players.groupBy(problem).agg(F.count("*").alias("n"))
+
+    @F.pandas_udf("array<double>")
+    def fold(n: pd.Series, games: pd.Series) -> pd.Series:
+        out = []
+        for size, played in zip(n, games, strict=True):
+            r = [cfg.elo_default] * int(size)
+            for g in [] if played is None else played:
+                # a draw counts 0.5 and, in the modelled judge, then as a win of the second player
+                for won in ([0.5, 0.0] if g["won"] == 0.5 and cfg.draw_mode == "reference" else [g["won"]]):
+                    change = cfg.elo_k * (won - 1.0 / (1.0 + 10.0 ** ((r[g["j"]] - r[g["i"]]) / 400.0)))
+                    r[g["i"]] += change
+                    r[g["j"]] -= change
+            out.append(r)
+        return pd.Series(out)
+
+    rated = (sizes.join(games, problem, "left").select(problem, F.coalesce("n_rejected", F.lit(0).cast("bigint")).alias("n_rejected"),
+                                                       F.posexplode(fold("n", "games")).alias("pos", "rating"))
+             .withColumn("idx", F.col("pos").cast("bigint")).drop("pos"))
+    best = Window.partitionBy(problem).orderBy(F.desc("rating"), "idx")
+    return (players.join(rated, [problem, "idx"]).withColumn("rank", F.row_number().over(best).cast("bigint"))
+                   .select(problem, player, "idx", "rating", "rank", "n_rejected"))
+
+
 # ----------------------------------------------------------------------------- TrueSkill
 def _v_win(t: float, eps: float) -> float:
     x = t - eps

@@ -234,9 +234,21 @@ def best_file_pair(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- ratings
+def judgements_of(matches: DataFrame, graded: DataFrame) -> DataFrame:
+    """Judgements of the matches (round, i, j): the higher k wins."""
+    a = graded.select("round", F.col("idx").alias("i"), F.col("k").alias("ka"))
+    b = graded.select("round", F.col("idx").alias("j"), F.col("k").alias("kb"))
+    j = matches.join(a, ["round", "i"]).join(b, ["round", "j"])
+    return j.select("round", "rr", "i", "j", "at", (F.col("ka") > F.col("kb")).alias("a_wins"),
+                    (F.col("ka") < F.col("kb")).alias("b_wins"), (F.col("ka") == F.col("kb")).alias("draw"))
+
+
 def elo_rank(spark: SparkSession, d: str) -> DataFrame:
-    s = valid_rewards(spark, d)
-    e = ratings.elo_ratings(s, "round", ["ts", "event_id"], "uid", "k")
+    """Elo tournament of every hour's submissions from a table of judgements."""
+    s = valid_rewards(spark, d).select("round", "ts", "event_id", "uid", "k")
+    players, matches = ratings.tournament(s, "round", ["ts", "event_id"], "uid")
+    graded = players.join(s.select("round", "uid", "k"), ["round", "uid"])
+    e = ratings.elo_from_judgements(players, judgements_of(matches, graded), "round", "uid")
     return e.select("round", "uid", "idx", F.round("rating", 6).alias("rating"), "rank")
 
 

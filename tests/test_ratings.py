@@ -58,3 +58,22 @@ def test_elo_ratings_dataframe(spark):
     assert out[(2, 10)].rating == 1200.0
     exp = ratings.elo_fold([3.0, 1.0, 2.0], seed="elo:1")
     assert abs(out[(1, 12)].rating - exp[2]) < 1e-9
+
+
+def test_elo_from_judgements_counts_rejects(spark):
+    players = spark.createDataFrame([(1, 0, 10), (1, 1, 11), (2, 0, 20)], "p long, idx long, player long")
+    judged = spark.createDataFrame(
+        [(1, 0, 0, 1, "a", True, False, False), (1, 1, 0, 1, "a", True, True, False), (1, 1, 0, 1, "b", None, None, None)],
+        "p long, rr int, i long, j long, at string, a_wins boolean, b_wins boolean, draw boolean")
+    got = {r.player: r for r in ratings.elo_from_judgements(players, judged, "p", "player").collect()}
+    assert (got[10].rating, got[11].rating, got[20].rating) == (1216.0, 1184.0, 1200.0)
+    assert got[10].n_rejected == 2 and got[20].n_rejected == 0 and got[10].rank == 1
+
+
+def test_tournament_is_bounded(spark):
+    import pytest
+    subs = spark.createDataFrame([(1, i, i) for i in range(6)], "p long, t long, player long")
+    players, matches = ratings.tournament(subs, "p", ["t"], "player")
+    assert players.count() == 6 and matches.count() == 2 * 15
+    with pytest.raises(Exception, match="more than 5"):
+        ratings.tournament(subs, "p", ["t"], "player", max_players=5)[0].collect()
