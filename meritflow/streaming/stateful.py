@@ -274,13 +274,14 @@ def current_population(landed: DataFrame, uid: str, hotkey: str, order: list[str
 
 # ----------------------------------------------------------------------------- STM3 (ratings)
 def trueskill_stream(subs: DataFrame, league: str, rnd: str, ts: str, id_col: str, player: str, score: str,
-                     valid: str, cfg=None) -> DataFrame:
+                     valid: str, cfg=None, open_rounds: int = 24 * 366) -> DataFrame:
     """TrueSkill league state across micro-batches (STM3).
 
-    State per league: the ratings (player, mu, sigma) and the newest round's responses,
-    which stay open until a later round arrives (the last response per player counts,
-    and only if valid).  Each batch commits the closed rounds and reports the open one
-    provisionally (update mode; the last report per (league, round, player) stands).
+    State per league: the ratings after the closed rounds, and each player's latest response,
+    by (time, id), of the open ones.  A round closes ``open_rounds`` rounds after it; until
+    then responses may come in any order, and later ones do not count.  Every batch replays
+    the open rounds from the closed ratings and reports them (update mode; the last report
+    per (league, round, player) stands).
     """
     from ..config import RatingConfig
     from ..operators.ratings import trueskill_round
@@ -288,46 +289,35 @@ def trueskill_stream(subs: DataFrame, league: str, rnd: str, ts: str, id_col: st
     d = subs.select(F.col(league).cast("bigint").alias("lg"), F.col(rnd).cast("bigint").alias("rnd"),
                     epoch_us(ts).alias("t_us"), F.col(id_col).cast("bigint").alias("eid"),
                     F.col(player).cast("bigint").alias("pl"), F.col(score).cast("double").alias("sc"),
-                    F.col(valid).alias("ok"))
+                    F.coalesce(F.col(valid), F.lit(False)).alias("ok"))
     out_schema = f"{league} bigint, {rnd} bigint, {player} bigint, mu double, sigma double, ts_score double"
-    state_schema = ("players array<bigint>, mus array<double>, sigmas array<double>, p_round bigint, "
+    state_schema = ("players array<bigint>, mus array<double>, sigmas array<double>, closed bigint, p_rnd array<bigint>, "
                     "p_t array<bigint>, p_id array<bigint>, p_pl array<bigint>, p_sc array<double>, p_ok array<boolean>")
+    names = ["rnd", "t_us", "eid", "pl", "sc", "ok"]
 
-    def close(pend: dict) -> list[tuple[int, float]]:
-        # latest response per player (already kept), valid ones, in submission order
-        rows = sorted((t, e, p, sc) for p, (t, e, sc, ok) in pend.items() if ok)
-        return [(p, sc) for _, _, p, sc in rows]
+    def play(ratings: dict, rows: pd.DataFrame, lg, out: list) -> None:
+        for r, part in rows[rows["ok"]].groupby("rnd", sort=True):
+            pairs = [(int(p), float(x)) for p, x in zip(part["pl"], part["sc"], strict=True)]
+            out.extend((lg, int(r), *x) for x in trueskill_round(ratings, pairs, cfg))
 
     def fn(k, pdfs, state):
-        lg = int(k[0])
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["rnd", "t_us", "eid"], kind="stable")
-        if state.exists:
-            pls, mus, sgs, p_round, p_t, p_id, p_pl, p_sc, p_ok = state.get
-            ratings = {int(p): (float(m), float(s)) for p, m, s in zip(pls, mus, sgs)}
-            pend = {int(p): (int(t), int(e), float(c), bool(o)) for t, e, p, c, o in zip(p_t, p_id, p_pl, p_sc, p_ok)}
-        else:
-            ratings, p_round, pend = {}, None, {}
-        out = []
-        cols = zip(pdf["rnd"].tolist(), pdf["t_us"].tolist(), pdf["eid"].tolist(), pdf["pl"].tolist(),
-                   pdf["sc"].tolist(), pdf["ok"].tolist())
-        for r, t, e, p, c, o in cols:
-            if p_round is not None and r < p_round:
-                continue                                   # late round: already closed
-            if p_round is not None and r > p_round:
-                for pl, m, sg, sc in trueskill_round(ratings, close(pend), cfg):
-                    out.append((lg, p_round, pl, m, sg, sc))
-                pend = {}
-            p_round = r
-            pend[p] = (t, e, c, bool(o))                   # rows arrive sorted: the last one wins
-        if pend:                                           # provisional report of the open round
-            trial = dict(ratings)
-            for pl, m, sg, sc in trueskill_round(trial, close(pend), cfg):
-                out.append((lg, p_round, pl, m, sg, sc))
-        players = list(ratings)
-        items = list(pend.items())
-        state.update((players, [ratings[p][0] for p in players], [ratings[p][1] for p in players], p_round,
-                      [v[0] for _, v in items], [v[1] for _, v in items], [p for p, _ in items],
-                      [v[2] for _, v in items], [v[3] for _, v in items]))
+        players, mus, sigmas, closed, *held = state.get if state.exists else ([], [], [], None, *[[]] * 6)
+        ratings = {int(p): (float(m), float(s)) for p, m, s in zip(players, mus, sigmas, strict=True)}
+        rows = pd.concat([pd.DataFrame(dict(zip(names, held, strict=True))), *(p[names] for p in pdfs)])
+        rows = rows.astype({"rnd": "int64", "t_us": "int64", "eid": "int64", "pl": "int64", "sc": "float64", "ok": "bool"})
+        if closed is not None:
+            rows = rows[rows["rnd"] > closed]
+        rows = rows.sort_values(["rnd", "t_us", "eid"], kind="stable").drop_duplicates(["rnd", "pl"], keep="last")
+        out: list = []
+        if len(rows):
+            done = rows["rnd"] <= int(rows["rnd"].iloc[-1]) - open_rounds
+            play(ratings, rows[done], k[0], out)
+            closed = int(rows.loc[done, "rnd"].iloc[-1]) if done.any() else closed
+            rows = rows[~done]
+        order = list(ratings)
+        state.update((order, [ratings[p][0] for p in order], [ratings[p][1] for p in order], closed,
+                      *(rows[c].tolist() for c in names)))
+        play(dict(ratings), rows, k[0], out)
         if out:
             yield pd.DataFrame(out, columns=[league, rnd, player, "mu", "sigma", "ts_score"])
 

@@ -151,7 +151,7 @@ def reversed_tables(spark):
 
 @pytest.mark.parametrize("stream,twin,columns", [
     ("stream_epoch_due", "epoch_due", None), ("stream_ema", "ema_final", None), ("stream_chunks", "stream_join_chunks", None),
-    ("stream_ttl_hold", None, None), ("stream_token_batches", "stream_token_batches", None), ("stream_gate_requests", "gate_requests", None),
+    ("stream_ttl_hold", None, None), ("stream_trueskill", "trueskill_rank", None), ("stream_token_batches", "stream_token_batches", None), ("stream_gate_requests", "gate_requests", None),
     ("stream_population_resync", "ema_reset", ["uid", "hotkey", "n_resets"])])
 def test_streams_on_a_storage_uri_in_reverse_time_order(spark, reversed_tables, stream, twin, columns):
     got = Q.QUERIES[stream](spark, reversed_tables)
