@@ -45,6 +45,16 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Let Python workers get at most ``rows`` rows at a time: texts can be long.
+
+    This sets the session's Arrow batch size, which is read when a query starts.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     """Names for working columns that clash with none of ``df``'s."""
     have = {c.lower() for c in df.columns}

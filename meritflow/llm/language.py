@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import fresh
+from meritflow.llm.common import fresh, small_batches
 
 BINS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -83,6 +83,7 @@ def fit(docs: DataFrame, max_fit_rows: int = 3_000, smoothing: float = 0.2) -> L
     of bins falls, and beyond 4,096 languages this raises.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = docs.where("lang is not null and text is not null")
     per = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy("lang").limit(4_097).collect()}
     if len(per) > 4_096:
@@ -128,6 +129,7 @@ def predict(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", scor
     grams, as grams of running text are far from independent.  Ties go to the language
     that sorts first; input columns named like the results are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang: string, score: double>")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import fresh, mix64, small, words, written
+from meritflow.llm.common import fresh, mix64, small, small_batches, words, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -97,7 +97,7 @@ def _level(rows: DataFrame, group: str, n: dict[str, str]) -> DataFrame:
         starts = _starts(t)
         for i, j in zip(starts, np.r_[starts[1:], len(p)], strict=True):
             _exchange(p[i:j], size[i:j], draw[i:j])
-        yield from t.set_column(names.index(p_), p_, pa.array(p)).combine_chunks().to_batches()
+        yield from t.set_column(names.index(p_), p_, pa.array(p)).to_batches()
 
     def _starts(t: pa.Table) -> np.ndarray:
         code = np.stack([t[k].to_numpy() for k in keys], axis=1)
@@ -112,7 +112,7 @@ def _level(rows: DataFrame, group: str, n: dict[str, str]) -> DataFrame:
             last = int(_starts(t)[-1])
             if last:
                 yield from settle(t.slice(0, last))
-            held = t.slice(last).combine_chunks().to_batches()
+            held = t.slice(last).to_batches()
         if held:
             yield from settle(pa.Table.from_batches(held))
 
@@ -126,6 +126,7 @@ def _mixed(docs: DataFrame, size: Column | None, weights: tuple[int, ...], max_r
     n = fresh(docs, "source_no", "whole", "p", "draw", "bucket", "size", "source_size", "target", "src", "copies",
               "at", "of", "drawn")
     c = {k: F.col(v) for k, v in n.items()}
+    small_batches(docs.sparkSession)
     sized = docs.withColumn(n["size"], words(F.col("text")) if size is None else size)
     goal = written(targets(sized.groupBy("source").agg(
         F.sum(n["size"]).alias("source_size"), F.count("*").alias("n_rows")), weights, max_repeats), "targets")

@@ -18,7 +18,7 @@ import zlib
 from array import array
 from bisect import bisect_right, insort
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meritflow.llm.common import small_batches, utf8
+
 TIERS = (64, 128, 256, 512, 1024)
 STEP_TOKENS = 16 * 1024
 #: Rows of one packing batch at most; a batch also ends at this many bytes of text.
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 22
 
 #: The pattern of byte-level vocabularies of this kind (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,10 +46,13 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        self.path = path
+        self.ranked, self.special = _by_rank(path)
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        self.ranked = _by_rank(path, self.special)
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> list[int]:
         if self.ranked and not any(s in text for s in self.special):
@@ -55,23 +60,25 @@ class Encoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def _by_rank(path: str, special: set[str]):
-    """An encoder by merge ranks, or None if the file is no byte-level vocabulary in rank order."""
+def _by_rank(path: str):
+    """An encoder by merge ranks, or None if the file is no byte-level vocabulary in rank
+    order, and the special tokens' strings."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    special = {t["content"] for t in spec.get("added_tokens", ())}
     model, before = spec["model"], spec.get("pre_tokenizer") or {}
     if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec.get("normalizer"):
-        return None
+        return None, special
     joined = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     order = [model["vocab"][a + b] for a, b in joined]
     if order != sorted(order):
-        return None
+        return None, special
     import tiktoken
     # the byte-level alphabet: printable Latin-1 stands for itself, the rest from U+0100 on
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
     letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     ranks = {bytes(letters[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), special
 
 
 @lru_cache(maxsize=2)
@@ -147,12 +154,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tuple[int, ...
     An empty table gives no rows; other columns of ``docs`` are not read.
     """
     cut = tuple(sorted(tiers))
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 40
         sequence = step = 0
         for b in batches:
-            sizes = np.cumsum([0, *(len(t) if t else 0 for t in b.column("text").to_pylist())])
+            _, sizes = utf8(b.column("text"))
             at = 0
             while at < b.num_rows:
                 to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + BATCH_BYTES, side="right")) - 1)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import fresh, remainder, small, written
+from meritflow.llm.common import fresh, remainder, small, small_batches, written
 
 # Letters that look like Latin ones, and digits or signs written for letters.
 LOOKALIKES = {
@@ -130,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, max_term
     positive or no negative row the lexicon is empty and every score is the prior.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     known = (labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null")
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .where(remainder(F.col("doc_id"), holdout) != 0))
@@ -182,6 +183,7 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataF
     Null and empty texts get the score of a text without matches.  Repeated rows score
     alike; every column of ``docs`` stays as it is.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cache: list[Matcher] = []
 
