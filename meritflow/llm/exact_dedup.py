@@ -56,7 +56,7 @@ def _enter(table: np.ndarray, at: np.ndarray) -> None:
 def repeated_filter(keys: DataFrame, rows: int, max_bits: int = 1 << 28) -> tuple[int, bytes]:
     """Blocks and bits of a Bloom filter that holds every key occurring twice in ``keys``.
 
-    Each batch first drops its own repeats, so a hot key reaches the shuffle once a batch.
+    Each batch first drops its own repeats, so a hot key reaches the shuffle twice a batch.
     """
     blocks = 1
     while blocks < (1 << 22) and blocks << BLOCK_BITS < min(max_bits, 16 * max(rows, 1)):
@@ -64,21 +64,16 @@ def repeated_filter(keys: DataFrame, rows: int, max_bits: int = 1 << 28) -> tupl
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, n = np.unique(b.column(0).to_numpy().view(np.uint64), return_counts=True)
-            block = (k >> np.uint64(40)) % np.uint64(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(block.astype(np.int64)), pa.array(k.view(np.int64)),
-                                              pa.array(n > 1)], ["block", "key", "again"])
+            k, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, np.minimum(n, 2)))], ["key"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = blocks << (BLOCK_BITS - 3)
         once, twice = np.zeros(size, np.uint8), np.zeros(size, np.uint8)
         for b in batches:
-            k, first, n = np.unique(b.column(1).to_numpy().view(np.uint64), return_index=True, return_counts=True)
-            again = np.zeros(len(k), bool)
-            flags = b.column(2).to_numpy(zero_copy_only=False)
-            again[np.searchsorted(k, b.column(1).to_numpy().view(np.uint64)[flags])] = True
+            k, n = np.unique(b.column(0).to_numpy().view(np.uint64), return_counts=True)
             at = _probes(k, blocks)
-            _enter(twice, at[again | (n > 1) | _has(once, at)])
+            _enter(twice, at[(n > 1) | _has(once, at)])
             _enter(once, at)
         table = twice.reshape(blocks, -1)
         full = np.flatnonzero(table.any(axis=1))
@@ -86,8 +81,8 @@ def repeated_filter(keys: DataFrame, rows: int, max_bits: int = 1 << 28) -> tupl
                                           pa.array([table[i].tobytes() for i in full], pa.binary())], ["block", "bits"])
 
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = (keys.mapInArrow(thin, "block long, key long, again boolean").repartition(parts, "block")
-             .mapInArrow(build, "block long, bits binary"))
+    block = F.pmod(F.shiftrightunsigned("key", 40), F.lit(blocks))
+    found = (keys.mapInArrow(thin, "key long").repartition(parts, block).mapInArrow(build, "block long, bits binary"))
     table = bytearray(blocks << (BLOCK_BITS - 3))
     for r in found.toLocalIterator():
         table[r.block << (BLOCK_BITS - 3):(r.block + 1) << (BLOCK_BITS - 3)] = r.bits

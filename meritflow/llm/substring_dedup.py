@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A text is cut wherever the rolling hash of the last 16 bytes falls below a bound, so cuts
-depend on nothing but the bytes around them: an insertion moves the cuts behind it without
-changing them, and the same passage is cut alike in any document.  Chunks are identified by
+A text is cut wherever the rolling hash of the last 16 bytes is the least within some bytes
+to either side, so cuts depend on nothing but the bytes around them: an insertion moves the
+cuts behind it without changing them, and the same passage is cut alike in any document.
+No chunk is shorter than that reach, so few repeat by chance.  Chunks are identified by
 digest.  A Bloom filter of the digests met twice lets only possibly repeated chunks shuffle;
 those are grouped by digest, which tells the first document of each.  Adjacent repeated
 chunks of a text form spans, and spans of enough words are reported; all but the first
@@ -23,18 +24,31 @@ from meritflow.llm.common import BLANK, mix64, pieces, stream_values, utf8, word
 from meritflow.llm.exact_dedup import _has, _probes, repeated_filter
 
 WINDOW = 16
-MEAN_CHUNK = 24
+REACH = 15               # a cut is the least hash of this many bytes to either side
 MAX_CHUNK = 512
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[BLANK] = 32
 _GEAR = stream_values(3, 256).astype(np.uint32)
+_NONE = np.uint32(0xFFFFFFFF)
 _VALUE = stream_values(4, 256)
 _POWER = np.cumprod(np.full(MAX_CHUNK, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def chunks(data: np.ndarray, rows: np.ndarray, mean: int = MEAN_CHUNK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _least(h: np.ndarray) -> np.ndarray:
+    """Where a hash is below all of the REACH before it and not above the REACH after it."""
+    edge = np.full(REACH, _NONE, np.uint32)
+    m = np.concatenate([edge, h, edge])
+    for step in (1, 2, 4):                     # the least of 8 from each place on
+        m = np.minimum(m[:-step], m[step:])
+    n, r = len(h), REACH
+    before = np.minimum(m[0:n], m[r - 8:n + r - 8])
+    after = np.minimum(m[r + 1:n + r + 1], m[2 * r - 7:n + 2 * r - 7])
+    return (h < before) & (h <= after) & (h != _NONE)
+
+
+def chunks(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, digest and words of each chunk of the texts that begin at ``rows``."""
     n = len(data)
     if not n:
@@ -44,11 +58,10 @@ def chunks(data: np.ndarray, rows: np.ndarray, mean: int = MEAN_CHUNK) -> tuple[
     while width < WINDOW:                      # the hash of 2w bytes from two of w bytes
         h[width:] = h[width:] + (h[:-width].copy() << np.uint32(width))
         width *= 2
-    low = h < np.uint32((1 << 32) // mean)
-    low[1:] &= ~low[:-1]                       # a stretch of equal bytes cuts once
     begins = rows[rows < n]
-    for k in range(WINDOW - 1):                # the window must lie inside the text
-        low[np.minimum(begins + k, n - 1)] = False
+    for k in range(WINDOW - 1):                # the window must lie inside the text, and as it
+        h[np.minimum(begins + k, n - 1)] = _NONE   # is longer than the reach, so do the neighbours
+    low = _least(h)
     cut = np.zeros(n + 1, bool)
     cut[1:] = low
     cut[begins] = True
@@ -64,21 +77,24 @@ def chunks(data: np.ndarray, rows: np.ndarray, mean: int = MEAN_CHUNK) -> tuple[
     return start, digest, words
 
 
-def _digests(docs: DataFrame, mean: int) -> DataFrame:
+def _digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = utf8(b.column(0))
             for i, j in pieces(at, 1 << 20):
-                _, digest, _ = chunks(data[at[i]:at[j]], at[i:j] - at[i], mean)
+                _, digest, _ = chunks(data[at[i]:at[j]], at[i:j] - at[i])
                 yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64))], ["key"])
 
     return docs.select("text").mapInArrow(run, "key long")
 
 
-def _suspects(docs: DataFrame, mean: int, max_bits: int) -> DataFrame:
-    """key, doc_id, start, size, words, digest of the chunks that may be repeated."""
+def _suspects(docs: DataFrame, max_bits: int) -> DataFrame:
+    """key, doc_id, place, digest of the chunks that may be repeated.
+
+    ``place`` is start * 2^20 + size * 2^10 + words, which keeps the rows narrow.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, bits = repeated_filter(_digests(docs, mean), size // mean, max_bits)
+    blocks, bits = repeated_filter(_digests(docs), size // (2 * REACH), max_bits)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,21 +103,19 @@ def _suspects(docs: DataFrame, mean: int, max_bits: int) -> DataFrame:
             data, at = utf8(b.column("text"))
             doc, key = b.column("doc_id"), b.column("key")
             for i, j in pieces(at, 1 << 20):
-                start, digest, words = chunks(data[at[i]:at[j]], at[i:j] - at[i], mean)
+                start, digest, words = chunks(data[at[i]:at[j]], at[i:j] - at[i])
                 size = np.diff(np.r_[start, at[j] - at[i]])
                 row = np.searchsorted(at[i:j] - at[i], start, side="right") - 1
+                place = (start - (at[i:j] - at[i])[row] << 20) + (size << 10) + words
                 keep = np.flatnonzero(_has(table, _probes(digest, blocks)))
                 who = pa.array(row[keep] + i)
-                yield pa.RecordBatch.from_arrays(
-                    [key.take(who), doc.take(who), pa.array((start - (at[i:j] - at[i])[row])[keep]), pa.array(size[keep]),
-                     pa.array(words[keep]), pa.array(digest[keep].view(np.int64))],
-                    ["key", "doc_id", "start", "size", "words", "digest"])
+                yield pa.RecordBatch.from_arrays([key.take(who), doc.take(who), pa.array(place[keep]),
+                                                  pa.array(digest[keep].view(np.int64))], ["key", "doc_id", "place", "digest"])
 
-    return docs.select("key", "doc_id", "text").mapInArrow(
-        run, "key long, doc_id long, start long, size long, words long, digest long")
+    return docs.select("key", "doc_id", "text").mapInArrow(run, "key long, doc_id long, place long, digest long")
 
 
-def find(docs: DataFrame, min_words: int = 16, mean: int = MEAN_CHUNK, max_bits: int = 1 << 28) -> DataFrame:
+def find(docs: DataFrame, min_words: int = 16, max_bits: int = 1 << 28) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, repeated_bytes, removed_bytes, spans, other_doc_ids.
 
     ``spans`` lists (start, length, removed, doc_ids) in bytes of the UTF-8 text, in order;
@@ -115,22 +129,28 @@ def find(docs: DataFrame, min_words: int = 16, mean: int = MEAN_CHUNK, max_bits:
     ``min_words`` allows for that and finds passages of 50 words.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    seen = written(_suspects(keyed, mean, max_bits), "chunks")
+    seen = written(_suspects(keyed, max_bits), "chunks")
     mine = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     repeated = (seen.groupBy("digest").agg(F.count("*").alias("n"), F.min(mine).alias("first"), F.max(mine).alias("last"))
-                .where("n > 1"))
-    # rows with the same doc_id and text give the same chunks twice
-    hits = seen.join(repeated, "digest").dropDuplicates(["key", "start"])
-    here = Window.partitionBy("key").orderBy("start")
-    again = F.row_number().over(Window.partitionBy("key", "digest").orderBy("start")) > 1
-    told = (hits.withColumn("again", again)
-            .withColumn("removed", (mine != F.col("first")) | F.col("again"))
+                .where("n > 1").drop("n"))
+    hits = seen.join(repeated, "digest").select(
+        "key", "place", "digest", (mine != F.col("first")).alias("later"),
+        F.when(mine != F.col("first"), F.col("first")).otherwise(F.col("last")).alias("other"))
+    # from here on a document's chunks stay together; rows with the same doc_id and text give
+    # the same chunks twice
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = hits.repartition(parts, "key").dropDuplicates(["key", "place"])
+    here = Window.partitionBy("key").orderBy("place")
+    again = F.row_number().over(Window.partitionBy("key", "digest").orderBy("place")) > 1
+    start, size = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023))
+    told = (own.withColumn("removed", F.col("later") | again)
+            .select("key", "other", "removed", start.alias("start"), size.alias("size"),
+                    F.col("place").bitwiseAND(F.lit(1023)).alias("words"), "place")
             .withColumn("new", F.coalesce((F.lag(F.col("start") + F.col("size")).over(here) != F.col("start"))
                                           | (F.lag("removed").over(here) != F.col("removed")), F.lit(True)))
             .withColumn("span", F.sum(F.col("new").cast("long")).over(here)))
-    other = F.when(F.col("removed"), F.col("first")).otherwise(F.col("last"))
     # a stray chunk next to a passage may come from elsewhere: name the documents of its bulk
-    parts = told.groupBy("key", "span", "removed", other.alias("other")).agg(
+    parts = told.groupBy("key", "span", "removed", "other").agg(
         F.min("start").alias("start"), F.sum("size").alias("length"), F.sum("words").alias("words"))
     most = F.least(F.lit(min_words // 2), F.array_max(F.transform("others", lambda x: x["words"])))
     spans = (parts.groupBy("key", "span", "removed").agg(
