@@ -53,3 +53,27 @@ def test_latest_per_key(spark):
     df = spark.createDataFrame([(1, 1, 10, "a"), (1, 1, 20, "b"), (1, 2, 5, "c")], "k int, r int, ts int, v string")
     got = {(r.k, r.r): r.v for r in scoring.latest_per_key(df, ["k", "r"], ["ts"]).collect()}
     assert got == {(1, 1): "b", (1, 2): "c"}
+
+
+def test_resume_equals_a_single_run(spark):
+    rows = [(u, i, float((7 * u + 3 * i) % 11)) for u in (1, 2) for i in range(20)] + [(3, 15, 4.0)]
+    df = spark.createDataFrame(rows, "u long, i long, r double")
+    whole = {r.u: r.score for r in scoring.ema_final(df, "u", "i", "r", block="i").collect()}
+    half = scoring.ema_final(df.filter("i < 9"), "u", "i", "r", block="i").unionByName(
+        spark.createDataFrame([(4, 0.5, 3)], "u long, score double, n_updates long"))
+    both = {r.u: (r.score, r.n_updates) for r in scoring.ema_final(
+        df.filter("i >= 9"), "u", "i", "r", block="i", initial="score", start=half).collect()}
+    for u in (1, 2, 3):
+        assert abs(both[u][0] - whole[u]) < 1e-12
+    assert both[4] == (0.5, 0)                      # no new rows: the score stays
+
+
+def test_only_labelled_tasks_move_scores(spark):
+    df = spark.createDataFrame([(1, "labelled_issue"), (2, "open_issue"), (3, None)], "u long, task_type string")
+    assert [r.u for r in scoring.labelled_only(df).collect()] == [1]
+
+
+def test_hotkey_changes_from_and_to_null(spark):
+    df = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 1, None), (1, 1, 2, "b"), (1, 1, 3, "b")], "u long, b long, t long, h string")
+    marked = scoring.hotkey_epochs(df, "u", ["t"], "h", "b").orderBy("t").collect()
+    assert [r._reset for r in marked] == [False, True, True, False]
