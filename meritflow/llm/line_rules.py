@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import SPACE, written
+from meritflow.llm.common import SPACE, fresh, written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -92,18 +92,21 @@ def strip_lines(docs: DataFrame, min_docs: int = 20, max_share: float = 0.02) ->
 
     Null and empty texts stay as they are.
     """
-    text, source = F.col("text"), F.col("source")
-    host = F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+    n = fresh(docs, "host", "key", "pairs", "h", "gone", "n", "texts")
+    c = {k: F.col(v) for k, v in n.items()}
+    text = F.col("text")
+    host = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     flat = F.regexp_replace(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), r"\d+", "0")
     pairs = F.arrays_zip(F.split(text, "\n").alias("line"), F.transform(
         F.split(flat, "\n"), lambda x: F.xxhash64(F.btrim(x))).alias("h"))
-    held = docs.select(host.alias("host_"), F.md5("text").alias("key_"), F.explode(F.array_distinct(F.transform(
-        normal_lines(text), lambda x: x["h"]))).alias("h_"))
-    hosts = docs.groupBy(host.alias("host_")).agg(F.countDistinct(F.md5("text")).alias("texts_"))
-    common = (held.groupBy("host_", "h_").agg(F.countDistinct("key_").alias("n_")).join(hosts, "host_")
-              .where(F.col("n_") > F.greatest(F.lit(float(min_docs)), F.col("texts_") * max_share)).select("host_", "h_"))
-    gone = held.join(common, ["host_", "h_"]).groupBy("host_", "key_").agg(F.collect_set("h_").alias("gone_"))
-    keyed = docs.withColumns({"host_": host, "key_": F.md5("text"), "pairs_": pairs}).join(gone, ["host_", "key_"], "left")
-    left = F.array_join(F.transform(F.filter("pairs_", lambda x: ~F.array_contains("gone_", x["h"])), lambda x: x["line"]), "\n")
-    return keyed.withColumn("text", F.when(F.col("gone_").isNull(), text).otherwise(left)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.select(host.alias(n["host"]), F.md5("text").alias(n["key"]), F.explode(F.array_distinct(F.transform(
+        normal_lines(text), lambda x: x["h"]))).alias(n["h"]))
+    hosts = docs.groupBy(host.alias(n["host"])).agg(F.countDistinct(F.md5("text")).alias(n["texts"]))
+    common = (held.groupBy(n["host"], n["h"]).agg(F.countDistinct(n["key"]).alias(n["n"])).join(hosts, n["host"])
+              .where(c["n"] > F.greatest(F.lit(float(min_docs)), c["texts"] * max_share)).select(n["host"], n["h"]))
+    gone = held.join(common, [n["host"], n["h"]]).groupBy(n["host"], n["key"]).agg(F.collect_set(n["h"]).alias(n["gone"]))
+    keyed = (docs.withColumns({n["host"]: host, n["key"]: F.md5("text"), n["pairs"]: pairs})
+             .join(gone, [n["host"], n["key"]], "left"))
+    kept = F.filter(n["pairs"], lambda x: ~F.array_contains(c["gone"], x["h"]))
+    left = F.when(c["gone"].isNull(), text).otherwise(F.array_join(F.transform(kept, lambda x: x["line"]), "\n"))
+    return keyed.select(*[left.alias(x) if x == "text" else F.col(f"`{x}`") for x in docs.columns])

@@ -307,7 +307,8 @@ def test_line_rules_base_counts(spark, odd, none):
         got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
                      for r in line_rules.judge(rows).collect())
         assert got == want
-    assert line_rules.judge(none).count() == 0
+    assert line_rules.judge(none).count() == 0 and line_rules.strip_lines(none).count() == 0
+    assert line_rules.strip_lines(odd).columns == odd.columns and line_rules.strip_lines(odd).count() == odd.count()
 
 
 def test_line_rules_reject_depleted_documents(spark):
