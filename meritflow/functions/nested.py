@@ -66,12 +66,19 @@ def override(base, extra) -> Column:
     return F.map_concat(_c(base), _c(extra))
 
 
-def detailed_problem(statement, checklist, context_files) -> Column:
+# The wording of the detailed problem text, which its readers parse.
+PROBLEM_PARTS = {
+    "statement": "\nProblem Statement: ",
+    "checklist": "\nChecklist of items to consider: ",
+    "file": "# File %d used to solve the problem: %s",
+}
+
+
+def detailed_problem(statement, checklist, context_files, parts: dict[str, str] = PROBLEM_PARTS) -> Column:
     """Problem statement, checklist and numbered context files as one text (STR2)."""
-    files = F.transform(_c(context_files), lambda f, i: F.format_string("# File %d used to solve the problem: %s", i, f))
+    files = F.transform(_c(context_files), lambda f, i: F.format_string(parts["file"], i, f))
     items = F.concat(F.lit("["), F.array_join(F.transform(_c(checklist), lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
-    return F.concat(F.lit("\nProblem Statement: "), _c(statement),
-                    F.lit("\nChecklist of items to consider: "), items,
+    return F.concat(F.lit(parts["statement"]), _c(statement), F.lit(parts["checklist"]), items,
                     F.lit("\n"), F.array_join(files, ""), F.lit("\n"))
 
 

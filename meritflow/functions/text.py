@@ -79,10 +79,13 @@ def split_repo(repo) -> Column:
                     F.split_part(repo, F.lit("/"), F.lit(2)).alias("name"))
 
 
+# Fixed value: the format of run labels.
+RUN_FORMAT = "%s__%s__%s__t-%.2f__p-%.2f__c-%.2f__install-%d"
+
+
 def run_name(model, data, config, temperature, top_p, cost_limit, install_env, suffix=None) -> Column:
     """Run label: parts joined by '__', floats with two decimals, ':' replaced (STR8)."""
-    base = F.format_string("%s__%s__%s__t-%.2f__p-%.2f__c-%.2f__install-%d",
-                           model, data, config, temperature, top_p, cost_limit, install_env)
+    base = F.format_string(RUN_FORMAT, model, data, config, temperature, top_p, cost_limit, install_env)
     if suffix is not None:
         suffix = F.col(suffix) if isinstance(suffix, str) else suffix
         base = F.when((suffix.isNull()) | (suffix == ""), base).otherwise(F.concat(base, F.lit("__"), suffix))

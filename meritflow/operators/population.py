@@ -27,6 +27,13 @@ def uid_by_hotkey(miners: DataFrame) -> DataFrame:
     return miners.groupBy("hotkey").agg(F.min("uid").alias("uid"))
 
 
+# The reasons a request's caller is told, as the modelled gate words them.
+REASON_MISSING = "Missing dendrite or hotkey"
+REASON_UNKNOWN = "Unrecognized hotkey"
+REASON_NO_PERMIT = "Non-validator hotkey"
+REASON_ACCEPTED = "Hotkey recognized!"
+
+
 def gate_requests(requests: DataFrame, registered: DataFrame,
                   cfg: PopulationConfig = PopulationConfig(),
                   extra_rules: list[tuple[Column, str]] | None = None) -> DataFrame:
@@ -44,14 +51,14 @@ def gate_requests(requests: DataFrame, registered: DataFrame,
     d = requests.join(reg, requests["caller_hotkey"] == reg["_hk"], "left").drop("_hk")
     missing = F.col("caller_hotkey").isNull()
     unknown = F.col("caller_uid").isNull()
-    verdict = (F.when(missing, F.struct(F.lit(True).alias("blocked"), F.lit("Missing dendrite or hotkey").alias("reason")))
+    verdict = (F.when(missing, F.struct(F.lit(True).alias("blocked"), F.lit(REASON_MISSING).alias("reason")))
                 .when(unknown & F.lit(not cfg.allow_non_registered),
-                      F.struct(F.lit(True).alias("blocked"), F.lit("Unrecognized hotkey").alias("reason")))
+                      F.struct(F.lit(True).alias("blocked"), F.lit(REASON_UNKNOWN).alias("reason")))
                 .when(F.lit(cfg.force_validator_permit) & ~F.coalesce(F.col("validator_permit"), F.lit(False)),
-                      F.struct(F.lit(True).alias("blocked"), F.lit("Non-validator hotkey").alias("reason"))))
+                      F.struct(F.lit(True).alias("blocked"), F.lit(REASON_NO_PERMIT).alias("reason"))))
     for cond, reason in extra_rules or []:
         verdict = verdict.when(cond, F.struct(F.lit(True).alias("blocked"), F.lit(reason).alias("reason")))
-    verdict = verdict.otherwise(F.struct(F.lit(False).alias("blocked"), F.lit("Hotkey recognized!").alias("reason")))
+    verdict = verdict.otherwise(F.struct(F.lit(False).alias("blocked"), F.lit(REASON_ACCEPTED).alias("reason")))
     return d.withColumn("_v", verdict).select(*requests.columns, "caller_uid", "caller_stake",
                                               F.col("_v.blocked").alias("blocked"), F.col("_v.reason").alias("reason"))
 
