@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -55,6 +56,27 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def tidy() -> None:
+    """Give memory that Arrow and numpy have freed back to the system.
+
+    Python workers are kept for the next task, several to an executor, and would otherwise
+    each hold on to the most they ever used.
+    """
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def _trimmer():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):       # another C library
+        return None
+
+
+_TRIM = _trimmer()
+
+
 def fresh(df: DataFrame, *names: str) -> dict[str, str]:
     """Names for working columns that clash with none of ``df``'s."""
     have = {c.lower() for c in df.columns}
@@ -125,7 +147,8 @@ def words(text: pa.Array) -> pa.Array:
     """Number of words of each text; null counts as empty."""
     data, at = utf8(text)
     out = np.zeros(len(at) - 1, np.int64)
-    for i, j in pieces(at, 1 << 22):
+    for i, j in pieces(at, 1 << 20):
         starts = word_starts(data[at[i]:at[j]], at[i:j] - at[i])
         out[i:j] = np.diff(np.searchsorted(starts, at[i:j + 1] - at[i]))
+    tidy()
     return pa.array(out)

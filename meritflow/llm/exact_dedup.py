@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from meritflow.llm.common import SPACE, fresh, mix64, utf8
+from meritflow.llm.common import SPACE, fresh, mix64, small_batches, tidy, utf8
 
 BLOCK_BITS = 15          # a block is 4 KB; all probes of a key fall into one block
 PROBES = 4
@@ -33,8 +33,9 @@ def text_digest(text: pa.Array) -> pa.Array:
     """SHA-256 of the UTF-8 text without white space; null counts as empty."""
     data, at = utf8(text)
     view, blank = memoryview(data), SPACE.encode()
-    return pa.array([hashlib.sha256(bytes(view[a:b]).translate(None, blank)).digest()
-                     for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    out = [hashlib.sha256(bytes(view[a:b]).translate(None, blank)).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+    tidy()
+    return pa.array(out, pa.binary())
 
 
 def _probes(keys: np.ndarray, blocks: int) -> np.ndarray:
@@ -77,6 +78,7 @@ def repeated_filter(keys: DataFrame, rows: int, max_bits: int = 1 << 28) -> tupl
             _enter(once, at)
         table = twice.reshape(blocks, -1)
         full = np.flatnonzero(table.any(axis=1))
+        del once
         yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int64)),
                                           pa.array([table[i].tobytes() for i in full], pa.binary())], ["block", "bits"])
 
@@ -106,6 +108,7 @@ def _marked(docs: DataFrame, max_bits: int) -> tuple[DataFrame, dict[str, str]]:
     n = fresh(docs, "digest", "size", "rank", "best", "count", "kept", "keep_id", "sure")
     c = {k: F.col(v) for k, v in n.items()}
     doc_id = F.col("doc_id").cast("long")
+    small_batches(docs.sparkSession)
     keyed = docs.withColumn(n["digest"], text_digest(F.col("text"))) if "text" in docs.columns else docs
     keyed = keyed.withColumn(n["size"], F.coalesce(F.length("text"), F.lit(0)))
     maybe = _maybe_repeated(keyed, F.xxhash64(c["digest"]), max_bits)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import BLANK, fresh, mix64, pieces, small, stream_values, utf8, word_starts, written
+from meritflow.llm.common import BLANK, fresh, mix64, pieces, small, small_batches, stream_values, tidy, utf8, word_starts, written
 
 RING = 1 << 20
 PIVOTS = 256
@@ -110,7 +110,7 @@ def features(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
         for b in batches:
             data, at = utf8(b.column("text"))
             n, ids, keys = [], [], []
-            for i, j in pieces(at, 1 << 21):
+            for i, j in pieces(at, 1 << 19):
                 for s in shingle_sets(data[at[i]:at[j]], at[i:j] - at[i], size):
                     n.append(len(s))
                     ids.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
@@ -118,6 +118,7 @@ def features(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("row_key"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()),
                  pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row_key", "n_shingles", "set_id", "bands"])
+        tidy()
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(), "text")
             .mapInArrow(run, "doc_id long, row_key long, n_shingles long, set_id binary, bands array<long>"))
@@ -156,11 +157,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = utf8(b.column("text"))
-            for i, j in pieces(at, 1 << 21):
+            for i, j in pieces(at, 1 << 19):
                 s = [x.tobytes() for x in shingle_sets(data[at[i]:at[j]], at[i:j] - at[i], size)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in s], pa.binary()),
                      pa.array(s, pa.binary())], ["set_id", "set"])
+        tidy()
 
     rows = docs.select(_row_key(), "text").join(wanted, "row_key", "left_semi").select("text")
     return rows.mapInArrow(run, "set_id binary, set binary")
@@ -215,6 +217,7 @@ def _compare(who: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             g, a, b, no = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.binary()), pa.array(a, pa.binary()), pa.array(b, pa.binary()),
                                               pa.array(no, pa.int32())], ["grp", "a", "b", "no"])
+        tidy()
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (sets.join(small(written(who, "compared")), "set_id").select("grp", "block", "salt", "no", "set_id", "set")
@@ -265,6 +268,7 @@ def link(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 20, row
     are linked with nothing and are their own component.  Of two texts at the threshold the
     bands miss fewer than one in a million, and no link inside a candidate group is missed.
     """
+    small_batches(docs.sparkSession)
     seen = written(features(docs, size, bands, rows), "features")
     classes = seen.where("set_id is not null").select("set_id", "bands").dropDuplicates(["set_id"])
     member = classes.select("set_id", F.explode("bands").alias("bucket"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import fresh, mix64, small, small_batches, words, written
+from meritflow.llm.common import fresh, mix64, small, small_batches, tidy, words, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -115,6 +115,7 @@ def _level(rows: DataFrame, group: str, n: dict[str, str]) -> DataFrame:
             held = t.slice(last).to_batches()
         if held:
             yield from settle(pa.Table.from_batches(held))
+        tidy()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, group).sortWithinPartitions(*keys, n["draw"], n["size"]).mapInArrow(run, rows.schema)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import small_batches, utf8
+from meritflow.llm.common import small_batches, tidy, utf8
 
 TIERS = (64, 128, 256, 512, 1024)
 STEP_TOKENS = 16 * 1024
@@ -84,7 +84,9 @@ def _by_rank(path: str):
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """The encoder of a vocabulary file, loaded once in each Python worker."""
-    return Encoder(path)
+    out = Encoder(path)
+    tidy()                                   # the parsed file is several times its size
+    return out
 
 
 def token_bytes(texts: list[str | None], path: str, end_id: int) -> list[bytes]:
@@ -184,6 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tuple[int, ...
                     crc = pa.array([zlib.crc32(x) for x in raw], pa.int64())
                     yield pa.RecordBatch.from_arrays(
                         [doc.take(row), start, n, crc, *rest] + ([pa.array(raw, pa.binary())] if with_ids else []), names)
+            tidy()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"]
     names += ["ids"] if with_ids else []

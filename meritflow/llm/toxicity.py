@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import fresh, remainder, small, small_batches, written
+from meritflow.llm.common import fresh, remainder, small, small_batches, tidy, written
 
 # Letters that look like Latin ones, and digits or signs written for letters.
 LOOKALIKES = {
@@ -193,6 +193,7 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataF
             cache.append(Matcher(shared.value))
         for texts in batches:
             yield pd.Series(cache[0].scores(texts))
+        tidy()
 
     return docs.withColumn(column, scored(F.col("text")))
 
