@@ -356,6 +356,22 @@ def test_html_without_article_uses_the_wrapper():
     assert [html_text.read_page(t, w) for t in trees] == ["\n".join(ps) for ps in texts]
 
 
+def test_html_template_inside_the_article(spark):
+    rnd = random.Random(15)
+    rows, want = [], {}
+    for i in range(24):
+        ps = [prose(rnd, rnd.randint(20, 60)) for _ in range(rnd.randint(2, 5))]
+        want[i] = "\n".join(ps)
+        often = '<div class="x7-offer"><p>Read the <b>big</b> offer today</p></div>' if i % 4 else ""
+        rows.append((i, f"https://h.example/{i}", page(i, f'''<article><div class="x7-tools">Pass it <a href="/s">on</a> now</div>{often}
+            <p>{ps[0]}</p><p>Written for the people of this town</p>{"".join(f"<p>{x}</p>" for x in ps[1:])}
+            <section class="x7-voices"><h4>What others wrote</h4></section></article>''')))
+    rows.append((99, "https://one.example/", page(99, "<article><p>Pass it on now</p></article>")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got == want | {99: "Pass it on now"}
+
+
 def test_html_query_and_odd_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r.page_id: r for r in queries.op7_html_text(spark, SMALL).collect()}
