@@ -14,6 +14,7 @@ Packing needs no shuffle: each task packs its own rows, batch by batch, in a fix
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -33,6 +34,8 @@ STEP_TOKENS = 16 * 1024
 #: Rows of one packing batch at most; a batch also ends at this many bytes of text.
 BATCH_BYTES = 1 << 22
 
+#: The ranked encoder's pattern fails on runs of about a million blanks; from here on it is not asked.
+LONG_BLANK = 500_000
 #: The pattern of byte-level vocabularies of this kind (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -42,7 +45,7 @@ class Encoder:
 
     Where the file's merges are in the order of their ids, texts go through those ranks,
     which gives the same ids several times sooner; texts that hold a special token's string
-    always take the file's own way.
+    always take the file's own way, and so do texts that the ranked encoder cannot read.
     """
 
     def __init__(self, path: str):
@@ -55,11 +58,21 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> list[int]:
-        if self.ranked and not any(s in text for s in self.special):
-            return self.ranked.encode_ordinary(text)
+        if self.ranked and not any(s in text for s in self.special) and not _long_blank(text):
+            try:
+                return self.ranked.encode_ordinary(text)
+            except (KeyboardInterrupt, SystemExit, MemoryError):
+                raise
+            except BaseException as e:       # a panic of native code is no Exception
+                if not isinstance(e, Exception) and type(e).__name__ != "PanicException":
+                    raise
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def _long_blank(text: str) -> bool:
+    return len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in re.finditer(r"\s+", text))
+
+
 def _by_rank(path: str):
     """An encoder by merge ranks, or None if the file is no byte-level vocabulary in rank
     order, and the special tokens' strings."""

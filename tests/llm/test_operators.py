@@ -160,6 +160,16 @@ def test_packing_odd_texts(spark, odd, none):
     assert packing.pack(none, queries.vocabulary()).count() == 0
 
 
+def test_packing_long_blank_runs(spark, monkeypatch):
+    texts = {1: "a" + " " * 2_000_000 + "b", 2: "\u3000\n" * 600_000, 3: "plain words", 4: " " * 400_000 + "c"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_packing(packing.pack(docs.coalesce(1), queries.vocabulary()).collect(), texts)
+    # a text that the ranked encoder gives up on, whatever its length
+    monkeypatch.setattr(packing, "LONG_BLANK", 1 << 40)
+    known = packing.Encoder(queries.vocabulary())
+    assert known.ranked and known.ids(texts[1]) == known.tokenizer.encode(texts[1], add_special_tokens=False).ids
+
+
 def test_step_groups_are_balanced(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").coalesce(1)
     rows = packing.pack(docs, queries.vocabulary()).select("sequence_id", "window", "step_group").distinct()
