@@ -3,6 +3,8 @@
 A text is cut wherever the rolling hash of the last 16 bytes is the least within some bytes
 to either side, so cuts depend on nothing but the bytes around them: an insertion moves the
 cuts behind it without changing them, and the same passage is cut alike in any document.
+Where a text repeats itself within that reach the least hash comes back every period: such a
+run is cut where it begins and ends and after every so many periods, whatever its length.
 No chunk is shorter than that reach, so few repeat by chance.  Chunks are identified by
 digest.  A Bloom filter of the digests met twice lets only possibly repeated chunks shuffle;
 those are grouped by digest, which tells the first document of each.  Adjacent repeated
@@ -25,6 +27,7 @@ from meritflow.llm.exact_dedup import _has, _probes, repeated_filter
 
 WINDOW = 16
 REACH = 15               # a cut is the least hash of this many bytes to either side
+RUN_STEP = 32            # a run that repeats itself is cut every so many bytes, in whole periods
 MAX_CHUNK = 512
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -37,7 +40,12 @@ _POWER = np.cumprod(np.full(MAX_CHUNK, 0x9E3779B97F4A7C15, np.uint64))
 
 
 def _least(h: np.ndarray) -> np.ndarray:
-    """Where a hash is below all of the REACH before it and not above the REACH after it."""
+    """Where a hash is not above any of the REACH before it and after it, thinned in runs.
+
+    Two such places within REACH of each other have the same hash: there the text repeats
+    itself.  Of such a run the first place stays, then one every RUN_STEP bytes in whole
+    periods, so that any two of its chunks are equal, and the last.
+    """
     edge = np.full(REACH, _NONE, np.uint32)
     m = np.concatenate([edge, h, edge])
     for step in (1, 2, 4):                     # the least of 8 from each place on
@@ -45,7 +53,16 @@ def _least(h: np.ndarray) -> np.ndarray:
     n, r = len(h), REACH
     before = np.minimum(m[0:n], m[r - 8:n + r - 8])
     after = np.minimum(m[r + 1:n + r + 1], m[2 * r - 7:n + 2 * r - 7])
-    return (h < before) & (h <= after) & (h != _NONE)
+    at = np.flatnonzero((h <= before) & (h <= after) & (h != _NONE))
+    if len(at) < 2:
+        return at
+    near = np.diff(at) <= REACH
+    k = np.arange(len(at))
+    first = np.maximum.accumulate(np.where(np.r_[True, ~near], k, 0))
+    period = at[np.minimum(first + 1, len(at) - 1)] - at[first]
+    every = -(-RUN_STEP // np.maximum(period, 1))
+    over = (k - first) % every
+    return at[(over == 0) | (np.r_[~near, True] & (at - at[k - over] > REACH))]
 
 
 def chunks(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,9 +78,8 @@ def chunks(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     begins = rows[rows < n]
     for k in range(WINDOW - 1):                # the window must lie inside the text, and as it
         h[np.minimum(begins + k, n - 1)] = _NONE   # is longer than the reach, so do the neighbours
-    low = _least(h)
     cut = np.zeros(n + 1, bool)
-    cut[1:] = low
+    cut[_least(h) + 1] = True
     cut[begins] = True
     start = np.flatnonzero(cut[:n])
     size = np.diff(np.r_[start, n])
@@ -125,25 +141,33 @@ def find(docs: DataFrame, min_words: int = 16, max_bits: int = 1 << 28) -> DataF
     and within a document the first place counts.  Rows with the same doc_id and text count
     as one document.  Null and empty texts have no spans.
 
-    A passage loses at most a few words at either end to chunks that reach beyond it;
+    A passage loses at most a few words at either end to chunks that reach beyond it, also
+    where it holds or touches repeated words.  A run of those is no repeat of itself: its
+    chunks count as one place.
     ``min_words`` allows for that and finds passages of 50 words.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
     seen = written(_suspects(keyed, max_bits), "chunks")
     mine = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    repeated = (seen.groupBy("digest").agg(F.count("*").alias("n"), F.min(mine).alias("first"), F.max(mine).alias("last"))
+    repeated = (seen.groupBy("digest").agg(F.count("*").alias("n"), F.min(mine).alias("first"), F.max(mine).alias("last"),
+                                             (F.min("key") == F.max("key")).alias("alone"))
                 .where("n > 1").drop("n"))
     hits = seen.join(repeated, "digest").select(
-        "key", "place", "digest", (mine != F.col("first")).alias("later"),
+        "key", "place", "digest", "alone", (mine != F.col("first")).alias("later"),
         F.when(mine != F.col("first"), F.col("first")).otherwise(F.col("last")).alias("other"))
     # from here on a document's chunks stay together; rows with the same doc_id and text give
     # the same chunks twice
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = hits.repartition(parts, "key").dropDuplicates(["key", "place"])
     here = Window.partitionBy("key").orderBy("place")
-    again = F.row_number().over(Window.partitionBy("key", "digest").orderBy("place")) > 1
+    same = Window.partitionBy("key", "digest")
     start, size = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023))
-    told = (own.withColumn("removed", F.col("later") | again)
+    # equal chunks that follow each other are a run, which begins at one place
+    follows = (F.lag("digest").over(here) == F.col("digest")) & (F.lag(start + size).over(here) == start)
+    told = (own.withColumn("begins", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
+            .withColumn("places", F.sum("begins").over(same))
+            .withColumn("removed", F.col("later") | (F.sum("begins").over(same.orderBy("place")) > 1))
+            .where("places > 1 OR NOT alone")
             .select("key", "other", "removed", start.alias("start"), size.alias("size"),
                     F.col("place").bitwiseAND(F.lit(1023)).alias("words"), "place")
             .withColumn("new", F.coalesce((F.lag(F.col("start") + F.col("size")).over(here) != F.col("start"))

@@ -424,6 +424,43 @@ def test_substring_dedup_finds_passages_and_spares_clean_texts(spark):
     assert left[0] == rows[0][1] and len(left[1]) < 0.6 * len(rows[1][1])
 
 
+def planted_runs(rnd, n):
+    """Passages of 55 words that begin with, hold, end with or are a run of repeated words."""
+    for k in range(n):
+        unit = f"{prose(rnd, 1)[:5]}{k} " if k % 2 else f"{'abcdefgh'[k % 8]}{k} {prose(rnd, 1)[:6]} "
+        run = lambda m: (unit * m).split()[:m]  # noqa: B023,E731
+        head, mid, tail = ((0, 45, 10), (10, 45, 0), (5, 45, 5), (0, 55, 0))[k % 4]
+        yield " ".join([*prose(rnd, head).split(), *run(mid), *prose(rnd, tail).split()])
+
+
+def test_substring_dedup_finds_passages_of_repeated_words(spark):
+    rnd = random.Random(16)
+    rows, passages = [], list(planted_runs(rnd, 120))
+    for k, p in enumerate(passages):
+        rows += [(2 * k, prose(rnd, 30) + " " + p + "\n" + prose(rnd, 40)), (2 * k + 1, prose(rnd, 11) + " x " + p + " y" + prose(rnd, 9))]
+    alone = [(1000, prose(rnd, 30) + " queen" * 200 + " " + prose(rnd, 30)), (1001, "=" * 3000)]
+    docs = spark.createDataFrame(rows + alone + alone[:1], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.find(docs).collect()}
+    assert all(got[i].spans is None for i, _ in alone)
+    for i, t in rows:
+        p = passages[i // 2]
+        at = len(t[:t.index(p)].encode())
+        seen = sum(min(s.start + s.length, at + len(p)) - max(s.start, at) for s in got[i].spans or [] if i ^ 1 in s.doc_ids)
+        assert got[i].other_doc_ids == [i ^ 1] and seen >= 0.5 * len(p)
+        assert got[i].repeated_bytes <= len(p) + 2
+
+
+def test_chunks_of_runs_follow_the_content():
+    def run(b):
+        return list(substring_dedup.chunks(np.frombuffer(b, np.uint8), np.array([0]))[1])
+    rnd = random.Random(17)
+    tail = prose(rnd, 60)
+    for unit in ("queen ", "=", "-+", "no, never. ", "fifteen bytes! "):
+        a, b = (run(f"{prose(rnd, 20)} {unit * (n // len(unit))}{tail}".encode()) for n in (1200, 1711))
+        (x, n), (y, m) = (collections.Counter(c).most_common(1)[0] for c in (a, b))
+        assert a[-8:] == b[-8:] and x == y and m > n >= 24
+
+
 def test_chunks_do_not_shift():
     rnd = random.Random(7)
     text = prose(rnd, 400).encode()
