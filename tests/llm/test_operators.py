@@ -382,6 +382,13 @@ def test_html_template_inside_the_article(spark):
     assert got == want | {99: "Pass it on now"}
 
 
+def test_html_closed_deep_elements():
+    for closed in (600, 0):
+        t = html_text.parse("<div><article><p>before</p>" + "<div>" * 600 + "deep<aside><p>advert</p></aside>" + "</div>" * closed
+                            + "<p>after</p></article></div><p>outside</p>")
+        assert html_text.read_page(t, html_text.infer([t])) == "before\ndeep\nafter"
+
+
 def test_html_query_and_odd_pages(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r.page_id: r for r in queries.op7_html_text(spark, SMALL).collect()}
