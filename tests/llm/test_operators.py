@@ -382,6 +382,20 @@ def test_html_template_inside_the_article(spark):
     assert got == want | {99: "Pass it on now"}
 
 
+def test_html_template_is_counted_over_the_whole_host(spark):
+    rnd = random.Random(18)
+    rows, want = [], {}
+    for i in range(150):
+        ps = [prose(rnd, 25) for _ in range(rnd.randint(2, 4))]
+        want[i] = "\n".join(ps)
+        note = "<p>The office is shut on Monday</p>" if rnd.random() < 0.5 else ""
+        inner = note + "".join(f"<p>{x}</p>" for x in ps) + f"<p>Layout {'abc'[i % 3]} signs off</p>"
+        rows.append((i, f"https://h.example/{i}", page(i, f"<article>{inner}</article>")))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (200, 20):
+        assert {r.page_id: r.text for r in html_text.extract(pages, group_pages=group).collect()} == want
+
+
 def test_html_closed_deep_elements():
     for closed in (600, 0):
         t = html_text.parse("<div><article><p>before</p>" + "<div>" * 600 + "deep<aside><p>advert</p></aside>" + "</div>" * closed
