@@ -112,6 +112,25 @@ def pieces(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def byte_chunks(row: np.ndarray, table: bytes, most: int = 1 << 20, blank: int = 32) -> Iterator[bytes]:
+    """The bytes of a text mapped through ``table``, in chunks of about ``most`` bytes.
+
+    A chunk ends behind a ``blank`` of the mapped text, so no word is cut; a longer word makes
+    a longer chunk.
+    """
+    s, n = 0, len(row)
+    while s < n:
+        size = most
+        while True:
+            chunk = row[s:s + size].tobytes().translate(table)
+            end = len(chunk) if s + size >= n else chunk.rfind(blank) + 1
+            if end:
+                break
+            size *= 2
+        yield chunk[:end]
+        s += end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values (splitmix64's finish)."""
     x = x ^ (x >> np.uint64(30))

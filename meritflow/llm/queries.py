@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritflow.llm import (exact_dedup, html_text, language, line_rules, minhash, mixing, packing, sharding,
+from meritflow.llm import (divergence, exact_dedup, html_text, language, line_rules, minhash, mixing, packing, sharding,
                            substring_dedup, toxicity)
 from meritflow.llm.common import read, remainder, words, written
 
@@ -83,6 +83,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of every language, and the unusual terms of each."""
+    return divergence.audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -94,6 +99,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
+    "op11_divergence": op11_divergence,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -146,4 +152,35 @@ ORACLE_SQL: dict[str, str] = {
                    AND n_words - removed_words >= 0.5 * n_words AS kept,
                removed_words, source
         FROM counted""",
+    "op11_divergence": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+            FROM documents),
+        kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+        n AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+        langs AS (SELECT lang, count(*) AS kinds, sum(total) AS all_ FROM kept GROUP BY lang),
+        sizes AS (SELECT lang, source, sum(n) AS size FROM n GROUP BY lang, source),
+        p AS (
+            SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n,
+                   1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 2)) // (coalesce(s.size, 0) + 2 * l.kinds) AS p,
+                   1 + (1000000000::HUGEINT * (k.total + 2)) // (l.all_ + 2 * l.kinds) AS q
+            FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang)
+            LEFT JOIN sizes s ON s.lang = g.lang AND s.source = g.source
+            LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (
+            SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+            FROM p WHERE n > 0 AND p > q)
+        SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+        QUALIFY part = 'pair' OR rank <= 10""",
 }
