@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritflow.llm import (divergence, exact_dedup, html_text, language, line_rules, minhash, mixing, packing, sharding,
-                           substring_dedup, toxicity)
+from meritflow.llm import (collocations, divergence, exact_dedup, html_text, language, line_rules, minhash, mixing, packing,
+                           sharding, substring_dedup, toxicity)
 from meritflow.llm.common import read, remainder, words, written
 
 
@@ -88,6 +88,11 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest phrases of two and three words of every language."""
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
     "op11_divergence": op11_divergence,
+    "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
@@ -183,4 +189,30 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
         FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
         QUALIFY part = 'pair' OR rank <= 10""",
+    "op13_collocations": r"""
+        WITH pieces AS (
+            SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM (SELECT coalesce(lang, 'und') AS lang,
+                         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+                  FROM documents)),
+        words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        spans AS (SELECT lang, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(
+                      range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])))) AS p FROM words),
+        f AS (SELECT lang, p, count(*) AS f FROM spans GROUP BY lang, p),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+        cand AS (SELECT lang, p, f AS a FROM f WHERE len(p) > 1 AND f >= 10),
+        cuts AS (
+            SELECT c.lang, c.p, c.a, l.f AS l, r.f AS r, k,
+                   (1000000::HUGEINT * c.a * c.a // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, len(p))) AS k FROM cand) c
+            JOIN f l ON l.lang = c.lang AND l.p = c.p[1 : k] JOIN f r ON r.lang = c.lang AND r.p = c.p[k + 1 : len(c.p)]),
+        worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+        gone AS (
+            SELECT DISTINCT s.lang, s.p FROM cand s JOIN (
+                SELECT lang, a, unnest([p[1 : 2], p[2 : 3]]) AS p FROM cand WHERE len(p) = 3) t
+            ON s.lang = t.lang AND s.p = t.p WHERE 100 * t.a >= 50 * s.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+               array_to_string(p, ' ') AS phrase, a, l, r, n, score
+        FROM worst ANTI JOIN gone USING (lang, p) JOIN n USING (lang)
+        QUALIFY rank <= 2000""",
 }
