@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritflow.llm import (collocations, divergence, exact_dedup, html_text, language, line_rules, minhash, mixing, packing,
-                           sharding, substring_dedup, toxicity)
+from meritflow.llm import (chat_format, collocations, divergence, exact_dedup, html_text, language, line_rules, minhash, mixing,
+                           packing, sharding, substring_dedup, toxicity)
 from meritflow.llm.common import read, remainder, words, written
 
 
@@ -88,6 +88,15 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that holds another template's control strings, formatted and read back."""
+    chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                   F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat_format.digests(chat_format.format_chat(chats.unionByName(tricky)))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The strongest phrases of two and three words of every language."""
     return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
@@ -105,6 +114,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_minhash": op10_minhash,
     "op11_divergence": op11_divergence,
+    "op12_chat_format": op12_chat_format,
     "op13_collocations": op13_collocations,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -189,6 +199,23 @@ ORACLE_SQL: dict[str, str] = {
         SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
         FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
         QUALIFY part = 'pair' OR rank <= 10""",
+    "op12_chat_format": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        e AS (
+            SELECT *, list_reduce([replace(role || chr(0) || text, '\', '\\'),
+                                   '<|', '<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>'],
+                                  lambda x, c: replace(x, c, c[1] || '\' || c[2:])) AS escaped
+            FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, escaped)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, escaped) FILTER (WHERE role = 'assistant'), ''))
+                   AS loss_sha256,
+               sum(length('<|turn|><|body|><|end|>') + length(escaped) - 1)::BIGINT AS formatted_chars
+        FROM e GROUP BY conv_id""",
     "op13_collocations": r"""
         WITH pieces AS (
             SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece
