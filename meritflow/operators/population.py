@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PopulationConfig
-from .weights import _linear_quantile
+from .summaries import attach, quantiles
 
 
 def eligible(df: DataFrame, cfg: PopulationConfig = PopulationConfig()) -> DataFrame:
@@ -96,9 +96,12 @@ def top_stake_sample(miners: DataFrame, group: str = "netuid", ok: Column | None
                      cfg: PopulationConfig = PopulationConfig(), seed: str = "0") -> DataFrame:
     """API nodes per group: stake strictly above the (1-n) quantile (AGG9), positive
     validator trust (JOIN8, SET2), answered the ping (FLT4); at most ``max_api_nodes`` of
-    them by a seeded hash order (TOP2)."""
+    them by a seeded hash order (TOP2).
+
+    The quantile is selected without sorting a group; the last window is over the hash, and
+    each task passes on ``max_api_nodes`` rows a group to it."""
     ok = ok if ok is not None else F.col("is_serving")
-    d = _linear_quantile(miners.withColumn("_f", F.lit(1.0 - cfg.top_stake_fraction)), group, "stake", "_f", "_q")
+    d = attach(miners, quantiles(miners, group, "stake", lambda m: F.lit(1.0 - cfg.top_stake_fraction), "_q"), group)
     cand = d.filter((F.col("stake") > F.col("_q")) & (F.col("validator_trust") > 0) & ok)
     w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col("uid").cast("string"))))
     return (cand.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= cfg.max_api_nodes)

@@ -69,14 +69,15 @@ def _cap_sql(src: str, x: str, limit: float = 0.1, eps: float = 1e-7) -> str:
                                        count(*) OVER (PARTITION BY netuid) AS n FROM {src}))))))"""
 
 
-PROCESS_WEIGHTS = """pw_in AS (
-  SELECT netuid, uid, CAST(CAST(raw AS FLOAT) AS DOUBLE) AS w,
-         count(*) OVER (PARTITION BY netuid) AS n,
-         sum(CASE WHEN CAST(CAST(raw AS FLOAT) AS DOUBLE) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY netuid) AS m
-  FROM acct),
+def _process_sql(quantile: float = 0.0) -> str:
+    """SQL of the published weights pw over table acct; ``quantile`` is the fraction left out."""
+    return f"""pw_in AS (
+  SELECT netuid, uid, w, count(*) OVER (PARTITION BY netuid) AS n,
+         sum(CASE WHEN w > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY netuid) AS m
+  FROM (SELECT netuid, uid, CASE WHEN isnan(raw) THEN 0.0 ELSE CAST(CAST(raw AS FLOAT) AS DOUBLE) END AS w FROM acct)),
 pw_case AS (SELECT *, CASE WHEN m = 0 OR n < 10 THEN 'a' WHEN m < 10 THEN 'b' ELSE 'c' END AS c FROM pw_in),
 pw_c AS (
-  SELECT *, least(0.0, greatest(m - 10, 0) / m) AS frac,
+  SELECT *, least({quantile}, greatest(m - 10, 0) / m) AS frac,
          row_number() OVER (PARTITION BY netuid ORDER BY w) - 1 AS qr, count(*) OVER (PARTITION BY netuid) AS qm
   FROM pw_case WHERE c = 'c' AND w > 0),
 pw_q AS (SELECT *, (qm - 1) * frac AS qh, floor((qm - 1) * frac) AS ql FROM pw_c),
@@ -91,6 +92,12 @@ pw_x AS (
 pw AS """ + _cap_sql("pw_x", "x")
 
 
+PROCESS_WEIGHTS = _process_sql()
+UNEVEN_WEIGHTS = """acct AS (
+  SELECT netuid, uid, CASE WHEN netuid % 6 = 0 OR (netuid % 6 = 1 AND uid % 10 <> 0) THEN 0.0 WHEN uid % 17 = 0 THEN 'nan'::DOUBLE
+                           ELSE exp(greatest(stake, 0.0) / 500.0) END AS raw FROM miners)"""
+
+
 def _token_pattern() -> str:
     from ..functions.nested import TOKEN_PATTERN
     return TOKEN_PATTERN
@@ -128,11 +135,15 @@ FROM cur GROUP BY uid"""
 SELECT netuid, uid, round(stake / greatest(sum(abs(stake)) OVER (PARTITION BY netuid), 1e-12), 9) AS weight FROM miners"""
     q["cap_weights"] = _with(MINERS, ACCT_WEIGHTS) + "SELECT netuid, uid, round(weight, 9) AS weight FROM " + _cap_sql("acct", "raw")
     q["process_weights"] = _with(MINERS, ACCT_WEIGHTS, PROCESS_WEIGHTS) + "SELECT netuid, uid, round(weight, 9) AS weight FROM pw"
-    q["emit_u16"] = _with(MINERS, ACCT_WEIGHTS, PROCESS_WEIGHTS) + """
+    uneven = [MINERS, UNEVEN_WEIGHTS, _process_sql(20_000 / 65_535)]
+    q["process_weights_quantile"] = _with(*uneven) + "SELECT netuid, uid, round(weight, 9) AS weight FROM pw"
+    emitted = """
 SELECT netuid, uid, weight_u16 FROM (
   SELECT netuid, uid, CAST(round_even(weight / max(weight) OVER (PARTITION BY netuid) * 65535.0, 0) AS INTEGER) AS weight_u16,
          max(weight) OVER (PARTITION BY netuid) AS wmax FROM pw)
 WHERE wmax > 0 AND weight_u16 <> 0"""
+    q["emit_u16"] = _with(MINERS, ACCT_WEIGHTS, PROCESS_WEIGHTS) + emitted
+    q["emit_u16_quantile"] = _with(*uneven) + emitted
 
     q["eligible_miners"] = _with(MINERS, ELIGIBLE) + "SELECT netuid, uid, hotkey FROM eligible"
     gate = _with(MINERS, """reg AS (SELECT hotkey, min(uid) AS uid FROM miners WHERE uid % 11 <> 0 GROUP BY hotkey)""",

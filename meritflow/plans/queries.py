@@ -14,6 +14,7 @@ from ..functions import nested as nst
 from ..functions import text as txt
 from ..operators import corpus, cost, grading, patches, ratings, scoring, timing, weights
 from ..operators import population as pop
+from ..session import written
 from ..sources import views
 from ..sources.tables import read_table
 
@@ -47,11 +48,12 @@ def reward_to_weights(spark: SparkSession, d: str) -> DataFrame:
     rw = valid_rewards(spark, d)
     ema = scoring.ema_final(rw, "uid", ["round"], "reward", block=F.col("day"), alpha=0.1).select("uid", "score")
     league = views.miners(spark, d).select("netuid", "uid").join(ema, "uid", "left")
-    # closed-task scores weigh 1.0, open-task scores (none tracked here) 0.0
-    league = league.withColumns({"score": F.coalesce("score", F.lit(0.0)), "pr_score": F.lit(0.0)})
+    # closed-task scores weigh 1.0, open-task scores (none tracked here) 0.0; written once, since
+    # every league aggregate reads it again
+    league = written(league.withColumns({"score": F.coalesce("score", F.lit(0.0)), "pr_score": F.lit(0.0)}), "league")
     w = weights.blend_scores(league, "netuid", "score", "pr_score", "share", closed_pct=1.0, open_pct=0.0)
-    p = weights.process_weights(w, "netuid", "uid", "share", "weight", WeightConfig(), carry=("score",))
-    u = weights.emit_u16(p, "netuid", "uid", "weight")
+    p = weights.process_weights(w, "netuid", "uid", "share", "weight", WeightConfig(), carry=("score",), largest="most")
+    u = weights.emit_u16(p, "netuid", "uid", "weight", largest="most")
     return u.select("netuid", "uid", _r("score", "score"), _r("weight", "weight"), "weight_u16")
 
 
@@ -109,8 +111,35 @@ def process_weights(spark: SparkSession, d: str) -> DataFrame:
 
 
 def emit_u16(spark: SparkSession, d: str) -> DataFrame:
-    w = weights.process_weights(_acct_weights(spark, d), "netuid", "uid", "raw", "weight", WeightConfig())
-    return weights.emit_u16(w, "netuid", "uid", "weight").select("netuid", "uid", "weight_u16")
+    w = weights.process_weights(_acct_weights(spark, d), "netuid", "uid", "raw", "weight", WeightConfig(), largest="most")
+    return weights.emit_u16(w, "netuid", "uid", "weight", largest="most").select("netuid", "uid", "weight_u16")
+
+
+def _uneven_weights(spark, d):
+    """Raw weights that reach every branch: leagues without any, leagues with few, NaN ones,
+    and leagues of steep weights whose largest are cut."""
+    m = views.miners(spark, d)
+    steep = F.exp(F.greatest("stake", F.lit(0.0)) / 500.0)
+    raw = (F.when(F.pmod("netuid", F.lit(6)) == 0, 0.0)
+            .when((F.pmod("netuid", F.lit(6)) == 1) & (F.pmod("uid", F.lit(10)) != 0), 0.0)
+            .when(F.pmod("uid", F.lit(17)) == 0, F.lit("NaN").cast("double")).otherwise(steep))
+    return m.select("netuid", "uid", raw.alias("raw"))
+
+
+def process_weights_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """Weights without the lowest third of each league's positive ones (AGG7), then their cap."""
+    w = weights.process_weights(_uneven_weights(spark, d), "netuid", "uid", "raw", "weight",
+                                WeightConfig(exclude_quantile=20_000))
+    return w.select("netuid", "uid", _r("weight", "weight"))
+
+
+def emit_u16_quantile(spark: SparkSession, d: str) -> DataFrame:
+    """The same weights as whole numbers, through the lists that a validator emits (AGG8, FLT15)."""
+    w = weights.process_weights(_uneven_weights(spark, d), "netuid", "uid", "raw", "weight",
+                                WeightConfig(exclude_quantile=20_000))
+    lists = w.groupBy("netuid", F.pmod("uid", F.lit(8)).alias("part")).agg(F.collect_list("uid").alias("uids"), F.collect_list("weight").alias("ws"))
+    flat = weights.emit_lists(lists, "netuid", "uids", "ws")
+    return weights.emit_u16(flat, "netuid", "uid", "weight").select("netuid", "uid", "weight_u16")
 
 
 # --------------------------------------------------------------------------- population
@@ -158,6 +187,8 @@ QUERIES = {
     "cap_weights": cap_weights,
     "process_weights": process_weights,
     "emit_u16": emit_u16,
+    "process_weights_quantile": process_weights_quantile,
+    "emit_u16_quantile": emit_u16_quantile,
     "eligible_miners": eligible_miners,
     "gate_requests": gate_requests,
     "priority_order": priority_order,

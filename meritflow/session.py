@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -84,6 +85,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def written(df, name: str):
+    """``df`` written to the shared folder and read back: computed once, kept for retries."""
+    path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread_groups(df, *keys):
     """Hash-partition by ``keys`` into spark.sql.shuffle.partitions partitions.
 
