@@ -11,89 +11,97 @@ reads phrases of that frequency only.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import pairwise
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import byte_chunks, small, small_batches, tidy, utf8, written
+from meritflow.llm.common import Numbers, byte_chunks, small, small_batches, tidy, utf8, written
 
 #: Piece ends become line feeds, tabs blanks, and A-Z is lower-cased; other bytes stay.
 _MAP = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b | 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words that a task counts windows over at once.
 _HELD = 3_000_000
-
-
-class _Ids(dict):
-    """Numbers of words in the order of their first use."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+#: Buckets that the windows with the same first word are in.
+_SPLITS = 16
 
 
 class _Windows:
     """Windows of one language, held as the numbers of the words in text order."""
 
     def __init__(self, words: list[bytes] = ()) -> None:
-        self.ids = _Ids({b"\n": 0})
-        self.parts = [self._numbers(words)]
-
-    def _numbers(self, words: Iterable[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.__getitem__, filter(None, words)), np.int32)
+        self.ids = Numbers({b"\n": 0})
+        self.parts = [self.ids.of(words)]
 
     def add(self, chunk: bytes) -> int:
         """Take the words of a mapped chunk of text, with a 0 where a piece ends."""
-        got = self._numbers(chunk.replace(b"\n", b" \n ").split(b" "))
+        got = self.ids.of(filter(None, chunk.replace(b"\n", b" \n ").split(b" ")))
         self.parts.append(got)
         return len(got)
 
     def end(self) -> None:
         """A text ends: no window goes on behind it."""
-        self.parts.append(np.zeros(1, np.int32))
+        self.parts.append(np.zeros(1, np.int64))
 
-    def counts(self, length: int) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
-        """The different windows, as a column of numbers per place, how often each occurs, and
-        the last words, whose windows are still open."""
+    def counts(self, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """The different windows as columns of numbers, their bucket, their words, how often each
+        occurs, and the last words, whose windows are still open.  Windows come by bucket and size."""
         text = np.concatenate(self.parts)
         m = max(0, len(text) - length + 1)
         names = list(self.ids)
         leads = [text[:m]]
         for k in range(1, length):
             leads.append(np.where(leads[-1] == 0, 0, text[k:m + k]))      # nothing follows a piece's end
-        use = leads[0] != 0
-        leads = [x[use] for x in leads]
-        code, kinds = leads[0].astype(np.int64), len(names)
-        for x in leads[1:]:
+        leads = np.stack(leads)[:, leads[0] != 0]
+        hashes = np.array([crc32(x) for x in names], np.int64)
+        bucket = (hashes[leads[0]] * 31 + hashes[leads[1]] % _SPLITS) % buckets
+        size = np.count_nonzero(leads, axis=0)
+        code, kinds = bucket * (length + 1) + size, buckets * (length + 1)
+        for x in leads:
             if kinds * len(names) >= 1 << 63:
                 seen, code = np.unique(code, return_inverse=True)
                 kinds = len(seen)
             code, kinds = code * len(names) + x, kinds * len(names)
-        _, at, n = np.unique(code, return_index=True, return_counts=True)
-        return [x[at] for x in leads], n, [names[i] for i in text[m:]]
+        order = np.argsort(code)
+        code = code[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][:len(code)])
+        at = order[first]
+        return leads[:, at], bucket[at], size[at], np.diff(np.append(first, len(code))), [names[i] for i in text[m:]]
 
 
-def _window_rows(length: int, slice_rows: int = 200_000):
-    """(lang, w1 .. wn, n) of the rows: different windows, combined per task."""
-    names = ["lang", *(f"w{i}" for i in range(1, length + 1)), "n"]
+def _window_rows(length: int, buckets: int):
+    """(lang, bucket, size, lines) of the rows: the different windows, combined per task.
 
+    A line is a window without its padding, a tab, and how often it occurs.  The bucket follows
+    from the first word and a split of the second, so windows with one beginning of two
+    words share a bucket and a frequent first word has several.
+    """
     def out(held: dict[str, _Windows], last: bool):
         """Windows whose words are all there; with ``last`` those that the end of the text pads too."""
         for lang, one in held.items():
             for _ in range(length if last else 0):
                 one.end()
-            columns, n, tail = one.counts(length)
-            # number 0, the end of a piece, is written as the empty word
+            columns, bucket, size, n, tail = one.counts(length, buckets)
             words = pa.array([b"", *list(one.ids)[1:]], pa.binary()).cast(pa.string())
-            for s in range(0, len(n), slice_rows):
-                e = min(len(n), s + slice_rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(e - s, np.int32))),
-                     *(words.take(pa.array(c[s:e])) for c in columns), pa.array(n[s:e])], names)
             held[lang] = _Windows(tail)
+            for k in range(1, length + 1):
+                pick = size == k
+                if not pick.any():
+                    continue
+                window = pc.binary_join_element_wise(*(words.take(pa.array(x[pick])) for x in columns[:k]), " ")
+                lines = pc.binary_join_element_wise(window, pa.array(n[pick]).cast(pa.string()), "\t")
+                b = bucket[pick]
+                edges = np.flatnonzero(np.r_[True, b[1:] != b[:-1], True])
+                lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), lines)
+                same = pa.array(np.zeros(len(lists), np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.string()).take(same), pa.array(b[edges[:-1]]), pa.array([k], pa.int32()).take(same),
+                     pc.binary_join(lists, "\n")], ["lang", "bucket", "size", "lines"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Windows] = {}
@@ -114,25 +122,51 @@ def _window_rows(length: int, slice_rows: int = 200_000):
 
 
 def windows(docs: DataFrame, length: int) -> DataFrame:
-    """(lang, w1 .. wn, n): every different longest window and how often it occurs."""
+    """(lang, bucket, phrase, size, n): every different longest window and how often it occurs.
+
+    Windows are shuffled as sorted lists, a bucket to a row, which keeps the shuffle near the
+    size of the texts.
+    """
     small_batches(docs.sparkSession)
-    keys = ["lang", *(f"w{i}" for i in range(1, length + 1))]
+    buckets = max(1_024, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    schema = ", ".join(f"{k} string" for k in keys) + ", n bigint"
-    return rows.mapInArrow(_window_rows(length), schema).groupBy(*keys).agg(F.sum("n").alias("n"))
+    lists = rows.mapInArrow(_window_rows(length, buckets), "lang string, bucket bigint, size int, lines string")
+    one = lists.repartition("bucket").select("lang", "bucket", "size", F.explode(F.split("lines", "\n")).alias("line"))
+    one = one.select("lang", "bucket", "size", F.substring_index("line", "\t", 1).alias("phrase"),
+                     F.substring_index("line", "\t", -1).cast("long").alias("n"))
+    return one.groupBy("lang", "bucket", "phrase", "size").agg(F.sum("n").alias("n"))
+
+
+def forget_rare(counted: DataFrame, length: int, min_count: int) -> DataFrame:
+    """``counted`` with the last words of windows below ``min_count`` forgotten, as far as two words.
+
+    No phrase that rare is a candidate or part of one, so only its prefixes need its count.  A
+    prefix with a frequent longer window is marked and kept.  All windows with a prefix of two
+    words are in one bucket, so this needs no shuffle.
+    """
+    rows = counted.withColumn("mark", F.lit(False))
+    for size in range(length, 1, -1):
+        here = F.col("size") == size
+        rare = here & (F.col("n") < min_count) & ~F.col("mark")
+        prefix = F.substring_index("phrase", " ", size - 1)
+        less = F.struct(prefix.alias("phrase"), F.lit(size - 1).alias("size"), F.col("n").alias("n"), F.lit(False).alias("mark"))
+        same = F.struct("phrase", "size", "n", "mark")
+        above = F.struct(prefix.alias("phrase"), F.lit(size - 1).alias("size"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("mark"))
+        rows = rows.select("lang", "bucket", F.inline(F.when(rare, F.array(less)).when(here, F.array(same, above)).otherwise(F.array(same))))
+        rows = rows.groupBy("lang", "bucket", "phrase", "size").agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
+    return rows.drop("mark")
 
 
 def phrases(docs: DataFrame, length: int, min_count: int) -> tuple[DataFrame, DataFrame]:
     """(lang, size, w1 .. wn, f) of phrases with f >= min_count, and (lang, n) of all words.
 
-    A longest window below ``min_count`` is no candidate, so its last word is forgotten before
-    the ROLLUP; that joins the many rare windows into their prefixes in the map tasks.
+    The ROLLUP sums the longest windows to their prefixes.
     """
     w = [f"w{i}" for i in range(1, length + 1)]
-    counted = windows(docs, length)
-    rare = F.when(F.col("n") >= min_count, F.col(w[-1])).otherwise(F.lit(""))
-    sums = (counted.withColumn(w[-1], rare).rollup("lang", *w)
-            .agg(F.sum("n").alias("f"), F.grouping_id().alias("level")).where("lang IS NOT NULL"))
+    counted = forget_rare(windows(docs, length), length, min_count)
+    words = F.split("phrase", " ")
+    padded = counted.select("lang", *[F.coalesce(F.get(words, F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(w)], "n")
+    sums = padded.rollup("lang", *w).agg(F.sum("n").alias("f"), F.grouping_id().alias("level")).where("lang IS NOT NULL")
     # the level has a set bit for each column summed over; a prefix that ends in padding is a
     # shorter phrase's row over again, except that of all words
     known = F.lit(length) - F.bit_count("level")

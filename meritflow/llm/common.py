@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +131,26 @@ def byte_chunks(row: np.ndarray, table: bytes, most: int = 1 << 20, blank: int =
         s += end
 
 
+class Numbers(dict):
+    """Numbers of words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: Iterable[bytes]) -> np.ndarray:
+        return np.array(list(map(self.__getitem__, words)), np.int64)
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values, ascending, and how often each occurs."""
+    values = np.sort(values)
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    at = np.flatnonzero(first)
+    return values[at], np.diff(np.append(at, len(values)))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of unsigned 64-bit values (splitmix64's finish)."""
     x = x ^ (x >> np.uint64(30))

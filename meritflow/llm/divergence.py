@@ -13,28 +13,77 @@ skybands are merged in two rounds, and only the merged skyband is ranked exactly
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import byte_chunks, small, small_batches, tidy, utf8, written
+from meritflow.llm.common import Numbers, byte_chunks, runs, small, small_batches, tidy, utf8, written
 
 #: Shares are counted in parts of this.
 UNIT = 1_000_000_000
 #: Bytes of a term, lower-cased; all others become blanks.  Bytes of other scripts stay.
 _TERM = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Different terms that a task counts before it passes its counts on.
-_HELD = 400_000
+#: Terms of texts that a task holds before it passes their counts on.
+_HELD = 3_000_000
 #: Bytes of a text whose set of terms is held at once; longer texts take several passes.
 _SET_BYTES = 32 << 20
 #: Terms to a bucket and sources to a tile of the pairwise sums.
 _TERMS, _SOURCES = 1_024, 256
+#: Rows held against a skyband at once.
+_BLOCK = 256
+
+
+class _Counts:
+    """Occurrences and documents of terms by group, held as the numbers of terms and documents."""
+
+    def __init__(self) -> None:
+        self.ids = Numbers()
+        self.groups: dict[tuple[str, str], int] = {}
+        self.terms: list[np.ndarray] = []
+        self.docs: list[tuple[int, int, bool]] = []         # group, number of terms, whether they stand for documents
+        self.more: list[tuple[int, np.ndarray]] = []        # group, terms of one more document each
+        self.size = 0
+
+    def add(self, group: tuple[str, str], terms: list[bytes], whole: bool) -> None:
+        """Take the terms of a document, or of a part of one that is counted by ``add_document``."""
+        self.docs.append((self.groups.setdefault(group, len(self.groups)), len(terms), whole))
+        self.terms.append(self.ids.of(terms))
+        self.size += len(terms)
+
+    def add_document(self, group: tuple[str, str], terms: set[bytes]) -> None:
+        self.more.append((self.groups.setdefault(group, len(self.groups)), self.ids.of(terms)))
+        self.size += len(terms)
+
+    def rows(self) -> pa.RecordBatch:
+        kinds = max(1, len(self.ids))
+        none = np.zeros(0, np.int64)
+        group, size, whole = np.array(self.docs, np.int64).reshape(-1, 3).T
+        terms = np.concatenate([none, *self.terms])
+        doc = np.repeat(np.arange(len(size)), size)
+        more = np.concatenate([none, *(g * kinds + t for g, t in self.more)])
+        # a row for each (group, term), whether seen as occurrence or as document, and for each group
+        key, n = runs(np.concatenate([group[doc] * kinds + terms, more]))
+        again, m = runs(more)
+        n[np.searchsorted(key, again)] -= m
+        pair, _ = runs((doc * kinds + terms)[whole[doc] > 0])
+        held, k = runs(np.concatenate([group[pair // kinds] * kinds + pair % kinds, more]))
+        d = np.zeros(len(key), np.int64)
+        d[np.searchsorted(key, held)] = k
+        pick = pa.array(np.concatenate([key // kinds, np.arange(len(self.groups))]))
+        lang, source = (pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))
+        word = pa.concat_arrays([pa.array(list(self.ids), pa.binary()).take(pa.array(key % kinds)),
+                                 pa.array([b""] * len(self.groups), pa.binary())])
+        nil = np.zeros(len(self.groups), np.int64)
+        return pa.RecordBatch.from_arrays([lang.take(pick), source.take(pick), word.cast(pa.string()),
+                                           pa.array(np.append(n, nil)), pa.array(np.append(d, nil))],
+                                          ["lang", "source", "term", "n", "d"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,46 +91,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Every group also gives a row with the empty term.
     """
-    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-
-    def out():
-        for (lang, source), (n, d) in held.items():
-            terms = [b"", *n, *(t for t in d if t not in n)]
-            m = len(terms)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * m, pa.string()), pa.array([source] * m, pa.string()),
-                pa.array(terms, pa.binary()).cast(pa.string()),
-                pa.array([n.get(t, 0) for t in terms], pa.int64()), pa.array([d.get(t, 0) for t in terms], pa.int64())],
-                ["lang", "source", "term", "n", "d"])
-        held.clear()
-
-    size = 0
+    held = _Counts()
     for batch in batches:
         data, at = utf8(batch.column("text"))
         for i, group in enumerate(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True)):
             row = data[at[i]:at[i + 1]]
             passes = 1 + len(row) // _SET_BYTES
-            for p in range(passes):
+            if passes == 1:
+                held.add(group, [t for chunk in byte_chunks(row, _TERM) for t in chunk.split()], True)
+            for p in range(passes if passes > 1 else 0):
                 seen: set[bytes] = set()
                 for chunk in byte_chunks(row, _TERM):
-                    terms = chunk.split()
-                    n, _ = held.setdefault(group, (Counter(), Counter()))
                     if p == 0:
-                        size -= len(n)
-                        n.update(terms)
-                        size += len(n)
-                    seen.update(terms if passes == 1 else (t for t in set(terms) if crc32(t) % passes == p))
-                    if size > _HELD:
-                        yield from out()
-                        size = 0
-                _, d = held.setdefault(group, (Counter(), Counter()))
-                size -= len(d)
-                d.update(seen)
-                size += len(d)
-            if size > _HELD:
-                yield from out()
-                size = 0
-    yield from out()
+                        held.add(group, chunk.split(), False)
+                    seen.update(t for t in set(chunk.split()) if crc32(t) % passes == p)
+                    if held.size > _HELD:
+                        yield held.rows()
+                        held = _Counts()
+                held.add_document(group, seen)
+            if held.size > _HELD:
+                yield held.rows()
+                held = _Counts()
+    if held.groups:
+        yield held.rows()
     tidy()
 
 
@@ -111,45 +143,61 @@ def distance(p: Column, q: Column) -> Column:
 
 
 # ------------------------------------------------------------------ unusual terms
-def skyband(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The rows of one group that fewer than ``k`` others dominate.
+def skyband(n: np.ndarray, total: np.ndarray, name: np.ndarray, k: int) -> np.ndarray:
+    """Which rows of one group fewer than ``k`` others dominate; ``name`` is the rank of the term.
 
-    A row dominates another if its ``n`` is not lower, its ``total`` not higher and its
-    ``term`` earlier.  Dominators come before in the order below, and k of them that are in
-    the skyband exist wherever k exist, so a row is held against the kept ones only.
+    The rows come with ``n`` descending, then ``total`` and ``name`` ascending.  A row dominates
+    another if its n is not lower, its total not higher and its name earlier.  Dominators come
+    before, and k of them that are in the skyband exist wherever k exist, so a row is held
+    against the kept ones only.
     """
-    rows = rows.sort_values(["n", "total", "term"], ascending=[False, True, True], kind="stable", ignore_index=True)
-    total = rows["total"].to_numpy(np.int64)
+    kept = np.zeros(0, np.int64)
+    for s in range(0, len(n), _BLOCK):
+        # a block against what is kept, then what is left of it in its own order
+        i = np.arange(s, min(len(n), s + _BLOCK))
+        over = ((total[kept] <= total[i][:, None]) & (name[kept] < name[i][:, None])).sum(axis=1)
+        i, over = i[over < k], over[over < k]
+        own = np.tril((total[i] <= total[i][:, None]) & (name[i] < name[i][:, None]), -1)
+        keep = np.zeros(len(i), bool)
+        for j in range(len(i)):
+            keep[j] = over[j] + np.count_nonzero(own[j, :j] & keep[:j]) < k
+        kept = np.append(kept, i[keep])
+    return kept
+
+
+def _thin(rows: pa.Table, k: int) -> pa.Table:
+    """The skybands of all groups of ``rows``."""
+    group = np.zeros(len(rows), np.int64)
+    for c in ("lang", "source"):
+        codes = rows.column(c).combine_chunks().dictionary_encode()
+        group = group * max(1, len(codes.dictionary)) + codes.indices.to_numpy()
+    n, total = (rows.column(c).to_numpy() for c in ("n", "total"))
     name = np.empty(len(rows), np.int64)
-    name[np.argsort(rows["term"].to_numpy(object), kind="stable")] = np.arange(len(rows))
-    t, w, at, m = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64), [], 0
-    for i in range(len(rows)):
-        if m < k or np.count_nonzero((t[:m] <= total[i]) & (w[:m] < name[i])) < k:
-            t[m], w[m] = total[i], name[i]
-            at.append(i)
-            m += 1
-    return rows.iloc[at]
+    name[pc.sort_indices(rows.column("term")).to_numpy()] = np.arange(len(rows))        # Arrow sorts by UTF-8 bytes
+    order = np.lexsort((name, total, -n, group))
+    n, total, name, group = n[order], total[order], name[order], group[order]
+    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+    kept = [s + skyband(n[s:e], total[s:e], name[s:e], k) for s, e in pairwise(edges)]
+    return rows.take(pa.array(order[np.concatenate([np.zeros(0, np.int64), *kept])]))
 
 
-def _skybands(k: int, batch_rows: int = 50_000, held_rows: int = 200_000):
+def _skybands(k: int, batch_rows: int = 400_000):
     """A partition's rows without those that ``k`` others of their group in it dominate."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, waiting, n = [], [], 0
-
-        def reduce(parts):
-            every = pd.concat(parts, ignore_index=True)
-            return [skyband(g, k) for _, g in every.groupby(["lang", "source"], sort=False)]
-
-        for pdf in batches:
-            waiting.append(pdf)
-            n += len(pdf)
-            if n >= batch_rows:
-                held, waiting, n = reduce([*held, *waiting]), [], 0
-                if sum(map(len, held)) > held_rows:      # many groups: pass on what is left of them
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= batch_rows:
+                held = _thin(pa.Table.from_batches(held), k).combine_chunks().to_batches()
+                size = sum(map(len, held))
+                if 2 * size > batch_rows:         # many groups: pass on what is left of them
                     yield from held
-                    held = []
-        if held or waiting:
-            yield from reduce([*held, *waiting])
+                    held, size = [], 0
+        if held:
+            yield from _thin(pa.Table.from_batches(held), k).to_batches()
+        tidy()
     return run
 
 
@@ -160,7 +208,7 @@ def unusual_terms(cells: DataFrame, k: int) -> DataFrame:
     """
     rows = cells.where((F.col("n") > 0) & (F.col("p") > F.col("q")))
     for keys in ([], ["lang", "source", F.pmod(F.xxhash64("term"), F.lit(16))], ["lang", "source"]):
-        rows = (rows.repartition(*keys) if keys else rows).mapInPandas(_skybands(k), rows.schema)
+        rows = (rows.repartition(*keys) if keys else rows).mapInArrow(_skybands(k), rows.schema)
     rows = rows.select("lang", "source", F.col("term").alias("item"), distance(F.col("p"), F.col("q")).alias("value"))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
@@ -184,16 +232,14 @@ def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
 
     ib, b = matrix(side)
     ia, a = (ib, b) if ta == tb else matrix(~side)
-    out = []
-    for i in range(len(ia)):
-        first = i + 1 if ta == tb else 0
-        if first == len(ib):
-            continue
+    firsts = [i + 1 if ta == tb else 0 for i in range(len(ia))]
+    sums = [np.zeros(0, np.int64)]
+    for i, first in enumerate(firsts):
         x, y = a[:, i:i + 1], b[:, first:]
-        out.append(pd.DataFrame({"a": ia[i], "b": ib[first:], "value": ((x - y) ** 2 // (x + y)).sum(axis=0)}))
-    if not out:
-        return pd.DataFrame({"lang": [], "a": [], "b": [], "value": [], "seen": []})
-    return pd.concat(out).assign(lang=lang, seen=len(terms))[["lang", "a", "b", "value", "seen"]]
+        sums.append(((x - y) ** 2 // (x + y)).sum(axis=0))
+    value = np.concatenate(sums)
+    return pd.DataFrame({"lang": np.full(len(value), lang, object), "a": np.repeat(ia, [len(ib) - f for f in firsts]),
+                         "b": np.concatenate([ib[:0], *(ib[f:] for f in firsts)]), "value": value, "seen": len(terms)})
 
 
 def source_pairs(cells: DataFrame, groups: DataFrame) -> DataFrame:
@@ -240,8 +286,8 @@ def audit(docs: DataFrame, min_docs: int = 10, k: int = 10) -> DataFrame:
     documents; equal rows are documents of their own.  Null text, lang or source counts as
     empty.  A group without terms has pairs but no terms, a language without kept terms has
     pairs of value 0, a language with one source has no pairs, and an empty table gives no
-    rows.  Ties go by UTF-8.  Other columns are not read.  Memory: a task holds the counts of
-    400,000 terms and the set of terms of 32 MB of a text, however long the text is.
+    rows.  Ties go by UTF-8.  Other columns are not read.  Memory: a task holds three million
+    terms of texts and the set of terms of 32 MB of a text, however long the text is.
     """
     counts = written(term_counts(docs), "terms")
     terms = counts.where(F.col("term") != "")

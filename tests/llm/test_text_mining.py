@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,11 +101,14 @@ def _arrow(df):
 
 
 @pytest.mark.parametrize("k", [1, 3, 10])
-def test_skyband_keeps_what_fewer_than_k_dominate(k):
+def test_skyband_keeps_what_fewer_than_k_dominate(k, monkeypatch):
     rnd = np.random.default_rng(k)
-    rows = pd.DataFrame({"n": rnd.integers(1, 12, 250), "total": rnd.integers(1, 12, 250),
-                         "term": [f"t{i:03}" for i in rnd.permutation(250)]})
-    kept = set(divergence.skyband(rows, k)["term"])
+    monkeypatch.setattr(divergence, "_BLOCK", 16)
+    rows = pd.DataFrame({"lang": "en", "source": "s", "n": rnd.integers(1, 12, 250), "total": rnd.integers(1, 12, 250),
+                         "term": [f"é{i:03}" for i in rnd.permutation(250)]})
+    parts = pa.Table.from_pandas(rows).to_batches(max_chunksize=50)
+    thinned = list(divergence._skybands(k, 100)(iter(parts)))                    # passed on in pieces, then merged
+    kept = set(pa.Table.from_batches(divergence._skybands(k)(iter(thinned))).column("term").to_pylist())
     every = list(rows.itertuples())
     want = {x.term for x in every if sum(y.n >= x.n and y.total <= x.total and y.term < x.term for y in every) < k}
     assert kept == want
@@ -156,9 +160,12 @@ def test_longest_windows_over_flushes(spark, monkeypatch, length, held):
     texts = ["a b c d e f g h i j k l m n", "a b, c d. e f g", "", "x", ".. y ..", "A\tB  c\nd e"]
     df = spark.createDataFrame([(t, "en") for t in texts] + [("q r s", "de")], "text string, lang string").coalesce(1)
     got = collections.Counter()
-    for b in collocations._window_rows(length)(iter(_arrow(df))):
+    for b in collocations._window_rows(length, 5)(iter(_arrow(df))):
         for r in b.to_pylist():
-            got[(r["lang"], *(r[f"w{i + 1}"] for i in range(length)))] += r["n"]
+            for line in r["lines"].split("\n"):
+                window, n = line.split("\t")
+                assert r["size"] == len(window.split(" "))
+                got[(r["lang"], *window.split(" "), *[""] * (length - r["size"]))] += int(n)
     want = collections.Counter()
     for t, la in [(t, "en") for t in texts] + [("q r s", "de")]:
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", t.lower()):
