@@ -9,6 +9,10 @@ time slice such as a day -- and only the small per-block partials are combined p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,56 +84,86 @@ def labelled_only(df: DataFrame, task_type: str = "task_type", labelled: str = "
     return df.filter(F.col(task_type) == labelled)
 
 
-def hotkey_epochs(df: DataFrame, uid: str, order: list[str], hotkey: str, block: Column | str) -> DataFrame:
-    """Mark rows where a uid's hotkey differs from its previous row (JOIN9, WIN2).
-
-    Adds ``_reset`` (bool) and ``_pos`` = struct(block, rank in block) so callers can
-    find the last reset.  The scan runs per (uid, block); only one row per block
-    (its first and last hotkey) crosses blocks, so a uid with many rows is split.
-    """
-    blk = F.col(block) if isinstance(block, str) else block
-    d = df.withColumn("_blk", blk)
-    inner = Window.partitionBy(uid, "_blk").orderBy(*[F.col(o) for o in order])
-    d = (d.withColumn("_rn", F.row_number().over(inner))
-          .withColumn("_prev", F.lag(F.col(hotkey)).over(inner)))
-    ends = (d.groupBy(uid, "_blk")
-              .agg(F.max(F.struct(*[F.col(o) for o in order], F.col(hotkey).alias("_h")))["_h"].alias("_last_h")))
-    across = Window.partitionBy(uid).orderBy("_blk")
-    ends = (ends.withColumn("_prev_block_h", F.lag("_last_h").over(across))
-                .withColumn("_first_block", F.row_number().over(across) == 1)
-                .select(F.col(uid).alias("_u"), F.col("_blk").alias("_b"), "_prev_block_h", "_first_block"))
-    d = d.join(ends, F.col(uid).eqNullSafe(F.col("_u")) & F.col("_blk").eqNullSafe(F.col("_b"))).drop("_u", "_b")
-    prev = F.when(F.col("_rn") == 1, F.col("_prev_block_h")).otherwise(F.col("_prev"))
-    # a first row has no predecessor; from or to NULL is a change like any other
-    start = (F.col("_rn") == 1) & F.col("_first_block")
-    return (d.withColumn("_reset", ~start & ~prev.eqNullSafe(F.col(hotkey)))
-             .withColumn("_pos", F.struct(F.col("_blk"), F.col("_rn")))
-             .drop("_prev", "_prev_block_h", "_first_block"))
-
-
-def ema_with_reset(df: DataFrame, uid: str, order: list[str], hotkey: str, value: str,
-                   block: Column | str, alpha: float = 0.1, out: str = "score") -> DataFrame:
-    """EMA per uid that restarts from 0 whenever the uid's hotkey changes (WIN2).
-
-    Returns (uid, hotkey, n_resets, out): the current hotkey, how many times the uid
-    changed hands, and the EMA over the current holder's rows.
+# ------------------------------------------------------------------ resets
+# A run of a uid's rows, in order, is summed up by its first and last hotkey, the number of
+# changes in it, and the count and moving average of the rows since the last change.  Two
+# neighbouring runs merge into the summary of both, whatever the grouping (an associative
+# segmented scan), so a uid's history is folded where its rows lie and only summaries meet.
+_SUMMARY = ("first", "last", "resets", "n", "e")
+
+
+def _runs(uid: str, hotkey: str, order: list[str], alpha: float, rows: int = 200_000):
+    """Summaries of the runs of equal ``uid`` in a task's sorted rows, with the key of their first row."""
+    def fold(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        codes = [table.column(c).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy() for c in (uid, hotkey)]
+        fresh = np.r_[True, codes[0][1:] != codes[0][:-1]]
+        start = np.flatnonzero(fresh)
+        end = np.append(start[1:], len(table))
+        change = np.r_[False, codes[1][1:] != codes[1][:-1]] & ~fresh
+        i = np.arange(len(table))
+        since = np.maximum(np.maximum.reduceat(np.where(change, i, 0), start), start)
+        run = np.cumsum(fresh) - 1
+        r = table.column("_r").to_numpy()
+        part = np.where(i >= since[run], alpha * r * (1.0 - alpha) ** np.minimum(end[run] - 1 - i, 1 << 20), 0.0)
+        at, to = pa.array(start), pa.array(end - 1)
+        yield pa.RecordBatch.from_arrays(
+            [table.column(c).combine_chunks().take(at) for c in (uid, *order)]
+            + [table.column(hotkey).combine_chunks().take(x) for x in (at, to)]
+            + [pa.array(np.add.reduceat(change.astype(np.int64), start)), pa.array(end - since), pa.array(np.add.reduceat(part, start))],
+            [uid, *order, *(f"_{c}" for c in _SUMMARY)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+            if sum(map(len, held)) >= rows:
+                yield from fold(pa.Table.from_batches(held))
+                held = []
+        if held:
+            yield from fold(pa.Table.from_batches(held))
+    return run
+
+
+def _merge(alpha: float):
+    def merge(a: Column, b: Column) -> Column:
+        same = a["last"].eqNullSafe(b["first"])
+        whole = same & (b["resets"] == 0)            # b goes on where a's last stretch ends
+        return F.struct(
+            a["first"].alias("first"), b["last"].alias("last"), (a["resets"] + b["resets"] + F.when(same, 0).otherwise(1)).alias("resets"),
+            (b["n"] + F.when(whole, a["n"]).otherwise(F.lit(0))).alias("n"),
+            (b["e"] + F.when(whole, a["e"] * F.pow(F.lit(1.0 - alpha), b["n"].cast("double"))).otherwise(0.0)).alias("e"))
+    return merge
+
+
+def ema_with_reset(df: DataFrame, uid: str, order: list[str], hotkey: str, value: str, alpha: float = 0.1,
+                   out: str = "score", start: DataFrame | None = None) -> DataFrame:
+    """EMA per uid that restarts from 0 whenever the uid's hotkey changes (WIN2, JOIN9).
+
+    ``start`` is a saved state (uid, hotkey, score) to carry on from: a uid whose next row has
+    another hotkey starts over, one without new rows keeps its score.  From or to a null
+    hotkey is a change like any other.  Returns (uid, hotkey, n_resets, out): the current
+    hotkey, how many times the uid changed hands, and the EMA over the current holder's rows.
+
+    ``order`` must tell a uid's rows apart.  Rows are range-partitioned by (uid, order), so a
+    busy uid spreads over many tasks; each folds its part to a summary, and a uid's
+    summaries, at most a few a task, are merged in order.
     """
-    m = hotkey_epochs(df, uid, order, hotkey, block)
-    # m feeds three branches: written once to the shared checkpoint folder (its
-    # (uid, block) partitioning is kept) instead of re-scanning and re-shuffling the rows
-    from ..session import checkpoint_dir
-    checkpoint_dir(m.sparkSession)
-    m = m.checkpoint()
-    summary = (m.groupBy(uid)
-                 .agg(F.max(F.when(F.col("_reset"), F.col("_pos"))).alias("_last_reset"),
-                      F.sum(F.col("_reset").cast("int")).cast("bigint").alias("n_resets"),
-                      F.max(F.struct(F.col("_pos"), F.col(hotkey).alias("_h")))["_h"].alias("current_hotkey")))
-    # the per-uid summary is attached to the small (uid, block) table first, so the rows
-    # themselves are joined on (uid, block) and keep that partitioning: a busy uid's rows
-    # are never gathered by uid alone
-    blk_info = m.select(uid, "_blk").distinct().join(summary.select(uid, "_last_reset"), uid, "inner")
-    cur = (m.join(blk_info, [uid, "_blk"], "inner")
-            .filter(F.col("_last_reset").isNull() | (F.col("_pos") >= F.col("_last_reset"))))
-    ema = ema_final(cur, uid, order, value, block=F.col("_blk"), alpha=alpha, out=out)
-    return (summary.join(ema, uid, "inner")
-                   .select(F.col(uid), F.col("current_hotkey").alias(hotkey), "n_resets", out))
+    rows = df.select(F.col(uid), *[F.col(c) for c in order], F.col(hotkey), nan_to_zero(value).alias("_r"))
+    rows = rows.withColumn("_r", F.coalesce("_r", F.lit(0.0)))
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    keys = ", ".join(f"`{c}` {kind[c]}" for c in (uid, *order))
+    parts = (rows.repartitionByRange(uid, *order).sortWithinPartitions(uid, *order)
+             .mapInArrow(_runs(uid, hotkey, order, alpha),
+                         f"{keys}, _first {kind[hotkey]}, _last {kind[hotkey]}, _resets bigint, _n bigint, _e double"))
+    parts = parts.select(F.col(uid), F.struct(F.lit(1).alias("new"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)]).alias("at"),
+                         F.struct(*[F.col(f"_{c}").alias(c) for c in _SUMMARY]).alias("run"))
+    if start is not None:
+        at = F.struct(F.lit(0).alias("new"), *[F.lit(None).cast(kind[c]).alias(f"o{i}") for i, c in enumerate(order)])
+        held = F.struct(F.col(hotkey).alias("first"), F.col(hotkey).alias("last"), F.lit(0).cast("long").alias("resets"),
+                        F.lit(0).cast("long").alias("n"), F.coalesce(nan_to_zero(F.col(out)), F.lit(0.0)).alias("e"))
+        parts = parts.unionByName(start.select(F.col(uid), at.alias("at"), held.alias("run")))
+    runs = F.transform(F.sort_array(F.collect_list(F.struct("at", "run"))), lambda x: x["run"])
+    got = parts.groupBy(uid).agg(runs.alias("_runs")).select(
+        F.col(uid), F.aggregate(F.slice("_runs", F.lit(2), F.size("_runs")), F.get("_runs", F.lit(0)), _merge(alpha)).alias("_run"))
+    return got.select(F.col(uid), F.col("_run.last").alias(hotkey), F.col("_run.resets").alias("n_resets"), F.col("_run.e").alias(out))

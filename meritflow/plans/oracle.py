@@ -115,20 +115,25 @@ SELECT netuid, uid, round(score, 9) AS score, round(weight, 9) AS weight, weight
          CAST(round_even(weight / max(weight) OVER (PARTITION BY pw.netuid) * 65535.0, 0) AS INTEGER) AS weight_u16
   FROM pw JOIN scored s ON pw.netuid = s.netuid AND pw.uid = s.uid)
 WHERE wmax > 0 AND weight_u16 <> 0"""
-    q["ema_resumed"] = _with(*base, EMA) + "SELECT uid, round(score, 9) AS score FROM ema"
     q["ema_final"] = _with(*base, EMA) + "SELECT uid, round(score, 9) AS score, n_updates FROM ema"
     q["reward_blend"] = _with(*base) + "SELECT event_id, uid, round(reward, 9) AS reward FROM valid"
-    q["ema_reset"] = _with("""snap AS (
-  SELECT o_custkey % 64 AS uid, o_orderdate AS snap_ts, o_orderkey AS snap_seq, o_orderpriority AS hotkey,
-         o_totalprice / 1e5 AS reward FROM orders)""", """flagged AS (
-  SELECT *, coalesce(lag(hotkey) OVER (PARTITION BY uid ORDER BY snap_ts, snap_seq) <> hotkey, false) AS reset,
-         row_number() OVER (PARTITION BY uid ORDER BY snap_ts, snap_seq) AS pos FROM snap)""", """epochs AS (
+    holders = _with("""snap AS (
+  SELECT o_custkey % 64 AS uid, o_orderdate AS snap_ts, o_orderkey AS snap_seq,
+         CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS hotkey, o_totalprice / 1e5 AS reward FROM orders)""", """flagged AS (
+  SELECT *, row_number() OVER (PARTITION BY uid ORDER BY snap_ts, snap_seq) AS pos,
+         lag(hotkey) OVER (PARTITION BY uid ORDER BY snap_ts, snap_seq) IS DISTINCT FROM hotkey
+           AND row_number() OVER (PARTITION BY uid ORDER BY snap_ts, snap_seq) > 1 AS reset FROM snap)""", """epochs AS (
   SELECT *, sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY pos) AS epoch,
          sum(CASE WHEN reset THEN 1 ELSE 0 END) OVER (PARTITION BY uid) AS n_resets FROM flagged)""", """cur AS (
   SELECT *, row_number() OVER (PARTITION BY uid ORDER BY pos) AS rn, count(*) OVER (PARTITION BY uid) AS n
-  FROM epochs WHERE epoch = n_resets)""") + """
-SELECT uid, arg_max(hotkey, pos) AS hotkey, CAST(max(n_resets) AS BIGINT) AS n_resets,
+  FROM epochs WHERE epoch = n_resets)""")
+    # one hotkey holds a uid's rows since the last reset, so any of them names it
+    q["ema_reset"] = holders + """
+SELECT uid, max(hotkey) AS hotkey, CAST(max(n_resets) AS BIGINT) AS n_resets,
        round(sum(0.1 * reward * pow(0.9, n - rn)), 9) AS score
+FROM cur GROUP BY uid"""
+    q["ema_resumed"] = holders + """
+SELECT uid, max(hotkey) AS hotkey, round(sum(0.1 * reward * pow(0.9, n - rn)), 9) AS score, 3::BIGINT AS step
 FROM cur GROUP BY uid"""
 
     q["l1_normalise"] = _with(MINERS) + """
@@ -256,7 +261,11 @@ WITH snaps AS (
 li AS (SELECT l_suppkey % 64 AS uid, l_orderkey, l_linenumber, l_shipdate AS ts FROM lineitem)
 SELECT li.l_orderkey, li.l_linenumber, li.uid, s.hotkey
 FROM li ASOF LEFT JOIN snaps s ON li.uid = s.uid AND li.ts >= s.snap_ts"""
-    q["state_roundtrip"] = _with(*base, EMA) + "SELECT uid, round(score, 9) AS score, 0.0::DOUBLE AS pr_score FROM ema"
+    q["state_roundtrip"] = _with(*base, EMA) + """
+SELECT m.uid, CASE WHEN m.uid % 9 = 0 THEN 'new-' ELSE '' END || m.hotkey AS hotkey,
+       CASE WHEN m.uid % 9 <> 0 AND m.uid % 4 <> 0 THEN round(coalesce(ema.score, 0.0), 9) ELSE 0.0 END AS score,
+       0.0::DOUBLE AS pr_score, 2::BIGINT AS step
+FROM miners m LEFT JOIN ema ON m.uid = ema.uid WHERE m.uid % 5 <> 0"""
     q["cached_file_pairs"] = q["file_pair_top1"]
     q["published_rows"] = _with(*base) + """
 SELECT 'league-' || CAST(netuid AS VARCHAR) AS repo, 'task ' || CAST(round AS VARCHAR) AS problem_statement,

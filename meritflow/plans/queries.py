@@ -57,18 +57,31 @@ def reward_to_weights(spark: SparkSession, d: str) -> DataFrame:
     return u.select("netuid", "uid", _r("score", "score"), _r("weight", "weight"), "weight_u16")
 
 
+def _holders(spark, d):
+    """Rewarded snapshots of the uids' hotkeys; now and then a uid has none."""
+    s = views.hotkey_snapshots(spark, d)
+    return s.withColumn("hotkey", F.when(F.pmod("snap_seq", F.lit(11)) != 0, F.col("hotkey")))
+
+
 def ema_resumed(spark: SparkSession, d: str) -> DataFrame:
-    """The EMA over all days, in two steps: the first days' scores are saved as state, loaded
-    again and carried on over the rest (SRC5, WIN1)."""
+    """The EMA with resets over all days, in three steps: each saves its state, hotkeys with
+    scores, at the next step number, and the next loads the latest and carries on from it; a
+    uid that changed hands in between starts over (SRC5, WIN1, WIN2)."""
     from ..sources import sinks
-    rw = valid_rewards(spark, d)
-    split = F.col("round") < F.lit(float(rw.agg(F.avg("round")).first()[0] or 0.0))
+    s = _holders(spark, d)
     path = _run_path(spark, "resume")
-    early = scoring.ema_final(rw.filter(split), "uid", ["round"], "reward", block=F.col("day"), alpha=0.1)
-    sinks.save_state(early.select("uid", "score"), path, step=1)
-    late = scoring.ema_final(rw.filter(~split), "uid", ["round"], "reward", block=F.col("day"), alpha=0.1,
-                             initial="score", start=sinks.load_state(spark, path).select("uid", "score"))
-    return late.select("uid", _r("score", "score"))
+    day = F.year("snap_ts")
+    first, last = s.agg(F.min(day), F.max(day)).first()
+    cuts = [first, first + (last - first) // 3, first + 2 * (last - first) // 3, last + 1] if first is not None else []
+    state = None
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        part = s.where((day >= lo) & (day < hi))
+        got = scoring.ema_with_reset(part, "uid", ["snap_ts", "snap_seq"], "hotkey", "reward", alpha=0.1, start=state)
+        sinks.save_state(got.select("uid", "hotkey", "score"), path)
+        state = sinks.load_state(spark, path)
+    if state is None:
+        return s.select("uid", "hotkey", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("step"))
+    return state.select("uid", "hotkey", _r("score", "score"), "step")
 
 
 def ema_final(spark: SparkSession, d: str) -> DataFrame:
@@ -78,9 +91,7 @@ def ema_final(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ema_reset(spark: SparkSession, d: str) -> DataFrame:
-    s = views.hotkey_snapshots(spark, d)
-    res = scoring.ema_with_reset(s, "uid", ["snap_ts", "snap_seq"], "hotkey", "reward",
-                                 block=F.date_trunc("month", F.col("snap_ts")), alpha=0.1)
+    res = scoring.ema_with_reset(_holders(spark, d), "uid", ["snap_ts", "snap_seq"], "hotkey", "reward", alpha=0.1)
     return res.select("uid", "hotkey", "n_resets", _r("score", "score"))
 
 
@@ -472,14 +483,21 @@ def _run_path(spark, name):
 
 
 def state_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """EMA scores saved as a versioned state snapshot and restored (SRC5): the snapshot
-    holds no pr_score column, so the restored state reads it as 0."""
+    """EMA scores saved with their hotkeys as versioned snapshots and restored, against a
+    population in which every ninth uid has a new hotkey and every fourth is new (SRC5): a
+    replaced or new uid restarts from 0, one that left is dropped; the snapshot holds no
+    pr_score column, so it is read as 0."""
     from ..sources import sinks
     path = _run_path(spark, "state")
+    miners = views.miners(spark, d).select("uid", "hotkey")
     ema = scoring.ema_final(valid_rewards(spark, d), "uid", ["round"], "reward", block=F.col("day"), alpha=0.1)
-    sinks.save_state(ema.select("uid", "score"), path, step=1)
-    st = sinks.load_state(spark, path)
-    return st.select("uid", _r("score", "score"), F.col("pr_score"))
+    held = ema.join(miners, "uid").where(F.pmod("uid", F.lit(4)) != 0).select("uid", "hotkey", "score")
+    for _ in range(2):                                   # the later step is the one restored
+        sinks.save_state(held, path)
+    now = miners.where(F.pmod("uid", F.lit(5)) != 0).withColumn(
+        "hotkey", F.when(F.pmod("uid", F.lit(9)) == 0, F.concat(F.lit("new-"), "hotkey")).otherwise(F.col("hotkey")))
+    st = sinks.resync_state(sinks.load_state(spark, path), now)
+    return st.select("uid", "hotkey", _r("score", "score"), "pr_score", "step")
 
 
 def cached_file_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -78,8 +78,7 @@ def stream_population_resync(spark: SparkSession, d: str, folder: str | None = N
            .trigger(availableNow=True).start())
     q.awaitTermination()
     landed = spark.read.schema(snaps.schema).parquet(base)
-    return (st.current_population(landed, "uid", "hotkey", order, F.date_trunc("month", F.col("snap_ts")))
-              .select("uid", "hotkey", "n_resets"))
+    return st.current_population(landed, "uid", "hotkey", order)
 
 
 def stream_batch_tokens(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:

@@ -42,21 +42,55 @@ def publish_scored_rows(rows: DataFrame, path: str, run: str) -> None:
          .write.mode("overwrite").partitionBy("repo").parquet(f"{path}/run={run}"))
 
 
-def save_state(state: DataFrame, path: str, step: int) -> None:
-    """Versioned snapshot of (uid, hotkey, score, pr_score) at ``step`` (SRC5)."""
-    state.withColumn("step", F.lit(step).cast("bigint")).write.mode("overwrite").parquet(f"{path}/step={step}")
+def _steps(spark: SparkSession, path: str) -> list[int]:
+    """Step numbers of the finished snapshots under ``path``."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return []
+    done = (s.getPath() for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/step=*/_SUCCESS")))
+    return sorted(int(p.getParent().getName().removeprefix("step=")) for p in done)
+
+
+def save_state(state: DataFrame, path: str, step: int | None = None) -> int:
+    """Versioned snapshot of (uid, hotkey, score, pr_score) (SRC5); returns its step.
+
+    Without ``step`` it follows the last finished one.  A step at or below that raises, so no
+    later snapshot is ever shadowed by an earlier one.
+    """
+    last = max(_steps(state.sparkSession, path), default=0)
+    step = last + 1 if step is None else step
+    if step <= last:
+        raise ValueError(f"step {step} is not above the last saved step, {last}")
+    state.write.mode("overwrite").parquet(f"{path}/step={step}")
+    return step
 
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
-    """Latest snapshot; a snapshot written without pr_score reads it as 0 (SRC5)."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    last = df.agg(F.max("step")).first()[0]
-    df = df.filter(F.col("step") == last)
+    """The latest finished snapshot, with its step; without pr_score that reads as 0 (SRC5)."""
+    steps = _steps(spark, path)
+    if not steps:
+        raise FileNotFoundError(f"no saved state under {path}")
+    df = spark.read.parquet(f"{path}/step={steps[-1]}").withColumn("step", F.lit(steps[-1]).cast("bigint"))
     if "pr_score" not in df.columns:
         df = df.withColumn("pr_score", F.lit(0.0))
     return df.withColumn("pr_score", F.coalesce(F.col("pr_score"), F.lit(0.0)))
 
 
+def resync_state(state: DataFrame, population: DataFrame) -> DataFrame:
+    """The state of the present ``population`` (uid, hotkey): identity decides (SRC5, WIN2).
+
+    A uid keeps its scores if its hotkey is the one they were saved with; a replaced uid and
+    a new one start from 0, and one that is gone is dropped.
+    """
+    old = state.select("uid", F.col("hotkey").alias("_was"), "score", "pr_score")
+    step = state.agg(F.max("step").alias("step"))
+    kept = F.col("_was").isNotNull() & (F.col("_was") == F.col("hotkey"))
+    both = population.select("uid", "hotkey").join(old, "uid", "left")
+    scores = [F.when(kept, F.coalesce(F.col(c), F.lit(0.0))).otherwise(0.0).alias(c) for c in ("score", "pr_score")]
+    return both.select("uid", "hotkey", *scores).withColumn("step", F.lit(step.first()[0]).cast("bigint"))
+
+
 def as_of(snapshots: DataFrame, events: DataFrame, key: str, snap_ts: str, ev_ts: str,
           bucket_width: int = 86_400_000_000) -> DataFrame:
     """Each event with the latest snapshot row of its key taken at or before it (SRC6).

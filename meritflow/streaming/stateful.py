@@ -261,15 +261,10 @@ def population_resync(snapshots: DataFrame, base: str, uid: str, hotkey: str, or
     return snapshots.writeStream.foreachBatch(land)
 
 
-def current_population(landed: DataFrame, uid: str, hotkey: str, order: list[str], block) -> DataFrame:
-    """uid, its current hotkey by ``order``, and how often it changed hands (WIN2 on read).
-
-    ``block`` is a time slice that grows with ``order``; see ``scoring.hotkey_epochs``.
-    """
-    from ..operators.scoring import hotkey_epochs
-    marked = hotkey_epochs(landed, uid, order, hotkey, block)
-    return marked.groupBy(uid).agg(F.max_by(hotkey, "_pos").alias(hotkey),
-                                   F.sum(F.col("_reset").cast("bigint")).alias("n_resets"))
+def current_population(landed: DataFrame, uid: str, hotkey: str, order: list[str]) -> DataFrame:
+    """uid, its current hotkey by ``order``, and how often it changed hands (WIN2 on read)."""
+    from ..operators.scoring import ema_with_reset
+    return ema_with_reset(landed.withColumn("_none", F.lit(0.0)), uid, order, hotkey, "_none").select(uid, hotkey, "n_resets")
 
 
 # ----------------------------------------------------------------------------- STM3 (ratings)
