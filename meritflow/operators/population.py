@@ -64,32 +64,34 @@ def gate_requests(requests: DataFrame, registered: DataFrame,
 
 
 def priority(gated: DataFrame, partition: str = "round", tiebreak: str = "event_id",
-             block: int = 1 << 16) -> DataFrame:
-    """Caller stake as priority (0.0 when there is no known caller), served high first (TOP5).
+             block: int = 1 << 16, value: Column | None = None) -> DataFrame:
+    """Priority of a request, served high first (TOP5): by default its caller's stake, 0.0
+    when there is no known caller; ``value`` is the user's own (UDF3 hook)."""
+    value = F.col("caller_stake") if value is None else value
+    return serve_ranks(gated.withColumn("priority", F.coalesce(value, F.lit(0.0))), partition, tiebreak, block)
 
-    ``serve_rank`` is the exact position in (priority desc, tiebreak asc) order within the
-    partition, computed without sorting a whole partition in one task:
+
+def serve_ranks(rows: DataFrame, partition: str, tiebreak: str, block: int = 1 << 16) -> DataFrame:
+    """``rows`` with ``serve_rank``, the exact position in (priority desc, tiebreak asc) order
+    within the partition, computed without sorting a whole partition in one task:
       rank = #rows with higher priority                 (window over distinct priorities,
                                                            at most one per caller)
            + #rows with equal priority in earlier blocks (window over tiebreak blocks)
            + position inside the block                   (at most ``block`` rows)
-    ``tiebreak`` must be a unique integer id.
+    ``tiebreak`` must be a unique integer id.  The rows are read twice.
     """
-    d = (gated.withColumn("priority", F.coalesce(F.col("caller_stake"), F.lit(0.0)))
-              .withColumn("_blk", F.floor(F.col(tiebreak) / F.lit(block)).cast("bigint")))
+    d = rows.withColumn("_blk", F.floor(F.col(tiebreak) / F.lit(block)).cast("bigint"))
     counts = d.groupBy(partition, "priority", "_blk").agg(F.count(F.lit(1)).alias("_nb"))
-    per_p = counts.groupBy(partition, "priority").agg(F.sum("_nb").alias("_np"))
-    per_p = per_p.withColumn("_above", F.coalesce(F.sum("_np").over(
-        Window.partitionBy(partition).orderBy(F.col("priority").desc())
-              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_np")
-    per_b = counts.withColumn("_before", F.coalesce(F.sum("_nb").over(
-        Window.partitionBy(partition, "priority").orderBy("_blk")
-              .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_nb")
+    # one row per distinct priority of a partition, with the blocks that hold it
+    per_p = counts.groupBy(partition, "priority").agg(F.sum("_nb").alias("_np"), F.sort_array(F.collect_list(F.struct("_blk", "_nb"))).alias("_bs"))
+    above = F.coalesce(F.sum("_np").over(Window.partitionBy(partition).orderBy(F.col("priority").desc())
+                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_b = per_p.withColumn("_above", above).select(partition, "priority", F.inline(F.transform("_bs", lambda x: F.struct(
+        x["_blk"].alias("_blk"), (F.col("_above") + F.aggregate(F.filter("_bs", lambda y: y["_blk"] < x["_blk"]), F.lit(0).cast("bigint"),
+                                                                lambda acc, y: acc + y["_nb"])).alias("_before")))))
     local = F.row_number().over(Window.partitionBy(partition, "priority", "_blk").orderBy(F.col(tiebreak)))
-    return (d.withColumn("_local", local)
-             .join(per_p, [partition, "priority"]).join(per_b, [partition, "priority", "_blk"])
-             .withColumn("serve_rank", (F.col("_above") + F.col("_before") + F.col("_local")).cast("bigint"))
-             .drop("_blk", "_above", "_before", "_local"))
+    return (d.withColumn("_local", local).join(per_b, [partition, "priority", "_blk"])
+             .withColumn("serve_rank", (F.col("_before") + F.col("_local")).cast("bigint")).drop("_blk", "_before", "_local"))
 
 
 def top_stake_sample(miners: DataFrame, group: str = "netuid", ok: Column | None = None,

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import block_number, epoch_us, floor_div, ttl_bucket
+from .summaries import attach
 
 
 def deadline_join(req: DataFrame, resp: DataFrame, key: str, deadline_secs: float = 1800.0,
@@ -61,7 +62,7 @@ def ttl_hold(df: DataFrame, key: str, ts: str, value: str, ttl_seconds: float =
 
 
 def epoch_triggers(df: DataFrame, key: str, ts: str, id_col: str, epoch_blocks: int = 100,
-                   block_seconds: int = 12, slice_blocks: int = 8192) -> DataFrame:
+                   block_seconds: int = 12, slice_blocks: int = 65_536) -> DataFrame:
     """Greedy trigger per key: the first row sets the mark; a later row fires when more than
     ``epoch_blocks`` blocks passed since the mark, and moves the mark (STM5 batch twin).
 
@@ -69,9 +70,9 @@ def epoch_triggers(df: DataFrame, key: str, ts: str, id_col: str, epoch_blocks:
     row of a (key, block) can fire, so rows are first reduced to those.  Time is cut into
     slices of ``slice_blocks`` blocks.  What a slice does depends only on the least block
     that may fire in it, which before the key's first slice is one of ``epoch_blocks + 1``
-    values: each slice is summed up as a table of the marks it leaves behind, a key's few
-    tables are folded in order, and each slice then marks its rows from the mark it gets.
-    Returns (key, id_col, block, due).
+    values: each slice is summed up as a step function from that block to the mark it leaves
+    behind, a key's few functions are folded in order, and each slice then marks its rows
+    from the mark it gets.  Returns (key, id_col, block, due).
     """
     gap = epoch_blocks + 1
     ev = df.select(F.col(key).alias("k"), F.col(id_col).alias("id"), epoch_us(ts).alias("t"),
@@ -83,20 +84,20 @@ def epoch_triggers(df: DataFrame, key: str, ts: str, id_col: str, epoch_blocks:
     tables = slices.select("k", "slice", _slice_exits(gap, slice_blocks)("slice", "rows.block").alias("x"))
     # one small row a slice; a key has one for every slice of time that it was seen in
     folded = (tables.groupBy("k").agg(F.sort_array(F.collect_list(F.struct(
-        "slice", F.col("x.own").alias("own"), F.col("x.exits").alias("exits")))).alias("xs")))
+        "slice", F.col("x.own").alias("own"), F.arrays_zip("x.at", "x.exit").alias("steps")))).alias("xs")))
     start = F.struct(F.lit(None).cast("bigint").alias("mark"), F.array().cast("array<bigint>").alias("marks"))
-    need = lambda mark, x: F.greatest(mark + gap - x["slice"] * slice_blocks, F.lit(0).cast("bigint"))
 
     def step(acc, x):
         mark = acc["mark"]
-        left = F.coalesce(F.get(x["exits"], need(mark, x).cast("int")), mark)
+        fires = F.get(F.filter(x["steps"], lambda s: s["at"] >= mark + gap), F.lit(0))
+        left = F.coalesce(fires["exit"], mark)
         now = F.when(mark.isNull(), x["own"]).otherwise(left)
         return F.struct(now.alias("mark"), F.concat(acc["marks"], F.array(mark)).alias("marks"))
 
     marks = folded.select("k", F.inline(F.arrays_zip(
         F.transform("xs", lambda x: x["slice"]).alias("slice"), F.aggregate("xs", start, step)["marks"].alias("mark"))))
     here = slices.join(marks, slices["k"].eqNullSafe(marks["k"]) & (slices["slice"] == marks["slice"])).select(
-        F.explode(_fired(gap)("rows", "mark")).alias("id"))
+        F.explode(_fired(gap)("rows.block", "rows.id", "mark")).alias("id"))
     return (ev.join(here.withColumn("due", F.lit(True)), "id", "left")
               .select(F.col("k").alias(key), F.col("id").alias(id_col), "block", F.coalesce("due", F.lit(False)).alias("due")))
 
@@ -107,38 +108,55 @@ def _next(blocks: np.ndarray, gap: int) -> np.ndarray:
 
 
 def _slice_exits(gap: int, width: int):
-    """(slice, sorted blocks) -> own: the mark left if the slice is its key's first;
-    exits: the mark left when the least block that may fire is 0, 1, ... gap - 1 blocks into
-    the slice, null if none fires."""
-    def one(no: int, blocks: np.ndarray) -> dict:
-        nxt, last = _next(blocks, gap), np.arange(len(blocks))
-        for i in range(len(blocks) - 1, -1, -1):
-            if nxt[i] < len(blocks):
-                last[i] = last[nxt[i]]
-        at = np.searchsorted(blocks, no * width + np.arange(gap))
-        return {"own": int(blocks[last[0]]), "exits": [int(blocks[last[i]]) if i < len(blocks) else None for i in at]}
-
-    @F.pandas_udf("struct<own: bigint, exits: array<bigint>>")
+    """(slice, sorted blocks) -> own: the mark left if the slice is its key's first; at, exit:
+    the mark left when the least block that may fire is at most ``at``, for ascending ``at``.
+    No block from before can hold back more than ``gap`` blocks of the slice."""
+    @F.pandas_udf("struct<own: bigint, at: array<bigint>, exit: array<bigint>>")
     def exits(no: pd.Series, blocks: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(int(n), np.asarray(b, np.int64)) for n, b in zip(no, blocks, strict=True)],
-                            columns=["own", "exits"])
+        own, at, left = [], [], []
+        for n, b in zip(no, blocks, strict=True):
+            b = np.asarray(b, np.int64)
+            last = np.arange(len(b))
+            nxt = _next(b, gap)
+            for i in np.flatnonzero(nxt < len(b))[::-1]:
+                last[i] = last[nxt[i]]
+            m = int(np.searchsorted(b, n * width + gap)) + 1
+            own.append(b[last[0]])
+            at.append(b[:m])
+            left.append(b[last[:m]])
+        return pd.DataFrame({"own": own, "at": at, "exit": left})
 
     return exits
 
 
 def _fired(gap: int):
-    """(sorted rows of block and id, mark on entry) -> ids that fire."""
+    """(sorted blocks, their ids, mark on entry) -> ids that fire."""
     @F.pandas_udf("array<bigint>")
-    def fired(rows: pd.Series, mark: pd.Series) -> pd.Series:
+    def fired(blocks: pd.Series, ids: pd.Series, mark: pd.Series) -> pd.Series:
         out = []
-        for r, m in zip(rows, mark, strict=True):
-            blocks = np.array([x["block"] for x in r], np.int64)
-            nxt, ids = _next(blocks, gap), []
-            i = int(nxt[0]) if pd.isna(m) else int(np.searchsorted(blocks, int(m) + gap))
-            while i < len(blocks):
-                ids.append(r[i]["id"])
+        for b, row, m in zip(blocks, ids, mark, strict=True):
+            b = np.asarray(b, np.int64)
+            nxt, at = _next(b, gap), []
+            i = int(nxt[0]) if pd.isna(m) else int(np.searchsorted(b, int(m) + gap))
+            while i < len(b):
+                at.append(i)
                 i = int(nxt[i])
-            out.append(ids)
+            out.append(np.asarray(row)[at])
         return pd.Series(out)
 
     return fired
+
+
+def recent_duplicates(df: DataFrame, keys: list[str], ts: str, id_col: str, window_seconds: int) -> DataFrame:
+    """(keys..., id_col, accepted): a row is accepted unless its keys were accepted less than
+    ``window_seconds`` before, in whole seconds; a rejected row does not extend the wait (STM10).
+
+    The batch twin of ``stateful.recent_duplicates_stream``: accepted rows are a key's first
+    and those that ``epoch_triggers`` fires.  Of rows in the same second the first by id counts.
+    """
+    packed = df.select(*keys, F.struct(*keys).alias("_key"), F.col(id_col), F.date_trunc("second", ts).alias("_ts"))
+    due = epoch_triggers(packed, "_key", "_ts", id_col, window_seconds - 1, 1, 1 << 22)
+    first = packed.groupBy("_key").agg(F.min(F.struct("_ts", id_col))[id_col].alias("_first"))
+    both = attach(due, first, "_key")
+    return both.select(*[F.col("_key")[k].alias(k) for k in keys], id_col,
+                       (F.col("due") | (F.col(id_col) == F.col("_first"))).alias("accepted"))

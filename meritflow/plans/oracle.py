@@ -280,22 +280,45 @@ n AS (SELECT conv_id, tok, row_number() OVER (PARTITION BY conv_id ORDER BY turn
              count(*) OVER (PARTITION BY conv_id) AS total FROM t)
 SELECT conv_id, pos // 3 AS idx, string_agg(tok, '' ORDER BY pos) AS batch, max(pos) = max(total) - 1 AS is_last
 FROM n GROUP BY conv_id, pos // 3"""
-    q["stream_deadline"] = f"SELECT req_id, resp_id FROM ({q['deadline_join']}) WHERE resp_id IS NOT NULL"
-    q["stream_distinct_requests"] = "SELECT DISTINCT user_id, event_type FROM events"
+    q["stream_deadline"] = q["deadline_join"]
+    q["distinct_requests"] = """
+WITH RECURSIVE ev AS (
+  SELECT user_id, event_type, event_id, epoch_us(ts) // 1000000 AS s,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts) // 1000000, event_id) AS rn FROM events),
+walk(user_id, event_type, rn, event_id, last, accepted) AS (
+  SELECT user_id, event_type, rn, event_id, s, true FROM ev WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.event_type, e.rn, e.event_id, CASE WHEN e.s - w.last >= 21600 THEN e.s ELSE w.last END, e.s - w.last >= 21600
+  FROM walk w JOIN ev e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.rn = w.rn + 1)
+SELECT user_id, event_type, event_id, accepted FROM walk"""
+    q["stream_distinct_requests"] = q["distinct_requests"]
     q["stream_ema"] = q["ema_final"]
     q["stream_chunks"] = q["stream_join_chunks"]
     q["stream_log_lines"] = q["log_lines"]
     q["stream_gate_requests"] = q["gate_requests"]
+    q["stream_gate_live"] = """
+WITH span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+r AS (
+  SELECT event_id, epoch_us(ts) // 3600000000 AS round,
+         CASE WHEN epoch_us(ts) < lo + (hi + 1 - lo) * 2 // 4 THEN 0 ELSE 1 END AS era,
+         CASE WHEN event_type <> 'signup' THEN user_id END AS caller
+  FROM events, span),
+m AS (
+  SELECT 0 AS era, c_custkey AS uid, c_acctbal AS stake FROM customer WHERE c_custkey % 11 <> 0
+  UNION ALL SELECT 1, c_custkey, c_acctbal - 1000.0 FROM customer WHERE c_custkey % 7 <> 0),
+g AS (
+  SELECT event_id, round,
+         CASE WHEN caller IS NULL THEN 'Missing dendrite or hotkey' WHEN m.uid IS NULL THEN 'Unrecognized hotkey'
+              WHEN stake < 0.0 THEN 'stake below zero' ELSE 'Hotkey recognized!' END AS reason,
+         coalesce(-abs((floor(stake)::BIGINT % 1000 + 1000) % 1000 - 500)::DOUBLE, 0.0) AS priority
+  FROM r LEFT JOIN m ON m.era = r.era AND m.uid = r.caller)
+SELECT event_id, round, reason <> 'Hotkey recognized!' AS blocked, reason, priority,
+       CASE WHEN reason = 'Hotkey recognized!' THEN row_number() OVER (
+         PARTITION BY round, reason = 'Hotkey recognized!' ORDER BY priority DESC, event_id) END AS serve_rank
+FROM g"""
     q["stream_batch_tokens"] = q["batch_tokens"]
-    q["stream_population_resync"] = """
-WITH f AS (
-  SELECT o_custkey % 64 AS uid, o_orderpriority AS hotkey,
-         row_number() OVER (PARTITION BY o_custkey % 64 ORDER BY o_orderdate, o_orderkey) AS pos,
-         coalesce(lag(o_orderpriority) OVER (PARTITION BY o_custkey % 64 ORDER BY o_orderdate, o_orderkey)
-                  <> o_orderpriority, false) AS reset
-  FROM orders)
-SELECT uid, arg_max(hotkey, pos) AS hotkey, CAST(sum(CASE WHEN reset THEN 1 ELSE 0 END) AS BIGINT) AS n_resets
-FROM f GROUP BY uid"""
+    q["stream_population_resync"] = holders + """
+SELECT uid, max(hotkey) AS hotkey, CAST(max(n_resets) AS BIGINT) AS n_resets FROM cur GROUP BY uid"""
     q["stream_ttl_hold"] = """
 SELECT event_type, epoch_us(ts) // 12000000 AS bucket, arg_min(value, (ts, event_id)) AS held_value,
        count(*) AS n_calls

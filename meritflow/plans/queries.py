@@ -169,7 +169,9 @@ def gate_requests(spark: SparkSession, d: str) -> DataFrame:
 
 def priority_order(spark: SparkSession, d: str) -> DataFrame:
     g = pop.gate_requests(views.requests(spark, d), views.registered_miners(spark, d), PopulationConfig())
-    p = pop.priority(g.filter(~F.col("blocked")), partition="round", tiebreak="event_id")
+    # judged once; the ranks read the accepted requests again
+    g = written(g.filter(~F.col("blocked")).select("event_id", "round", "caller_stake"), "accepted")
+    p = pop.priority(g, partition="round", tiebreak="event_id")
     return p.select("event_id", "round", _r("priority", "priority"), F.col("serve_rank").cast("bigint").alias("serve_rank"))
 
 

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import population as pop
-from ..operators import scoring
+from ..operators import scoring, timing
 from ..sources import views
 from ..sources.tables import table_path
+from ..streaming import live
 from ..streaming import stateful as st
-from ..streaming.runner import latest_by_batch, run_to_table, table_stream
+from ..streaming.runner import latest_by_batch, run_to_table, table_stream, time_slices
 
 
 def _batch():
@@ -65,11 +66,38 @@ def stream_gate_requests(spark: SparkSession, d: str, folder: str | None = None)
     return run_to_table(spark, _batch().gate_of(ev, views.registered_miners(spark, d)), "gate").drop("_batch")
 
 
+def stream_gate_live(spark: SparkSession, d: str) -> DataFrame:
+    """Requests judged and ranked against a population that changes in mid-stream (STM7, TOP5, UDF3).
+
+    Half of the events arrive and are judged; then the population is published anew, with
+    other members and stakes, and the stream goes on from its checkpoint with the rest.  The
+    caller's priority falls with its distance from a round thousand of stake.
+    """
+    import uuid
+    from ..session import scratch_path
+    base = scratch_path(spark, f"streams/gate-live/{uuid.uuid4().hex}")
+    hook = -F.abs(F.pmod(F.floor("caller_stake"), F.lit(1_000)) - 500).cast("double")
+    rules = [(F.col("caller_stake") < 0.0, "stake below zero")]
+    m = views.miners(spark, d)
+    eras = [(range(0, 2), m.where(F.pmod("uid", F.lit(11)) != 0)),
+            (range(2, 4), m.where(F.pmod("uid", F.lit(7)) != 0).withColumn("stake", F.col("stake") - 1_000.0))]
+    folder = None
+    for version, (slices, population) in enumerate(eras):
+        live.publish_population(population, f"{base}/population", version)
+        folder = time_slices(spark, d, "events", "ts", "event_id", parts=4, folder=folder, only=slices)
+        ev = table_stream(spark, d, "events", max_files=2, folder=folder)
+        q = (ev.writeStream.foreachBatch(live.gate_batches(f"{base}/population", f"{base}/out", views.requests_of, extra_rules=rules, priority=hook))
+               .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return live.verdicts(spark, f"{base}/out")
+
+
 def stream_population_resync(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
     import uuid
     from ..session import scratch_path
     o = table_stream(spark, d, "orders", folder=folder)
-    snaps = o.select(F.pmod(F.col("o_custkey"), F.lit(64)).alias("uid"), F.col("o_orderpriority").alias("hotkey"),
+    held = F.when(F.pmod(F.col("o_orderkey"), F.lit(11)) != 0, F.col("o_orderpriority"))      # now and then a uid has none
+    snaps = o.select(F.pmod(F.col("o_custkey"), F.lit(64)).alias("uid"), held.alias("hotkey"),
                      F.col("o_orderdate").alias("snap_ts"), F.col("o_orderkey").alias("snap_seq"))
     run, order = uuid.uuid4().hex, ["snap_ts", "snap_seq"]
     base = scratch_path(spark, f"streams/population/{run}/table")
@@ -110,26 +138,54 @@ def stream_token_batches(spark: SparkSession, d: str, folder: str | None = None)
     return run_to_table(spark, st.token_batch_stream(c, "conv_id", "turn", "text", "last"), "token_batches").drop("_batch")
 
 
+def _heartbeat(spark: SparkSession, d: str, *types: str) -> DataFrame:
+    """An event of each type two days behind the last one: the source is alive and has passed on all before."""
+    ev = spark.read.parquet(table_path(d, "events"))
+    end = ev.agg(F.max("ts").alias("end")).withColumn("event_type", F.explode(F.array(*[F.lit(t) for t in types])))
+    values = {"event_id": F.lit(-1).cast("bigint"), "user_id": F.lit(-1).cast("bigint"), "event_type": F.col("event_type"),
+              "ts": F.col("end") + F.expr("INTERVAL 2 DAYS")}
+    return end.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in ev.schema.fields])
+
+
 def stream_deadline(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    """Requests answered in time, and their first answer (STM6)."""
-    ev = table_stream(spark, d, "events", folder=folder)
+    """Every request with its first answer, or 408 where none came in time (STM6).
+
+    The events arrive in several batches, up to ten minutes late; requests without an answer
+    are closed by the watermark.
+    """
+    folder = folder or time_slices(spark, d, "events", "ts", "event_id", parts=4, disorder=600.0,
+                                   closing=_heartbeat(spark, d, "view", "purchase"))
+    ev = table_stream(spark, d, "events", max_files=2, folder=folder)
     req = ev.filter(F.col("event_type") == "view").select(F.col("event_id").alias("req_id"), "user_id", "ts")
     resp = ev.filter(F.col("event_type") == "purchase").select(F.col("event_id").alias("resp_id"), "user_id", "ts")
-    out = run_to_table(spark, st.deadline_join_stream(req, resp, "user_id", "30 minutes", "400 days"), "deadline")
-    first = F.min(F.struct("resp_time", "resp_id"))["resp_id"]
-    return out.filter(F.col("resp_id").isNotNull()).groupBy("req_id").agg(first.alias("resp_id"))
+    out = run_to_table(spark, st.deadline_stream(req, resp, "user_id", "30 minutes", "10 minutes"), "deadline")
+    return out.where(F.col("req_id") >= 0).select("req_id", "resp_id", "status_code")
+
+
+#: A request is a duplicate within six hours of an accepted one.
+DUPLICATE_SECONDS = 6 * 3_600
+
+
+def distinct_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's requests of a kind, and whether none was accepted in the hours before (STM10)."""
+    ev = spark.read.parquet(table_path(d, "events"))
+    return timing.recent_duplicates(ev, ["user_id", "event_type"], "ts", "event_id", DUPLICATE_SECONDS)
 
 
 def stream_distinct_requests(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    """Requests without those repeated within the window, here the whole table (STM10)."""
-    ev = table_stream(spark, d, "events", folder=folder)
-    kept = st.reject_recent_duplicates(ev.select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "400 days")
-    return run_to_table(spark, kept, "distinct_requests").select("user_id", "event_type")
+    """The same from a stream of several batches whose rows come up to an hour late (STM10)."""
+    beat = _heartbeat(spark, d, "view")
+    folder = folder or time_slices(spark, d, "events", "ts", "event_id", parts=4, disorder=3_600.0, closing=beat)
+    ev = table_stream(spark, d, "events", max_files=2, folder=folder)
+    rows = st.recent_duplicates_stream(ev.select("user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], "ts",
+                                       "event_id", DUPLICATE_SECONDS, "1 hour")
+    return run_to_table(spark, rows, "distinct_requests").where(F.col("event_id") >= 0).drop("_batch")
 
 
 STREAM_QUERIES = {
     "stream_token_batches": stream_token_batches,
     "stream_deadline": stream_deadline,
+    "distinct_requests": distinct_requests,
     "stream_distinct_requests": stream_distinct_requests,
     "stream_trueskill": stream_trueskill,
     "stream_population_resync": stream_population_resync,
@@ -140,4 +196,5 @@ STREAM_QUERIES = {
     "stream_ttl_hold": stream_ttl_hold,
     "stream_log_lines": stream_log_lines,
     "stream_gate_requests": stream_gate_requests,
+    "stream_gate_live": stream_gate_live,
 }

@@ -8,7 +8,9 @@ output instead of duplicating it.
 
 from __future__ import annotations
 
+import time
 import uuid
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,6 +36,33 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
     return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def time_slices(spark: SparkSession, sf_dir: str, name: str, ts: str, id_col: str, parts: int = 4,
+                disorder: float = 0.0, closing: DataFrame | None = None, folder: str | None = None,
+                only: range | None = None) -> str:
+    """Folder of the table's rows in ``parts`` sets of files, in order of arrival, for a stream of several batches.
+
+    A row arrives up to ``disorder`` seconds after its time, by a hash of its id, so rows of
+    neighbouring slices mix.  ``closing`` rows come in a slice of their own behind all others:
+    a heartbeat far ahead lets the watermark pass everything.  A row with a null time arrives
+    first.  ``only`` these slices are added to ``folder``, so that others may follow later.
+    """
+    rows = spark.read.parquet(table_path(sf_dir, name))
+    late = F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, int(disorder * 1e6)))) if disorder else F.lit(0)
+    rows = rows.withColumn("_at", F.coalesce(epoch_us(ts) + late, F.lit(-(1 << 62))))
+    lo, hi = rows.where(F.col(ts).isNotNull()).agg(F.min("_at"), F.max("_at")).first()
+    folder = folder or scratch_path(spark, f"streams/slices/{name}-{uuid.uuid4().hex}")
+    cuts = [lo + (hi + 1 - lo) * i // parts for i in range(1, parts)] if lo is not None else []
+    edges = list(pairwise([None, *cuts, None]))
+    for a, b in [edges[i] for i in (only if only is not None else range(len(edges))) if i < len(edges)]:
+        part = rows if a is None else rows.where(F.col("_at") >= a)
+        part = part if b is None else part.where(F.col("_at") < b)
+        part.drop("_at").coalesce(2).write.mode("append").parquet(folder)
+        time.sleep(0.02)                  # the file source orders files by their time
+    if closing is not None:
+        closing.select(*spark.read.parquet(folder).columns).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     """Whether ``path``, on whatever file system, is a folder."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

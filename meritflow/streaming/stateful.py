@@ -241,11 +241,69 @@ def deadline_join_stream(requests: DataFrame, responses: DataFrame, key: str, de
     return rq.join(rs, cond, "leftOuter").select("req_id", "resp_id", "req_time", "resp_time")
 
 
+def deadline_stream(requests: DataFrame, responses: DataFrame, key: str, deadline: str = "30 minutes",
+                    lateness: str = "10 minutes", ok_code: int = 200, late_code: int = 408) -> DataFrame:
+    """(req_id, resp_id, status_code) of every request, as soon as its verdict is final (append mode).
+
+    The first response within the deadline counts.  The watermark, not a response, closes a
+    request: once no response within its deadline can still come, its row is emitted, with
+    ``late_code`` and no response if there was none.  Rows may be up to ``lateness`` late.
+    """
+    pairs = deadline_join_stream(requests, responses, key, deadline, lateness)
+    answer = F.struct(F.unix_micros("resp_time").alias("t"), F.col("resp_id"))
+    pairs = pairs.select("req_id", "req_time", F.when(F.col("resp_id").isNotNull(), answer).alias("answer"))
+    first = pairs.groupBy("req_id", "req_time").agg(F.min("answer").alias("answer"))
+    return first.select("req_id", F.col("answer.resp_id").alias("resp_id"),
+                        F.when(F.col("answer").isNull(), late_code).otherwise(ok_code).alias("status_code"))
+
+
 # ----------------------------------------------------------------------------- STM10
-def reject_recent_duplicates(requests: DataFrame, keys: list[str], ts: str, window: str = "10 minutes") -> DataFrame:
-    """Drop a request whose keys were already seen within ``window`` (STM10, off by default)."""
-    return (requests.withColumn("_et", event_time(ts)).withWatermark("_et", window)
-                    .dropDuplicatesWithinWatermark(keys).drop("_et"))
+def recent_duplicates_stream(requests: DataFrame, keys: list[str], ts: str, id_col: str, window_seconds: int,
+                             lateness: str = "10 minutes") -> DataFrame:
+    """(keys..., id_col, accepted) of every request: accepted unless its keys were accepted less
+    than ``window_seconds`` before, in whole seconds (STM10, append mode).
+
+    Rows may come up to ``lateness`` out of order, so a request waits in its key's state until
+    the watermark passes it.  The state is the second last accepted and the waiting requests;
+    a timer closes them, and the state goes once it can reject nothing more.  Later rows are
+    dropped.
+    """
+    types = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+    d = (requests.withColumn("_et", event_time(ts)).withWatermark("_et", lateness)
+                 .select(*keys, F.col(id_col).cast("bigint").alias("_id"), F.floor(epoch_us(ts) / 1_000_000).alias("_s"),
+                         "_et"))
+    out_schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", `{id_col}` bigint, accepted boolean"
+
+    def fn(k, pdfs, state):
+        last, s, ids = state.get if state.exists else (None, [], [])
+        parts = [np.array([s, ids], np.int64).T.reshape(-1, 2)]
+        if not state.hasTimedOut:
+            parts += [p[["_s", "_id"]].to_numpy(np.int64) for p in pdfs]
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        mark = state.getCurrentWatermarkMs()
+        final = rows[:, 0] < mark // 1000             # no row of these seconds can still come
+        done, rows = rows[final], rows[~final]
+        accepted = np.zeros(len(done), bool)
+        i = 0 if last is None else int(np.searchsorted(done[:, 0], last + window_seconds))
+        while i < len(done):
+            accepted[i], last = True, int(done[i, 0])
+            i = int(np.searchsorted(done[:, 0], last + window_seconds))
+        if len(rows):
+            until = int(rows[0, 0]) + 1
+        else:
+            until = -1 if last is None else last + window_seconds
+        if 1000 * until > mark:
+            state.update((last, *(rows[:, j].tolist() for j in range(2))))
+            state.setTimeoutTimestamp(1000 * until)
+        else:
+            state.remove()
+        if len(done):
+            yield pd.DataFrame({**{c: pd.Series([v] * len(done), dtype=object) for c, v in zip(keys, k, strict=True)},
+                                id_col: done[:, 1], "accepted": accepted})
+
+    return d.groupBy(*keys).applyInPandasWithState(fn, out_schema, "last bigint, s array<bigint>, ids array<bigint>",
+                                                   "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # ----------------------------------------------------------------------------- STM8

@@ -106,14 +106,63 @@ def test_deadline_stream_and_recent_duplicates(spark):
         df.filter("event_type = 'purchase'").select(F.col("event_id").alias("resp_id"), "user_id", "ts"),
         "user_id").collect()}
     assert batch == {1: 200, 3: 408, 5: 200, 6: 408}
-    # recent duplicates: the same caller + prompt within the window is dropped
-    d2 = spark.createDataFrame([(1, "a", "p", t0), (2, "a", "p", t0 + dt.timedelta(minutes=3)),
-                                (3, "b", "p", t0 + dt.timedelta(minutes=4))],
-                               "id long, caller string, prompt string, ts timestamp_ntz")
-    d2.write.parquet(base + "/rq")
-    kept = run_to_table(spark, st.reject_recent_duplicates(
-        spark.readStream.schema(d2.schema).parquet(base + "/rq"), ["caller", "prompt"], "ts", "10 minutes"), "dd_test")
-    assert sorted(r.caller for r in kept.collect()) == ["a", "b"]
+
+
+def test_recent_duplicates_over_batches_and_late_rows(spark):
+    """Waiting rows are decided by the watermark, in time order whatever their order of arrival."""
+    import datetime as dt
+    import random
+    import time
+    from meritflow.operators import timing
+    from meritflow.streaming import stateful as st
+    from meritflow.streaming.runner import run_to_table
+    rnd = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, rnd.choice(["a", "b", None]), "p", t0 + dt.timedelta(seconds=60 * i + rnd.randint(-400, 400), microseconds=i)) for i in range(200)]
+    rows += [(200, "late", "p", t0 - dt.timedelta(days=1))]
+    schema = "id long, caller string, prompt string, ts timestamp_ntz"
+    base = tempfile.mkdtemp(prefix="meritflow-dup-")
+    end = [(-1, "z", "z", t0 + dt.timedelta(days=2))]
+    for part in (rows[:70], rows[70:140], rows[140:], end):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(base)
+        time.sleep(0.05)
+    sdf = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base)
+    got = run_to_table(spark, st.recent_duplicates_stream(sdf, ["caller", "prompt"], "ts", "id", 900, "15 minutes"), "dup_test")
+    assert got.select("_batch").distinct().count() > 2
+    got = {r.id: r.accepted for r in got.where("id >= 0").collect()}
+    assert 200 not in got                                   # behind the watermark
+    last, want = {}, {}
+    for i, caller, _, ts in sorted(rows[:200], key=lambda r: (r[3].replace(microsecond=0), r[0])):
+        s = ts.replace(microsecond=0)
+        want[i] = caller not in last or (s - last[caller]).total_seconds() >= 900
+        last[caller] = s if want[i] else last[caller]
+    assert got == want
+    batch = timing.recent_duplicates(spark.createDataFrame(rows[:200], schema), ["caller", "prompt"], "ts", "id", 900)
+    assert {r.id: r.accepted for r in batch.collect()} == want
+
+
+def test_time_slices_make_several_batches(spark):
+    out = S.time_slices(spark, SF_SMALL, "events", "ts", "event_id", parts=4, disorder=60.0)
+    rows = spark.read.parquet(out)
+    assert len(rows.inputFiles()) >= 4 and rows_of(rows.toPandas()) == rows_of(spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).toPandas())
+
+
+def test_a_population_change_between_batches_changes_the_verdict(spark):
+    from pyspark.sql import functions as F
+    from meritflow.streaming import live
+    base = tempfile.mkdtemp(prefix="meritflow-live-")
+    members = "hotkey string, uid long, validator_permit boolean, stake double"
+    run = live.gate_batches(f"{base}/pop", f"{base}/out", lambda b: b)
+    asks = lambda *rows: spark.createDataFrame(list(rows), "event_id long, round long, caller_hotkey string")
+    live.publish_population(spark.createDataFrame([("a", 1, True, 5.0), ("b", 2, True, 9.0)], members), f"{base}/pop", 0)
+    run(asks((1, 0, "a"), (2, 0, "b"), (3, 0, "c")), 0)
+    live.publish_population(spark.createDataFrame([("a", 1, True, 50.0), ("c", 3, True, 1.0)], members), f"{base}/pop", 1)
+    run(asks((4, 0, "b"), (5, 0, "c"), (6, 24, "a")), 1)
+    run(asks((4, 0, "b"), (5, 0, "c"), (6, 24, "a")), 1)                       # replayed
+    run(asks(), 2)
+    got = {r.event_id: (r.blocked, r.serve_rank) for r in live.verdicts(spark, f"{base}/out").collect()}
+    assert got == {1: (False, 2), 2: (False, 1), 3: (True, None), 4: (True, None), 5: (False, 3), 6: (False, 1)}
+    assert [r[0] for r in live.current_version(spark, f"{base}/pop").select(F.max("stake")).collect()] == [50.0]
 
 
 def test_trueskill_stream_equals_batch(spark, split_tables):
