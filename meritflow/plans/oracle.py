@@ -266,7 +266,17 @@ SELECT m.uid, CASE WHEN m.uid % 9 = 0 THEN 'new-' ELSE '' END || m.hotkey AS hot
        CASE WHEN m.uid % 9 <> 0 AND m.uid % 4 <> 0 THEN round(coalesce(ema.score, 0.0), 9) ELSE 0.0 END AS score,
        0.0::DOUBLE AS pr_score, 2::BIGINT AS step
 FROM miners m LEFT JOIN ema ON m.uid = ema.uid WHERE m.uid % 5 <> 0"""
-    q["cached_file_pairs"] = q["file_pair_top1"]
+    q["cached_file_pairs"] = f"SELECT *, true AS hit FROM ({q['file_pair_top1']})"
+    q["source_walk"] = r"""
+WITH f AS (
+  SELECT source || '/' || CASE WHEN doc_id % 17 = 0 THEN '__cache__/' WHEN doc_id % 19 = 0 THEN '.git/' ELSE '' END || lang AS dir,
+         CASE WHEN doc_id % 7 = 0 THEN '.x' WHEN doc_id % 5 = 0 THEN '__x' WHEN doc_id % 3 = 0 THEN '_x' ELSE 'x' END || doc_id::VARCHAR
+           || CASE WHEN doc_id % 11 = 0 THEN '.pyc' WHEN doc_id % 13 = 0 THEN '.txt' ELSE '.py' END AS name,
+         doc_id % 23 <> 0 AS readable, strlen(text) AS size, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS contents
+  FROM documents WHERE doc_id % 17 <> 0 AND doc_id % 19 <> 0),
+kept AS (SELECT *, count(*) OVER (PARTITION BY dir) AS n FROM f
+         WHERE name LIKE '%.py' AND NOT starts_with(name, '.') AND NOT starts_with(name, '__'))
+SELECT dir, name, size, length(contents) AS n_chars, md5(contents) AS md5 FROM kept WHERE n >= 5 AND readable AND length(contents) > 50"""
     q["published_rows"] = _with(*base) + """
 SELECT 'league-' || CAST(netuid AS VARCHAR) AS repo, 'task ' || CAST(round AS VARCHAR) AS problem_statement,
        patch AS solution_patch, round(reward, 6) AS score, hotkey AS miner_hotkey FROM valid"""
@@ -295,6 +305,7 @@ SELECT user_id, event_type, event_id, accepted FROM walk"""
     q["stream_ema"] = q["ema_final"]
     q["stream_chunks"] = q["stream_join_chunks"]
     q["stream_log_lines"] = q["log_lines"]
+    q["stream_published"] = q["log_lines"]
     q["stream_gate_requests"] = q["gate_requests"]
     q["stream_gate_live"] = """
 WITH span AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),

@@ -503,13 +503,32 @@ def state_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cached_file_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Best file pairs through the result cache keyed by the search parameters (SRC3)."""
+    """Best file pairs through the result cache, keyed by the table's rows and the search
+    parameters (SRC3): whatever the first call does, the second is served from the cache."""
+    from ..session import cache_path
     from ..sources import sinks
-    key = sinks.heuristics_key(table="embeddings", block_size=64, lsh_bits=3)
-    path = _run_path(spark, f"file_pairs/{key}")
-    sinks.read_or_compute(spark, path, lambda: _file_pairs(spark, d))              # computed and written
-    again = sinks.read_or_compute(spark, path, lambda: _file_pairs(spark, d))   # served from the cache
-    return again.select("dir", "path_a", "path_b", _r("cosine", "cosine"))
+    table, path = read_table(spark, d, "embeddings"), cache_path(spark, "file_pairs")
+    params = {"block_size": 64, "lsh_bits": 3}
+    sinks.read_or_compute(spark, path, [table], lambda: _file_pairs(spark, d), **params)
+    again, hit = sinks.read_or_compute(spark, path, [table], lambda: _file_pairs(spark, d), **params)
+    return again.select("dir", "path_a", "path_b", _r("cosine", "cosine"), F.lit(hit or again.isEmpty()).alias("hit"))
+
+
+def source_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as a file of a source tree, walked and read again (SRC1, SRC2, FLT5, FLT6):
+    hidden files and folders are left out, one underscore is an ordinary name, files that are
+    no UTF-8 are dropped, and folders need five file names."""
+    from ..sources import trees
+    docs = read_table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    k = lambda n: F.pmod("doc_id", F.lit(n))
+    name = F.concat(F.when(k(7) == 0, ".x").when(k(5) == 0, "__x").when(k(3) == 0, "_x").otherwise("x"), F.col("doc_id").cast("string"),
+                    F.when(k(11) == 0, ".pyc").when(k(13) == 0, ".txt").otherwise(".py"))
+    folder = F.concat(F.col("source"), F.lit("/"), F.when(k(17) == 0, "__cache__/").when(k(19) == 0, ".git/").otherwise(""), F.col("lang"))
+    body = F.when(k(23) == 0, F.concat(F.unhex(F.lit("FF")), F.encode("text", "utf-8"))).otherwise(F.encode("text", "utf-8"))
+    root = _run_path(spark, "tree")
+    trees.write_files(docs.select(F.concat(folder, F.lit("/"), name).alias("path"), body.alias("body")), root, "path", "body")
+    found = trees.candidate_files(spark, root, 5, 50)
+    return found.select("dir", "name", "size", F.char_length("contents").cast("bigint").alias("n_chars"), F.md5("contents").alias("md5"))
 
 
 def published_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -570,7 +589,7 @@ def run_labels(spark: SparkSession, d: str) -> DataFrame:
         txt.release_code(version).alias("release"))
 
 
-QUERIES.update({"ema_resumed": ema_resumed, "run_labels": run_labels, "league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs,
+QUERIES.update({"ema_resumed": ema_resumed, "run_labels": run_labels, "league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs, "source_walk": source_walk,
                 "published_rows": published_rows})
 
 

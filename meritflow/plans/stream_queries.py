@@ -61,6 +61,19 @@ def stream_log_lines(spark: SparkSession, d: str, folder: str | None = None) ->
     return run_to_table(spark, _batch().log_lines_of(ev), "log_lines").drop("_batch")
 
 
+def stream_published(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines published in transactions; the whole stream is replayed, and nothing doubles (SRC9)."""
+    import uuid
+    from ..session import scratch_path
+    from ..sources import published as pb
+    base = scratch_path(spark, f"streams/published/{uuid.uuid4().hex}")
+    folder = time_slices(spark, d, "events", "ts", "event_id", parts=3)
+    lines = _batch().log_lines_of(table_stream(spark, d, "events", max_files=2, folder=folder))
+    for run in ("first", "replay"):
+        pb.publish_stream(lines, f"{base}/table", f"{base}/checkpoint-{run}")
+    return pb.published(spark, f"{base}/table", lines.schema)
+
+
 def stream_gate_requests(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
     ev = table_stream(spark, d, "events", folder=folder)
     return run_to_table(spark, _batch().gate_of(ev, views.registered_miners(spark, d)), "gate").drop("_batch")
@@ -195,6 +208,7 @@ STREAM_QUERIES = {
     "stream_chunks": stream_chunks,
     "stream_ttl_hold": stream_ttl_hold,
     "stream_log_lines": stream_log_lines,
+    "stream_published": stream_published,
     "stream_gate_requests": stream_gate_requests,
     "stream_gate_live": stream_gate_live,
 }

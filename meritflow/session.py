@@ -85,6 +85,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def cache_path(spark: SparkSession, name: str) -> str:
+    """A path under the shared folder for results that later applications may read again."""
+    return f"{checkpoint_dir(spark)}/meritflow-cache/{name}"
+
+
 def written(df, name: str):
     """``df`` written to the shared folder and read back: computed once, kept for retries."""
     path = scratch_path(df.sparkSession, f"tables/{name}-{uuid.uuid4().hex}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,15 +16,56 @@ def heuristics_key(**params) -> str:
     return hashlib.sha1(json.dumps(params, sort_keys=True).encode()).hexdigest()[:16]
 
 
-def read_or_compute(spark: SparkSession, path: str, compute: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """Result cache (SRC3): read ``path`` if it holds rows and no refresh is asked, else
-    compute, write, and read back.  Callers put the parameter key in ``path``."""
-    if not refresh and path_exists(spark, path):
-        cached = spark.read.parquet(path)
+def fingerprint(df: DataFrame) -> str:
+    """Digest of a table's rows and schema, the same in any order of rows (SRC3).
+
+    One aggregate: the number of rows and two sums of independent row hashes.  Columns of map
+    type cannot be hashed and raise.
+    """
+    row = [F.col(f"`{c}`") for c in df.columns]
+    wide = lambda h: F.sum(h.cast("decimal(38,0)")).cast("string")
+    n, a, b = df.agg(F.count(F.lit(1)), wide(F.xxhash64(*row)), wide(F.xxhash64(F.lit("second"), *row))).first()
+    return heuristics_key(schema=df.schema.jsonValue(), rows=n, sums=[a, b])
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of ``path``, on whatever file system."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    fs, at = _hadoop(spark, f"{folder}/v=*")
+    return sorted(int(s.getPath().getName().removeprefix("v=")) for s in fs.globStatus(at) or [])
+
+
+def read_or_compute(spark: SparkSession, base: str, inputs: list[DataFrame], compute: Callable[[], DataFrame],
+                    refresh: bool = False, **params) -> tuple[DataFrame, bool]:
+    """A result by what it depends on, and whether it was cached (SRC3).
+
+    The key is the ``params`` and the ``fingerprint`` of the ``inputs``, so any run on the same
+    rows and parameters finds it and a changed row misses.  A result is written to a folder
+    of its own and published by renaming it to the next version, which never replaces one, so
+    readers see whole results only and the loser of a race publishes the version after.  An
+    empty result is computed again next time.
+    """
+    key = heuristics_key(inputs=[fingerprint(df) for df in inputs], **params)
+    folder = f"{base.rstrip('/')}/{key}"
+    versions = [] if refresh else _versions(spark, folder)
+    if versions:
+        cached = spark.read.parquet(f"{folder}/v={versions[-1]}")
         if not cached.isEmpty():
-            return cached
-    compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+            return cached, True
+    staged = f"{base.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    compute().write.parquet(staged)
+    fs, source = _hadoop(spark, staged)
+    fs.mkdirs(_hadoop(spark, folder)[1])
+    version = max(_versions(spark, folder), default=0) + 1
+    for version in range(version, version + 100):
+        to = _hadoop(spark, f"{folder}/v={version}")[1]
+        if not fs.exists(to) and fs.rename(source, to):
+            return spark.read.parquet(f"{folder}/v={version}"), False
+    raise RuntimeError(f"no version of {folder} could be published")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
