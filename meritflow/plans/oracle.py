@@ -198,7 +198,10 @@ hits AS (
 SELECT h.patch_id, bool_and(hits.patch_id IS NOT NULL) AS applies,
        CAST(max(hits.delta) FILTER (WHERE h.hunk_no = 1) AS BIGINT) AS line_offset,
        count(*) AS n_hunks
-FROM hunks h LEFT JOIN hits ON h.patch_id = hits.patch_id AND h.hunk_no = hits.hunk_no GROUP BY 1"""
+FROM hunks h LEFT JOIN hits ON h.patch_id = hits.patch_id AND h.hunk_no = hits.hunk_no
+WHERE h.patch_id % 37 <> 0 AND h.patch_id % 41 <> 0 AND h.patch_id % 43 <> 0 GROUP BY 1
+UNION ALL
+SELECT doc_id, false, NULL, 0 FROM documents WHERE doc_id % 37 = 0 OR doc_id % 41 = 0 OR doc_id % 43 = 0"""
     elo_body = _with(MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS, "x AS (SELECT 1)")
     q["elo_rank"] = elo_body.replace("WITH ", "WITH RECURSIVE ", 1).replace("x AS (SELECT 1)\n", """subs AS (
   SELECT round, uid, CAST(k AS DOUBLE) AS s, row_number() OVER (PARTITION BY round ORDER BY ts, event_id) - 1 AS idx

@@ -464,14 +464,17 @@ def _doc_patches(spark, d):
                         F.transform(F.sequence(F.lit(1), n, F.lit(10)), hunk))
     drop = F.concat_ws("\n", F.concat(F.lit("--- a/"), own), F.lit("+++ /dev/null"), F.format_string("@@ -1,%d +0,0 @@", n),
                        F.transform("ls", lambda x: F.concat(F.lit("-"), x)))
-    return docs.select(F.col("doc_id").alias("patch_id"), F.concat(
-        edits, F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("\n"), drop)).otherwise(""), F.lit("\n")).alias("patch"))
+    whole = F.concat(edits, F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("\n"), drop)).otherwise(""), F.lit("\n"))
+    # some patches are missing, empty, or say that they change a file without a hunk
+    none = lambda k: F.pmod("doc_id", F.lit(k)) == 0
+    return docs.select(F.col("doc_id").alias("patch_id"), F.when(none(37), F.lit(None)).when(none(41), "")
+                       .when(none(43), F.concat(F.lit("--- a/"), own, F.lit("\n+++ b/"), own, F.lit("\n"))).otherwise(whole).alias("patch"))
 
 
 def patch_applies(spark: SparkSession, d: str) -> DataFrame:
-    h = patches.hunk_lines(_doc_patches(spark, d))
-    lines = patches.file_lines(read_table(spark, d, "documents"), "doc_id", "text")
-    return patches.patch_applies(h, lines).select("patch_id", "applies", F.col("offset").alias("line_offset"), "n_hunks")
+    docs = read_table(spark, d, "documents")
+    a = patches.patch_applies(patches.hunks(_doc_patches(spark, d)), docs, "doc_id", "text")
+    return a.select("patch_id", "applies", F.col("offset").alias("line_offset"), "n_hunks")
 
 
 QUERIES["patch_applies"] = patch_applies

@@ -19,7 +19,7 @@ def test_hunk_parse_and_apply(spark):
     assert [(r.hunk_no, r.kind, r.k, r.text) for r in rows if r.k is not None] == \
         [(1, " ", 0, "b"), (1, " ", 1, "c"), (2, " ", 0, "f"), (2, "-", 1, "g")]
     files = spark.createDataFrame([("f.py", base)], "path string, contents string")
-    out = {r.patch_id: r for r in patches.patch_applies(h, patches.file_lines(files, "path", "contents")).collect()}
+    out = {r.patch_id: r for r in patches.patch_applies(patches.hunks(pt), files).collect()}
     assert out[1].applies and out[1].offset == 1 and out[1].n_hunks == 2
     assert not out[2].applies
     assert not out[3].applies            # a created file must not exist yet
@@ -27,9 +27,9 @@ def test_hunk_parse_and_apply(spark):
 
 
 def applies(spark, patch, **files):
-    h = patches.hunk_lines(spark.createDataFrame([(1, patch)], "patch_id int, patch string"))
+    h = patches.hunks(spark.createDataFrame([(1, patch)], "patch_id int, patch string"))
     f = spark.createDataFrame([(k, v) for k, v in files.items()], "path string, contents string")
-    return patches.patch_applies(h, patches.file_lines(f, "path", "contents")).first()
+    return patches.patch_applies(h, f).first()
 
 
 def test_patch_over_several_files(spark):
@@ -58,10 +58,22 @@ def test_lines_that_look_like_headers(spark):
 def test_patch_nearest_offset(spark):
     base = "x\ny\nq\nx\ny\n"
     p = "--- a/f\n+++ b/f\n@@ -3,2 +3,2 @@\n x\n-y\n"
-    h = patches.hunk_lines(spark.createDataFrame([(1, p)], "patch_id int, patch string"))
-    lines = patches.file_lines(spark.createDataFrame([("f", base)], "path string, contents string"), "path", "contents")
-    r = patches.patch_applies(h, lines).first()
+    r = applies(spark, p, f=base)
     assert r.applies and r.offset == 1   # matches at line 1 (offset -2) and line 4 (offset +1)
+    tie = "--- a/f\n+++ b/f\n@@ -3,1 +3,1 @@\n-\n+z\n"
+    assert applies(spark, tie, f="a\n\nb\n\nc").offset == -1       # as near above as below: the earlier line
+    assert applies(spark, tie, f="\n" * 5000).offset == 0
+
+
+def test_every_patch_has_a_verdict(spark):
+    """Missing, empty and hunk-less patches do not apply."""
+    rows = [(1, None), (2, ""), (3, "no diff"), (4, "--- a/f\n+++ b/f\n"), (5, "--- a/f\n+++ b/f\n@@ -1,1 +1,1 @@"),
+            (6, "@@ -1,1 +1,1 @@\n-a\n+b\n"), (7, "--- a/f\n+++ b/f\n@@ -99999999999999999999,1 +1,1 @@\n-a\n+b\n"), (None, "--- a/f\n+++ b/f\n@@ -1 +1 @@\n-a\n+b\n")]
+    f = spark.createDataFrame([("f", "a\n"), ("g", None)], "path string, contents string")
+    got = {r.patch_id: (r.applies, r.offset, r.n_hunks) for r in patches.patch_applies(
+        patches.hunks(spark.createDataFrame(rows, "patch_id int, patch string")), f).collect()}
+    assert got.pop(7)[0] and got.pop(None) == (True, 0, 1)
+    assert got == {i: (False, None, 0) for i in range(1, 6)} | {6: (False, None, 1)}
 
 
 def brute_best(vecs):
