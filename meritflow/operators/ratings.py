@@ -8,7 +8,9 @@ fold receives only (group, round, player, score, order) rows.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
@@ -23,16 +25,23 @@ _N = NormalDist()
 
 
 # ----------------------------------------------------------------------------- Elo
-def match_schedule(n: int, rounds: int, seed: str) -> list[tuple[int, int, int]]:
+def match_schedule(n: int, rounds: int, seed: str, at_once: int = 2_000_000) -> Iterator[tuple[int, int, int]]:
     """All pairs i<j of n submissions, ``rounds`` times; inside a round the pairs are
-    ordered by md5('<seed>:<round>:<i>:<j>') -- a seeded, portable shuffle (JOIN5, TOP6)."""
-    import hashlib
-    out = []
+    ordered by md5('<seed>:<round>:<i>:<j>') -- a seeded, portable shuffle (JOIN5, TOP6).
+
+    A large tournament is played by ranges of the hash, so about ``at_once`` pairs are held.
+    """
+    ranges = 1 + n * (n - 1) // (2 * at_once)
     for r in range(rounds):
-        keyed = sorted((hashlib.md5(f"{seed}:{r}:{i}:{j}".encode()).hexdigest(), i, j)
-                       for i in range(n) for j in range(i + 1, n))
-        out.extend((r, i, j) for _, i, j in keyed)
-    return out
+        for part in range(ranges):
+            keyed = []
+            for i in range(n):
+                for j in range(i + 1, n):
+                    key = hashlib.md5(f"{seed}:{r}:{i}:{j}".encode()).digest()
+                    if ranges == 1 or int.from_bytes(key[:4]) * ranges >> 32 == part:
+                        keyed.append((key, i, j))
+            keyed.sort()
+            yield from ((r, i, j) for _, i, j in keyed)
 
 
 def elo_fold(scores: list[float], cfg: RatingConfig = RatingConfig(), seed: str = "0") -> list[float]:
@@ -87,26 +96,6 @@ def elo_ratings(subs: DataFrame, problem: str, order: list[str], player: str, sc
     return spread_groups(d, problem).groupBy(problem).applyInPandas(fold, schema)
 
 
-def tournament(subs: DataFrame, problem: str, order: list[str], player: str, rounds: int = 2, seed: str = "elo",
-               max_players: int = 512) -> tuple[DataFrame, DataFrame]:
-    """The players (problem, idx, player) and the matches (problem, rr, i, j, at) of every
-    problem: all pairs i < j, ``rounds`` times, in the seeded order of ``at`` (JOIN5, TOP6).
-
-    A tournament meets every pair, so a problem has at most ``max_players`` submissions;
-    more raise an error instead of growing with the square.
-    """
-    first = Window.partitionBy(problem).orderBy(*order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(problem))
-    fits = F.when(n > max_players, F.raise_error(F.lit(f"more than {max_players} submissions to one problem")))
-    players = subs.select(F.col(problem).cast("bigint").alias(problem), F.coalesce(
-        fits.cast("bigint"), F.row_number().over(first) - 1).cast("bigint").alias("idx"), F.col(player).cast("bigint").alias(player))
-    a, b = players.select(problem, F.col("idx").alias("i")), players.select(problem, F.col("idx").alias("j"))
-    pairs = a.join(b, problem).filter(F.col("i") < F.col("j"))
-    m = pairs.withColumn("rr", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    label = F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in (problem, "rr", "i", "j")])
-    return players, m.withColumn("at", F.md5(label))
-
-
 def elo_from_judgements(players: DataFrame, judgements: DataFrame, problem: str, player: str,
                         cfg: RatingConfig = RatingConfig()) -> DataFrame:
     """Per problem: Elo rating and rank of each submission (WIN5, WIN6) from judged matches.

@@ -103,6 +103,26 @@ def _token_pattern() -> str:
     return TOKEN_PATTERN
 
 
+# plays steps (round, step, i, j, sa, sb) of submissions subs (round, idx) in order
+ELO_WALK = """walk(round, step, rt) AS (
+  SELECT round, 0, list(1200.0::DOUBLE ORDER BY idx) FROM subs GROUP BY round
+  UNION ALL
+  SELECT round, step, list_concat(rt[1:i], [na], rt[i + 2:j], [nb], rt[j + 2:len(rt)]) FROM (
+    SELECT *, CASE WHEN sa > sb THEN ra + cw WHEN sa < sb THEN ra - cl ELSE ra1 - c2 END AS na,
+              CASE WHEN sa > sb THEN rb - cw WHEN sa < sb THEN rb + cl ELSE rb1 + c2 END AS nb FROM (
+      SELECT *, 32.0 * (1.0 - 1.0 / (1.0 + pow(10.0, (ra1 - rb1) / 400.0))) AS c2 FROM (
+        SELECT *, ra + c1 AS ra1, rb - c1 AS rb1 FROM (
+          SELECT w.round, w.step + 1 AS step, w.rt, o.i, o.j, o.sa, o.sb,
+                 w.rt[o.i + 1] AS ra, w.rt[o.j + 1] AS rb,
+                 32.0 * (1.0 - 1.0 / (1.0 + pow(10.0, (w.rt[o.j + 1] - w.rt[o.i + 1]) / 400.0))) AS cw,
+                 32.0 * (1.0 - 1.0 / (1.0 + pow(10.0, (w.rt[o.i + 1] - w.rt[o.j + 1]) / 400.0))) AS cl,
+                 32.0 * (0.5 - 1.0 / (1.0 + pow(10.0, (w.rt[o.j + 1] - w.rt[o.i + 1]) / 400.0))) AS c1
+          FROM walk w JOIN steps o ON o.round = w.round AND o.step = w.step + 1))))),
+final AS (SELECT round, rt FROM walk QUALIFY step = max(step) OVER (PARTITION BY round)),
+flat AS (SELECT round, unnest(rt) AS rating, unnest(range(len(rt))) AS idx FROM final)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     base = [MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS]
@@ -217,26 +237,25 @@ steps AS (
            md5('elo:' || CAST(round AS VARCHAR) || ':' || CAST(rr AS VARCHAR) || ':' || CAST(i AS VARCHAR)
                || ':' || CAST(j AS VARCHAR))) AS step
   FROM pairs),
-walk(round, step, rt) AS (
-  SELECT round, 0, list(1200.0::DOUBLE ORDER BY idx) FROM subs GROUP BY round
-  UNION ALL
-  SELECT round, step, list_concat(rt[1:i], [na], rt[i + 2:j], [nb], rt[j + 2:len(rt)]) FROM (
-    SELECT *, CASE WHEN sa > sb THEN ra + cw WHEN sa < sb THEN ra - cl ELSE ra1 - c2 END AS na,
-              CASE WHEN sa > sb THEN rb - cw WHEN sa < sb THEN rb + cl ELSE rb1 + c2 END AS nb FROM (
-      SELECT *, 32.0 * (1.0 - 1.0 / (1.0 + pow(10.0, (ra1 - rb1) / 400.0))) AS c2 FROM (
-        SELECT *, ra + c1 AS ra1, rb - c1 AS rb1 FROM (
-          SELECT w.round, w.step + 1 AS step, w.rt, o.i, o.j, o.sa, o.sb,
-                 w.rt[o.i + 1] AS ra, w.rt[o.j + 1] AS rb,
-                 32.0 * (1.0 - 1.0 / (1.0 + pow(10.0, (w.rt[o.j + 1] - w.rt[o.i + 1]) / 400.0))) AS cw,
-                 32.0 * (1.0 - 1.0 / (1.0 + pow(10.0, (w.rt[o.i + 1] - w.rt[o.j + 1]) / 400.0))) AS cl,
-                 32.0 * (0.5 - 1.0 / (1.0 + pow(10.0, (w.rt[o.j + 1] - w.rt[o.i + 1]) / 400.0))) AS c1
-          FROM walk w JOIN steps o ON o.round = w.round AND o.step = w.step + 1))))),
-final AS (SELECT round, rt FROM walk QUALIFY step = max(step) OVER (PARTITION BY round)),
-flat AS (SELECT round, unnest(rt) AS rating, unnest(range(len(rt))) AS idx FROM final)
-""") + """
+""" + ELO_WALK) + """
 SELECT f.round, s.uid, CAST(f.idx AS BIGINT) AS idx, round(f.rating, 6) AS rating,
        row_number() OVER (PARTITION BY f.round ORDER BY f.rating DESC, f.idx) AS rank
 FROM flat f JOIN subs s ON s.round = f.round AND s.idx = f.idx"""
+    q["elo_judged"] = elo_body.replace("WITH ", "WITH RECURSIVE ", 1).replace("x AS (SELECT 1)\n", """subs AS (
+  SELECT round, uid, row_number() OVER (PARTITION BY round ORDER BY ts, event_id) - 1 AS idx FROM valid),
+sizes AS (SELECT round, count(*) AS n FROM subs GROUP BY round),
+judged AS (
+  SELECT r.round, event_id, least(k % n, (k * 7 + event_id) % n) AS i, greatest(k % n, (k * 7 + event_id) % n) AS j,
+         k % 3 = 0 AS a, k % 5 = 0 AS b, k % 7 = 0 AS draw
+  FROM responses r JOIN sizes USING (round) WHERE k % n <> (k * 7 + event_id) % n),
+steps AS (
+  SELECT round, i, j, a::INT AS sa, b::INT AS sb, row_number() OVER (PARTITION BY round ORDER BY event_id) AS step
+  FROM judged WHERE a::INT + b::INT + draw::INT = 1),
+rejects AS (SELECT round, count(*) AS n_rejected FROM judged WHERE a::INT + b::INT + draw::INT <> 1 GROUP BY round),
+""" + ELO_WALK) + """
+SELECT f.round, s.uid, CAST(f.idx AS BIGINT) AS idx, round(f.rating, 6) AS rating,
+       row_number() OVER (PARTITION BY f.round ORDER BY f.rating DESC, f.idx) AS rank, coalesce(n_rejected, 0) AS n_rejected
+FROM flat f JOIN subs s ON s.round = f.round AND s.idx = f.idx LEFT JOIN rejects ON rejects.round = f.round"""
     from ..operators.cost import model_names
     n_models = len(model_names())
     q["run_labels"] = f"""

@@ -6,7 +6,7 @@ agree despite different summation orders.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PopulationConfig, ScoringConfig, WeightConfig
@@ -278,24 +278,29 @@ def best_file_pair(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- ratings
-def judgements_of(matches: DataFrame, graded: DataFrame) -> DataFrame:
-    """Judgements of the matches (round, i, j): the higher k wins."""
-    a = graded.select("round", F.col("idx").alias("i"), F.col("k").alias("ka"))
-    b = graded.select("round", F.col("idx").alias("j"), F.col("k").alias("kb"))
-    j = matches.join(a, ["round", "i"]).join(b, ["round", "j"])
-    return j.select("round", "rr", "i", "j", "at", (F.col("ka") > F.col("kb")).alias("a_wins"),
-                    (F.col("ka") < F.col("kb")).alias("b_wins"), (F.col("ka") == F.col("kb")).alias("draw"))
-
-
 def elo_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Elo tournament of every hour's submissions from a table of judgements."""
+    """Elo tournament of every hour's submissions, the higher k winning a match (JOIN5, WIN5, WIN6)."""
     s = valid_rewards(spark, d).select("round", "ts", "event_id", "uid", "k")
-    players, matches = ratings.tournament(s, "round", ["ts", "event_id"], "uid")
-    graded = players.join(s.select("round", "uid", "k"), ["round", "uid"])
-    e = ratings.elo_from_judgements(players, judgements_of(matches, graded), "round", "uid")
+    e = ratings.elo_ratings(s, "round", ["ts", "event_id"], "uid", "k")
     return e.select("round", "uid", "idx", F.round("rating", 6).alias("rating"), "rank")
 
 
+def elo_judged(spark: SparkSession, d: str) -> DataFrame:
+    """Elo ratings from a table of judgements as they come in (WIN5, FLT12): every event of an
+    hour judges two of its submissions; judgements without exactly one outcome are counted."""
+    s = written(valid_rewards(spark, d).select("round", "ts", "event_id", "uid"), "players")
+    order = Window.partitionBy("round").orderBy("ts", "event_id")
+    players = s.select("round", "uid", (F.row_number().over(order) - 1).cast("bigint").alias("idx"))
+    sizes = s.groupBy("round").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("k").cast("bigint")
+    a, b = F.pmod(k, F.col("n")), F.pmod(k * 7 + F.col("event_id"), F.col("n"))
+    j = views.responses(spark, d).select("round", "event_id", "k").join(sizes, "round").where(a != b)
+    j = j.select("round", F.lit(0).alias("rr"), F.format_string("%020d", "event_id").alias("at"), F.least(a, b).alias("i"), F.greatest(a, b).alias("j"),
+                 (k % 3 == 0).alias("a_wins"), (k % 5 == 0).alias("b_wins"), (k % 7 == 0).alias("draw"))
+    e = ratings.elo_from_judgements(players, j, "round", "uid")
+    return e.select("round", "uid", "idx", F.round("rating", 6).alias("rating"), "rank", "n_rejected")
+
+
 def trueskill_rank(spark: SparkSession, d: str) -> DataFrame:
     s = valid_rewards(spark, d).select("netuid", "round", "ts", "event_id", "uid", "patch", *views.rubric_columns("k"))
     s = s.withColumn("grade", grading.rubric_score("addresses", "logical", "brevity", "bugs", "checklist", "patch"))
@@ -430,6 +435,7 @@ QUERIES.update({
     "file_pair_top1": file_pair_top1,
     "best_file_pair": best_file_pair,
     "elo_rank": elo_rank,
+    "elo_judged": elo_judged,
     "trueskill_rank": trueskill_rank,
     "deadline_join": deadline_join,
     "ttl_hold": ttl_hold,
