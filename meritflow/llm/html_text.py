@@ -1,14 +1,20 @@
 """Main text of web pages by union-free wrapper inference.
 
-Pages of one host come together (a large host in several groups).  From the first pages of
-a group a wrapper is inferred: the pages' token trees are aligned one after another; texts
-that differ become slots, parts that only some pages have become optional groups, and parts
-that follow themselves become repeated groups.  The wrapper has no alternatives, so it is a
-union-free regular expression.  Its constant texts, also those of optional parts and among
-repeated ones, are the host's template; the part with most of the varying text is where the
-main text lies.  Every page of the group is then read through the wrapper: blocks of the main
-part, without menus, notices and the like, and without template texts.  A semantic article
-only tells where a page's main part is.
+The pages of a host are aligned into one wrapper, an expression over their tags and texts
+without alternatives.  Token streams are aligned on the path of signatures (tag and names)
+that leads to an element: what two streams have on one path becomes one part, a part that
+some pages lack becomes an optional group, one that follows itself on a page a repeated group,
+and texts that differ become a slot.  An expression holds each path once, so an alignment
+step is linear in the page, and wrappers merge like counts, in any order: tasks align the
+pages they have, and an aggregate by host and path merges the rest.
+
+Every page is read through its host's wrapper.  A container whose whole content is constant
+where it stands (on three pages and three in ten of those with its path) is a template
+block: menus, notices, offers and the like are left out wherever they stand, also inside a
+semantic article and among optional parts.  Text in the flow of the main part is never left
+out for being constant: a sub-heading or sentence may return on many pages.  A semantic
+article tells where a page's main part is; elsewhere it is the deepest part that holds most
+of the varying text of the host's pages with the same layout.
 """
 
 from __future__ import annotations
@@ -24,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import small_batches, written
+from meritflow.llm.common import small, small_batches, tidy, written
 
-SAMPLE_PAGES = 8
-GROUP_PAGES = 200
-MAX_LARGE_HOSTS = 10_000
 MAX_DEPTH = 400
-TEMPLATE_PAGES = 3       # a template text stands on so many pages of its host at least,
+TEMPLATE_PAGES = 3       # a template block stands on so many pages of its host at least,
 TEMPLATE_SHARE = 0.3     # and on this share of those that have its path
+MAIN_SHARE = 0.6         # the main part holds so much of the varying text
+LAYOUT_SHARE = 0.01      # a layout of fewer of a host's pages is read by the host's main part
 
 _TOKEN = re.compile(
     r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>"
@@ -59,28 +64,24 @@ OUTSIDE_NAMES = frozenset(
     "reply replies respond discussion reactions related recommended recommendations share sharing social pagination pager login "
     "search copyright legal disclaimer".split())
 HEADER_NAMES = frozenset("header head hero".split())
+CONTAINERS = frozenset("address aside body center details dir div dl dialog fieldset figure footer form header hgroup html main "
+                       "article menu nav ol section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
 class Node:
-    """An element of a page, or of a wrapper: there with ``how`` often it occurs ('', '?', '+')."""
+    """An element of a page."""
     sig: str
     outside: bool = False
     main: bool = False
     items: list[Node | Text] = field(default_factory=list)
-    how: str = ""
-    pages: int = 1
 
 
 @dataclass
 class Text:
-    """A text; in a wrapper ``text`` is None for a slot.  ``size`` and ``linked`` count characters."""
-    text: str | None
+    text: str
     size: int
-    linked: int = 0
-    how: str = ""
-    pages: int = 1
-    sig: str = "#"
 
 
 def _names(value: str) -> set[str]:
@@ -173,178 +174,214 @@ def _tag(node: Node) -> str:
     return node.sig.split(".", 1)[0]
 
 
-def wrap(node: Node, linked: bool = False) -> Node:
-    """A page's tree as a wrapper: runs of like children become repeated groups."""
-    out = Node(node.sig, node.outside, node.main)
-    link = linked or _tag(node) == "a"
-    items = [x if isinstance(x, Text) else wrap(x, link) for x in node.items if isinstance(x, Node) or x.size]
-    for x in items:
-        if isinstance(x, Text):
-            x = Text(x.text.strip(), x.size, x.size if link else 0)
-        last = out.items[-1] if out.items else None
-        if last is not None and last.sig == x.sig and isinstance(x, Node):
-            out.items[-1] = _join(last, x, same_page=True)
-        else:
-            out.items.append(x)
+# ------------------------------------------------------------------ alignment
+def _hash(*parts: int | str) -> int:
+    raw = "\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+ROOT = _hash("")
+
+
+@dataclass
+class Part:
+    """A container with text on one page: its path and its content."""
+    node: Node
+    path: int
+    content: int
+    size: int            # characters outside links
+    depth: int
+    block: bool          # may be a template block
+
+
+def parts(page: Node) -> list[Part]:
+    """The containers of a page that have text, children before parents, the page itself last.
+
+    Contents are digests of the texts and of the inner containers' digests, so the work is
+    linear in the page.  Elements outside the main text by kind or name are passed over.
+    """
+    out: list[Part] = []
+
+    def walk(node: Node, path: int, depth: int, linked: bool) -> tuple[list[int | str], int, bool]:
+        said: list[int | str] = []
+        size, only_heading = 0, True
+        for x in node.items:
+            if isinstance(x, Text):
+                if x.size:
+                    said.append(x.text.strip())
+                    size += 0 if linked else x.size
+                    only_heading &= _tag(node) in HEADINGS
+            elif not x.outside or x.main:
+                more, n, heading = walk(x, _hash(path, x.sig), depth + 1, linked or _tag(x) == "a")
+                if more:
+                    said += more
+                    size += n
+                    only_heading &= heading or _tag(x) in HEADINGS
+        tag = _tag(node)
+        if tag and (not said or tag not in CONTAINERS):
+            return said, size, only_heading
+        content = _hash(*said)
+        # a page's frame is no block, and a heading in a box of its own is a heading
+        block = not (node.main or tag in ("", "html", "body") or (only_heading and tag in ("div", "header", "hgroup")))
+        out.append(Part(node, path, content, size, depth, block))
+        return [content], size, only_heading
+
+    walk(page, ROOT, 0, False)
     return out
 
 
-def _join(a: Node | Text, b: Node | Text, same_page: bool = False) -> Node | Text:
-    """One expression for two of the same kind."""
-    how = "+" if same_page or "+" in (a.how, b.how) else ("?" if "?" in (a.how, b.how) else "")
-    pages = a.pages if same_page else a.pages + b.pages
-    if isinstance(a, Text):
-        return Text(a.text if a.text == b.text else None, a.size + b.size, a.linked + b.linked, how, pages)
-    return Node(a.sig, a.outside, a.main or b.main, align(a.items, b.items, same_page), how, pages)
-
-
-def align(a: list[Node | Text], b: list[Node | Text], same_page: bool = False) -> list[Node | Text]:
-    """Longest common subsequence by kind; what only one side has becomes optional."""
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i].sig == b[j].sig else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i].sig == b[j].sig:
-            out.append(_join(a[i], b[j], same_page))
-            i, j = i + 1, j + 1
-        else:
-            take_a = j == m or (i < n and best[i + 1][j] >= best[i][j + 1])
-            x = a[i] if take_a else b[j]
-            x.how = x.how or "?"
-            out.append(x)
-            i, j = (i + 1, j) if take_a else (i, j + 1)
-    # neighbours that became alike fold into one repeated group
-    folded: list[Node | Text] = []
-    for x in out:
-        if folded and isinstance(x, Node) and folded[-1].sig == x.sig:
-            folded[-1] = _join(folded[-1], x, same_page=True)
-        else:
-            folded.append(x)
-    return folded
-
-
-def expression(node: Node | Text) -> str:
-    """The wrapper as a regular expression over tags, texts and #PCDATA slots."""
-    if isinstance(node, Text):
-        body = "#PCDATA" if node.text is None else re.escape(node.text)
-    else:
-        inner = "".join(map(expression, node.items))
-        body = f"<{node.sig}>{inner}</{_tag(node)}>" if node.sig else inner
-    return f"(?:{body}){node.how}" if node.how else body
+@dataclass
+class Slot:
+    """One path of a wrapper: what the pages have there."""
+    sig: str = ""
+    pages: int = 0
+    many: bool = False
+    text: str | None = ""                 # None: a slot; "": no text of its own
+    inner: dict[str, Slot] = field(default_factory=dict)
+
+
+def align(wrapper: Slot, page: Node) -> None:
+    """Align a page with the wrapper of the pages before it, element by element."""
+    wrapper.pages += 1
+    todo = [(wrapper, [page])]
+    while todo:
+        slot, nodes = todo.pop()
+        texts = [x.text.strip() for n in nodes for x in n.items if isinstance(x, Text) and x.size]
+        own = " ".join(texts)
+        slot.text = own if slot.pages == 1 else (slot.text if slot.text == own else None)
+        below: dict[str, list[Node]] = {}
+        for n in nodes:
+            here: Counter[str] = Counter()
+            for x in n.items:
+                if isinstance(x, Node):
+                    below.setdefault(x.sig, []).append(x)
+                    here[x.sig] += 1
+            for sig, n_ in here.items():
+                inner = slot.inner.setdefault(sig, Slot(sig))
+                inner.many |= n_ > 1
+        for sig, found in below.items():
+            slot.inner[sig].pages += 1
+            todo.append((slot.inner[sig], found))
+
+
+def expression(slot: Slot, of: int | None = None) -> str:
+    """The wrapper as a regular expression over tags, texts and #PCDATA slots, without alternatives."""
+    own = "#PCDATA" if slot.text is None else re.escape(slot.text)
+    inner = own + "".join(expression(x, slot.pages) for x in slot.inner.values())
+    body = f"<{slot.sig}>{inner}</{slot.sig.split('.', 1)[0]}>" if slot.sig else inner
+    optional = of is not None and slot.pages < of
+    how = ("*" if slot.many else "?") if optional else ("+" if slot.many else "")
+    return f"(?:{body}){how}" if how else body
 
 
 @dataclass
 class Wrapper:
-    """What reading a page needs: the paths of the main part and the template's texts."""
-    tree: Node | None
-    main: set[tuple[str, ...]]
+    """What reading a page needs: marks of template blocks, and the main path by layout (0: all)."""
     template: set[int]
-    pages: int
+    main: dict[int, int]
+
+
+def mark(part: Part) -> int:
+    return _hash(part.path, part.content)
+
+
+def layout(page: Node, template: set[int], found: list[Part]) -> int:
+    """What a page is made of: the paths of its upper containers, without template blocks."""
+    return _hash(*sorted({p.path for p in found if p.depth <= 4 and mark(p) not in template}))
 
 
-def lines(page: Node, main: Callable[[Node, tuple[str, ...]], bool]) -> list[tuple[tuple[str, ...], str, bool]]:
-    """Path of the block, text, and whether in the main part, of each run of text between block bounds.
+def weights(found: list[Part], template: set[int]) -> list[tuple[int, int, int]]:
+    """(path, depth, varying characters) of a page's containers: template blocks do not count."""
+    at = {id(p.node): p for p in found}
+    out = []
 
-    ``main`` tells where a main part begins.  Elements outside the main text by kind or name
-    are left out.
+    def walk(node: Node) -> int:
+        p = at.get(id(node))
+        gone = p is not None and mark(p) in template
+        lost = p.size if gone else sum(walk(x) for x in node.items if isinstance(x, Node) and (not x.outside or x.main))
+        if p is not None and not gone:
+            out.append((p.path, p.depth, p.size - lost))
+        return lost
+
+    walk(found[-1].node)
+    return out
+
+
+def lines(page: Node, main: Callable[[Node], bool], gone: Callable[[Node], bool]) -> list[tuple[str, bool]]:
+    """The text of the main parts between block bounds, and whether it lies in a template block.
+
+    ``main`` tells where a main part begins, ``gone`` which elements are template blocks.
+    Elements outside the main text by kind or name are left out.
     """
-    out: list[tuple[tuple[str, ...], str, bool]] = []
+    out: list[tuple[str, bool]] = []
     now: list[str] = []
 
-    def flush(block: tuple[str, ...], inside: bool) -> None:
+    def flush(inside: bool, lost: bool) -> None:
         s = " ".join("".join(now).split())
         now.clear()
-        if s:
-            out.append((block, s, inside))
+        if s and inside:
+            out.append((s, lost))
 
-    def walk(node: Node, path: tuple[str, ...], block: tuple[str, ...], inside: bool) -> None:
-        here, tag = (*path, node.sig), _tag(node)
+    def walk(node: Node, inside: bool, lost: bool) -> None:
+        tag = _tag(node)
         if node.outside and not (node.main and not inside):
             if tag in BLOCKS:
-                flush(block, inside)
+                flush(inside, lost)
             return
-        begins = not inside and main(node, here)
-        own = tag in BLOCKS
-        if own or begins:
-            flush(block, inside)
-        if not own and tag in SPACED:
+        begins = not inside and main(node)
+        own = tag in BLOCKS or begins
+        if own:
+            flush(inside, lost)
+        elif tag in SPACED:
             now.append(" ")
+        here, less = inside or begins, lost or (own and gone(node))
         for x in node.items:
             if isinstance(x, Node):
-                walk(x, here, here if own else block, inside or begins)
+                walk(x, here, less)
             else:
                 now.append(x.text)
-        if own or begins:
-            flush(here if own else block, inside or begins)
-        if not own and tag in SPACED:
+        if own:
+            flush(here, less)
+        elif tag in SPACED:
             now.append(" ")
 
-    walk(page, (), ("",), False)
-    flush(("",), False)
+    walk(page, False, False)
+    flush(False, False)
     return out
 
 
-def _semantic(node: Node, path: tuple[str, ...]) -> bool:
-    return node.main
-
-
-def mark(path: tuple[str, ...], text: str = "") -> int:
-    """A 64-bit name of a text at its path, or of the path alone."""
-    raw = "\x1f".join((*path, "", text)).encode("utf-8", "surrogatepass")
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-
-
-def infer(pages: list[Node], template: set[int] | None = None) -> Wrapper:
-    """The wrapper of a host from some of its pages, and its template texts if known from all."""
-    tree: Node | None = None
-    for p in pages:
-        w = wrap(p)
-        tree = w if tree is None else _join(tree, w)
-    out = Wrapper(tree, set(), set(), len(pages))
-    if tree is None:
-        return out
-    # a text is constant where it stands, whether all pages have that part or not
-    if template is None:
-        stands = Counter(x for p in pages for x in {mark(path, text) for path, text, _ in lines(p, _semantic)})
-        template = {x for x, n in stands.items() if n >= TEMPLATE_PAGES and n >= 0.6 * len(pages)}
-    out.template = template
-    weigh: dict[tuple[str, ...], float] = {}
-
-    def walk(node: Node, path: tuple[str, ...], outside: bool) -> float:
-        here, outside, total = (*path, node.sig), outside or node.outside, 0.0
-        # a template text is all that its block holds
-        alone = len(node.items) == 1 and _tag(node) in BLOCKS
-        for x in node.items:
-            if isinstance(x, Node):
-                total += walk(x, here, outside)
-            elif not outside:
-                if not (alone and x.text is not None and mark(here, x.text) in out.template) and x.linked < 0.5 * x.size:
-                    total += x.size
-        weigh[here] = weigh.get(here, 0.0) + total
-        return total
-
-    total = walk(tree, (), False)
-    # the deepest part that holds most of the varying text
-    big = [p for p, w in weigh.items() if total and w >= 0.6 * total]
-    deepest = max(big, key=len, default=("",))
-    blocks = [p for p in big if deepest[:len(p)] == p and (not p[-1] or p[-1].split(".")[0] in BLOCKS - {"p", "li", "tr"})]
-    out.main.add(max(blocks, key=len, default=("",)))
-    return out
+def infer(pages: list[Node]) -> Wrapper:
+    """The wrapper of a host from its different pages: ``wrappers`` on one machine."""
+    found = [parts(p) for p in pages]
+    stand = Counter(x for f in found for x in {(p.path, p.content) for p in f if p.block})
+    paths = Counter(x for f in found for x in {p.path for p in f})
+    template = {_hash(*x) for x, n in stand.items() if n >= TEMPLATE_PAGES and n >= TEMPLATE_SHARE * paths[x[0]]}
+    total: Counter[tuple[int, int, int]] = Counter()
+    for page, f in zip(pages, found, strict=True):
+        if not _find_main(page):
+            for path, depth, n in weights(f, template):
+                total.update({(0, path, depth): n, (layout(page, template, f), path, depth): n})
+    main = {}
+    for key in {x[0] for x in total}:
+        own = {x[1:]: n for x, n in total.items() if x[0] == key}
+        big = [(depth, n, path) for (path, depth), n in own.items() if n >= MAIN_SHARE * max(own.values())]
+        main[key] = max(big)[2]
+    return Wrapper(template, main)
 
 
 def read_page(page: Node, wrapper: Wrapper) -> str:
     """The main text: blocks in page order, one to a line."""
-    has_main = _find_main(page)
-    found = lines(page, _semantic if has_main else lambda node, path: path in wrapper.main)
-    kept = [text for path, text, inside in found if inside and mark(path, text) not in wrapper.template]
-    whole = [text for _, text, inside in found if inside]
-    if sum(map(len, whole)) > 3 * sum(map(len, kept)):       # a copy of other pages, not a template
-        kept = whole
-    if not kept and not has_main:
-        kept = [text for _, text, _ in lines(page, lambda node, path: True)]
+    found = parts(page)
+    lost = {id(p.node) for p in found if mark(p) in wrapper.template}
+    if _find_main(page):
+        read = lines(page, lambda node: node.main, lambda node: id(node) in lost)
+    else:
+        here = wrapper.main.get(layout(page, wrapper.template, found), wrapper.main.get(0))
+        at = {id(p.node) for p in found if p.path == here}
+        read = lines(page, (lambda node: id(node) in at) if at else (lambda node: True), lambda node: id(node) in lost)
+    kept = [text for text, less in read if not less]
+    if sum(len(x) for x, _ in read) > 3 * sum(map(len, kept)):       # a copy of other pages, not a template
+        kept = [text for text, _ in read]
     return "\n".join(kept)
 
 
@@ -359,107 +396,103 @@ def _size(node: Node) -> int:
     return sum(x.size if isinstance(x, Text) else (0 if x.outside else _size(x)) for x in node.items)
 
 
-def _templates(pages: DataFrame, host: Column) -> DataFrame:
-    """host_key, template: marks of the texts that stand on enough of a host's pages, all counted.
-
-    Equal pages count once.  No path has more than 1 / TEMPLATE_SHARE of them, so a host's
-    list is short.
+# ------------------------------------------------------------------ all hosts
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host_key, copy, path, content) of every page's blocks, content 0 for the path alone, and
+    path 0 for a page without a semantic main part."""
+    for b in batches:
+        rows: list[tuple[int, int, int, int]] = []
+        for h, g, c in zip(*(b.column(i).to_pylist() for i in ("html", "host_key", "copy")), strict=True):
+            page = parse(h)
+            found = parts(page)
+            rows.extend((g, c, path, content) for path, content in {(p.path, p.content) for p in found if p.block})
+            rows.extend((g, c, path, 0) for path in {p.path for p in found if p.block})
+            if not _find_main(page):
+                rows.append((g, c, 0, 0))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)],
+                                             ["host_key", "copy", "path", "content"])
+    tidy()
+
+
+def _weight_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host_key, layout, path, depth, weight) of the pages without a semantic main part."""
+    for b in batches:
+        rows: list[tuple[int, int, int, int, int]] = []
+        for h, g, t in zip(*(b.column(i).to_pylist() for i in ("html", "host_key", "template")), strict=True):
+            page, template = parse(h), set(t or ())
+            if not _find_main(page):
+                found = parts(page)
+                own = layout(page, template, found)
+                rows.extend((g, key, path, depth, n) for path, depth, n in weights(found, template) for key in (0, own))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)],
+                                             ["host_key", "layout", "path", "depth", "weight"])
+    tidy()
+
+
+def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = []
+        for h, t, m in zip(*(b.column(i).to_pylist() for i in ("html", "template", "main")), strict=True):
+            texts.append(read_page(parse(h), Wrapper(set(t or ()), {x["layout"]: x["path"] for x in m or ()})))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()),
+                                          pa.array(map(len, texts), pa.int64()), b.column("host")],
+                                         ["page_id", "url", "text", "n_chars", "host"])
+    tidy()
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host_key, template, main) of every host, from all its pages; ``pages``: html, host_key.
+
+    Equal pages count once.  A path has few contents that stand on three in ten of its pages,
+    and a host few layouts that hold one in a hundred, so a host's row is short.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple[int, int, int, int]] = []
-            for h, g, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                here = {(path, text) for path, text, _ in lines(parse(h), _semantic)}
-                rows.extend((g, mark(path), mark(path, text), c) for path, text in here)
-                rows.extend((g, mark(path), 0, c) for path in {path for path, _ in here})
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)],
-                                                 ["host_key", "path", "mark", "copy"])
-
-    seen = (pages.where("html <> ''").select("html", F.xxhash64(host).alias("host_key"), F.xxhash64("html").alias("copy"))
-            .mapInArrow(run, "host_key long, path long, mark long, copy long"))
-    often = written(seen.groupBy("host_key", "path", "mark").agg(F.countDistinct("copy").alias("n"))
-                    .where(F.col("n") >= TEMPLATE_PAGES), "marks")
-    paths = often.where("mark = 0").select("host_key", "path", F.col("n").alias("of"))
-    return (often.where("mark <> 0").join(paths, ["host_key", "path"]).where(F.col("n") >= TEMPLATE_SHARE * F.col("of"))
-            .groupBy("host_key").agg(F.collect_set("mark").alias("template")))
-
-
-def extract(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, group_pages: int = GROUP_PAGES) -> DataFrame:
+    rows = pages.where("html <> ''").select("html", "host_key", F.xxhash64("html").alias("copy"))
+    seen = rows.mapInArrow(_part_rows, "host_key long, copy long, path long, content long")
+    often = written(seen.groupBy("host_key", "path", "content").agg(F.countDistinct("copy").alias("n"))
+                    .where((F.col("n") >= TEMPLATE_PAGES) | (F.col("path") == 0)), "parts")
+    paths = often.where("content = 0").select("host_key", "path", F.col("n").alias("of"))
+    block = often.where("content <> 0").join(paths, ["host_key", "path"]).where(F.col("n") >= TEMPLATE_SHARE * F.col("of"))
+    template = written(block.mapInArrow(_mark_rows, "host_key long, mark long").groupBy("host_key")
+                       .agg(F.collect_set("mark").alias("template")), "template")
+    open_ = often.where("path = 0").select("host_key").join(template, "host_key", "left")
+    plain = pages.where("html <> ''").join(small(written(open_, "open"), 20_000), "host_key").select("html", "host_key", "template")
+    held = plain.mapInArrow(_weight_rows, "host_key long, layout long, path long, depth long, weight long")
+    total = written(held.groupBy("host_key", "layout", "path", "depth").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")), "weights")
+    most = total.groupBy("host_key", "layout").agg(F.max("weight").alias("most"),
+                                                      F.max(F.when(F.col("depth") == 0, F.col("n"))).alias("pages"))
+    host = most.where("layout = 0").select("host_key", F.col("pages").alias("all_pages"))
+    big = (total.join(most, ["host_key", "layout"]).join(host, "host_key")
+           .where((F.col("weight") >= MAIN_SHARE * F.col("most")) & (F.col("pages") >= LAYOUT_SHARE * F.col("all_pages"))))
+    main = (big.groupBy("host_key", "layout").agg(F.max(F.struct("depth", "weight", "path"))["path"].alias("path"))
+            .groupBy("host_key").agg(F.collect_list(F.struct("layout", "path")).alias("main")))
+    return template.join(main, "host_key", "full")
+
+
+def _mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        marks = [_hash(p, c) for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("host_key"), pa.array(marks, pa.int64())], ["host_key", "mark"])
+
+
+def _host(url: Column) -> Column:
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, host: the main text of every page, one row per row.
 
-    Template texts are counted over all pages of a host.  Where pages without a semantic
-    article have their main part is learned from ``sample_pages`` pages for about every
-    ``group_pages`` pages of a host.  A null or empty page gives an empty text; pages without a host share one.
-    A host with one page has no template texts, and its page is read by its elements alone.
-    Other columns of ``pages`` are not read; an empty table gives no rows.
+    The wrapper of a host comes from all its pages; see ``wrappers``.  A null or empty page
+    gives an empty text; pages without a host share one.  A host with one or two pages has no
+    template blocks, and its pages are read by their elements alone.  Other columns of
+    ``pages`` are not read; an empty table gives no rows.  Pages are read where they lie:
+    wrappers are joined to them, as a broadcast where there are at most 20,000 hosts.
     """
     small_batches(pages.sparkSession)
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1), F.lit("")))
-    per = pages.groupBy(host.alias("host")).agg(F.count("*").alias("n"))
-    total = pages.count()
-    most = max(group_pages, -(-total // MAX_LARGE_HOSTS))
-    # at most MAX_LARGE_HOSTS hosts can have more pages than that, so this table is small
-    large = per.where(F.col("n") > most).select("host", F.ceil(F.col("n") / most).cast("long").alias("parts"))
-    draw = F.xxhash64("page_id", "url")
-    rows = (pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-            .join(F.broadcast(large), "host", "left")
-            .withColumn("draw", draw)
-            .withColumn("part", F.pmod(F.xxhash64(F.lit(1), "draw"), F.coalesce("parts", F.lit(1).cast("long"))))
-            .select("page_id", "url", "html", "host", "part", "draw", F.lit(None).cast("array<long>").alias("template")))
-    # a host's template comes before its pages, in each of its parts
-    known = (per.join(large, "host", "left").withColumn("host_key", F.xxhash64("host"))
-             .join(_templates(pages, host), "host_key")
-             .select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"),
-                     F.lit("").alias("html"), "host",
-                     F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1)).alias("part"),
-                     F.lit(0).cast("long").alias("draw"), "template"))
-    rows = rows.withColumn("page_id", F.col("page_id").cast("long")).unionByName(known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, wrapper, template = None, None, set()
-        held: list[tuple] = []
-        done: list[tuple] = []
-
-        def settle() -> None:
-            nonlocal wrapper
-            trees = [parse(h) for *_, h in held]
-            seen: dict[str, Node] = {}
-            for (*_, h), t in zip(held, trees, strict=True):
-                seen.setdefault(h, t)
-            wrapper = infer(list(seen.values()), template)
-            done.extend((i, u, g, read_page(t, wrapper)) for (i, u, g, _), t in zip(held, trees, strict=True))
-            held.clear()
-
-        def out() -> pa.RecordBatch:
-            i, u, g, x = zip(*done, strict=True) if done else ((), (), (), ())
-            done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(u, pa.string()), pa.array(x, pa.string()),
-                                               pa.array(map(len, x), pa.int64()), pa.array(g, pa.string())],
-                                              ["page_id", "url", "text", "n_chars", "host"])
-
-        for b in batches:
-            for i, u, h, g, k, t in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "part", "template")),
-                                        strict=True):
-                if (g, k) != at:
-                    if held:
-                        settle()
-                    at, wrapper, template = (g, k), None, set()
-                if t is not None:
-                    template = set(t)
-                    continue
-                if wrapper is None:
-                    held.append((i, u, g, h))
-                    if len(held) == sample_pages:
-                        settle()
-                else:
-                    done.append((i, u, g, read_page(parse(h), wrapper)))
-            if done:
-                yield out()
-        if held:
-            settle()
-            yield out()
-
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (rows.repartition(parts, "host", "part").sortWithinPartitions("host", "part", F.col("template").isNull(), "draw", "page_id")
-            .mapInArrow(run, "page_id long, url string, text string, n_chars long, host string"))
+    host = _host(F.col("url"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.xxhash64(host).alias("host_key"))
+    found = written(wrappers(rows.select("html", "host_key")), "wrappers")
+    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
+    return (rows.join(small(found, 20_000), "host_key", "left").select("page_id", "url", "html", "host", "template", "main")
+            .mapInArrow(_read_rows, f"page_id {kinds['page_id']}, url string, text string, n_chars long, host string"))
