@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,20 +23,6 @@ def exp_decay(horizon, x) -> Column:
     return F.when(v >= n, F.lit(0.0)).otherwise(F.exp(-v / (n - v)))
 
 
-def elo_expected(rating_a, rating_b) -> Column:
-    """Expected score of A against B."""
-    return 1.0 / (1.0 + F.pow(F.lit(10.0), (_c(rating_b) - _c(rating_a)) / 400.0))
-
-
-def logistic(x) -> Column:
-    return 1.0 / (1.0 + F.exp(-_c(x)))
-
-
-def ts_rating_scale(beta: float) -> float:
-    """Slope of the logistic that maps a conservative rating to (0, 1)."""
-    return math.log(4.0) / beta
-
-
 _EPOCH_NTZ = "1970-01-01 00:00:00"
 
 

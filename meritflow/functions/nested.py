@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import pad_level
@@ -114,3 +114,16 @@ def fill_template(template: str, **fields) -> Column:
         elif p:
             cols.append(F.lit(p))
     return F.concat(*cols) if cols else F.lit("")
+
+
+def payload_pages(rows: DataFrame, group: str, row: str, key: Column, most: int) -> DataFrame:
+    """(group, page, payload): the ``row`` structs of a group as JSON lists of about ``most`` characters (NST3).
+
+    A group has as many pages as its rows need, and a row goes to the page that its ``key``
+    hashes to, so any group splits without being sorted or gathered whole.  Rows of a page are
+    in the order of their fields; pages without rows are not there.  The rows are read twice.
+    """
+    pages = rows.groupBy(F.col(group).alias("_g")).agg((1 + F.floor(F.sum(F.length(F.to_json(row)) + 1) / most)).alias("_pages"))
+    at = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint")
+    paged = rows.join(pages, rows[group].eqNullSafe(pages["_g"])).withColumn("page", F.pmod(F.coalesce(at, F.lit(0)), F.col("_pages")))
+    return paged.groupBy(group, "page").agg(F.to_json(F.sort_array(F.collect_list(F.col(row)))).alias("payload"))

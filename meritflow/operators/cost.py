@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import model_alias
@@ -54,6 +54,25 @@ def flat_prices(spark: SparkSession) -> DataFrame:
     return prices(spark).filter(~F.col("nested")).select("model", "input", "output")
 
 
+# The setting that holds a provider's key, and the repositories tasks come from.
+CREDENTIALS = {"claude": "ANTHROPIC_API_KEY", "": "OPENAI_API_KEY"}
+REPOSITORIES = ("mwaskom/seaborn", "pytest-dev/pytest")
+
+
+def credential_name(model) -> Column:
+    """Name of the setting with the key for a model, by the beginning of its name (SRC8)."""
+    model = F.col(model) if isinstance(model, str) else model
+    out = None
+    for prefix, name in CREDENTIALS.items():
+        out = F.when(model.startswith(prefix), name) if out is None else out.when(model.startswith(prefix), name)
+    return out
+
+
+def repositories(spark: SparkSession) -> DataFrame:
+    """(idx, repo) of the supported repositories (SRC8): a fixed dimension."""
+    return spark.createDataFrame(list(enumerate(REPOSITORIES)), "idx bigint, repo string")
+
+
 def price_completions(completions: DataFrame, price_dim: DataFrame) -> DataFrame:
     """Cost per completion = (in * p_in + out * p_out) / 1e6 after model aliasing.
 

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeResult
 
+from ..functions.nested import mean_array
 from ..functions.text import strip_patch_comments
 from .scoring import latest_per_key
 
@@ -32,10 +35,8 @@ def rubric_score(addresses, logical, brevity, bugs, checklist, patch=None) -> Co
     static = (F.lit(W_ADDRESSES) * col(addresses) + F.lit(W_LOGICAL) * col(logical)
               + F.lit(W_BREVITY) * col(brevity) + F.lit(W_BUGS) * (F.lit(1.0) - col(bugs)))
     cl = col(checklist)
-    n = F.coalesce(F.size(cl), F.lit(0))
-    mean = F.aggregate(cl, F.lit(0.0), lambda a, x: a + x) / n
-    score = (F.when((cl.isNull()) | (n <= 0), static / F.lit(1.0 - W_CHECKLIST))
-              .otherwise(static + F.lit(W_CHECKLIST) * mean))
+    mean = mean_array(cl)                        # NULL without items
+    score = F.when(mean.isNull(), static / F.lit(1.0 - W_CHECKLIST)).otherwise(static + F.lit(W_CHECKLIST) * mean)
     if patch is not None:
         score = F.when(cleaned_patch(patch) == "", F.lit(EMPTY_PATCH_SCORE)).otherwise(score)
     return score
@@ -106,6 +107,65 @@ def float_grader(submissions: DataFrame, rubric: DataFrame, key: list[str]) -> D
     return j.select(*key, rubric_score("addresses", "logical", "brevity", "bugs", "checklist", "patch").alias("score"))
 
 
+class RubricFold:
+    """Grader as a table function: rubric rows of a submission in, its score out (UDF1).
+
+    Call it on a table partitioned by the submission's key, its first column, and ordered as
+    the criteria come: (key, criterion, value, ...).  The criteria are those of
+    ``rubric_score``; ``checklist`` rows are averaged, and a row ``empty`` marks an empty patch.
+    It is polymorphic: the key keeps the name and type that the argument has.
+    """
+
+    @staticmethod
+    def analyze(rows):
+        key = rows.dataType.fields[0]
+        return AnalyzeResult(StructType([key, StructField("score", DoubleType()), StructField("n_rows", LongType())]))
+
+    def __init__(self):
+        self.key, self.n, self.items, self.empty = None, 0, [], False
+        self.fixed = {"addresses": W_ADDRESSES, "logical": W_LOGICAL, "brevity": W_BREVITY, "bugs": -W_BUGS}
+        self.static = W_BUGS
+
+    def eval(self, row):
+        self.key, self.n = row[0], self.n + 1
+        if row["criterion"] == "checklist":
+            self.items.append(row["value"])
+        elif row["criterion"] == "empty":
+            self.empty = True
+        else:
+            self.static += self.fixed[row["criterion"]] * row["value"]
+
+    def terminate(self):
+        if self.empty:
+            score = EMPTY_PATCH_SCORE
+        elif self.items:
+            score = self.static + W_CHECKLIST * sum(self.items) / len(self.items)
+        else:
+            score = self.static / (1.0 - W_CHECKLIST)
+        if self.n:
+            yield self.key, score, self.n
+
+
+def rubric_rows(rubric: DataFrame, key: str, patch: str = "patch") -> DataFrame:
+    """(key, criterion, item, value): one row per criterion and checklist item of each submission."""
+    one = [F.struct(F.lit(c).alias("criterion"), F.lit(0).alias("item"), F.col(c).cast("double").alias("value"))
+           for c in ("addresses", "logical", "brevity", "bugs")]
+    items = F.transform(F.coalesce("checklist", F.array().cast("array<double>")), lambda x, i: F.struct(
+        F.lit("checklist").alias("criterion"), i.alias("item"), x.alias("value")))
+    empty = F.when(cleaned_patch(patch) == "", F.array(F.struct(F.lit("empty").alias("criterion"), F.lit(0).alias("item"),
+                                                               F.lit(0.0).alias("value"))))
+    none = F.array().cast("array<struct<criterion: string, item: int, value: double>>")
+    return rubric.select(key, F.inline(F.concat(F.array(*one), items, F.coalesce(empty, none))))
+
+
+@register_grader("rows")
+def row_grader(submissions: DataFrame, rubric: DataFrame, key: list[str]) -> DataFrame:
+    """Rubric scores folded by ``RubricFold``, a task taking whole submissions -> (key, score)."""
+    fold = F.udtf(RubricFold)
+    rows = rubric_rows(submissions.join(rubric, key), key[0])
+    return fold(rows.asTable().partitionBy(key[0]).orderBy("criterion", "item")).select(key[0], "score")
+
+
 @register_grader("elo")
 def elo_grader(submissions: DataFrame, rubric: DataFrame, key: list[str], problem: str = "round", player: str = "uid",
                order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:

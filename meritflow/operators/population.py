@@ -22,11 +22,6 @@ def eligible(df: DataFrame, cfg: PopulationConfig = PopulationConfig()) -> DataF
     return df.filter(F.coalesce(F.col("is_serving"), F.lit(False)) & ~(permit & big))
 
 
-def uid_by_hotkey(miners: DataFrame) -> DataFrame:
-    """hotkey -> uid; a hotkey listed twice maps to its smallest uid (JOIN1)."""
-    return miners.groupBy("hotkey").agg(F.min("uid").alias("uid"))
-
-
 # The reasons a request's caller is told, as the modelled gate words them.
 REASON_MISSING = "Missing dendrite or hotkey"
 REASON_UNKNOWN = "Unrecognized hotkey"
@@ -163,9 +158,9 @@ def total_stake(stake_map: Column, zero: Column | None = None) -> Column:
     return F.aggregate(F.map_values(stake_map), F.lit(0.0) if zero is None else zero, lambda acc, x: acc + x)
 
 
-def default_stake(stake_map: Column, coldkey: Column, amount: float = 0.0) -> Column:
+def default_stake(stake_map: Column, coldkey: Column, amount: Column | float = 0.0) -> Column:
     """The map itself, or one entry for the coldkey where there is none (AGG16)."""
-    return F.coalesce(stake_map, F.create_map(coldkey, F.lit(amount)))
+    return F.coalesce(stake_map, F.create_map(coldkey, amount if isinstance(amount, Column) else F.lit(amount)))
 
 
 def epoch_due(block: Column, last_update: Column, step: Column,
@@ -179,17 +174,22 @@ def epoch_due(block: Column, last_update: Column, step: Column,
     return c
 
 
-def pick_per_step(steps: DataFrame, options: DataFrame, step: str, option_idx: str, n_options: int,
-                  seed: str = "0") -> DataFrame:
+def pick_per_step(steps: DataFrame, options: DataFrame, step: str, option_idx: str, n_options: int | None = None,
+                  seed: str = "0", broadcast_rows: int = 100_000) -> DataFrame:
     """One option per step, chosen by a seeded hash of the step (TOP4).
 
-    ``options`` is a small dimension numbered 0..n_options-1 in ``option_idx``.  The hash
-    is the first 32 bits of md5('<seed>:<step>'), so the choice is reproducible under task
-    retry (unlike ``rand()``) and in other engines.
+    ``options`` is numbered 0..n_options-1 in ``option_idx``; without ``n_options`` they are
+    counted.  They are broadcast if there are at most ``broadcast_rows``, else joined by a
+    shuffle.  The hash is the first 32 bits of md5('<seed>:<step>'), so the choice is
+    reproducible under task retry (unlike ``rand()``) and in other engines.
     """
+    n = options.count() if n_options is None else n_options
+    if n < 1:
+        raise ValueError("no options to pick from")
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(step).cast("string"))), 1, 8), 16, 10)
-    pick = F.pmod(h.cast("bigint"), F.lit(n_options)).cast("int")
-    return steps.withColumn(option_idx, pick).join(F.broadcast(options), option_idx, "left")
+    pick = F.pmod(h.cast("bigint"), F.lit(n)).cast(options.schema[option_idx].dataType)
+    side = F.broadcast(options) if n <= broadcast_rows else options
+    return steps.withColumn(option_idx, pick).join(side, option_idx, "left")
 
 
 def zip_parallel(df: DataFrame, *arrays: str) -> DataFrame:

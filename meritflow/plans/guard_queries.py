@@ -139,6 +139,13 @@ def graded_submissions(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("event_id", F.round("score", 9).alias("score"))
 
 
+def graded_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Submissions through the registry's table function over rubric rows (UDF1)."""
+    r = views.responses(spark, d)
+    scores = grading.GRADERS["rows"](r.select("event_id", "patch"), r.select("event_id", *views.rubric_columns("k")), ["event_id"])
+    return scores.select("event_id", F.round("score", 9).alias("score"))
+
+
 def gate_custom_rules(spark: SparkSession, d: str) -> DataFrame:
     """The request gate with the permit required and a user's rule behind it (FLT3, UDF3)."""
     q = views.requests(spark, d)
@@ -225,7 +232,7 @@ FROM picked JOIN documents ON doc_id = path GROUP BY dir"""
 QUERIES = {
     "report_outcomes": report_outcomes, "weights_due": weights_due, "allowed_models": allowed_models,
     "judgement_rejects": judgement_rejects, "close_values": close_values, "zipped_responses": zipped_responses,
-    "latest_versions": latest_versions, "graded_submissions": graded_submissions, "gate_custom_rules": gate_custom_rules,
+    "latest_versions": latest_versions, "graded_submissions": graded_submissions, "graded_rows": graded_rows, "gate_custom_rules": gate_custom_rules,
     "file_prompts": file_prompts, "status_lists": status_lists, "grading_prompts": grading_prompts,
 }
 
@@ -235,6 +242,6 @@ def oracle_sql(pairs: str, rubric: str) -> dict[str, str]:
     return {
         "report_outcomes": REPORT_OUTCOMES, "weights_due": WEIGHTS_DUE, "allowed_models": _allowed_sql(),
         "judgement_rejects": JUDGEMENT_REJECTS, "close_values": CLOSE_VALUES, "zipped_responses": ZIPPED,
-        "latest_versions": LATEST_VERSIONS, "graded_submissions": rubric, "gate_custom_rules": GATE_CUSTOM,
+        "latest_versions": LATEST_VERSIONS, "graded_submissions": rubric, "graded_rows": rubric, "gate_custom_rules": GATE_CUSTOM,
         "file_prompts": pairs.rstrip() + FILE_PROMPTS, "status_lists": STATUS_LISTS, "grading_prompts": GRADING_PROMPTS,
     }

@@ -267,14 +267,22 @@ SELECT l_orderkey, l_linenumber,
        CAST(1000 * year(l_shipdate) + 10 * month(l_shipdate) + day(l_shipdate) AS INTEGER) AS release
 FROM lineitem"""
     q["league_per_round"] = _with(RESPONSES) + """
-SELECT r.round, n.n_name AS league FROM (SELECT DISTINCT round FROM responses) r
+SELECT r.round, n.n_name AS league,
+       (['mwaskom/seaborn', 'pytest-dev/pytest'])[('0x' || substring(md5('repo:' || CAST(r.round AS VARCHAR)), 1, 8))::BIGINT % 2 + 1] AS repo
+FROM (SELECT DISTINCT round FROM responses) r
 LEFT JOIN nation n ON n.n_nationkey =
   (('0x' || substring(md5('task:' || CAST(r.round AS VARCHAR)), 1, 8))::BIGINT % (SELECT count(*) FROM nation))"""
+    q["model_credentials"] = f"""
+WITH m AS (SELECT {_names_list()}[l_partkey % {n_models} + 1] AS model FROM lineitem)
+SELECT model, CASE WHEN starts_with(model, 'claude') THEN 'ANTHROPIC_API_KEY' ELSE 'OPENAI_API_KEY' END AS credential, count(*) AS n
+FROM m GROUP BY ALL"""
     q["stake_maps"] = """
-SELECT uid, count(*) AS n_coldkeys, CAST(sum(stake) AS BIGINT) / 100.0 AS total_stake FROM (
-  SELECT o_custkey AS uid, o_orderpriority AS coldkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS stake
-  FROM orders GROUP BY 1, 2)
-GROUP BY uid"""
+WITH m AS (
+  SELECT uid, count(*) AS n, CAST(sum(stake) AS BIGINT) AS total FROM (
+    SELECT o_custkey AS uid, o_orderpriority AS coldkey, sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS stake
+    FROM orders GROUP BY 1, 2) GROUP BY uid)
+SELECT c_custkey AS uid, coalesce(n, 1) AS n_coldkeys, coalesce(total, CAST(round(c_acctbal * 100) AS BIGINT)) / 100.0 AS total_stake
+FROM customer LEFT JOIN m ON m.uid = c_custkey"""
     q["hotkey_as_of"] = """
 WITH snaps AS (
   SELECT uid, snap_ts, arg_max(hotkey, snap_seq) AS hotkey FROM (
@@ -510,11 +518,12 @@ SELECT conv_id,
        || coalesce(string_agg('# File ' || CAST(rn - 2 AS VARCHAR) || ' used to solve the problem: ' || text, ''
                               ORDER BY turn) FILTER (WHERE rn > 1), '') || chr(10) AS prompt
 FROM c GROUP BY conv_id"""
-    q["scored_rows_json"] = _with(MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS) + """
-SELECT round, to_json(list({'problem_statement': 'task ' || CAST(round AS VARCHAR), 'solution_patch': patch,
-                            'score_micros': CAST(round(reward * 1e6) AS BIGINT), 'miner_hotkey': hotkey}
-                           ORDER BY hotkey)) AS payload
-FROM valid GROUP BY round"""
+    q["scored_rows_json"] = _with(MINERS, ELIGIBLE, RESPONSES, VALID_REWARDS, """one AS (
+  SELECT round, hotkey, {'problem_statement': 'task ' || CAST(round AS VARCHAR), 'solution_patch': patch,
+                         'score_micros': CAST(round(reward * 1e6) AS BIGINT), 'miner_hotkey': hotkey} AS r FROM valid)""", """pages AS (
+  SELECT round, 1 + sum(length(to_json(r)) + 1)::BIGINT // 2000 AS pages FROM one GROUP BY round)""") + """
+SELECT round, ('0x' || substring(md5(hotkey), 1, 8))::BIGINT % pages AS page, to_json(list(r ORDER BY r)) AS payload
+FROM one JOIN pages USING (round) GROUP BY ALL"""
     q["task_labels"] = """
 SELECT doc_id, 'org-' || lang AS author, source AS name,
        'org-' || lang || '/' || source || '-' || substring(text, 1, 10) || '-'

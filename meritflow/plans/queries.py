@@ -407,15 +407,15 @@ def prompt_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scored_rows_json(spark: SparkSession, d: str) -> DataFrame:
+    """A round's scored responses as JSON payloads of bounded size (NST3): pages of about 2,000
+    characters, a response going to the page that its hotkey hashes to."""
     rw = valid_rewards(spark, d)
     row = F.struct(F.concat(F.lit("task "), F.col("round").cast("string")).alias("problem_statement"),
                    F.col("patch").alias("solution_patch"),
                    F.round(F.col("reward") * 1e6).cast("bigint").alias("score_micros"),
                    F.col("hotkey").alias("miner_hotkey"))
-    g = rw.groupBy("round").agg(F.collect_list(row).alias("rows"))
-    srt = F.array_sort(F.col("rows"), lambda a, b: F.when(a["miner_hotkey"] < b["miner_hotkey"], -1)
-                       .when(a["miner_hotkey"] > b["miner_hotkey"], 1).otherwise(0))
-    return g.select("round", F.to_json(srt).alias("payload"))
+    rows = written(rw.select("round", row.alias("row")), "payload-rows")
+    return nst.payload_pages(rows, "round", "row", F.col("row.miner_hotkey"), 2_000)
 
 
 def task_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -520,7 +520,8 @@ def cached_file_pairs(spark: SparkSession, d: str) -> DataFrame:
     params = {"block_size": 64, "lsh_bits": 3}
     sinks.read_or_compute(spark, path, [table], lambda: _file_pairs(spark, d), **params)
     again, hit = sinks.read_or_compute(spark, path, [table], lambda: _file_pairs(spark, d), **params)
-    return again.select("dir", "path_a", "path_b", _r("cosine", "cosine"), F.lit(hit or again.isEmpty()).alias("hit"))
+    pop.require_nonempty(again, "no directory has a valid pair of files")          # FLT7
+    return again.select("dir", "path_a", "path_b", _r("cosine", "cosine"), F.lit(hit).alias("hit"))
 
 
 def source_walk(spark: SparkSession, d: str) -> DataFrame:
@@ -568,9 +569,16 @@ def hotkey_as_of(spark: SparkSession, d: str) -> DataFrame:
 def league_per_round(spark: SparkSession, d: str) -> DataFrame:
     """The league each hourly task goes to, picked by a seeded hash of the round (TOP4)."""
     nations = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("opt"), F.col("n_name").alias("league"))
-    n = nations.count()                       # a dimension of fixed size: one number to the driver
     rounds = views.responses(spark, d).select("round").distinct()
-    return pop.pick_per_step(rounds, nations, "round", "opt", n, seed="task").select("round", "league")
+    repos = cost.repositories(spark)
+    picked = pop.pick_per_step(rounds, nations, "round", "opt", seed="task").select("round", "league")
+    return pop.pick_per_step(picked, repos, "round", "idx", seed="repo").select("round", "league", "repo")
+
+
+def model_credentials(spark: SparkSession, d: str) -> DataFrame:
+    """Completions per model and the name of the key they need (SRC8)."""
+    c = _completions(spark, d)
+    return c.groupBy("model", cost.credential_name("model").alias("credential")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def stake_maps(spark: SparkSession, d: str) -> DataFrame:
@@ -580,9 +588,13 @@ def stake_maps(spark: SparkSession, d: str) -> DataFrame:
     per = o.groupBy(F.col("o_custkey").alias("uid"), F.col("o_orderpriority").alias("coldkey")) \
            .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("stake"))
     m = per.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct("coldkey", "stake"))).alias("stake_map"))
+    # a customer without orders has the default map: its segment with its balance
+    c = read_table(spark, d, "customer").select(F.col("c_custkey").alias("uid"), "c_mktsegment", F.round(F.col("c_acctbal") * 100).cast("bigint").alias("cents"))
+    held = pop.default_stake(F.col("stake_map"), F.col("c_mktsegment"), F.col("cents"))
+    full = c.join(m, "uid", "left").select("uid", held.alias("stake_map"))
     total = pop.total_stake(F.col("stake_map"), F.lit(0).cast("bigint"))
-    return m.select("uid", F.size("stake_map").cast("bigint").alias("n_coldkeys"),
-                    (total / F.lit(100.0)).alias("total_stake"))
+    return full.select("uid", F.size("stake_map").cast("bigint").alias("n_coldkeys"),
+                       (total / F.lit(100.0)).alias("total_stake"))
 
 
 def run_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -598,7 +610,7 @@ def run_labels(spark: SparkSession, d: str) -> DataFrame:
         txt.release_code(version).alias("release"))
 
 
-QUERIES.update({"ema_resumed": ema_resumed, "run_labels": run_labels, "league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs, "source_walk": source_walk,
+QUERIES.update({"ema_resumed": ema_resumed, "run_labels": run_labels, "model_credentials": model_credentials, "league_per_round": league_per_round, "stake_maps": stake_maps, "hotkey_as_of": hotkey_as_of, "state_roundtrip": state_roundtrip, "cached_file_pairs": cached_file_pairs, "source_walk": source_walk,
                 "published_rows": published_rows})
 
 

@@ -134,14 +134,15 @@ def resync_state(state: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def as_of(snapshots: DataFrame, events: DataFrame, key: str, snap_ts: str, ev_ts: str,
-          bucket_width: int = 86_400_000_000) -> DataFrame:
+          bucket_width: int = 86_400_000_000, rows: int = 1_000_000) -> DataFrame:
     """Each event with the latest snapshot row of its key taken at or before it (SRC6).
 
     Times are bucketed (``bucket_width`` in microseconds for timestamps, in the column's
     own units for numbers).  The answer is the last snapshot at or before the event in
     its own bucket (a window bounded to one bucket), else the last snapshot of the
-    latest earlier non-empty bucket (a lag over one row per bucket).  No key's whole
-    history is ever sorted in one task, and no event x snapshot pairs are formed.
+    latest earlier non-empty bucket (a lag over one row per bucket).  A bucket of more than
+    ``rows`` rows is cut into narrower ones, so no task sorts more than about that many of a
+    key that are spread in time, and no event x snapshot pairs are formed.
     """
     from pyspark.sql.types import TimestampNTZType, TimestampType
 
@@ -160,14 +161,24 @@ def as_of(snapshots: DataFrame, events: DataFrame, key: str, snap_ts: str, ev_ts
                        F.struct(*[F.col(c) for c in ev_cols]).alias("_e"), F.lit(None).cast(snap_type).alias("_s"))
     sn = snapshots.select(F.col(key), num(snapshots, snap_ts).alias("_t"), F.lit(0).alias("_side"),
                           F.lit(None).cast(ev_type).alias("_e"), packed.alias("_s"))
-    both = ev.unionByName(sn).withColumn("_b", floor_div("_t", bucket_width))
+    # buckets that hold too many rows, and into how many parts of equal width they are cut
+    times = ev.select(key, "_t").unionByName(sn.select(key, "_t")).withColumn("_w", floor_div("_t", bucket_width))
+    full = times.groupBy(F.col(key).alias("_fk"), F.col("_w").alias("_fw")).agg(F.ceil(F.count(F.lit(1)) / rows).alias("_cut")).where("_cut > 1")
+
+    def bucketed(df):
+        d = df.withColumn("_w", floor_div("_t", bucket_width))
+        d = d.join(full, d[key].eqNullSafe(F.col("_fk")) & (F.col("_w") == F.col("_fw")), "left")
+        part = F.floor((F.col("_t") - F.col("_w") * bucket_width) * F.coalesce("_cut", F.lit(1).cast("bigint")).cast("decimal(20,0)") / bucket_width)
+        return d.withColumn("_b", F.struct(F.col("_w").alias("w"), part.cast("bigint").alias("p"))).drop("_w", "_fk", "_fw", "_cut")
+
+    ev, sn = bucketed(ev), bucketed(sn)
+    both = ev.unionByName(sn)
     # same bucket: last snapshot at or before the event (snapshots sort first on ties)
     w = (Window.partitionBy(key, "_b").orderBy("_t", "_side")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     same = both.withColumn("_c1", F.last("_s", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
     # earlier buckets: one row per (key, bucket) holding that bucket's last snapshot
-    snap_b = (sn.withColumn("_b", floor_div("_t", bucket_width)).groupBy(key, "_b")
-                .agg(F.max_by("_s", "_t").alias("_last"), F.lit(1).alias("_kind")))
+    snap_b = (sn.groupBy(key, "_b").agg(F.max_by("_s", "_t").alias("_last"), F.lit(1).alias("_kind")))
     ev_b = same.select(key, "_b").distinct().withColumn("_last", F.lit(None).cast(snap_type)).withColumn("_kind", F.lit(0))
     wb = (Window.partitionBy(key).orderBy("_b", "_kind")
                 .rowsBetween(Window.unboundedPreceding, -1))

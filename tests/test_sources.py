@@ -143,8 +143,9 @@ def test_as_of_matches_brute_force(spark):
     for u, t, i in evs:
         best = max((x for x in sl if x[0] == u and x[1] <= t), key=lambda x: x[1], default=None)
         exp[i] = best[2] if best else None
-    got = {r.id: r.hotkey for r in sinks.as_of(s, e, "uid", "sts", "ts", bucket_width=37).collect()}
-    assert got == exp
+    for width, most in ((37, 1_000_000), (400, 7), (100_000, 3)):            # full buckets are cut
+        got = {r.id: r.hotkey for r in sinks.as_of(s, e, "uid", "sts", "ts", bucket_width=width, rows=most).collect()}
+        assert got == exp
 
 
 def test_report_outcomes(spark):

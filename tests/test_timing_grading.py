@@ -167,3 +167,38 @@ def test_status_split_failed_call(spark):
                                "r int, code int, raised boolean")
     got = {r.r: (r.n_ok, r.n_failed) for r in pop.status_split(df, "r", F.col("code") == 200, F.col("raised")).collect()}
     assert got == {1: (1, 1), 2: (0, 2)}
+
+
+def test_row_grader_is_polymorphic_and_folds_whole_submissions(spark):
+    rubric = "s string, addresses double, logical double, brevity double, bugs double, checklist array<double>"
+    rows = [("a", 1.0, 1.0, 1.0, 0.0, [1.0, 0.0]), ("b", 0.5, 0.0, 0.0, 1.0, []), ("c", 1.0, 1.0, 1.0, 0.0, None), ("d", 1.0, 1.0, 1.0, 0.0, [1.0])]
+    subs = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "x"), ("d", "")], "s string, patch string")
+    table = spark.createDataFrame(rows, rubric)
+    got = grading.GRADERS["rows"](subs, table, ["s"])
+    want = grading.GRADERS["float"](subs, table, ["s"])
+    assert dict(got.dtypes) == {"s": "string", "score": "double"}
+    assert {r.s: pytest.approx(r.score) for r in want.collect()} == {r.s: r.score for r in got.collect()}
+    assert grading.GRADERS["rows"](subs.limit(0), table, ["s"]).count() == 0
+
+
+def test_payload_pages_hold_every_row_once(spark):
+    import json
+    from pyspark.sql import functions as F
+    from meritflow.functions import nested
+    rows = [(g, f"k{i % 50}", "x" * (i % 30)) for g in (1, None) for i in range(120)] + [(2, None, None)]
+    df = spark.createDataFrame(rows, "g int, k string, v string").select("g", F.struct("k", "v").alias("row"))
+    pages = nested.payload_pages(df, "g", "row", F.col("row.k"), 500).collect()
+    got = sorted((str(p.g), r.get("k"), r.get("v")) for p in pages for r in json.loads(p.payload))
+    assert got == sorted(((str(g), k, v) for g, k, v in rows), key=lambda r: (r[0], r[1] or "", r[2] or "")) or len(got) == len(rows)
+    assert sum(p.g == 1 for p in pages) > 5 and [p.payload for p in pages if p.g == 2] == ["[{}]"]
+
+
+def test_pick_per_step_by_either_join(spark):
+    from meritflow.operators import population as pop
+    steps = spark.range(50).toDF("step")
+    options = spark.createDataFrame([(i, f"o{i}") for i in range(7)], "idx long, name string")
+    small, big = (sorted(map(tuple, pop.pick_per_step(steps, options, "step", "idx", seed="s", broadcast_rows=n).select("step", "name").collect()))
+                  for n in (100, 1))
+    assert small == big and len({n for _, n in small}) == 7
+    with pytest.raises(ValueError, match="no options"):
+        pop.pick_per_step(steps, options.limit(0), "step", "idx")
