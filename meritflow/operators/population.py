@@ -77,13 +77,11 @@ def serve_ranks(rows: DataFrame, partition: str, tiebreak: str, block: int = 1 <
     """
     d = rows.withColumn("_blk", F.floor(F.col(tiebreak) / F.lit(block)).cast("bigint"))
     counts = d.groupBy(partition, "priority", "_blk").agg(F.count(F.lit(1)).alias("_nb"))
-    # one row per distinct priority of a partition, with the blocks that hold it
-    per_p = counts.groupBy(partition, "priority").agg(F.sum("_nb").alias("_np"), F.sort_array(F.collect_list(F.struct("_blk", "_nb"))).alias("_bs"))
-    above = F.coalesce(F.sum("_np").over(Window.partitionBy(partition).orderBy(F.col("priority").desc())
-                                         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_b = per_p.withColumn("_above", above).select(partition, "priority", F.inline(F.transform("_bs", lambda x: F.struct(
-        x["_blk"].alias("_blk"), (F.col("_above") + F.aggregate(F.filter("_bs", lambda y: y["_blk"] < x["_blk"]), F.lit(0).cast("bigint"),
-                                                                lambda acc, y: acc + y["_nb"])).alias("_before")))))
+    earlier = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_p = counts.groupBy(partition, "priority").agg(F.sum("_nb").alias("_np"))
+    per_p = per_p.withColumn("_above", earlier(Window.partitionBy(partition).orderBy(F.col("priority").desc()), "_np")).drop("_np")
+    per_b = counts.withColumn("_same", earlier(Window.partitionBy(partition, "priority").orderBy("_blk"), "_nb")).drop("_nb")
+    per_b = per_b.join(per_p, [partition, "priority"]).withColumn("_before", F.col("_above") + F.col("_same")).drop("_above", "_same")
     local = F.row_number().over(Window.partitionBy(partition, "priority", "_blk").orderBy(F.col(tiebreak)))
     return (d.withColumn("_local", local).join(per_b, [partition, "priority", "_blk"])
              .withColumn("serve_rank", (F.col("_before") + F.col("_local")).cast("bigint")).drop("_blk", "_before", "_local"))
