@@ -23,7 +23,7 @@ from meritflow.llm.common import fresh, small_batches
 BINS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_CELLS = 1 << 24          # of the broadcast matrix
-_STEP = 1 << 19              # characters scored at a time
+_STEP = 1 << 19              # characters read at a time
 
 
 @dataclass(frozen=True)
@@ -46,9 +46,12 @@ def _characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.where(_letters()[points], points, np.uint32(32)), at
 
 
-def _grams(points: np.ndarray, at: np.ndarray, bins: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: bin of the gram at every place, and whether it lies in one text."""
+def _grams(points: np.ndarray, at: np.ndarray, bins: int, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order: bin of the gram at every place, and whether it lies in one text and
+    begins among the ``own`` first characters of its slice."""
     ends = np.repeat(at[1:], np.diff(at)) - np.arange(len(points))
+    if own is not None:
+        ends[np.arange(len(points)) - np.repeat(at[:-1], np.diff(at)) >= np.repeat(own, np.diff(at))] = 0
     h = np.zeros(len(points), np.uint32)
     for n in range(1, max(ORDERS) + 1):
         shifted = np.zeros(len(points), np.uint32)
@@ -58,21 +61,30 @@ def _grams(points: np.ndarray, at: np.ndarray, bins: int) -> Iterator[tuple[np.n
             yield ((h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - bins.bit_length() + 1)).astype(np.int64), ends >= n
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Row numbers and texts of about _STEP characters; longer texts come in slices that
-    overlap by the longest gram less one, so no gram is lost or counted twice for long."""
-    rows, held, size = [], [], 0
+def _chunks(texts: list[str | None], step: int) -> Iterator[tuple[list[int], list[str], np.ndarray]]:
+    """Row numbers, texts and own lengths of about ``step`` characters in all.
+
+    A longer text comes in slices; each goes on for the longest gram less one behind its own
+    characters, and a gram counts where it begins, so every gram of a text counts once.
+    """
+    rows, held, own, size = [], [], [], 0
     for i, t in enumerate(texts):
-        for s in range(0, len(t) if t else 1, _STEP):
-            part = t[s:s + _STEP] if t else ""
+        t = t.lower() if t else ""
+        for s in range(0, len(t) or 1, step):
             rows.append(i)
-            held.append(part)
-            size += len(part)
-            if size >= _STEP:
-                yield rows, held
-                rows, held, size = [], [], 0
+            held.append(t[s:s + step + max(ORDERS) - 1])
+            own.append(min(step, len(t) - s))
+            size += own[-1]
+            if size >= step:
+                yield rows, held, np.array(own)
+                rows, held, own, size = [], [], [], 0
     if rows:
-        yield rows, held
+        yield rows, held, np.array(own)
+
+
+def _score_step(languages: int) -> int:
+    """Characters scored at a time: their gathered rows have at most 2^24 cells."""
+    return max(1 << 12, min(_STEP, (1 << 24) // max(1, languages)))
 
 
 def fit(docs: DataFrame, max_fit_rows: int = 3_000, smoothing: float = 0.2) -> LanguageModel:
@@ -102,10 +114,10 @@ def fit(docs: DataFrame, max_fit_rows: int = 3_000, smoothing: float = 0.2) -> L
         table = np.zeros(bins * len(languages), np.int64)
         for b in batches:
             no = b.column("no").to_numpy()
-            for rows, texts in _chunks(b.column("text").to_pylist()):
+            for rows, texts, own in _chunks(b.column("text").to_pylist(), _STEP):
                 points, at = _characters(texts)
                 lang = np.repeat(no[rows], np.diff(at)).astype(np.int64) * bins
-                for h, inside in _grams(points, at, bins):
+                for h, inside in _grams(points, at, bins, own):
                     table += np.bincount((lang + h)[inside], minlength=len(table))
         cells = np.flatnonzero(table)
         for i in range(0, len(cells), 1 << 16):
@@ -137,12 +149,12 @@ def predict(docs: DataFrame, model: LanguageModel, lang: str = "lang_pred", scor
         m = shared.value
         texts = column.to_pylist()
         total, grams = np.zeros((len(texts), len(m.languages))), np.zeros(len(texts))
-        for rows, part in _chunks(texts):
+        for rows, part, own in _chunks(texts, _score_step(len(m.languages))):
             points, at = _characters(part)
             full = np.flatnonzero(np.diff(at))
             if not len(full):
                 continue
-            for h, inside in _grams(points, at, len(m.weights)):
+            for h, inside in _grams(points, at, len(m.weights), own):
                 gathered = m.weights[h]
                 gathered[~inside] = 0
                 np.add.at(total, np.array(rows)[full], np.add.reduceat(gathered, at[full], axis=0, dtype=np.float64))

@@ -11,9 +11,11 @@ the text's length and mapped to a probability.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -95,7 +97,11 @@ class Matcher:
                     start = end - length + 1
                     hits[start] = max(weight, hits.get(start, 0.0))
         if spans:
-            hits = {s: w for s, w in hits.items() if not any(a <= s <= b for a, b in spans)}
+            # where an exception reaches up to, by where it begins: the furthest so far
+            begins, reach = zip(*sorted(spans), strict=True)
+            reach = list(accumulate(reach, max))
+            covered = lambda s: (k := bisect_right(begins, s)) > 0 and reach[k - 1] >= s
+            hits = {s: w for s, w in hits.items() if not covered(s)}
         total = sum(hits.values())
         length = max(1, len(folded)) / 6.0
         return 1.0, math.log1p(total), math.log1p(1000.0 * total / (length + 50.0)), max(hits.values(), default=0.0)
@@ -138,6 +144,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, max_term
     share = min(1.0, max_fit_rows / n) if n else 0.0
     sampled = written(known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)), "labels")
     sample = docs.select("doc_id", "text").join(small(sampled, 4 * max_fit_rows), "doc_id")
+    # ids that stand on many rows: a hash sample of the rows, so that what is calibrated on stays bounded
+    held = sample.count()
+    if held > 4 * max_fit_rows:
+        sample = sample.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(4e6 * max_fit_rows / held))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bad, good = Counter(), Counter()

@@ -208,20 +208,60 @@ def test_language_odd_rows(odd, none):
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
 
 
-def test_language_scores_do_not_depend_on_slices(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(
-        [("the cat sat on the mat", "en"), ("der hund und die katze", "de")] * 5)], "doc_id long, text string, lang string")
-    m = language.fit(docs)
-    text = "the dog and the cat " * 50
-    points, at = language._characters([text])
-    whole = sum(m.weights[h][inside].sum(axis=0) for h, inside in language._grams(points, at, len(m.weights)))
-    slow = np.zeros(2)
-    for n in language.ORDERS:
-        for i in range(len(text) - n + 1):
-            p, a = language._characters([text[i:i + n]])
-            h, inside = list(language._grams(p, a, len(m.weights)))[n - 1]
-            slow += m.weights[h[0]]
-    assert whole == pytest.approx(slow, rel=1e-4)
+@pytest.mark.parametrize("step", [1, 2, 7, 50, 1 << 19])
+def test_language_counts_every_gram_once_in_any_slices(step):
+    texts = ["the dog and the cat " * 9, None, "", "a", "İIß ΑΣ", "x" * 100]
+    got = collections.Counter()
+    for rows, part, own in language._chunks(texts, step):
+        points, at = language._characters(part)
+        for h, inside in language._grams(points, at, 1 << 15, own):
+            got.update(zip(np.repeat(rows, np.diff(at))[inside].tolist(), h[inside].tolist(), strict=True))
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        t = (t or "").lower()
+        for n in language.ORDERS:
+            for k in range(len(t) - n + 1):
+                p, a = language._characters([t[k:k + n]])
+                want[i, int(list(language._grams(p, a, 1 << 15))[n - 1][0][0])] += 1
+    assert got == want
+
+
+def test_language_log_probabilities_by_hand(spark):
+    docs = [(1, "ab a", "x"), (2, "ab", "x"), (3, "zz", "y"), (4, None, "y"), (5, "q", None)]
+    m = language.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), smoothing=0.5)
+    bins = len(m.weights)
+    for k, (lang, texts) in enumerate((("x", ["ab a", "ab"]), ("y", ["zz"]))):
+        n = collections.Counter()
+        for t in texts:
+            for h, inside in language._grams(*language._characters([t]), bins):
+                n.update(h[inside].tolist())
+        whole = sum(n.values()) + 0.5 * bins
+        assert m.languages[k] == lang
+        for b in [*n, 0, 1, 2]:
+            assert m.weights[b, k] == pytest.approx(np.log((n[b] + 0.5) / whole), rel=1e-5)
+    assert m.prior == pytest.approx(np.log([2 / 3, 1 / 3]))
+
+
+def test_language_scores_many_languages_in_bounded_memory(spark):
+    """400 languages and a text of five million characters: the gathered rows stay small."""
+    import tracemalloc
+    names = tuple(f"l{i:03}" for i in range(400))
+    rnd = np.random.default_rng(2)
+    weights = rnd.normal(size=(1 << 15, 400)).astype(np.float32)
+    assert language._score_step(400) * 400 <= 1 << 24 and language._score_step(4) == language._STEP
+    tracemalloc.start()
+    total = np.zeros(400)
+    for rows, part, own in language._chunks(["the dog and the cat " * 250_000], language._score_step(400)):
+        points, at = language._characters(part)
+        for h, inside in language._grams(points, at, 1 << 15, own):
+            gathered = weights[h]
+            gathered[~inside] = 0
+            total += gathered.sum(axis=0)
+        if tracemalloc.get_traced_memory()[1] > 600 << 20:
+            break
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 600 << 20 and len(names) == 400
 
 
 # -- exact dedup ----------------------------------------------------------------------
@@ -287,6 +327,29 @@ def test_toxicity_folding_and_exceptions():
     assert m.features(None) == m.features("") and 0 <= m.scores(np.array([None, "idiot"], object))[0] < 0.5
 
 
+def test_toxicity_matcher_against_regular_expressions():
+    lexicon, exceptions = {"bad": 3.0, "badly": 4.0, "trash": 2.0, "stupid": 5.0}, ("trash can", "can of worms", "not bad at all")
+    m = toxicity.Matcher(toxicity.ToxicityModel(lexicon, (0.0, 1.0, 1.0, 1.0), exceptions))
+    rnd = random.Random(8)
+    for _ in range(200):
+        text = " ".join(rnd.choice(["bad", "badly", "badge", "trash", "can", "of", "worms", "not", "at", "all", "stupid", "forbad"]) for _ in range(30))
+        spans = [(x.start(), x.end()) for e in exceptions for x in re.finditer(f"(?= {e} )", f" {text} ") for x in [re.compile(f" {e} ").match(f" {text} ", x.start())]]
+        hits = {}
+        for term, w in lexicon.items():
+            for x in re.finditer(f" {term}", f" {text} "):
+                if not any(a + 1 <= x.start() + 1 <= b - 1 for a, b in spans):
+                    hits[x.start()] = max(w, hits.get(x.start(), 0.0))
+        total = sum(hits.values())
+        assert m.features(text)[1] == pytest.approx(np.log1p(total)) and m.features(text)[3] == max(hits.values(), default=0.0)
+
+
+def test_toxicity_long_texts_take_linear_time():
+    m = toxicity.Matcher(toxicity.ToxicityModel({"stupid": 5.0, "trash": 2.0}, (0.0, 1.0, 1.0, 1.0), ("trash can",)))
+    start = time.process_time()
+    one, many = (m.features("stupid words here trash can " * n) for n in (1, 100_000))
+    assert time.process_time() - start < 10 and one[3] == many[3] == 5.0
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, None), (None, 1), (7, 0)], "doc_id long, toxic int")
     for m in (toxicity.fit(odd, labels), toxicity.fit(odd, labels.limit(0)), toxicity.fit(none, labels)):
