@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import BLANK, mix64, pieces, stream_values, utf8, word_starts, written
+from meritflow.llm.common import BLANK, mix64, pieces, small, stream_values, utf8, word_starts, written
 from meritflow.llm.exact_dedup import _has, _probes, repeated_filter
 
 WINDOW = 16
 REACH = 15               # a cut is the least hash of this many bytes to either side
 RUN_STEP = 32            # a run that repeats itself is cut every so many bytes, in whole periods
 MAX_CHUNK = 512
+HOT_PLACES = 10_000      # a digest of more places is joined by broadcast
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -151,8 +152,13 @@ def find(docs: DataFrame, min_words: int = 16, max_bits: int = 1 << 28) -> DataF
     mine = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     repeated = (seen.groupBy("digest").agg(F.count("*").alias("n"), F.min(mine).alias("first"), F.max(mine).alias("last"),
                                              (F.min("key") == F.max("key")).alias("alone"))
-                .where("n > 1").drop("n"))
-    hits = seen.join(repeated, "digest").select(
+                .where("n > 1"))
+    # a digest of very many places would be one task of the join: such ones, at most one in
+    # HOT_PLACES places, are joined by broadcast
+    repeated = written(repeated, "repeated")
+    hot = small(written(repeated.where(F.col("n") > HOT_PLACES), "hot"))
+    usual = seen.join(hot.select("digest"), "digest", "left_anti").join(repeated.where(F.col("n") <= HOT_PLACES), "digest")
+    hits = usual.unionByName(seen.join(hot, "digest")).select(
         "key", "place", "digest", "alone", (mine != F.col("first")).alias("later"),
         F.when(mine != F.col("first"), F.col("first")).otherwise(F.col("last")).alias("other"))
     # from here on a document's chunks stay together; rows with the same doc_id and text give
@@ -201,9 +207,16 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         raw, out, at = text.encode(), [], 0
         for x in cuts:
             if x["removed"]:
-                out.append(raw[at:x["start"]])
-                at = x["start"] + x["length"]
-        return b"".join([*out, raw[at:]]).decode("utf-8", "ignore")
+                # whole characters only: what a passage holds of one in part stays
+                start, end = x["start"], x["start"] + x["length"]
+                while start < end and raw[start] & 0xC0 == 0x80:
+                    start += 1
+                while start < end < len(raw) and raw[end] & 0xC0 == 0x80:
+                    end -= 1
+                if start < end:
+                    out.append(raw[at:start])
+                    at = end
+        return b"".join([*out, raw[at:]]).decode()
     return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)])
 
 

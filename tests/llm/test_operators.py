@@ -601,6 +601,28 @@ def test_chunks_do_not_shift():
     assert np.diff(substring_dedup.chunks(np.full(5000, 97, np.uint8), np.array([0]))[0]).max() <= substring_dedup.MAX_CHUNK
 
 
+def test_substring_dedup_splits_hot_passages(spark, monkeypatch):
+    """A passage of very many documents is joined apart; the result is the same."""
+    rnd = random.Random(31)
+    hot, other = prose(rnd, 60), prose(rnd, 60)
+    rows = [(i, f"{prose(rnd, 20)} {hot if i % 3 else other if i % 2 else ''} {prose(rnd, 20)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(map(str, substring_dedup.find(docs).collect()))
+    monkeypatch.setattr(substring_dedup, "HOT_PLACES", 15)
+    assert sorted(map(str, substring_dedup.find(docs).collect())) == want
+
+
+def test_cuts_keep_whole_characters():
+    import pandas as pd
+    text = "añb日本語c"                                      # a, 2 bytes, b, three of 3 bytes, c
+    raw = text.encode()
+    for start in range(len(raw)):
+        for end in range(start + 1, len(raw) + 1):
+            got = substring_dedup._cut(pd.Series([text]), pd.Series([[{"start": start, "length": end - start, "removed": True}]]))[0]
+            inside = [c for i, c in enumerate(text) if start <= len(text[:i].encode()) and len(text[:i + 1].encode()) <= end]
+            assert got == "".join(c for i, c in enumerate(text) if not (start <= len(text[:i].encode()) and len(text[:i + 1].encode()) <= end)), inside
+
+
 def test_substring_dedup_odd_rows(odd, none):
     got = substring_dedup.find(odd).collect()
     assert len(got) == odd.count()
