@@ -333,7 +333,8 @@ walk(user_id, event_type, rn, event_id, last, accepted) AS (
 SELECT user_id, event_type, event_id, accepted FROM walk"""
     q["stream_distinct_requests"] = q["distinct_requests"]
     q["stream_ema"] = q["ema_final"]
-    q["stream_chunks"] = q["stream_join_chunks"]
+    q["stream_scores"] = q["ema_final"]
+    q["stream_messages"] = q["stream_chunks"] = q["stream_join_chunks"]
     q["stream_log_lines"] = q["log_lines"]
     q["stream_published"] = q["log_lines"]
     q["stream_gate_requests"] = q["gate_requests"]

@@ -15,8 +15,9 @@ from ..operators import scoring, timing
 from ..sources import views
 from ..sources.tables import table_path
 from ..streaming import live
+from ..streaming import processors as pr
 from ..streaming import stateful as st
-from ..streaming.runner import latest_by_batch, run_to_table, table_stream, time_slices
+from ..streaming.runner import arrivals, latest_by_batch, run_to_table, table_stream, time_slices
 
 
 def _batch():
@@ -42,6 +43,39 @@ def stream_ema(spark: SparkSession, d: str, folder: str | None = None) -> DataFr
     return out.select("uid", F.round("score", 9).alias("score"), "n_updates")
 
 
+def stream_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Moving-average scores whose rounds are closed by timers as the watermark passes them (STM3):
+    events in several batches, up to half an hour late."""
+    beat = _heartbeat(spark, d, "view")
+    folder = time_slices(spark, d, "events", "ts", "event_id", parts=4, disorder=1_800.0, closing=beat)
+
+    def scores() -> DataFrame:
+        ev = pr.watermarked(table_stream(spark, d, "events", max_files=2, folder=folder), "ts", "1 hour")
+        r = views.responses_of(ev, "_et").join(_batch().eligible_population(spark, d), "uid", "inner")   # stream-static join
+        r = (r.withColumn("reward", scoring.reward(F.col("score"), F.col("process_time")))
+              .withColumn("valid", F.col("patch").isNotNull() & (F.col("patch") != "")))
+        return pr.round_scores(r, "uid", "ts", "event_id", "reward", "valid")
+
+    closed = pr.run_processor(spark, scores, "scores")
+    last = closed.groupBy("uid").agg(F.max(F.struct("rnd", "score", "n_updates")).alias("m")).where("m.n_updates > 0")
+    return last.select("uid", F.round("m.score", 9).alias("score"), F.col("m.n_updates").alias("n_updates"))
+
+
+def stream_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations put together from their turns, which arrive over several batches with an end
+    message behind them (STM1)."""
+    turns = spark.read.parquet(table_path(d, "conversations"))
+    ends = turns.groupBy("conv_id").agg((F.max("turn") + 1).alias("turn")).select(
+        "conv_id", "turn", F.lit("end").alias("role"), F.lit(None).cast("string").alias("text"))
+    folder = arrivals(spark, turns.unionByName(ends), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)), 3, "messages")
+
+    def joined() -> DataFrame:
+        c = table_stream(spark, d, "conversations", max_files=2, folder=folder)
+        return pr.messages(c.withColumn("_end", F.col("role") == "end"), "conv_id", "turn", "text", "_end")
+
+    return pr.run_processor(spark, joined, "messages", idle_batches=False).drop("_batch")
+
+
 def stream_chunks(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
     c = table_stream(spark, d, "conversations", folder=folder)
     out = latest_by_batch(run_to_table(spark, st.chunk_accumulator(c, "conv_id", "turn", "text"), "chunks", "update"),
@@ -205,6 +239,8 @@ STREAM_QUERIES = {
     "stream_batch_tokens": stream_batch_tokens,
     "stream_epoch_due": stream_epoch_due,
     "stream_ema": stream_ema,
+    "stream_scores": stream_scores,
+    "stream_messages": stream_messages,
     "stream_chunks": stream_chunks,
     "stream_ttl_hold": stream_ttl_hold,
     "stream_log_lines": stream_log_lines,

@@ -38,10 +38,10 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     return responses_of(read_table(spark, d, "events"))
 
 
-def responses_of(e: DataFrame) -> DataFrame:
+def responses_of(e: DataFrame, *carry: str) -> DataFrame:
     k = prop_k()
     return e.select(
-        "event_id", "ts", "event_type",
+        *carry, "event_id", "ts", "event_type",
         # round = hour index of the task; monotone in time, no global ranking needed
         hour_index("ts").alias("round"),
         day_index("ts").alias("day"),

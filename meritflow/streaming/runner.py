@@ -63,6 +63,15 @@ def time_slices(spark: SparkSession, sf_dir: str, name: str, ts: str, id_col: st
     return folder
 
 
+def arrivals(spark: SparkSession, rows: DataFrame, turn, turns: int, name: str) -> str:
+    """Folder of ``rows`` in ``turns`` sets of files, those with ``turn`` 0 first, for a stream of several batches."""
+    folder = scratch_path(spark, f"streams/arrivals/{name}-{uuid.uuid4().hex}")
+    for i in range(turns):
+        rows.where(turn == i).coalesce(2).write.mode("append").parquet(folder)
+        time.sleep(0.02)                  # the file source orders files by their time
+    return folder
+
+
 def is_folder(spark: SparkSession, path: str) -> bool:
     """Whether ``path``, on whatever file system, is a folder."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -224,3 +224,44 @@ def test_chunks_leave_the_state_when_complete(spark):
     out = latest_by_batch(run_to_table(spark, st.chunk_accumulator(sdf, "k", "seq", "t", "fin"), "ends", "update"), ["k"])
     got = {r.k: (r.completion, r.complete) for r in out.collect()}
     assert got == {1: ("hello world", True), 2: ("xlate end", False)}
+
+
+def test_messages_wait_for_all_chunks_and_ignore_repeats(spark):
+    import time
+    from pyspark.sql import functions as F
+    from meritflow.streaming import processors as pr
+    schema = "c long, s long, t string, e boolean"
+    base = tempfile.mkdtemp(prefix="meritflow-msg-")
+    parts = [[(1, 1, "b", None), (2, 0, "x\ny", None), (3, 0, "open", None)], [(1, 2, None, True), (1, 1, "b", None), (4, 0, None, True)],
+             [(1, 0, "a", None), (2, 1, None, True)]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base)
+        time.sleep(0.05)
+    stream = lambda: pr.messages(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base), "c", "s", "t", "e")
+    out = pr.run_processor(spark, stream, "msg_test", idle_batches=False)
+    assert {r.c: (r.completion, r.n_chunks, r._batch) for r in out.collect()} == {1: ("ab", 2, 2), 2: ("xy", 1, 2), 4: ("", 0, 1)}
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_rounds_close_by_timer_and_late_responses_are_dropped(spark):
+    import datetime as dt
+    import time
+    from meritflow.streaming import processors as pr
+    t0, schema = dt.datetime(2024, 1, 1), "uid long, id long, ts timestamp_ntz, reward double, ok boolean"
+    at = lambda minutes: t0 + dt.timedelta(minutes=minutes)
+    base = tempfile.mkdtemp(prefix="meritflow-rounds-")
+    parts = [[(1, 1, at(10), 1.0, True), (1, 2, at(50), 2.0, True), (1, 3, at(70), 4.0, True)],
+             [(1, 4, at(40), 9.0, True), (1, 5, at(200), float("nan"), True), (2, 6, at(200), 1.0, False)],
+             [(1, 7, at(20), 100.0, True), (1, 8, at(1000), 1.0, True)], [(9, 9, at(9000), 1.0, True)]]
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base)
+        time.sleep(0.05)
+
+    def stream():
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base)
+        return pr.round_scores(pr.watermarked(rows, "ts", "30 minutes"), "uid", "ts", "id", "reward", "ok")
+
+    got = sorted((r.uid, r.rnd % 24, round(r.score, 9), r.n_updates) for r in pr.run_processor(spark, stream, "rounds_test").where("uid < 9").collect())
+    s = [0.2, 0.1 * 4 + 0.9 * 0.2]
+    assert got == [(1, 0, round(s[0], 9), 1), (1, 1, round(s[1], 9), 2), (1, 3, round(0.9 * s[1], 9), 3),
+                   (1, 16, round(0.1 + 0.81 * s[1], 9), 4), (2, 3, 0.0, 0)]
