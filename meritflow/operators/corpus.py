@@ -145,11 +145,56 @@ def _cross_best(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"dir": pdf["dir"].iat[0], "cos": best[0], "a": best[1], "b": best[2]}])
 
 
+def _ball(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The ball around the balls of one parent: their weighted centre, and how far they reach from it."""
+    centres = np.vstack(pdf["centroid"].to_numpy())
+    c = (centres * pdf["n"].to_numpy()[:, None]).sum(axis=0)
+    norm = np.linalg.norm(c)
+    if norm > 0:
+        c = c / norm
+        far = np.arccos(np.clip(centres @ c, -1.0, 1.0)) + pdf["radius"].to_numpy()
+        radius = float(min(math.pi, far.max()))
+    else:
+        radius = math.pi
+    return pd.DataFrame([{"dir": pdf["dir"].iat[0], "node": int(pdf["parent"].iat[0]), "n": int(pdf["n"].sum()),
+                          "centroid": c.tolist(), "radius": radius}])
+
+
+def _close_blocks(summ: DataFrame, key_bits: int, fan_bits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(dir, blk_a, blk_b) of the blocks that may hold a better pair than any block does inside,
+    and the cached levels of the tree.
+
+    Blocks are the leaves of a tree of balls: a block's ancestors are the prefixes of its
+    number.  The walk goes down level by level with the pairs of balls whose bound still
+    beats the directory's best inner pair, and a ball with itself, so the blocks of two
+    distant balls are never paired.
+    """
+    lower = (summ.filter(F.col("cos").isNotNull()).groupBy("dir").agg(F.max(F.round("cos", TIE_DECIMALS)).alias("_lb")))
+    levels = [summ.select("dir", F.col("blk").alias("node"), "n", "centroid", "radius")]
+    for _ in range(1, -(-key_bits // fan_bits)):
+        below = levels[-1].withColumn("parent", F.shiftright("node", fan_bits))
+        levels.append(below.groupBy("dir", "parent").applyInPandas(
+            _ball, "dir string, node bigint, n bigint, centroid array<double>, radius double").persist())
+    pairs = levels[-1].select("dir", F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b")).distinct()
+    for nodes in reversed(levels):
+        child = nodes.withColumn("parent", F.shiftright("node", fan_bits))
+        side = lambda x, child=child: child.select("dir", F.col("parent").alias(x), F.col("node").alias(f"n{x}"),
+                                                   F.col("centroid").alias(f"c{x}"), F.col("radius").alias(f"r{x}"))
+        dot = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        theta = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)))
+        bound = F.cos(F.greatest(F.lit(0.0), theta - F.col("ra") - F.col("rb"))) + F.lit(1e-9)
+        pairs = (pairs.join(side("a"), ["dir", "a"]).join(side("b"), ["dir", "b"]).where("na <= nb").join(lower, "dir", "left")
+                 .where((F.col("na") == F.col("nb")) | F.col("_lb").isNull() | (bound >= F.col("_lb")))
+                 .select("dir", F.col("na").alias("a"), F.col("nb").alias("b")))
+    return pairs.where("a < b").select("dir", F.col("a").alias("blk_a"), F.col("b").alias("blk_b")), levels[1:]
+
+
 def most_similar_pairs(vectors: DataFrame, dir_col: str, path_col: str, vec_col: str,
-                       block_size: int = 256, lsh_bits: int = 4) -> DataFrame:
+                       block_size: int = 256, lsh_bits: int = 4, fan_bits: int = 8) -> DataFrame:
     """Best file pair per directory by cosine similarity (JOIN4 + AGG10, exact).
 
-    Runs eagerly: the small result is checkpointed and the cached intermediates freed.
+    Runs eagerly: the small result is checkpointed and the cached intermediates freed.  The
+    blocks of a directory are compared through a tree of balls with 2^fan_bits children each.
 
     ``path_col`` must be an integer ordinal giving the file order inside a directory.
     Returns (dir, path_a, path_b, cosine) with path_a < path_b; directories without a
@@ -161,24 +206,15 @@ def most_similar_pairs(vectors: DataFrame, dir_col: str, path_col: str, vec_col:
                 .mapInPandas(_unit_and_code(lsh_bits), "dir string, path bigint, u array<double>, code bigint"))
     vb = v = v.persist()
     sizes = v.groupBy("dir", "code").agg(F.count(F.lit(1)).alias("_cnt"))
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(block_size)))
+    most = sizes.agg(F.max(chunks)).first()[0] or 1
+    chunk_bits = int(most - 1).bit_length()
     v = (v.join(sizes, ["dir", "code"])
-          .withColumn("_nchunk", F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(block_size))))
-          .withColumn("blk", (F.col("code") * F.lit(1 << 20)
-                              + F.pmod(F.xxhash64(F.col("path")), F.col("_nchunk"))).cast("bigint"))
+          .withColumn("blk", (F.shiftleft("code", chunk_bits) + F.pmod(F.xxhash64(F.col("path")), chunks)).cast("bigint"))
           .select("dir", "blk", "path", "u")).persist()
     # vectors and block summaries each feed several branches: computed once per run
     summ = spread_groups(v, "dir", "blk").groupBy("dir", "blk").applyInPandas(_block_summary, _BEST_SCHEMA).persist()
-    lower = (summ.filter(F.col("cos").isNotNull()).groupBy("dir")
-                 .agg(F.max(F.round("cos", TIE_DECIMALS)).alias("_lb")))
-    a = summ.select("dir", F.col("blk").alias("blk_a"), F.col("centroid").alias("c_a"), F.col("radius").alias("r_a"))
-    b = summ.select("dir", F.col("blk").alias("blk_b"), F.col("centroid").alias("c_b"), F.col("radius").alias("r_b"))
-    dot = F.aggregate(F.zip_with("c_a", "c_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    theta = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), dot)))
-    ub = F.cos(F.greatest(F.lit(0.0), theta - F.col("r_a") - F.col("r_b"))) + F.lit(1e-9)
-    pairs = (a.join(b, "dir").filter(F.col("blk_a") < F.col("blk_b"))
-              .join(lower, "dir", "left")
-              .filter(F.col("_lb").isNull() | (ub >= F.col("_lb")))
-              .select("dir", "blk_a", "blk_b"))
+    pairs, tree = _close_blocks(summ, lsh_bits + chunk_bits, fan_bits)
     side_a = pairs.join(v.withColumnRenamed("blk", "blk_a"), ["dir", "blk_a"]).withColumn("side", F.lit(0))
     side_b = pairs.join(v.withColumnRenamed("blk", "blk_b"), ["dir", "blk_b"]).withColumn("side", F.lit(1))
     cols = ["dir", "blk_a", "blk_b", "side", "path", "u"]
@@ -195,9 +231,8 @@ def most_similar_pairs(vectors: DataFrame, dir_col: str, path_col: str, vec_col:
     # intermediates are released (a lost executor only costs a recomputation)
     checkpoint_dir(res.sparkSession)
     res = res.checkpoint(eager=True)
-    summ.unpersist()
-    v.unpersist()
-    vb.unpersist()
+    for held in (*tree, summ, v, vb):
+        held.unpersist()
     return res
 
 

@@ -90,8 +90,8 @@ def brute_best(vecs):
     return best
 
 
-@pytest.mark.parametrize("block_size,bits", [(4, 2), (16, 3), (1000, 1)])
-def test_most_similar_pairs_matches_brute_force(spark, block_size, bits):
+@pytest.mark.parametrize("block_size,bits,fan", [(4, 2, 1), (4, 5, 2), (16, 3, 8), (1000, 1, 1)])
+def test_most_similar_pairs_matches_brute_force(spark, block_size, bits, fan):
     rng = np.random.default_rng(block_size)
     rows = []
     for d in range(4):
@@ -104,7 +104,7 @@ def test_most_similar_pairs_matches_brute_force(spark, block_size, bits):
             rows.append((d, d * 1000 + i, [float(x) for x in v]))
     df = spark.createDataFrame(rows, "label int, vec_id long, embedding array<double>")
     got = {r.dir: r for r in corpus.most_similar_pairs(df, "label", "vec_id", "embedding",
-                                                         block_size=block_size, lsh_bits=bits).collect()}
+                                                         block_size=block_size, lsh_bits=bits, fan_bits=fan).collect()}
     for d in range(4):
         vecs = [(vid, np.array(e)) for lab, vid, e in rows if lab == d]
         exp = brute_best(vecs)
@@ -116,6 +116,24 @@ def test_most_similar_pairs_matches_brute_force(spark, block_size, bits):
         assert abs(g.cosine - exp[0]) < 1e-9
 
 
+def test_distant_balls_are_never_paired(spark):
+    """Tight clusters far from each other: the walk forms few of the block pairs, and none is lost."""
+    rng = np.random.default_rng(3)
+    centres = np.linalg.qr(rng.standard_normal((16, 16)))[0]
+    near = [centres[i % 16] + 1e-2 * rng.standard_normal(16) for i in range(640)]
+    rows = [("d", i, (v / np.linalg.norm(v)).tolist()) for i, v in enumerate(near)]
+    df = spark.createDataFrame(rows, "dir string, path long, v array<double>")
+    blocks = (df.withColumn("blk", F.col("path") % 16 * 4 + F.floor(F.col("path") / 160)).withColumn("u", F.col("v"))
+              .groupBy("dir", "blk").applyInPandas(corpus._block_summary, corpus._BEST_SCHEMA).persist())
+    pairs, tree = corpus._close_blocks(blocks, 6, 2)
+    formed = {(r.blk_a, r.blk_b) for r in pairs.collect()}
+    assert len(tree) == 2 and 0 < len(formed) <= 16 * 6                      # of 64 * 63 / 2
+    assert all(a // 4 == b // 4 for a, b in formed)
+    got = corpus.most_similar_pairs(df, "dir", "path", "v", block_size=8, lsh_bits=6, fan_bits=2).first()
+    best = brute_best([(i, np.array(v)) for _, i, v in rows])
+    assert (got.path_a, got.path_b) == best[1:]
+
+
 def test_corpus_filter_counts_names_before_length(spark):
     rows = [("d1", 1, "x" * 60), ("d1", 2, "short"), ("d1", 3, "y" * 51), ("d2", 4, "z" * 80), ("d2", 5, "w" * 80)]
     df = spark.createDataFrame(rows, "dir string, path int, text string")
