@@ -27,18 +27,24 @@ def _batch():
 
 
 def stream_epoch_due(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", folder=folder)
-    s = st.epoch_trigger_stream(ev, "user_id", "ts", "event_id", 100, 12, lateness="400 days")
+    # several batches of rows up to half an hour late; a folder of any order needs a lateness beyond it
+    lateness = "400 days" if folder else "1 hour"
+    folder = folder or time_slices(spark, d, "events", "ts", "event_id", parts=3, disorder=1_800.0)
+    ev = table_stream(spark, d, "events", max_files=2, folder=folder)
+    s = st.epoch_trigger_stream(ev, "user_id", "ts", "event_id", 100, 12, lateness=lateness)
     out = latest_by_batch(run_to_table(spark, s, "epoch_due", "update"), ["event_id"])
     return out.select("user_id", "event_id", "block", "due")
 
 
 def stream_ema(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    ev = table_stream(spark, d, "events", folder=folder)
+    # several batches of rows up to half an hour late: a round closes three rounds on
+    open_rounds = 24 * 366 if folder else 3
+    folder = folder or time_slices(spark, d, "events", "ts", "event_id", parts=3, disorder=1_800.0)
+    ev = table_stream(spark, d, "events", max_files=2, folder=folder)
     r = views.responses_of(ev).join(_batch().eligible_population(spark, d), "uid", "inner")   # stream-static join
     r = (r.withColumn("reward", scoring.reward(F.col("score"), F.col("process_time")))
           .withColumn("valid", F.col("patch").isNotNull() & (F.col("patch") != "")))
-    s = st.ema_stream(r, "uid", "round", "ts", "event_id", "reward", "valid", alpha=0.1)
+    s = st.ema_stream(r, "uid", "round", "ts", "event_id", "reward", "valid", alpha=0.1, open_rounds=open_rounds)
     out = latest_by_batch(run_to_table(spark, s, "ema", "update"), ["uid"])
     return out.select("uid", F.round("score", 9).alias("score"), "n_updates")
 
@@ -76,8 +82,13 @@ def stream_messages(spark: SparkSession, d: str) -> DataFrame:
     return pr.run_processor(spark, joined, "messages", idle_batches=False).drop("_batch")
 
 
+def _mixed_turns(spark: SparkSession, d: str) -> str:
+    """The conversations' turns in three sets of files, in any order."""
+    return arrivals(spark, spark.read.parquet(table_path(d, "conversations")), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)), 3, "turns")
+
+
 def stream_chunks(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
-    c = table_stream(spark, d, "conversations", folder=folder)
+    c = table_stream(spark, d, "conversations", max_files=2, folder=folder or _mixed_turns(spark, d))
     out = latest_by_batch(run_to_table(spark, st.chunk_accumulator(c, "conv_id", "turn", "text"), "chunks", "update"),
                           ["conv_id"])
     return out.select("conv_id", "completion", "n_chunks")
@@ -142,7 +153,7 @@ def stream_gate_live(spark: SparkSession, d: str) -> DataFrame:
 def stream_population_resync(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
     import uuid
     from ..session import scratch_path
-    o = table_stream(spark, d, "orders", folder=folder)
+    o = table_stream(spark, d, "orders", max_files=2, folder=folder or time_slices(spark, d, "orders", "o_orderdate", "o_orderkey", parts=3))
     held = F.when(F.pmod(F.col("o_orderkey"), F.lit(11)) != 0, F.col("o_orderpriority"))      # now and then a uid has none
     snaps = o.select(F.pmod(F.col("o_custkey"), F.lit(64)).alias("uid"), held.alias("hotkey"),
                      F.col("o_orderdate").alias("snap_ts"), F.col("o_orderkey").alias("snap_seq"))
@@ -181,7 +192,8 @@ def stream_trueskill(spark: SparkSession, d: str, folder: str | None = None) ->
 def stream_token_batches(spark: SparkSession, d: str, folder: str | None = None) -> DataFrame:
     """Tokens of whole conversations in threes, carried from turn to turn (STM2)."""
     ends = spark.read.parquet(table_path(d, "conversations")).groupBy("conv_id").agg(F.max("turn").alias("end"))
-    c = table_stream(spark, d, "conversations", folder=folder).join(ends, "conv_id").withColumn("last", F.col("turn") == F.col("end"))
+    c = table_stream(spark, d, "conversations", max_files=2, folder=folder or _mixed_turns(spark, d))
+    c = c.join(ends, "conv_id").withColumn("last", F.col("turn") == F.col("end"))
     return run_to_table(spark, st.token_batch_stream(c, "conv_id", "turn", "text", "last"), "token_batches").drop("_batch")
 
 
