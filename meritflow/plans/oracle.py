@@ -160,6 +160,14 @@ FROM cur GROUP BY uid"""
 SELECT netuid, uid, round(stake / greatest(sum(abs(stake)) OVER (PARTITION BY netuid), 1e-12), 9) AS weight FROM miners"""
     q["cap_weights"] = _with(MINERS, ACCT_WEIGHTS) + "SELECT netuid, uid, round(weight, 9) AS weight FROM " + _cap_sql("acct", "raw")
     q["process_weights"] = _with(MINERS, ACCT_WEIGHTS, PROCESS_WEIGHTS) + "SELECT netuid, uid, round(weight, 9) AS weight FROM pw"
+    q["blended_weights"] = _with(*base, """typed AS (
+  SELECT uid, labelled, sum(0.1 * reward * pow(0.9, n - rn)) AS score
+  FROM (SELECT uid, reward, event_type = 'click' AS labelled, row_number() OVER (PARTITION BY uid, event_type = 'click' ORDER BY round) AS rn,
+               count(*) OVER (PARTITION BY uid, event_type = 'click') AS n FROM valid) GROUP BY 1, 2)""", """league AS (
+  SELECT netuid, m.uid, coalesce(c.score, 0.0) AS a, coalesce(o.score, 0.0) AS b
+  FROM miners m LEFT JOIN typed c ON c.uid = m.uid AND c.labelled LEFT JOIN typed o ON o.uid = m.uid AND NOT o.labelled)""") + """
+SELECT netuid, uid, round(0.8 * a / greatest(sum(abs(a)) OVER (PARTITION BY netuid), 1e-12)
+                          + 0.2 * b / greatest(sum(abs(b)) OVER (PARTITION BY netuid), 1e-12), 9) AS share FROM league"""
     uneven = [MINERS, UNEVEN_WEIGHTS, _process_sql(20_000 / 65_535)]
     q["process_weights_quantile"] = _with(*uneven) + "SELECT netuid, uid, round(weight, 9) AS weight FROM pw"
     emitted = """

@@ -144,6 +144,18 @@ def process_weights_quantile(spark: SparkSession, d: str) -> DataFrame:
     return w.select("netuid", "uid", _r("weight", "weight"))
 
 
+def blended_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a league from two scores: 0.8 of the labelled tasks' (clicks here), which alone
+    move the main score, and 0.2 of the open ones' (WIN1, AGG5)."""
+    rw = valid_rewards(spark, d).withColumn("task_type", F.when(F.col("event_type") == "click", "labelled_issue").otherwise("open_issue"))
+    rw = written(rw.select("uid", "round", "day", "reward", "task_type"), "rewards")
+    ema = lambda rows, name: scoring.ema_final(rows, "uid", ["round"], "reward", block=F.col("day"), alpha=0.1, out=name).select("uid", name)
+    league = (views.miners(spark, d).select("netuid", "uid").join(ema(scoring.labelled_only(rw), "score"), "uid", "left")
+              .join(ema(rw.where("task_type = 'open_issue'"), "pr_score"), "uid", "left").na.fill(0.0, ["score", "pr_score"]))
+    w = weights.blend_scores(league, "netuid", "score", "pr_score", "share", closed_pct=0.8, open_pct=0.2)
+    return w.select("netuid", "uid", _r("share", "share"))
+
+
 def emit_u16_quantile(spark: SparkSession, d: str) -> DataFrame:
     """The same weights as whole numbers, through the lists that a validator emits (AGG8, FLT15)."""
     w = weights.process_weights(_uneven_weights(spark, d), "netuid", "uid", "raw", "weight",
@@ -202,6 +214,7 @@ QUERIES = {
     "emit_u16": emit_u16,
     "process_weights_quantile": process_weights_quantile,
     "emit_u16_quantile": emit_u16_quantile,
+    "blended_weights": blended_weights,
     "eligible_miners": eligible_miners,
     "gate_requests": gate_requests,
     "priority_order": priority_order,
