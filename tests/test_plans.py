@@ -21,7 +21,8 @@ def test_no_cross_or_nested_loop_join(spark, name):
 
 
 def test_flagship_prunes_and_pushes_down(spark):
-    plan = physical(QUERIES["reward_to_weights"](spark, SF_SMALL))
+    # the scores that the flagship writes once before its league aggregates
+    plan = physical(QUERIES["ema_final"](spark, SF_SMALL))
     import re
     # the scans read only what eligibility, leagues and rewards need
     scans = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
