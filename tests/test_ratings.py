@@ -73,3 +73,22 @@ def test_elo_from_judgements_counts_rejects(spark):
 @pytest.mark.parametrize("at_once", [1, 7, 50])
 def test_large_tournaments_keep_their_order(at_once):
     assert list(ratings.match_schedule(12, 2, "x", at_once)) == list(ratings.match_schedule(12, 2, "x"))
+
+
+def test_large_tournament_is_folded_in_turns_like_match_by_match(monkeypatch):
+    scores = [float(x * x % 41) for x in range(130)]
+    for mode in ("reference", "standard"):
+        cfg = RatingConfig(draw_mode=mode)
+        one_by_one = ratings.elo_fold(scores, cfg, seed="s")
+        monkeypatch.setattr(ratings, "FOLD_TOGETHER", 2)
+        assert ratings.elo_fold(scores, cfg, seed="s") == pytest.approx(one_by_one, abs=1e-9)
+        monkeypatch.undo()
+
+
+def test_match_order_is_the_md5_order_in_ranges_too():
+    import hashlib
+    key = lambda r, i, j: hashlib.md5(f"elo:7:{r}:{i}:{j}".encode()).digest()
+    every = [(r, i, j) for r in range(2) for i in range(112) for j in range(i + 1, 112)]
+    exp = sorted(every, key=lambda x: (x[0], key(*x)))
+    assert list(ratings.match_schedule(112, 2, seed="elo:7")) == exp
+    assert list(ratings.match_schedule(112, 2, seed="elo:7", at_once=1_000)) == exp
