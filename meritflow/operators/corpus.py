@@ -8,10 +8,14 @@ Most-similar file pair per directory, exactly, without emitting all file pairs:
    matrix product and reports the block's centroid and angular radius;
 3. the best internal pair of a directory is a lower bound; a pair of blocks is only
    compared when the triangle bound  cos(max(0, angle(cA, cB) - rA - rB))  can reach it;
-4. surviving block pairs are compared with one matrix product each; the best of all
+4. blocks that follow one another make a tile, and tiles are paired by the same bound:
+   a task gets the vectors of two tiles once, not once for each pair of their blocks, and
+   compares the surviving block pairs with one matrix product each; the best of all
    candidates per directory wins, first pair in (path_a, path_b) order on ties.
 
-Only block summaries are paired, never rows, and every task holds at most two blocks.
+Only summaries are paired, never rows, and every task holds at most two tiles.  A directory
+has about ``MOST_TILES`` tiles, so a vector is shuffled about as often at any size; beyond
+``TILE_BLOCKS[1]`` blocks in a tile their number grows instead of their size.
 """
 
 from __future__ import annotations
@@ -27,6 +31,8 @@ from ..config import IngestConfig
 from ..session import checkpoint_dir, spread_groups
 
 TIE_DECIMALS = 12   # cosine values equal to 12 decimals count as a tie
+MOST_TILES = 16
+TILE_BLOCKS = (6, 10)   # a tile has 2^6 to 2^10 blocks
 
 
 def dir_threshold(files: DataFrame, dir_col: str, min_files: int) -> DataFrame:
@@ -117,16 +123,20 @@ def _best_pair(sim: np.ndarray, ia: np.ndarray, ib: np.ndarray, same: bool):
     return float(sim[rr[k], cc[k]]), int(lo[k]), int(hi[k])
 
 
-def _block_summary(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids = pdf["path"].to_numpy(dtype=np.int64)
-    m = np.vstack(pdf["u"].to_numpy())
+def _centre(m: np.ndarray) -> tuple[np.ndarray, float]:
+    """The direction of the vectors' sum and the widest angle to it."""
     c = m.sum(axis=0)
     cn = np.linalg.norm(c)
     if cn > 0:
         c = c / cn
-        radius = float(np.arccos(np.clip(m @ c, -1.0, 1.0)).max())
-    else:
-        radius = math.pi
+        return c, float(np.arccos(np.clip(m @ c, -1.0, 1.0)).max())
+    return c, math.pi
+
+
+def _block_summary(pdf: pd.DataFrame) -> pd.DataFrame:
+    ids = pdf["path"].to_numpy(dtype=np.int64)
+    m = np.vstack(pdf["u"].to_numpy())
+    c, radius = _centre(m)
     best = _best_pair(m @ m.T, ids, ids, same=True) if len(ids) > 1 else None
     cos, a, b = best if best else (None, None, None)
     return pd.DataFrame([{"dir": pdf["dir"].iat[0], "blk": int(pdf["blk"].iat[0]), "n": len(ids),
@@ -134,14 +144,37 @@ def _block_summary(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cross_best(pdf: pd.DataFrame) -> pd.DataFrame:
-    left = pdf[pdf["side"] == 0]
-    right = pdf[pdf["side"] == 1]
-    if left.empty or right.empty:
-        return pd.DataFrame(columns=["dir", "cos", "a", "b"])
-    ma, mb = np.vstack(left["u"].to_numpy()), np.vstack(right["u"].to_numpy())
-    best = _best_pair(ma @ mb.T, left["path"].to_numpy(dtype=np.int64), right["path"].to_numpy(dtype=np.int64), False)
+    """Best pair between different blocks of two tiles, or of one (rows of side 0 alone)."""
+    none = pd.DataFrame(columns=["dir", "cos", "a", "b"])
+    pdf = pdf.sort_values(["side", "blk", "path"], kind="stable")
+    ids, m = pdf["path"].to_numpy(dtype=np.int64), np.vstack(pdf["u"].to_numpy())
+    side, blk = pdf["side"].to_numpy(), pdf["blk"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, (side[1:] != side[:-1]) | (blk[1:] != blk[:-1])])
+    ends = np.r_[starts[1:], len(ids)]
+    balls = [_centre(m[i:j]) for i, j in zip(starts, ends, strict=True)]
+    centre, radius = np.vstack([c for c, _ in balls]), np.array([r for _, r in balls])
+    lower = pdf["_lb"].iat[0]
+    lower = -math.inf if lower is None or math.isnan(lower) else float(lower)
+    crossing = side[-1] != side[0]
+    best = None
+    for x in range(len(starts)):
+        if crossing and side[starts[x]]:
+            break
+        others = side[starts] == 1 if crossing else np.arange(len(starts)) > x
+        theta = np.arccos(np.clip(centre @ centre[x], -1.0, 1.0))
+        near = others & (np.cos(np.maximum(0.0, theta - radius[x] - radius)) + 1e-9 >= lower)
+        if not near.any():
+            continue
+        right = np.flatnonzero(np.repeat(near, ends - starts))
+        sim = m[starts[x]:ends[x]] @ m[right].T
+        if sim.max() < lower - 1e-11:
+            continue
+        got = _best_pair(sim, ids[starts[x]:ends[x]], ids[right], False)
+        rank = lambda g: (-round(g[0], TIE_DECIMALS), g[1], g[2])
+        if got is not None and (best is None or rank(got) < rank(best)):
+            best, lower = got, max(lower, round(got[0], TIE_DECIMALS))
     if best is None:
-        return pd.DataFrame(columns=["dir", "cos", "a", "b"])
+        return none
     return pd.DataFrame([{"dir": pdf["dir"].iat[0], "cos": best[0], "a": best[1], "b": best[2]}])
 
 
@@ -189,6 +222,22 @@ def _close_blocks(summ: DataFrame, key_bits: int, fan_bits: int) -> tuple[DataFr
     return pairs.where("a < b").select("dir", F.col("a").alias("blk_a"), F.col("b").alias("blk_b")), levels[1:]
 
 
+def _close_tiles(summ: DataFrame, key_bits: int, tile_bits: int, fan_bits: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(dir, tile_a, tile_b, _lb) of the tiles, each with itself too, whose blocks may hold a better
+    pair than any block does inside, the best of which is _lb, and the cached balls.
+
+    A block's tile is the prefix of its number; the balls of tiles are the leaves of the tree.
+    """
+    lower = summ.groupBy("dir").agg(F.max(F.round("cos", TIE_DECIMALS)).alias("_lb")).persist()
+    balls = (summ.select("dir", F.shiftright("blk", tile_bits).alias("parent"), "n", "centroid", "radius").groupBy("dir", "parent")
+             .applyInPandas(_ball, "dir string, node bigint, n bigint, centroid array<double>, radius double"))
+    tiles = balls.withColumnRenamed("node", "blk").join(lower.withColumnRenamed("_lb", "cos"), "dir").persist()
+    pairs, tree = _close_blocks(tiles, max(1, key_bits - tile_bits), fan_bits)
+    pairs = pairs.unionByName(tiles.select("dir", F.col("blk").alias("blk_a"), F.col("blk").alias("blk_b")))
+    return (pairs.join(lower, "dir").select("dir", F.col("blk_a").alias("tile_a"), F.col("blk_b").alias("tile_b"), "_lb"),
+            [*tree, tiles, lower])
+
+
 def most_similar_pairs(vectors: DataFrame, dir_col: str, path_col: str, vec_col: str,
                        block_size: int = 256, lsh_bits: int = 4, fan_bits: int = 8) -> DataFrame:
     """Best file pair per directory by cosine similarity (JOIN4 + AGG10, exact).
@@ -214,12 +263,16 @@ def most_similar_pairs(vectors: DataFrame, dir_col: str, path_col: str, vec_col:
           .select("dir", "blk", "path", "u")).persist()
     # vectors and block summaries each feed several branches: computed once per run
     summ = spread_groups(v, "dir", "blk").groupBy("dir", "blk").applyInPandas(_block_summary, _BEST_SCHEMA).persist()
-    pairs, tree = _close_blocks(summ, lsh_bits + chunk_bits, fan_bits)
-    side_a = pairs.join(v.withColumnRenamed("blk", "blk_a"), ["dir", "blk_a"]).withColumn("side", F.lit(0))
-    side_b = pairs.join(v.withColumnRenamed("blk", "blk_b"), ["dir", "blk_b"]).withColumn("side", F.lit(1))
-    cols = ["dir", "blk_a", "blk_b", "side", "path", "u"]
-    cross = (spread_groups(side_a.select(*cols).unionByName(side_b.select(*cols)), "dir", "blk_a", "blk_b")
-             .groupBy("dir", "blk_a", "blk_b").applyInPandas(_cross_best, _CROSS_SCHEMA))
+    key_bits = lsh_bits + chunk_bits
+    tile_bits = min(TILE_BLOCKS[1], max(TILE_BLOCKS[0], key_bits - int(MOST_TILES).bit_length() + 1))
+    pairs, tree = _close_tiles(summ, key_bits, tile_bits, fan_bits)
+    tiled = v.withColumn("tile", F.shiftright("blk", tile_bits))
+    side_a = pairs.join(tiled.withColumnRenamed("tile", "tile_a"), ["dir", "tile_a"]).withColumn("side", F.lit(0))
+    side_b = (pairs.where("tile_a < tile_b").join(tiled.withColumnRenamed("tile", "tile_b"), ["dir", "tile_b"])
+              .withColumn("side", F.lit(1)))
+    cols = ["dir", "tile_a", "tile_b", "_lb", "side", "blk", "path", "u"]
+    cross = (spread_groups(side_a.select(*cols).unionByName(side_b.select(*cols)), "dir", "tile_a", "tile_b")
+             .groupBy("dir", "tile_a", "tile_b").applyInPandas(_cross_best, _CROSS_SCHEMA))
     cands = summ.filter(F.col("cos").isNotNull()).select("dir", "cos", "a", "b").unionByName(cross)
     best = (cands.groupBy("dir")
                  .agg(F.max(F.struct(F.round("cos", TIE_DECIMALS).alias("k"), (-F.col("a")).alias("na"),

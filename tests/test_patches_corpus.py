@@ -153,3 +153,22 @@ def test_unit_vector_and_cosine_helpers(spark):
     assert rows[0].u == [0.6, 0.8] and abs(rows[0].c - 0.96) < 1e-12
     assert rows[1].u is None and rows[1].c is None
     assert rows[2].c == -1.0
+
+
+def test_vectors_are_shuffled_by_tile_not_by_block_pair(spark):
+    """Vectors without any structure: all blocks are close, but a task gets whole tiles."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    n = 1_200
+    m = rng.standard_normal((n, 12))
+    m[700] = m[3] * 2.0
+    df = spark.createDataFrame([("d", i, [float(x) for x in v]) for i, v in enumerate(m)], "dir string, path long, v array<double>")
+    sent = []
+    real = corpus.spread_groups
+    corpus.spread_groups = lambda d, *keys: sent.append(d.count()) or real(d, *keys)
+    try:
+        got = corpus.most_similar_pairs(df, "dir", "path", "v", block_size=8, lsh_bits=2).first()
+    finally:
+        corpus.spread_groups = real
+    assert (got.path_a, got.path_b) == (3, 700)
+    assert sum(sent) <= n * (2 + 2 * corpus.MOST_TILES)
