@@ -19,6 +19,9 @@ from ..functions.math import epoch_us
 from ..session import scratch_path
 from ..sources.tables import table_path
 
+#: Keys with little state are kept together in this many groups.
+SLOTS = 1_024
+
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1,
                  folder: str | None = None) -> DataFrame:
@@ -83,6 +86,11 @@ def event_time(ts) -> F.Column:
     return F.timestamp_micros(epoch_us(ts))
 
 
+def slot(*keys: str) -> F.Column:
+    """``_slot``: the group, of ``SLOTS``, whose state and calls a key shares."""
+    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int").alias("_slot")
+
+
 def run_to_table(spark: SparkSession, sdf: DataFrame, name: str, output_mode: str = "append",
                  run_id: str | None = None) -> DataFrame:
     """Run ``sdf`` until the available input is consumed; return what it wrote, with ``_batch``.

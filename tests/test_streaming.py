@@ -265,3 +265,17 @@ def test_rounds_close_by_timer_and_late_responses_are_dropped(spark):
     s = [0.2, 0.1 * 4 + 0.9 * 0.2]
     assert got == [(1, 0, round(s[0], 9), 1), (1, 1, round(s[1], 9), 2), (1, 3, round(0.9 * s[1], 9), 3),
                    (1, 16, round(0.1 + 0.81 * s[1], 9), 4), (2, 3, 0.0, 0)]
+
+
+def test_keys_of_a_slot_share_a_call():
+    """Keys, null too, are numbered within their slot's state, and each keeps its own rows."""
+    import numpy as np
+    import pandas as pd
+    from meritflow.streaming import runner, stateful
+    assert runner.SLOTS < 10_000
+    keys = ["b"]
+    rows, own = stateful._numbered(keys, [pd.Series(["a", None, "b"], dtype=object), pd.Series(["a"], dtype=object)],
+                                   [np.array([[1, 1], [2, 2], [3, 3]]), np.array([[4, 4]])])
+    assert keys == ["b", "a", None]
+    assert {keys[k]: x[:, 0].tolist() for k, x in stateful._split(own, rows)} == {"b": [3], "a": [1, 4], None: [2]}
+    assert list(stateful._split(np.zeros(0, np.int64), np.zeros((0, 2), np.int64))) == []
