@@ -162,7 +162,8 @@ def _cross_best(pdf: pd.DataFrame) -> pd.DataFrame:
             break
         others = side[starts] == 1 if crossing else np.arange(len(starts)) > x
         theta = np.arccos(np.clip(centre @ centre[x], -1.0, 1.0))
-        near = others & (np.cos(np.maximum(0.0, theta - radius[x] - radius)) + 1e-9 >= lower)
+        # a block without a direction bounds nothing and is compared
+        near = others & ~(np.cos(np.maximum(0.0, theta - radius[x] - radius)) + 1e-9 < lower)
         if not near.any():
             continue
         right = np.flatnonzero(np.repeat(near, ends - starts))

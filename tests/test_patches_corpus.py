@@ -172,3 +172,12 @@ def test_vectors_are_shuffled_by_tile_not_by_block_pair(spark):
         corpus.spread_groups = real
     assert (got.path_a, got.path_b) == (3, 700)
     assert sum(sent) <= n * (2 + 2 * corpus.MOST_TILES)
+
+
+def test_block_with_an_undirected_vector_is_still_compared():
+    import numpy as np
+    import pandas as pd
+    u = [np.array([np.nan, 1.0]), np.array([0.0, 1.0]), np.array([1.0, 0.0]), np.array([0.0, 1.0])]
+    rows = pd.DataFrame({"dir": "d", "_lb": 0.5, "side": 0, "blk": [0, 0, 1, 1], "path": [1, 2, 3, 4], "u": u})
+    got = corpus._cross_best(rows)
+    assert got[["cos", "a", "b"]].values.tolist() == [[1.0, 2, 4]]
