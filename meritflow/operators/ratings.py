@@ -265,16 +265,25 @@ def elo_from_judgements(players: DataFrame, judgements: DataFrame, problem: str,
 
 
 # ----------------------------------------------------------------------------- TrueSkill
-def _v_win(t: float, eps: float) -> float:
-    x = t - eps
-    den = _N.cdf(x)
-    return _N.pdf(x) / den if den > 1e-300 else -x
+_ROOT_HALF, _DENSITY = math.sqrt(0.5), 1.0 / math.sqrt(2.0 * math.pi)
+#: From here down, the moments come from the tail's continued fraction of this many levels.
+TAIL, TAIL_LEVELS = -5.0, 40
 
 
-def _w_win(t: float, eps: float) -> float:
-    x = t - eps
-    v = _v_win(t, eps)
-    return v * (v + x)
+def _won(x: float) -> tuple[float, float]:
+    """v(x) = pdf / cdf and 1 - v * (v + x): shift and remaining variance of a unit normal cut at -x.
+
+    Both keep their digits far down the tail, where 1 + erf(x) and v + x would lose them.
+    """
+    if x > TAIL:
+        v = _DENSITY * math.exp(-0.5 * x * x) / (0.5 * math.erfc(-x * _ROOT_HALF))
+        return v, 1.0 - v * (v + x)
+    # v = y + d and d = 1 / (y + e) with e = 2 / (y + 3 / (y + ...)), so 1 - v * d = d * (e - d)
+    y, e = -x, 0.0
+    for k in range(TAIL_LEVELS, 1, -1):
+        e = k / (y + e)
+    d = 1.0 / (y + e)
+    return y + d, d * (e - d)
 
 
 def draw_margin(p_draw: float, beta: float, n_players: int = 2) -> float:
@@ -295,7 +304,7 @@ def rate_ffa(ratings: list[tuple[float, float]], cfg: RatingConfig = RatingConfi
         return list(ratings)
     b2, t2 = cfg.ts_beta ** 2, cfg.ts_tau ** 2
     eps = draw_margin(cfg.ts_draw_probability, cfg.ts_beta)
-    sqrt, cdf, pdf = math.sqrt, _N.cdf, _N.pdf
+    sqrt = math.sqrt
     # prior message on each performance: N(mu, sigma^2 + tau^2 + beta^2)
     p_pi = [1.0 / (sg * sg + t2 + b2) for _, sg in ratings]
     p_tau = [m * pp for (m, _), pp in zip(ratings, p_pi)]
@@ -318,14 +327,12 @@ def rate_ffa(ratings: list[tuple[float, float]], cfg: RatingConfig = RatingConfi
         bm, bv = btau / bpi, 1.0 / bpi
         dm, dv = am - bm, av + bv            # message down to d_k = t_k - t_{k+1}
         sd = sqrt(dv)
-        x = (dm - eps) / sd
-        den = cdf(x)
-        v = pdf(x) / den if den > 1e-300 else -x
-        w = v * (v + x)
-        nm, nv = dm + sd * v, dv * (1.0 - w)  # moment-matched truncated d_k
+        v, left = _won((dm - eps) / sd)
+        nm, nv = dm + sd * v, dv * left       # moment-matched truncated d_k
         new_pi = 1.0 / nv - 1.0 / dv
         new_tau = nm / nv - dm / dv
-        delta = max(abs(new_pi - tr_pi[k]), abs(new_tau - tr_tau[k]))
+        # where a message is large its last digits are rounding, so its change counts relative to it
+        delta = max(abs(new_pi - tr_pi[k]) / max(1.0, new_pi), abs(new_tau - tr_tau[k]) / max(1.0, abs(new_tau)))
         tr_pi[k], tr_tau[k] = new_pi, new_tau
         if new_pi > 0:                        # t_k = d_k + t_{k+1};  t_{k+1} = t_k - d_k
             tm, tv = new_tau / new_pi, 1.0 / new_pi

@@ -1,5 +1,7 @@
 """Elo and TrueSkill folds."""
 
+import math
+
 import pytest
 
 from meritflow.config import RatingConfig
@@ -19,6 +21,29 @@ def test_trueskill_three_way_symmetry():
     assert r[0][0] > r[1][0] > r[2][0]
 
 
+@pytest.mark.parametrize("n", [20, 60, 200])
+def test_trueskill_large_rounds_settle(n):
+    """Far upsets keep their digits, so a long chain settles within a few sweeps."""
+    spread = [(25.0 + 9.0 * math.sin(7 * i), 1.0 + i % 7) for i in range(n)]
+    few, many = ratings.rate_ffa(spread, max_iter=40), ratings.rate_ffa(spread, max_iter=400)
+    assert few == many
+    alike = ratings.rate_ffa([(25.0, 25 / 3)] * n)
+    assert [m for m, _ in alike] == sorted((m for m, _ in alike), reverse=True)
+    for (m, s), (m2, s2) in zip(alike, reversed(alike)):
+        assert m - 25.0 == pytest.approx(25.0 - m2, abs=1e-6) and s == pytest.approx(s2, abs=1e-6)
+
+
+def test_trueskill_moments_keep_their_digits_down_the_tail():
+    from fractions import Fraction
+    for x in (-4.0, -4.999, -5.0, -6.5, -12.0, -40.0, -500.0):
+        y = e = Fraction(-x)
+        for k in range(200, 1, -1):
+            e = (k / (y + e)).limit_denominator(10 ** 40)
+        d = 1 / (y + e)
+        v, left = ratings._won(x)
+        assert v == pytest.approx(float(y + d), rel=1e-13) and left == pytest.approx(float(d * (e - d)), rel=1e-11)
+
+
 def test_trueskill_fold_single_participant_and_ranks():
     rounds = [[(7, 0.5)], [(1, 0.9), (2, 0.1), (3, 0.5)], [(2, 0.4), (1, 0.4)]]
     out = list(ratings.trueskill_fold(rounds))
