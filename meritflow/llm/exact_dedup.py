@@ -13,13 +13,12 @@ that more rows are grouped, with the same result.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from meritflow.llm.common import SPACE, fresh, mix64, small_batches, tidy, utf8
 
@@ -28,9 +27,8 @@ PROBES = 4
 RESULTS = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-@F.arrow_udf(BinaryType())
-def text_digest(text: pa.Array) -> pa.Array:
-    """SHA-256 of the UTF-8 text without white space; null counts as empty."""
+def _digests(text: pa.Array) -> pa.Array:
+    """SHA-256 of the UTF-8 texts without white space; null counts as empty."""
     data, at = utf8(text)
     view, blank = memoryview(data), SPACE.encode()
     out = [hashlib.sha256(bytes(view[a:b]).translate(None, blank)).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -38,6 +36,11 @@ def text_digest(text: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _keys(digests: pa.Array) -> np.ndarray:
+    """The first eight bytes of each digest as a number."""
+    return np.frombuffer(b"".join(x[:8] for x in digests.to_pylist()), "<i8")
+
+
 def _probes(keys: np.ndarray, blocks: int) -> np.ndarray:
     """Bit numbers of each key, one column a probe."""
     block = (keys >> np.uint64(40)) % np.uint64(blocks)
@@ -54,10 +57,11 @@ def _enter(table: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(table, (at >> np.uint64(3)).ravel(), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)).ravel())
 
 
-def repeated_filter(keys: DataFrame, rows: int, max_bits: int = 1 << 28) -> tuple[int, bytes]:
+def repeated_filter(keys: DataFrame, rows: int, max_bits: int = 1 << 28,
+                    of: Callable[[pa.Array], np.ndarray] = pa.Array.to_numpy) -> tuple[int, bytes]:
     """Blocks and bits of a Bloom filter that holds every key occurring twice in ``keys``.
 
-    Each batch first drops its own repeats, so a hot key reaches the shuffle twice a batch.
+    ``of`` gives the 64-bit keys of the frame's only column.  Each batch first drops its own repeats, so a hot key reaches the shuffle twice a batch.
     """
     blocks = 1
     while blocks < (1 << 22) and blocks << BLOCK_BITS < min(max_bits, 16 * max(rows, 1)):
@@ -65,7 +69,7 @@ def repeated_filter(keys: DataFrame, rows: int, max_bits: int = 1 << 28) -> tupl
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+            k, n = np.unique(of(b.column(0)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(k, np.minimum(n, 2)))], ["key"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,28 +95,30 @@ def repeated_filter(keys: DataFrame, rows: int, max_bits: int = 1 << 28) -> tupl
     return blocks, bytes(table)
 
 
-def _maybe_repeated(keyed: DataFrame, key: Column, max_bits: int) -> Column:
-    blocks, bits = repeated_filter(keyed.select(key.alias("key")), keyed.count(), max_bits)
-    shared = keyed.sparkSession.sparkContext.broadcast(bits)
+def _digest_and_repeated(docs: DataFrame, max_bits: int) -> Column:
+    """The text's digest and whether it may occur again, by one Python worker for each task."""
+    blocks, bits = repeated_filter(docs.select("text"), docs.count(), max_bits, lambda text: _keys(_digests(text)))
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    @F.arrow_udf("boolean")
-    def maybe(keys: pa.Array) -> pa.Array:
-        table = np.frombuffer(shared.value, np.uint8)
-        return pa.array(_has(table, _probes(keys.to_numpy().view(np.uint64), blocks)))
+    @F.arrow_udf("digest binary, maybe boolean")
+    def known(text: pa.Array) -> pa.Array:
+        digests = _digests(text)
+        maybe = _has(np.frombuffer(shared.value, np.uint8), _probes(_keys(digests).view(np.uint64), blocks))
+        return pa.StructArray.from_arrays([digests, pa.array(maybe)], ["digest", "maybe"])
 
-    return maybe(key)
+    # a filter on a deterministic function would be pushed down and so compute it twice
+    return known.asNondeterministic()(F.col("text"))
 
 
 def _marked(docs: DataFrame, max_bits: int) -> tuple[DataFrame, dict[str, str]]:
     """Rows that pass straight and rows that were grouped, with the working columns."""
-    n = fresh(docs, "digest", "size", "rank", "best", "count", "kept", "keep_id", "sure")
+    n = fresh(docs, "digest", "size", "rank", "best", "count", "kept", "keep_id", "sure", "known")
     c = {k: F.col(v) for k, v in n.items()}
     doc_id = F.col("doc_id").cast("long")
     small_batches(docs.sparkSession)
-    keyed = docs.withColumn(n["digest"], text_digest(F.col("text"))) if "text" in docs.columns else docs
-    keyed = keyed.withColumn(n["size"], F.coalesce(F.length("text"), F.lit(0)))
-    maybe = _maybe_repeated(keyed, F.xxhash64(c["digest"]), max_bits)
-    keyed = keyed.withColumn(n["sure"], ~maybe)
+    keyed = docs.withColumn(n["known"], _digest_and_repeated(docs, max_bits)).withColumns({
+        n["digest"]: c["known"]["digest"], n["sure"]: ~c["known"]["maybe"],
+        n["size"]: F.coalesce(F.length("text"), F.lit(0))}).drop(n["known"])
     straight = keyed.where(c["sure"]).withColumns({
         n["keep_id"]: doc_id, n["count"]: F.lit(1).cast("long"), n["kept"]: F.lit(True)})
     # ~id falls as the id grows, and null is the least of all in a struct

@@ -36,6 +36,8 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 EXCEPTIONS = ("idiot proof", "trash can", "trash bin", "class clown", "pond scum")
 
 STEMS = (4, 5, 6, 7, 8)
+#: Terms that a task counts before it passes the counts on.
+COUNTED_TERMS = 50_000
 
 
 @dataclass(frozen=True)
@@ -151,13 +153,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, max_term
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bad, good = Counter(), Counter()
+
+        def counted() -> pd.DataFrame:
+            terms = [*bad, *(t for t in good if t not in bad)]
+            return pd.DataFrame({"term": terms, "bad": [bad[t] for t in terms], "good": [good[t] for t in terms]})
+
         for b in batches:
             for text, toxic in zip(b["text"], b["toxic"], strict=True):
                 (bad if toxic else good).update(_terms(text))
-        terms = list(bad | good)
-        for i in range(0, len(terms), 100_000):
-            part = terms[i:i + 100_000]
-            yield pd.DataFrame({"term": part, "bad": [bad[t] for t in part], "good": [good[t] for t in part]})
+                if len(bad) + len(good) >= COUNTED_TERMS:
+                    yield counted()
+                    bad.clear()
+                    good.clear()
+        if bad or good:
+            yield counted()
+        tidy()
 
     rows = sample.select("text", "toxic").where("text is not null")
     sizes = {bool(r.toxic): r["count"] for r in sampled.groupBy((F.col("toxic") != 0).alias("toxic")).count().collect()}
@@ -181,6 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, max_term
         for b in batches:
             x = np.array([matcher.features(t) for t in b["text"]]).reshape(-1, 4)
             yield pd.DataFrame({"f1": x[:, 1], "f2": x[:, 2], "f3": x[:, 3], "toxic": b["toxic"].astype(float)})
+        tidy()
 
     seen = rows.mapInPandas(measure, "f1 double, f2 double, f3 double, toxic double").toPandas()
     x = np.column_stack([np.ones(len(seen)), seen[["f1", "f2", "f3"]].to_numpy()])

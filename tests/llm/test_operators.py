@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meritflow.llm import (exact_dedup, html_text, language, line_rules, minhash, mixing, packing, queries, sharding,
@@ -307,8 +308,28 @@ def test_repeated_filter_never_misses(spark):
     assert exact_dedup._has(table, exact_dedup._probes(rest.view(np.uint64), blocks)).mean() < 0.05
 
 
+def test_exact_dedup_has_one_python_step_a_stage(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string")
+    plan = exact_dedup.dedup(docs)._jdf.queryExecution().executedPlan().toString()
+    # the rows that pass, the rows that are grouped, and the best of each group
+    assert plan.count("ArrowEvalPython") == 3
+
+
 # -- toxicity -------------------------------------------------------------------------
 
+def test_toxicity_counts_in_parts(spark, monkeypatch):
+    rows = [(i, f"word{i % 37} other{i % 11} " + ("scoundrel" if i % 3 == 0 else "gentle")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    whole = toxicity.fit(docs, labels)
+    seen = []
+    monkeypatch.setattr(toxicity, "COUNTED_TERMS", 7)
+    real = DataFrame.mapInPandas
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda df, f, s, *a, **k: (seen.append(real(df, f, s)), seen[-1])[1])
+    parts = toxicity.fit(docs, labels)
+    assert parts == whole and "scou" in whole.lexicon
+    assert seen[0].groupBy("term").count().where("count > 1").count() > 0      # a term is passed on several times
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
