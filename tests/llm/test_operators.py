@@ -9,7 +9,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meritflow.llm import (exact_dedup, html_text, language, line_rules, minhash, mixing, packing, queries, sharding,
@@ -324,8 +323,8 @@ def test_toxicity_counts_in_parts(spark, monkeypatch):
     whole = toxicity.fit(docs, labels)
     seen = []
     monkeypatch.setattr(toxicity, "COUNTED_TERMS", 7)
-    real = DataFrame.mapInPandas
-    monkeypatch.setattr(DataFrame, "mapInPandas", lambda df, f, s, *a, **k: (seen.append(real(df, f, s)), seen[-1])[1])
+    frame, real = type(docs), type(docs).mapInPandas
+    monkeypatch.setattr(frame, "mapInPandas", lambda df, f, s, *a, **k: (seen.append(real(df, f, s)), seen[-1])[1])
     parts = toxicity.fit(docs, labels)
     assert parts == whole and "scou" in whole.lexicon
     assert seen[0].groupBy("term").count().where("count > 1").count() > 0      # a term is passed on several times
