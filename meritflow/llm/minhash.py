@@ -26,11 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meritflow.llm.common import BLANK, fresh, mix64, pieces, small, small_batches, stream_values, tidy, utf8, word_starts, written
+from meritflow.llm.common import (BLANK, BROADCAST_ROWS, fresh, mix64, pieces, small, small_batches, stream_values, tidy,
+                                  utf8, word_starts, written)
 
 RING = 1 << 20
 PIVOTS = 256
 SALT_ROWS = 512
+#: Rows that a broadcast of classes may hold: their tables grow with the input, and the driver
+#: collects, hashes and serves what is broadcast.  Beside whole texts only row keys are
+#: broadcast, up to BROADCAST_ROWS.
+BROADCAST = 20_000
 
 _LETTERS = stream_values(11, 256)
 for _a in range(65, 91):                       # A-Z hash as a-z
@@ -128,6 +133,16 @@ def _row_key():
     return F.xxhash64("doc_id", "text").alias("row_key")
 
 
+def _few(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """Hint a broadcast of the written table ``df`` up to ``most`` rows, beyond it a shuffle.
+
+    Left without a hint, Spark goes by the size of its files, and a file of keys takes many
+    times its size once it is hashed in the driver.
+    """
+    few = small(df, most)
+    return few if few is not df else df.hint("merge")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b); root is the least node.
 
@@ -220,7 +235,7 @@ def _compare(who: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         tidy()
 
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (sets.join(small(written(who, "compared")), "set_id").select("grp", "block", "salt", "no", "set_id", "set")
+    return (sets.join(written(who, "compared").hint("merge"), "set_id").select("grp", "block", "salt", "no", "set_id", "set")
             .repartition(parts, "grp", "block", "salt").sortWithinPartitions("grp", "block", "salt", F.col("no") < 0, "no")
             .mapInArrow(run, "grp binary, a binary, b binary, no int"))
 
@@ -279,15 +294,16 @@ def link(docs: DataFrame, size: int = 3, percent: int = 85, bands: int = 20, row
         label = touching.select(F.col("a").alias("set_id"), F.col("b").alias("label"))
     else:
         groups = written(components(touching).select(F.col("node").alias("set_id"), F.col("root").alias("grp")), "groups")
-        reps = written(seen.join(small(groups, 50_000), "set_id").groupBy("set_id").agg(F.min("row_key").alias("row_key"))
-                       .select("row_key"), "reps")
+        # copies of one text meet in partial minima, so the join has one row of a class
+        firsts = seen.where("set_id is not null").groupBy("set_id").agg(F.min("row_key").alias("row_key"))
+        reps = written(firsts.join(_few(groups), "set_id").select("row_key"), "reps")
         # another row may share a key with a representative: the join by set_id sorts it out
-        sets = written(_sets(docs, small(reps), size).dropDuplicates(["set_id"]), "sets")
+        sets = written(_sets(docs, _few(reps, BROADCAST_ROWS), size).dropDuplicates(["set_id"]), "sets")
         label = written(_resolve(groups, sets, percent), "labels")
     # the smallest doc_id of every class, then of every component
     ids = seen.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     root = F.coalesce("label", "set_id")
-    by_set = ids.join(label, "set_id", "left").select("set_id", "least", root.alias("root"))
+    by_set = ids.join(_few(label), "set_id", "left").select("set_id", "least", root.alias("root"))
     by_root = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
     found = by_set.join(by_root, "root").select("set_id", "root", "component_id")
     out = seen.select("doc_id", "row_key", "n_shingles", "set_id").join(found, "set_id", "left")
@@ -306,8 +322,8 @@ def dedup(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 28, ro
     verdict = written(linked.join(several, "root").groupBy("row_key", (F.col("row_key") == F.col("stays")).alias("stays"))
                       .agg(F.count("*").alias("n")).where("not stays or n > 1"), "verdict")
     n = fresh(docs, "row_key", "stays", "rank")
-    keyed = docs.withColumn(n["row_key"], F.xxhash64("doc_id", "text")).join(small(verdict.select(
-        F.col("row_key").alias(n["row_key"]), F.col("stays").alias(n["stays"]))), n["row_key"], "left")
+    keyed = docs.withColumn(n["row_key"], F.xxhash64("doc_id", "text")).join(_few(verdict.select(
+        F.col("row_key").alias(n["row_key"]), F.col("stays").alias(n["stays"])), BROADCAST_ROWS), n["row_key"], "left")
     out = keyed.where(F.col(n["stays"]).isNull())
     if not verdict.where("stays").isEmpty():      # the row that stays occurs several times
         out = out.unionByName(keyed.where(F.col(n["stays"])).dropDuplicates([n["row_key"]]))

@@ -747,6 +747,25 @@ def test_minhash_odd_rows(odd, none):
     assert minhash.link(none).count() == 0 and minhash.dedup(none).count() == 0
 
 
+def test_minhash_broadcasts_stay_small(spark, monkeypatch):
+    rnd, hints, join = random.Random(4), [], type(spark.range(1)).join
+    texts = [prose(rnd, 10) for _ in range(10_500)]      # each linked with itself less the last word: 7 of 8
+    rows = [(k, t) for k, t in enumerate(texts)] + [(k + 20_000, t.rsplit(" ", 1)[0]) for k, t in enumerate(texts)]
+
+    def joined(left, right, *a, **b):
+        plan = right._jdf.queryExecution().analyzed().toString()
+        if "UnresolvedHint" in plan or "ResolvedHint" in plan:
+            hints.append(("broadcast" in plan.split("\n")[0], right.columns, right.count()))
+        return join(left, right, *a, **b)
+
+    monkeypatch.setattr(type(spark.range(1)), "join", joined)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = minhash.link(docs).groupBy("component_id").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect()
+    assert len(got) == 10_500 and all(r.a == r.component_id and r.b == r.a + 20_000 for r in got)
+    assert max(n for *_, n in hints) >= 21_000
+    assert all(n <= 20_000 for broadcast, columns, n in hints if broadcast and columns != ["row_key"]), hints
+
+
 def test_word_hash_ignores_place_and_case():
     texts = ["Ab cd  EF\n" + "q" * 5000, "  ab\tcd ef " + "Q" * 5000, "é ab"]
     raw = [t.encode() for t in texts]
