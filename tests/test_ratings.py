@@ -117,3 +117,38 @@ def test_match_order_is_the_md5_order_in_ranges_too():
     exp = sorted(every, key=lambda x: (x[0], key(*x)))
     assert list(ratings.match_schedule(112, 2, seed="elo:7")) == exp
     assert list(ratings.match_schedule(112, 2, seed="elo:7", at_once=1_000)) == exp
+
+
+def _in_md5_order(n, rounds, seed):
+    import hashlib
+    key = lambda r, i, j: hashlib.md5(f"{seed}:{r}:{i}:{j}".encode()).digest()
+    return sorted(((r, i, j) for r in range(rounds) for i in range(n) for j in range(i + 1, n)), key=lambda x: (x[0], key(*x)))
+
+
+def _played(blocks):
+    return [(r, a, b) for r, i, j in blocks for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize(("held", "times"), [(10 ** 6, 2), (3_000, 4)])
+def test_digests_are_not_computed_again_for_every_part(monkeypatch, held, times):
+    """6,105 pairs in parts of about 200 (31 or 48): twice, and once more for every further ``held`` pairs."""
+    computed, start_of = [], ratings._md5_start_of
+    monkeypatch.setattr(ratings, "_md5_start_of", lambda words, size: computed.append(size) or start_of(words, size))
+    assert _played(ratings.match_blocks(111, 1, "elo:7", 200, held)) == _in_md5_order(111, 1, "elo:7")
+    assert sum(computed) == times * 111 * 110 // 2
+
+
+def test_pairs_alike_in_the_bits_kept_follow_the_whole_digest(monkeypatch):
+    keyed = ratings._keyed
+    monkeypatch.setattr(ratings, "_keyed", lambda n, start, i, j: keyed(n, start * 0, i, j))
+    assert _played(ratings.match_blocks(40, 2, "elo:7")) == _in_md5_order(40, 2, "elo:7")
+
+
+@pytest.mark.parametrize("mode", ["reference", "standard"])
+def test_window_of_a_large_tournament_keeps_every_match(monkeypatch, mode):
+    cfg = RatingConfig(draw_mode=mode)
+    scores = [float("nan") if x % 50 == 3 else float(x * x % 23) for x in range(300)]
+    monkeypatch.setattr(ratings, "FOLD_TOGETHER", 2)
+    together = ratings.elo_fold(scores, cfg, seed="s")
+    monkeypatch.undo()
+    assert together == pytest.approx(ratings.elo_fold(scores, cfg, seed="s"), abs=1e-9)
